@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import quality_rules
+from tessella.llm import pii, quality_rules
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8,
+    "op9_pii": pii.op9,
 }
 
 ORACLES: dict[str, str] = {}
