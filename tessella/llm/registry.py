@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, pii, quality_rules
+from tessella.llm import decontaminate, packing, pii, quality_rules
 
 QUERIES = {
+    "op6_packing": packing.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_quality_rules": quality_rules.op8,
     "op9_pii": pii.op9,
