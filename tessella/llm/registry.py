@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, packing, pii, quality_rules
+from tessella.llm import decontaminate, packing, pii, quality_rules, sharding
 
 QUERIES = {
+    "op4_sharding": sharding.op4,
     "op6_packing": packing.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_quality_rules": quality_rules.op8,
     "op9_pii": pii.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_sharding": sharding.ORACLE,
+}
