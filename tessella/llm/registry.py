@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, packing, pii, quality_rules, sharding
+from tessella.llm import decontaminate, packing, pii, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7,
     "op8_quality_rules": quality_rules.op8,
     "op9_pii": pii.op9,
+    "op10_quality_classifier": quality_classifier.op10,
 }
 
 ORACLES: dict[str, str] = {
