@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, packing, pii, quality_classifier, quality_rules, sharding
+from tessella.llm import decontaminate, packing, pii, quality_classifier, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1,
     "op4_sharding": sharding.op4,
     "op6_packing": packing.op6,
     "op7_decontaminate": decontaminate.op7,
