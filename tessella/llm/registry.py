@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, packing, pii, quality_classifier, quality_rules, secrets, sharding
+from tessella.llm import decontaminate, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
+    "op2_line_dedup": line_dedup.op2,
     "op4_sharding": sharding.op4,
     "op6_packing": packing.op6,
     "op7_decontaminate": decontaminate.op7,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_sharding": sharding.ORACLE,
 }
