@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding
+from tessella.llm import decontaminate, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
     "op2_line_dedup": line_dedup.op2,
     "op4_sharding": sharding.op4,
+    "op5_suffix_dedup": suffix_dedup.op5,
     "op6_packing": packing.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_quality_rules": quality_rules.op8,
