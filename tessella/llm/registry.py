@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup
+from tessella.llm import decontaminate, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
     "op2_line_dedup": line_dedup.op2,
+    "op3_jaccard_join": jaccard_join.op3,
     "op4_sharding": sharding.op4,
     "op5_suffix_dedup": suffix_dedup.op5,
     "op6_packing": packing.op6,

@@ -61,12 +61,12 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, limit: int = SLICE_BYTES):
+def slices(off: np.ndarray, limit: int = SLICE_BYTES, rows: int = 1 << 30):
     """Row ranges [lo, hi) of about ``limit`` bytes; one row at least."""
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi
         lo = hi
 
