@@ -305,7 +305,10 @@ def repeated_starts(text: bytes, ends: np.ndarray, place: np.ndarray, span: int)
 
 # ---------------------------------------------------------------- surroundings and spans
 
-_CONTEXT = np.dtype([("tid", "<i8"), ("start", "<u4"), ("size", "<u4")])
+_CONTEXT = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("start", "<u4"), ("size", "<u4")])
+#: Bytes of surroundings sorted at once. Those of one anchor stay together, those of different anchors
+#: need not; sorting takes about 60 bytes of memory a byte.
+CHUNK = 1 << 20
 
 
 def context_blobs(found: DataFrame, parts: int, span: int, gram: int) -> DataFrame:
@@ -320,9 +323,9 @@ def context_blobs(found: DataFrame, parts: int, span: int, gram: int) -> DataFra
                 data = raw.to_pybytes()
                 for blob in blobs.values:
                     rec = np.frombuffer(blob.as_buffer(), _ANCHOR)
-                    for p, pos in zip(_part_of(rec["hash"], parts).tolist(), rec["pos"].tolist()):
+                    for p, h, pos in zip(_part_of(rec["hash"], parts).tolist(), rec["hash"].tolist(), rec["pos"].tolist()):
                         a, b = max(0, pos - (span - gram)), min(n, pos + span)
-                        out.add([p], [np.array([(tid, a, b - a)], _CONTEXT).tobytes() + data[a:b]])
+                        out.add([p], [np.array([(h, tid, a, b - a)], _CONTEXT).tobytes() + data[a:b]])
                 yield from out.flush()
         yield from out.flush(last=True)
 
@@ -333,46 +336,58 @@ def _contexts(held):
     for buf in held:
         raw, at = buf.to_pybytes(), 0
         while at < len(raw):
-            tid, start, size = np.frombuffer(raw, _CONTEXT, 1, at)[0]
+            h, tid, start, size = np.frombuffer(raw, _CONTEXT, 1, at)[0]
             at += _CONTEXT.itemsize
-            yield int(tid), int(start), raw[at : at + int(size)]
+            yield int(h), int(tid), int(start), raw[at : at + int(size)]
             at += int(size)
 
 
+def _solve(contexts: list, span: int, whole: dict[int, list]) -> None:
+    """Add the repeated spans of some (tid, start, bytes) contexts to ``whole``."""
+    tids, starts, bodies = [], [], []
+    first: dict[bytes, tuple[int, int]] = {}
+    for tid, start, body in contexts:
+        # equal surroundings at two places repeat in full; one of them stands for all
+        known = first.setdefault(body, (tid, start))
+        if known == (tid, start):
+            tids.append(tid)
+            starts.append(start)
+            bodies.append(body)
+        elif len(body) >= span:
+            whole.setdefault(tid, []).append((start, start + len(body)))
+            whole.setdefault(known[0], []).append((known[1], known[1] + len(body)))
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    base = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes)
+    _, number = np.unique(np.array(tids, np.int64), return_inverse=True)
+    place = (number[owner].astype(np.int64) << 32) + np.array(starts, np.int64)[owner] + np.arange(len(owner)) - base[owner]
+    mark = np.flatnonzero(repeated_starts(b"".join(bodies), (base + sizes)[owner], place, span))
+    if len(mark):
+        # runs of marked starts in one context make one span
+        own = owner[mark]
+        cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(mark) > 1)])
+        for a, b in zip(cut, [*cut[1:], len(mark)]):
+            i = own[a]
+            shift = starts[i] - base[i]
+            whole.setdefault(tids[i], []).append((int(mark[a] + shift), int(mark[b - 1] + shift) + span))
+
+
 def repeated_spans(blobs: DataFrame, parts: int, span: int) -> DataFrame:
     """(tid, starts, ends) rows: spans to remove, merged within one part."""
 
     def run(batches):
         for held in _by_part(batches):
-            tids, starts, bodies = [], [], []
             whole: dict[int, list] = {}
-            first: dict[bytes, tuple[int, int]] = {}
-            sent: set = set()
-            for tid, start, body in _contexts(held):
-                # equal surroundings at two places repeat in full; one of them stands for all
-                known = first.setdefault(body, (tid, start))
-                if known != (tid, start) and len(body) >= span:
-                    whole.setdefault(tid, []).append((start, start + len(body)))
-                    whole.setdefault(known[0], []).append((known[1], known[1] + len(body)))
-                if known == (tid, start) and (tid, start) not in sent:
-                    sent.add((tid, start))
-                    tids.append(tid)
-                    starts.append(start)
-                    bodies.append(body)
-            sizes = np.array([len(b) for b in bodies], np.int64)
-            base = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(bodies)), sizes)
-            _, number = np.unique(np.array(tids, np.int64), return_inverse=True)
-            place = (number[owner].astype(np.int64) << 32) + np.array(starts, np.int64)[owner] + np.arange(len(owner)) - base[owner]
-            mark = repeated_starts(b"".join(bodies), (base + sizes)[owner], place, span)
-            for at in np.flatnonzero(mark).tolist():
-                i = owner[at]
-                a = starts[i] + at - base[i]
-                own = whole.setdefault(tids[i], [])
-                if own and own[-1][0] <= a <= own[-1][1]:
-                    own[-1] = (own[-1][0], max(own[-1][1], int(a) + span))
-                else:
-                    own.append((int(a), int(a) + span))
+            chunk: list = []
+            size, last = 0, None
+            for one in sorted(_contexts(held), key=lambda x: x[0]):
+                if one[0] != last and size >= CHUNK:
+                    _solve(chunk, span, whole)
+                    chunk, size = [], 0
+                last = one[0]
+                chunk.append(one[1:])
+                size += len(one[3])
+            _solve(chunk, span, whole)
             if whole:
                 keys = list(whole)
                 merged = [_merge(whole[k]) for k in keys]
