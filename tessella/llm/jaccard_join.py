@@ -1,11 +1,13 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets (distance 1 - similarity).
 
 Almost all documents lie at distance 1 from any pivot, so document pivots alone would replicate every
-document into every region. Candidates are therefore regionalised first, exactly: of each set the
+document into every region. Candidates are therefore regionalised first, exactly. Of each set the
 smallest hashes are its signature, long enough that linked sets share at least ``l`` signature
-elements; sets sharing fewer with all others drop out, and each set may forget its most frequent
-``(l - 1) // 2`` elements, which keeps common passages from chaining regions together. Components of
-what is left are the regions.
+elements; sets sharing fewer with all others drop out. The sets left exchange all their elements to
+learn in how many sets each occurs. A set with fewer than ``percent`` of its elements in others drops
+out; the others are candidates of each other where they share one of their rarest elements (as many as
+a linked set can lack, and one more), which keeps passages common to many documents out of it.
+Components of the candidates are the regions.
 
 Inside a region pivots do the work. Distances to the first pivots give triangle-inequality windows:
 a set joins only with sets whose distance to every pivot differs by at most the radius, and only when
@@ -37,7 +39,7 @@ N = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Share of a set's elements by which signatures are longer than one common element would need.
-SURPLUS = 0.08
+SURPLUS = 0.1
 #: Elements of one region that a single task joins, and pivots in one round of a larger region.
 REGION_LIMIT = 4 << 20
 PIVOTS = 32
@@ -78,11 +80,6 @@ def common_needed(n: np.ndarray, surplus: float) -> np.ndarray:
     return np.maximum(1, np.floor(surplus * n)).astype(np.int64)
 
 
-def least_common(n: np.ndarray, percent: int, surplus: float) -> np.ndarray:
-    """The smallest l over all sizes a linked set can have."""
-    return common_needed(-(-percent * n // 100), surplus)
-
-
 def signature_length(n: np.ndarray, percent: int, surplus: float) -> np.ndarray:
     return np.minimum(n, n - (-(-percent * n // 100)) + common_needed(n, surplus))
 
@@ -180,11 +177,38 @@ def _signatures(docs: DataFrame, parts: int, n: int, percent: int, surplus: floa
     return docs.select("text").mapInArrow(run, "part int, blob binary")
 
 
+def _counts(blobs: DataFrame, parts: int) -> DataFrame:
+    """(node, shared): how many signature elements of a set occur in another set, part by part."""
+
+    def run(batches):
+        for _, held in _by_part(batches):
+            _, node, _, size = _groups(held)
+            ids, count = np.unique(node[size > 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count.astype(np.int64))], names=["node", "shared"])
+
+    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "node long, shared long")
+
+
+def _elements(sets: DataFrame, parts: int) -> DataFrame:
+    """(part, blob) of all elements of the sets."""
+
+    def run(batches):
+        out = _Parts(parts)
+        for batch in batches:
+            for node, codes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(codes.as_buffer(), np.uint64)
+                out.add(own, np.full(len(own), node, np.int64))
+                yield from out.flush()
+        yield from out.flush(last=True)
+
+    return sets.select("node", "codes").mapInArrow(run, "part int, blob binary")
+
+
 _SHARED = np.dtype([("part", "<u4"), ("sig", "<u8"), ("size", "<u4")])
 
 
 def _shared(blobs: DataFrame, parts: int) -> DataFrame:
-    """(node, blob): per set the signature elements it shares with another, with their group sizes."""
+    """(node, blob): per set the elements it shares with another, with the number of sets of each."""
 
     def run(batches):
         for part, held in _by_part(batches):
@@ -195,33 +219,30 @@ def _shared(blobs: DataFrame, parts: int) -> DataFrame:
             rec = np.empty(len(order), _SHARED)
             rec["part"], rec["sig"], rec["size"] = part, sig[order], size[order]
             node = node[order]
-            cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
-            for a in range(0, len(cut), 20000):
+            cut = np.append(np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)) if len(node) else np.zeros(1, np.int64)
+            for a in range(0, len(cut) - 1, 20000):
                 own = cut[a : a + 20001]
-                ends = [*own[1:20001], len(node)] if len(own) <= 20000 else own[1:]
-                own = own[:20000]
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array([rec[x:y].tobytes() for x, y in zip(own, ends)], pa.binary())], names=["node", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[own[:-1]]), pa.array([rec[x:y].tobytes() for x, y in zip(own, own[1:])], pa.binary())], names=["node", "blob"])
 
     return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "node long, blob binary")
 
 
-def _survivors(shared: DataFrame, parts: int, percent: int, surplus: float) -> DataFrame:
-    """(part, blob) of the elements that sets with enough in common keep: their rarer ones."""
+def _rarest(shared: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(part, blob) of the shared elements among the rarest of each set. Elements of no other set are
+    rarer than all shared ones; ties are ordered alike for every set."""
 
     def run(batches):
         out: dict[int, list] = {}
         for batch in batches:
             for node, size, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 rec = np.concatenate([np.frombuffer(b.as_buffer(), _SHARED) for b in blobs.values])
-                least = int(least_common(np.array([size]), percent, surplus)[0])
-                if len(rec) < least:
+                take = size - (-(-percent * size // 100)) + 1 - (size - len(rec))
+                if take <= 0:
                     continue
-                forget = (least - 1) // 2
-                rec = rec[np.argsort(rec["size"], kind="stable")][: len(rec) - forget]
+                rec = rec[np.lexsort((rec["sig"], rec["part"], rec["size"]))][:take]
                 for p in np.unique(rec["part"]).tolist():
-                    own = rec["sig"][rec["part"] == p]
-                    six = np.ascontiguousarray(own).view(np.uint8).reshape(-1, 8)[:, :6]
-                    out.setdefault(p, []).append((six, np.full(len(own), node, "<i8")))
+                    six = np.ascontiguousarray(rec["sig"][rec["part"] == p]).view(np.uint8).reshape(-1, 8)[:, :6]
+                    out.setdefault(p, []).append((six, np.full(len(six), node, "<i8")))
         keys = list(out)
         for a in range(0, len(keys), 64):
             own = keys[a : a + 64]
@@ -291,19 +312,19 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT, windows: int = W
 _SET = "region long, node long, n int, codes binary"
 
 
-def _region_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(region, node, n, codes) of the chosen documents; rows whose text isn't the node's are left out."""
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(node, n, codes) of (node, text) rows; rows whose text isn't the node's are left out."""
 
     def run(batches):
         for batch in batches:
-            data, off = wc.column_bytes(batch.column(2))
-            regions, nodes = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            data, off = wc.column_bytes(batch.column(1))
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in wc.slices(off, rows=4096):
                 codes, bounds = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 ok = np.flatnonzero(node_ids(codes, bounds) == nodes[lo:hi])
-                yield pa.RecordBatch.from_arrays([regions.take(pa.array(ok + lo)), pa.array(nodes[lo:hi][ok]), pa.array(np.diff(bounds)[ok].astype(np.int32)), pa.array([codes[bounds[i] : bounds[i + 1]].tobytes() for i in ok], pa.binary())], names=["region", "node", "n", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[lo:hi][ok]), pa.array(np.diff(bounds)[ok].astype(np.int32)), pa.array([codes[bounds[i] : bounds[i + 1]].tobytes() for i in ok], pa.binary())], names=["node", "n", "codes"])
 
-    return texts.mapInArrow(run, _SET)
+    return texts.mapInArrow(run, "node long, n int, codes binary")
 
 
 def _join_small(sets: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -448,12 +469,15 @@ def jaccard_join(
 
     sized = materialize(spark, source.mapInArrow(measure, "doc_id long, n long, node long"), "sets")
     nodes = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"))
-    shared = _shared(_signatures(source, parts, n, percent, surplus), parts).groupBy("node").agg(F.collect_list("blob").alias("blobs"))
-    kept = _survivors(shared.join(nodes.select("node", "n"), "node").select("node", "n", "blobs"), parts, percent, surplus)
-    regions = connected_components(spark, _stars(kept, parts))
-    chosen = regions.join(nodes, "node").select(F.col("root").alias("region"), "node", F.col("doc_id").alias("d"))
-    texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("d"))).select("region", "node", "text")
-    sets = materialize(spark, _region_sets(texts, n), "region-sets")
+    counted = _counts(_signatures(source, parts, n, percent, surplus), parts).groupBy("node").agg(F.sum("shared").alias("shared"))
+    least = F.greatest(F.floor(surplus * F.ceil(F.col("n") * percent / 100)), F.lit(1))
+    chosen = nodes.join(counted, "node").where(F.col("shared") >= least).select("node", F.col("doc_id").alias("d"))
+    texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
+    sets = materialize(spark, _sets(texts, n), "candidate-sets")
+    shared = _shared(_elements(sets, parts), parts).groupBy("node").agg(F.collect_list("blob").alias("blobs"))
+    rare = _rarest(shared.join(sets.select("node", "n").distinct(), "node").select("node", "n", "blobs"), parts, percent)
+    regions = connected_components(spark, _stars(rare, parts)).withColumnRenamed("root", "region")
+    sets = materialize(spark, sets.join(regions, "node").select("region", "node", "n", "codes"), "region-sets")
     linked = connected_components(spark, region_links(spark, sets, parts, percent, region_limit, pivots))
     # rows that share a doc_id tie their sets together
     tied = sized.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all")).where("a <> z")
