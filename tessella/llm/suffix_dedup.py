@@ -198,29 +198,27 @@ def two_stage_sort(text: bytes, ends: np.ndarray, wanted: np.ndarray, depth: int
     of its own: scanning the buckets upwards induces all of them in order. ``wanted`` is widened to the
     right until every suffix in it is B, or has its successor in it, or is the last of its context.
     """
-    t = np.frombuffer(text, np.uint8).astype(np.int16)
+    t = np.frombuffer(text, np.uint8)
     n = len(t)
-    nxt = np.full(n, -1, np.int16)
-    nxt[:-1] = t[1:]
-    final = np.arange(n) == ends - 1
-    nxt[final] = -1
-    step = np.sign(nxt - t)
+    where = np.arange(n, dtype=np.int32)
+    final = where == ends - 1
+    step = np.full(n, -1, np.int8)
+    step[:-1] = (t[1:] > t[:-1]).view(np.int8) - (t[1:] < t[:-1]).view(np.int8)
+    step[final] = -1
     # equal neighbours take the type of the first unequal one to their right
-    idx = np.where(step != 0, np.arange(n), n)
-    step = step[np.minimum.accumulate(idx[::-1])[::-1]]
-    b_type = step > 0
+    b_type = step[np.minimum.accumulate(np.where(step != 0, where, np.int32(n - 1))[::-1])[::-1]] > 0
     # widen: the successors of A suffixes, up to the next B
-    need = np.zeros(n, bool)
-    need[wanted] = True
-    stop = np.minimum.accumulate(np.where(b_type | final, np.arange(n), n)[::-1])[::-1]
-    reach = np.zeros(n + 1, np.int64)
+    stop = np.minimum.accumulate(np.where(b_type | final, where, np.int32(n - 1))[::-1])[::-1]
+    del where, step
+    reach = np.zeros(n + 1, np.int32)
     np.add.at(reach, wanted, 1)
     np.add.at(reach, stop[wanted] + 1, -1)
-    need = np.cumsum(reach[:-1]) > 0
+    need = np.cumsum(reach[:-1], dtype=np.int32) > 0
+    del reach, stop
     direct = np.flatnonzero(need & b_type)
     stops = np.minimum(direct + depth, ends[direct])
     # buckets of two leading bytes hold few enough keys to cut them out of the text
-    pair = t[direct].astype(np.int32) * 257 + np.where(final[direct], 0, nxt[direct] + 1)
+    pair = t[direct].astype(np.int32) * 256 + t[np.minimum(direct + 1, n - 1)]
     order = np.argsort(pair, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(pair[order]) > 0]) if len(order) else np.zeros(0, np.int64)
     pieces: list[list] = [[] for _ in range(256)]
@@ -268,11 +266,8 @@ def two_stage_sort(text: bytes, ends: np.ndarray, wanted: np.ndarray, depth: int
 
 def common_prefixes(text: bytes, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Whether the suffixes at a and b share their first ``depth`` bytes; both are long enough."""
-    raw = np.frombuffer(text + b"\0" * 8, np.uint8)
-    n = len(text)
-    words = np.zeros(n, np.uint64)
-    for j in range(8):
-        words |= raw[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+    padded = text + b"\0" * 8
+    words = np.ndarray((len(text),), "<u8", padded, 0, (1,))  # the eight bytes from every position on
     same = np.ones(len(a), bool)
     live = np.arange(len(a))
     steps = [*range(0, depth - 7, 8)]
@@ -285,11 +280,11 @@ def common_prefixes(text: bytes, a: np.ndarray, b: np.ndarray, depth: int) -> np
     return same
 
 
-def repeated_starts(text: bytes, ends: np.ndarray, place: np.ndarray, span: int) -> np.ndarray:
+def repeated_starts(text: bytes, ends: np.ndarray, place, span: int) -> np.ndarray:
     """Which bytes of ``text`` start a ``span``-byte string that starts at two places at least; ``place``
-    numbers the places, since contexts of one text may overlap."""
+    numbers the places of positions, since contexts of one text may overlap."""
     n = len(text)
-    wanted = np.flatnonzero(np.arange(n) + span <= ends)
+    wanted = np.flatnonzero(np.arange(n, dtype=np.int32) + span <= ends)
     out = np.zeros(n, bool)
     if len(wanted) < 2:
         return out
@@ -298,7 +293,8 @@ def repeated_starts(text: bytes, ends: np.ndarray, place: np.ndarray, span: int)
     same = common_prefixes(text, order[:-1], order[1:], span)
     group = np.concatenate([[0], np.cumsum(~same)])
     cut = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-    low, high = np.minimum.reduceat(place[order], cut), np.maximum.reduceat(place[order], cut)
+    at = place(order)
+    low, high = np.minimum.reduceat(at, cut), np.maximum.reduceat(at, cut)
     out[order[(low < high)[group]]] = True
     return out
 
@@ -307,7 +303,7 @@ def repeated_starts(text: bytes, ends: np.ndarray, place: np.ndarray, span: int)
 
 _CONTEXT = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("start", "<u4"), ("size", "<u4")])
 #: Bytes of surroundings sorted at once. Those of one anchor stay together, those of different anchors
-#: need not; sorting takes about 60 bytes of memory a byte.
+#: need not; sorting takes about 30 bytes of memory a byte.
 CHUNK = 1 << 20
 
 
@@ -334,11 +330,11 @@ def context_blobs(found: DataFrame, parts: int, span: int, gram: int) -> DataFra
 
 def _contexts(held):
     for buf in held:
-        raw, at = buf.to_pybytes(), 0
+        raw, at = memoryview(buf), 0
         while at < len(raw):
             h, tid, start, size = np.frombuffer(raw, _CONTEXT, 1, at)[0]
             at += _CONTEXT.itemsize
-            yield int(h), int(tid), int(start), raw[at : at + int(size)]
+            yield int(h), int(tid), int(start), bytes(raw[at : at + int(size)])
             at += int(size)
 
 
@@ -360,16 +356,16 @@ def _solve(contexts: list, span: int, whole: dict[int, list]) -> None:
     base = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes)
     _, number = np.unique(np.array(tids, np.int64), return_inverse=True)
-    place = (number[owner].astype(np.int64) << 32) + np.array(starts, np.int64)[owner] + np.arange(len(owner)) - base[owner]
-    mark = np.flatnonzero(repeated_starts(b"".join(bodies), (base + sizes)[owner], place, span))
+    shift = (number.astype(np.int64) << 32) + np.array(starts, np.int64) - base
+    mark = np.flatnonzero(repeated_starts(b"".join(bodies), (base + sizes).astype(np.int32)[owner], lambda at: shift[owner[at]] + at, span))
     if len(mark):
         # runs of marked starts in one context make one span
         own = owner[mark]
         cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(mark) > 1)])
         for a, b in zip(cut, [*cut[1:], len(mark)]):
             i = own[a]
-            shift = starts[i] - base[i]
-            whole.setdefault(tids[i], []).append((int(mark[a] + shift), int(mark[b - 1] + shift) + span))
+            from_start = starts[i] - base[i]
+            whole.setdefault(tids[i], []).append((int(mark[a] + from_start), int(mark[b - 1] + from_start) + span))
 
 
 def repeated_spans(blobs: DataFrame, parts: int, span: int) -> DataFrame:
