@@ -70,9 +70,29 @@ def anchors(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRA
     if not len(least):
         return none
     at = np.unique((least[np.r_[True, least[1:] != least[:-1]]] & _LOW).astype(np.int64))
+    at = at[thinned(at, grams[at], np.searchsorted(off, at, side="right"), span - gram + 1)]
     return at, grams[at]
 
 
+def thinned(at: np.ndarray, h: np.ndarray, row: np.ndarray, w: int) -> np.ndarray:
+    """Which anchors to keep: in periodic text every period offers an equal one, of which some at most w
+    apart suffice for every window to hold one. Equal windows then still hold equal anchors, if not at
+    the same place, and the surroundings of either hold the window whole."""
+    keep = np.ones(len(at), bool)
+    if len(at) < 3:
+        return keep
+    same = (h[1:] == h[:-1]) & (row[1:] == row[:-1]) & (np.diff(at) <= w)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    for lo, hi in zip(edge[::2], edge[1::2]):  # a run is at[lo .. hi]
+        if hi - lo > 1:
+            keep[lo + 1 : hi] = False
+            i = lo
+            while i < hi:
+                i = max(i + 1, int(np.searchsorted(at[lo : hi + 1], at[i] + w, side="right")) - 1 + lo)
+                keep[min(i, hi)] = True
+    return keep
+
+
 def _segments(data: np.ndarray, off: np.ndarray, span: int):
     """Slices of rows; a long row alone, in overlapping segments. Yields (rows, starts, bytes, offsets)
     where starts are the positions in their texts of what follows."""
