@@ -177,16 +177,61 @@ def _signatures(docs: DataFrame, parts: int, n: int, percent: int, surplus: floa
     return docs.select("text").mapInArrow(run, "part int, blob binary")
 
 
-def _counts(blobs: DataFrame, parts: int) -> DataFrame:
-    """(node, shared): how many signature elements of a set occur in another set, part by part."""
+_COUNT = np.dtype([("node", "<i8"), ("shared", "<u4")])
+
+
+def _node_part(node: np.ndarray, parts: int) -> np.ndarray:
+    return (wc.mix(node.astype(np.int64).view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _deal(rec: np.ndarray, parts: int, tag: int):
+    """Records by the part of their nodes, as one batch of (part, tag, blob)."""
+    part = _node_part(rec["node"], parts)
+    order = np.argsort(part, kind="stable")
+    rec, part = rec[order], part[order]
+    cut = np.append(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)) if len(part) else np.zeros(1, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(np.full(len(cut) - 1, tag, np.int32)), pa.array([rec[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["part", "tag", "blob"])
+
+
+_DEALT = "part int, tag int, blob binary"
+
+
+def _by_node(dealt: DataFrame, parts: int, solve, schema: str) -> DataFrame:
+    """``solve`` of the blobs of each node part, by tag."""
 
     def run(batches):
+        held, part = {}, None
+        for batch in batches:
+            for p, t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if p != part and held:
+                    yield from solve(held)
+                    held = {}
+                part = p
+                held.setdefault(t, []).append(b.as_buffer())
+        if held:
+            yield from solve(held)
+
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _counts(blobs: DataFrame, parts: int) -> DataFrame:
+    """(node, shared): how many signature elements of a set occur in another set."""
+
+    def count(batches):
         for _, held in _by_part(batches):
             _, node, _, size = _groups(held)
-            ids, count = np.unique(node[size > 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count.astype(np.int64))], names=["node", "shared"])
+            ids, n = np.unique(node[size > 1], return_counts=True)
+            rec = np.empty(len(ids), _COUNT)
+            rec["node"], rec["shared"] = ids, n
+            yield _deal(rec, parts, 0)
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "node long, shared long")
+    def total(held):
+        rec = np.concatenate([np.frombuffer(b, _COUNT) for b in held[0]])
+        ids, inverse = np.unique(rec["node"], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(inverse, weights=rec["shared"]).astype(np.int64))], names=["node", "shared"])
+
+    counted = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, _DEALT)
+    return _by_node(counted, parts, total, "node long, shared long")
 
 
 def _elements(sets: DataFrame, parts: int) -> DataFrame:
@@ -204,51 +249,58 @@ def _elements(sets: DataFrame, parts: int) -> DataFrame:
     return sets.select("node", "codes").mapInArrow(run, "part int, blob binary")
 
 
-_SHARED = np.dtype([("part", "<u4"), ("sig", "<u8"), ("size", "<u4")])
+_SHARED = np.dtype([("node", "<i8"), ("part", "<u4"), ("sig", "<u8"), ("size", "<u4")])
+_SIZE = np.dtype([("node", "<i8"), ("n", "<u4")])
 
 
 def _shared(blobs: DataFrame, parts: int) -> DataFrame:
-    """(node, blob): per set the elements it shares with another, with the number of sets of each."""
+    """The elements that sets share, with the number of sets of each, dealt by node."""
 
     def run(batches):
         for part, held in _by_part(batches):
             sig, node, _, size = _groups(held)
             many = size > 1
-            sig, node, size = sig[many], node[many], size[many]
-            order = np.argsort(node, kind="stable")
-            rec = np.empty(len(order), _SHARED)
-            rec["part"], rec["sig"], rec["size"] = part, sig[order], size[order]
-            node = node[order]
-            cut = np.append(np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)) if len(node) else np.zeros(1, np.int64)
-            for a in range(0, len(cut) - 1, 20000):
-                own = cut[a : a + 20001]
-                yield pa.RecordBatch.from_arrays([pa.array(node[own[:-1]]), pa.array([rec[x:y].tobytes() for x, y in zip(own, own[1:])], pa.binary())], names=["node", "blob"])
+            rec = np.empty(int(many.sum()), _SHARED)
+            rec["node"], rec["part"], rec["sig"], rec["size"] = node[many], part, sig[many], size[many]
+            yield _deal(rec, parts, 0)
+
+    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _DEALT)
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "node long, blob binary")
 
+def _sizes(sets: DataFrame, parts: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rec = np.empty(batch.num_rows, _SIZE)
+            rec["node"], rec["n"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            yield _deal(rec, parts, 1)
+
+    return sets.select("node", "n").mapInArrow(run, _DEALT)
 
-def _rarest(shared: DataFrame, parts: int, percent: int) -> DataFrame:
+
+def _rarest(shared: DataFrame, sizes: DataFrame, parts: int, percent: int) -> DataFrame:
     """(part, blob) of the shared elements among the rarest of each set. Elements of no other set are
     rarer than all shared ones; ties are ordered alike for every set."""
 
-    def run(batches):
-        out: dict[int, list] = {}
-        for batch in batches:
-            for node, size, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                rec = np.concatenate([np.frombuffer(b.as_buffer(), _SHARED) for b in blobs.values])
-                take = size - (-(-percent * size // 100)) + 1 - (size - len(rec))
-                if take <= 0:
-                    continue
-                rec = rec[np.lexsort((rec["sig"], rec["part"], rec["size"]))][:take]
-                for p in np.unique(rec["part"]).tolist():
-                    six = np.ascontiguousarray(rec["sig"][rec["part"] == p]).view(np.uint8).reshape(-1, 8)[:, :6]
-                    out.setdefault(p, []).append((six, np.full(len(six), node, "<i8")))
-        keys = list(out)
-        for a in range(0, len(keys), 64):
-            own = keys[a : a + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([np.concatenate([x for x, _ in out[k]]).tobytes() + np.concatenate([y for _, y in out[k]]).tobytes() for k in own], pa.binary())], names=["part", "blob"])
-
-    return shared.mapInArrow(run, "part int, blob binary")
+    def solve(held):
+        if 0 not in held or 1 not in held:
+            return
+        rec = np.concatenate([np.frombuffer(b, _SHARED) for b in held[0]])
+        known = np.unique(np.concatenate([np.frombuffer(b, _SIZE) for b in held[1]]))
+        rec = rec[np.lexsort((rec["sig"], rec["part"], rec["size"], rec["node"]))]
+        first = np.flatnonzero(np.r_[True, rec["node"][1:] != rec["node"][:-1]])
+        count = np.diff(np.append(first, len(rec)))
+        size = known["n"][np.searchsorted(known["node"], rec["node"][first])].astype(np.int64)
+        take = np.clip(count - (-(-percent * size // 100)) + 1, 0, count)
+        rec = rec[np.arange(len(rec)) - np.repeat(first, count) < np.repeat(take, count)]
+        rec = rec[np.argsort(rec["part"], kind="stable")]
+        cut = np.append(np.flatnonzero(np.r_[True, rec["part"][1:] != rec["part"][:-1]]), len(rec)) if len(rec) else np.zeros(1, np.int64)
+        blobs = []
+        for a, b in zip(cut, cut[1:]):
+            six = np.ascontiguousarray(rec["sig"][a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
+            blobs.append(six.tobytes() + rec["node"][a:b].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rec["part"][cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    return _by_node(shared.unionByName(sizes), parts, solve, "part int, blob binary")
 
 
 def _stars(blobs: DataFrame, parts: int) -> DataFrame:
@@ -469,13 +521,12 @@ def jaccard_join(
 
     sized = materialize(spark, source.mapInArrow(measure, "doc_id long, n long, node long"), "sets")
     nodes = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"))
-    counted = _counts(_signatures(source, parts, n, percent, surplus), parts).groupBy("node").agg(F.sum("shared").alias("shared"))
+    counted = _counts(_signatures(source, parts, n, percent, surplus), parts)
     least = F.greatest(F.floor(surplus * F.ceil(F.col("n") * percent / 100)), F.lit(1))
     chosen = nodes.join(counted, "node").where(F.col("shared") >= least).select("node", F.col("doc_id").alias("d"))
     texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
     sets = materialize(spark, _sets(texts, n), "candidate-sets")
-    shared = _shared(_elements(sets, parts), parts).groupBy("node").agg(F.collect_list("blob").alias("blobs"))
-    rare = _rarest(shared.join(sets.select("node", "n").distinct(), "node").select("node", "n", "blobs"), parts, percent)
+    rare = _rarest(_shared(_elements(sets, parts), parts), _sizes(sets, parts), parts, percent)
     regions = connected_components(spark, _stars(rare, parts)).withColumnRenamed("root", "region")
     sets = materialize(spark, sets.join(regions, "node").select("region", "node", "n", "codes"), "region-sets")
     linked = connected_components(spark, region_links(spark, sets, parts, percent, region_limit, pivots))
