@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` with ``value`` evaluated, and written in the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
 
@@ -35,6 +40,10 @@ def frames(x: Column, size: Column, hop: Column) -> Column:
 
 
 def measure(x: Column, sr: Column) -> Column:
+    return let(x, lambda v: _measure(v, sr))
+
+
+def _measure(x: Column, sr: Column) -> Column:
     """struct of sanity measures; ``silence_ratio`` is the share of 20 ms frames whose peak is below
     -50 dBFS. Empty signals are not ok."""
     size = F.greatest(F.floor(sr * 0.02).cast("int"), F.lit(1))
@@ -70,29 +79,40 @@ def sanity(x: Column, sr: Column) -> Column:
 
 def trim_silence(x: Column, sr: Column, gate_db: float = -45.0, pad_ms: int = 80, win_ms: int = 10) -> Column:
     """Without quiet ends, padded; short or all-quiet signals stay whole."""
+    return let(x, lambda v: _trim(v, sr, gate_db, pad_ms, win_ms))
+
+
+def _trim(x: Column, sr: Column, gate_db: float, pad_ms: int, win_ms: int) -> Column:
     n = F.greatest(F.floor(sr * win_ms / 1000).cast("int"), F.lit(1))
-    loud = F.transform(frames(x, n, n), lambda f: db(rms(f), 1e-9) > gate_db)
     pad = F.floor(sr * pad_ms / 1000).cast("int")
-    first, last = F.array_position(loud, F.lit(True)), F.size(loud) - F.array_position(F.reverse(loud), F.lit(True)) + 1
-    lo = F.greatest((first - 1) * n - pad, F.lit(0))
-    hi = F.least(last * n + pad, F.size(x))
-    return F.when((F.size(loud) < 3) | (first == 0), x).otherwise(F.slice(x, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")))
+
+    def cut(loud: Column) -> Column:
+        first, last = F.array_position(loud, F.lit(True)), F.size(loud) - F.array_position(F.reverse(loud), F.lit(True)) + 1
+        lo, hi = F.greatest((first - 1) * n - pad, F.lit(0)), F.least(last * n + pad, F.size(x))
+        return F.when((F.size(loud) < 3) | (first == 0), x).otherwise(F.slice(x, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")))
+
+    return let(F.transform(frames(x, n, n), lambda f: db(rms(f), 1e-9) > gate_db), cut)
 
 
 def normalize_loudness(x: Column, target_dbfs: float = -25.0, ceiling: float = 0.98) -> Column:
     """Scaled to a level, less where the peak would pass the ceiling; near silence stays as it is."""
-    stats = F.array(F.struct(rms(x).alias("r"), peak(x).alias("p")))
-    gain = F.transform(stats, lambda s: F.least(F.pow(F.lit(10.0), (target_dbfs - 20 * F.log10(s["r"])) / 20), ceiling / s["p"]))[0]
-    return F.when((F.size(x) == 0) | (rms(x) < 1e-9), x).otherwise(F.transform(F.array(gain), lambda g: F.transform(x, lambda v: v * g))[0])
+    def scaled(v: Column) -> Column:
+        gain = lambda r: F.least(F.pow(F.lit(10.0), (target_dbfs - 20 * F.log10(r)) / 20), ceiling / peak(v))
+        return let(rms(v), lambda r: F.when((F.size(v) == 0) | (r < 1e-9), v).otherwise(let(gain(r), lambda g: F.transform(v, lambda s: s * g))))
+
+    return let(x, scaled)
 
 
 def fade_edges(x: Column, sr: Column, fade_ms: int = 10) -> Column:
     """sin^2 in, cos^2 out over at most half the signal."""
-    n = F.least(F.floor(F.size(x) / 2), F.floor(sr * fade_ms / 1000)).cast("int")
-    ramp = lambda k: F.pow(F.sin(F.lit(3.141592653589793 / 2) * k / (n - 1)), F.lit(2.0))
-    return F.when(n < 2, x).otherwise(
-        F.transform(x, lambda v, i: v * F.when(i < n, ramp(i)).otherwise(1.0) * F.when(i >= F.size(x) - n, ramp(F.size(x) - 1 - i)).otherwise(1.0))
-    )
+    def faded(v: Column) -> Column:
+        n = F.least(F.floor(F.size(v) / 2), F.floor(sr * fade_ms / 1000)).cast("int")
+        ramp = lambda k: F.pow(F.sin(F.lit(3.141592653589793 / 2) * k / (n - 1)), F.lit(2.0))
+        size = F.size(v)
+        edge = lambda s, i: s * F.when(i < n, ramp(i)).otherwise(1.0) * F.when(i >= size - n, ramp(size - 1 - i)).otherwise(1.0)
+        return F.when(n < 2, v).otherwise(F.transform(v, edge))
+
+    return let(x, faded)
 
 
 def wave_diff(a: Column, b: Column) -> Column:
