@@ -17,6 +17,7 @@ from tessella.functions import text as tx
 from tessella.functions import vectors as vx
 from tessella.operators import curate, enrich, experiments, ratings, verdicts
 from tessella.session import table
+from tessella.streaming import events as stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -701,3 +702,11 @@ def xcorr_lag(spark, sf):
 def events_json_extract(spark, sf):
     k = F.get_json_object("props", "$.k").try_cast("long")
     return table(spark, sf, "events").groupBy("event_type").agg(F.sum(F.coalesce(k, F.lit(0))).alias("total"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- streaming (an extension)
+
+
+@query("stream_latest_state", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, count(*) AS n FROM events GROUP BY user_id")
+def stream_latest_state(spark, sf):
+    return stream.latest_of(stream.run_to_end(spark, stream.latest_state(stream.read_events(spark, sf))), "user_id")
