@@ -138,6 +138,8 @@ _ANCHOR = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("pos", "<u4")])
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Anchors are minima, so their hashes crowd at zero and are mixed again before they deal parts."""
+    h = wc.mix(h + np.uint64(1))
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
