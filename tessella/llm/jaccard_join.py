@@ -104,8 +104,9 @@ class _Parts:
         if not self.sigs or not (last or self.size > self.limit):
             return
         sig, node = np.concatenate(self.sigs), np.concatenate(self.nodes)
-        scaled = sig * np.uint64(self.parts)  # codes are uniform; parts take equal ranges
-        part = (sig >> np.uint64(_CODE - 31)) * np.uint64(self.parts) >> np.uint64(31)
+        sig = wc.mix(sig + np.uint64(1))  # signatures are small codes; mixed, parts take equal ranges
+        scaled = sig * np.uint64(self.parts)
+        part = (sig >> np.uint64(33)) * np.uint64(self.parts) >> np.uint64(31)
         order = np.argsort(part, kind="stable")
         part, low, node = part[order], (scaled[order] & np.uint64((1 << 48) - 1)), node[order]
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
