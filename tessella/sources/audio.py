@@ -75,9 +75,14 @@ def _row(raw: bytes, target: int | None, samples: bool) -> dict:
     return out
 
 
+def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
+    """Whole numbers stay whole beside nulls."""
+    return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in ("sample_rate", "channels", "frames")})
+
+
 @F.pandas_udf(INFO)
 def wav_info(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_row(c, None, False) for c in content], columns=INFO.names)
+    return _frame([_row(c, None, False) for c in content], INFO.names)
 
 
 def decoded(spark: SparkSession, rows: DataFrame, target: int | None = None) -> DataFrame:
@@ -87,7 +92,8 @@ def decoded(spark: SparkSession, rows: DataFrame, target: int | None = None) ->
 
     def run(frames):
         for pdf in frames:
-            more = pd.DataFrame([_row(c, target, True) for c in pdf["content"]], columns=SOUND.names)
+            more = _frame([_row(c, target, True) for c in pdf["content"]], SOUND.names)
+            more["x"] = [None if not isinstance(v, list) else v for v in more["x"]]
             yield pd.concat([pdf[keep].reset_index(drop=True), more], axis=1)
 
     return rows.mapInPandas(run, schema)
