@@ -15,20 +15,24 @@ from tessella.llm import jaccard_join, line_dedup, packing, quality_rules
 from tessella.session import materialize
 
 
+#: Columns that stages add for themselves; no column of the documents has such a name.
+_ROW, _KEPT, _DOC, _KEY, _TEXT, _ID, _HEAD, _MAP = (f"__stage_{x}" for x in ("row", "kept", "doc", "key", "text", "id", "head", "map"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a row key standing for doc_id and text."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    return docs.withColumn(_ROW, F.xxhash64("doc_id", "text", F.col("text").isNull()))
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is the doc_id of a row of ``kept``."""
-    keys = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    keys = kept.select(F.col("doc_id").alias(_KEPT)).distinct()
     rows = _keyed(docs)
-    return rows.join(keys.hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return rows.join(keys.hint("shuffle_hash"), F.col(_ROW) == F.col(_KEPT), "left_semi").select(*docs.columns)
 
 
 def _as_ids(docs: DataFrame, *columns: str) -> DataFrame:
-    return _keyed(docs).select(F.col("_row").alias("doc_id"), *columns)
+    return _keyed(docs).select(F.col(_ROW).alias("doc_id"), *columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,23 +42,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents lose their repeated lines; ``n_chars`` follows the text."""
-    maps = line_dedup.drop_bitmaps(spark, docs).withColumnsRenamed({"doc_id": "_doc", "row_key": "_key"})
+    maps = line_dedup.drop_bitmaps(spark, docs).withColumnsRenamed({"doc_id": _DOC, "row_key": _KEY, "bitmap": _MAP})
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumn("_row", key).join(maps.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
-    text = F.when(F.col("bitmap").isNull(), F.col("text")).otherwise(line_dedup.kept_text(F.col("text"), F.col("bitmap")))
-    changed = {"text": text, "n_chars": F.when(F.col("bitmap").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)}
-    return joined.withColumn("_text", text).select(*(F.col("_text").alias(c) if c == "text" else changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    joined = docs.withColumn(_ROW, key).join(maps.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(_DOC)) & (F.col(_ROW) == F.col(_KEY)), "left")
+    text = F.when(F.col(_MAP).isNull(), F.col("text")).otherwise(line_dedup.kept_text(F.col("text"), F.col(_MAP)))
+    changed = {"text": text, "n_chars": F.when(F.col(_MAP).isNull(), F.col("n_chars")).otherwise(F.length(_TEXT)).cast(docs.schema["n_chars"].dataType)}
+    return joined.withColumn(_TEXT, text).select(*(F.col(_TEXT).alias(c) if c == "text" else changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id stays, once."""
     # rows without an id get one above all others, by their text
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    joined = jaccard_join.jaccard_join(spark, named.select(F.col("_id").alias("doc_id"), "text"))
-    heads = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    stay = named.join(heads.hint("shuffle_hash"), F.col("_id") == F.col("_head"), "left_semi")
-    return stay.dropDuplicates(["_id"]).select(*docs.columns)
+    named = docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    joined = jaccard_join.jaccard_join(spark, named.select(F.col(_ID).alias("doc_id"), "text"))
+    heads = joined.where("doc_id = component_id").select(F.col("doc_id").alias(_HEAD)).distinct()
+    stay = named.join(heads.hint("shuffle_hash"), F.col(_ID) == F.col(_HEAD), "left_semi")
+    return stay.dropDuplicates([_ID]).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
