@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op4_sharding": sharding.ORACLE,
 }
