@@ -15,7 +15,7 @@ from tessella.functions import dsp
 from tessella.functions import signals as sg
 from tessella.functions import text as tx
 from tessella.functions import vectors as vx
-from tessella.operators import curate, enrich, experiments, ratings, verdicts
+from tessella.operators import curate, enrich, experiments, ratings, reports, verdicts
 from tessella.session import table
 from tessella.streaming import events as stream
 
@@ -704,6 +704,60 @@ def events_json_extract(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.sum(F.coalesce(k, F.lit(0))).alias("total"), F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- reports
+
+
+@query(
+    "path_roles",
+    "SELECT page_id, CASE WHEN len(p) > 1 THEN p[1] ELSE CASE WHEN nm LIKE 'original%' THEN 'original' ELSE split_part(nm, '_', 1) END END AS backend, CASE WHEN contains(nm, 'codec') THEN 'codec_roundtrip' WHEN contains(nm, 'zero_shot') THEN 'zero_shot' WHEN nm LIKE 'original%' THEN 'original' ELSE 'generate' END AS kind FROM (SELECT page_id, p, regexp_replace(p[-1], '\\.[^.]*$', '') AS nm FROM (SELECT page_id, string_split(url, '/') AS p FROM pages))",
+)
+def path_roles(spark, sf):
+    return table(spark, sf, "pages").select("page_id", reports.path_role(F.col("url")).alias("r")).select("page_id", "r.*")
+
+
+@query("backend_order", "SELECT event_type, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 END::INTEGER AS rank FROM (SELECT DISTINCT event_type FROM events)")
+def backend_order(spark, sf):
+    out = reports.display_order(table(spark, sf, "events"), "event_type", ("view", "click"))
+    return out.select("event_type", F.col("rank").cast("int").alias("rank"))
+
+
+@query("page_contracts", """SELECT s_nationkey AS name, count(*) AS assets, array_to_string(list_sort(list(s_suppkey::VARCHAR)), ',') AS review_ids, bool_and(s_suppkey % 9 <> 0) AS complete FROM supplier GROUP BY s_nationkey""")
+def page_contracts(spark, sf):
+    s = table(spark, sf, "supplier")
+    pages = s.select(F.col("s_nationkey").alias("name"), F.col("s_suppkey").cast("string").alias("review_id"), F.array("s_name").alias("cells"), F.array(F.lit("A"), F.lit("B")).alias("order"))
+    assets = s.where("s_suppkey % 9 <> 0").select(F.col("s_name").alias("asset"), F.col("s_name").alias("path"), F.sha2("s_name", 256).alias("sha256"))
+    c = reports.build_contracts(pages, assets)
+    return c.select("name", F.size("review_ids").cast("long").alias("assets"), F.array_join("review_ids", ",").alias("review_ids"), "complete")
+
+
+@query("chunk_seeds")
+def chunk_seeds(spark, sf):
+    c = table(spark, sf, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("key"), tx.split_sentences(tx.collapse_space(F.col("text")), 100).alias("chunks"), F.col("turn"))
+    return reports.chunk_plan(c, "key", "chunks", 42 + F.col("turn"))
+
+
+@query("logical_ids", "SELECT c.c_custkey AS c_custkey, coalesce(n.n_name, c.c_mktsegment) AS id, n.n_name IS NOT NULL AS known FROM customer c LEFT JOIN nation n ON c.c_mktsegment = n.n_name")
+def logical_ids(spark, sf):
+    samples = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("path"))
+    return reports.logical_ids(samples, table(spark, sf, "nation").select(F.col("n_name").alias("path"), F.col("n_name").alias("id"))).select("c_custkey", "id", "known")
+
+
+@query("session_states", "SELECT user_id AS session, arg_max(event_type, event_id) AS state, count(*) AS n, arg_max(event_type, event_id) IN ('completed', 'failed') AS ended FROM events GROUP BY user_id")
+def session_states(spark, sf):
+    return reports.session_states(table(spark, sf, "events").select(F.col("event_id").alias("_ord"), F.col("user_id").alias("session"), F.col("event_type").alias("state")))
+
+
+@query(
+    "message_correlation",
+    """WITH q AS (SELECT user_id AS id, arg_min(event_type, event_id) AS method FROM events WHERE event_id % 3 = 0 GROUP BY user_id), r AS (SELECT user_id AS id, arg_min(value > 1, event_id) AS ok FROM events WHERE event_id % 3 = 1 GROUP BY user_id)
+SELECT q.id, method, ok FROM q LEFT JOIN r ON q.id = r.id""",
+)
+def message_correlation(spark, sf):
+    e = table(spark, sf, "events")
+    m = e.select(F.col("event_id").alias("_ord"), F.col("user_id").alias("id"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("method"), F.when(F.col("event_id") % 3 == 2, "x").alias("event"), (F.col("value") > 1).alias("ok"), F.lit("").alias("result"), F.lit("").alias("error"))
+    return reports.correlate_messages(m).select("id", "method", "ok")
+
+
 # ---------------------------------------------------------------- streaming (an extension)
 
 
