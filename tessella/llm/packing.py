@@ -62,13 +62,17 @@ class Encoder:
         self.vocabulary, self.full = vocabulary, None
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            if self.full is None:
-                from tokenizers import Tokenizer
-
-                self.full = Tokenizer.from_file(self.vocabulary)
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        if "<|" not in text:
+            try:
+                return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+            except BaseException as e:  # its pattern overflows on very long runs of white space
+                if type(e).__name__ != "PanicException":
+                    raise
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.vocabulary)
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
