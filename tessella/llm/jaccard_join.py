@@ -510,7 +510,6 @@ def jaccard_join(
 ) -> DataFrame:
     """One row per document row: its number of shingles and its component."""
     wc.prepare(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def measure(batches):
@@ -522,11 +521,14 @@ def jaccard_join(
 
     sized = materialize(spark, source.mapInArrow(measure, "doc_id long, n long, node long"), "sets")
     nodes = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"))
+    elements = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = wc.parts_for(spark, 14 * elements * (100 - percent + 100 * surplus) // 100)
     counted = _counts(_signatures(source, parts, n, percent, surplus), parts)
     least = F.greatest(F.floor(surplus * F.ceil(F.col("n") * percent / 100)), F.lit(1))
     chosen = nodes.join(counted, "node").where(F.col("shared") >= least).select("node", F.col("doc_id").alias("d"))
     texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
     sets = materialize(spark, _sets(texts, n), "candidate-sets")
+    parts = wc.parts_for(spark, _SHARED.itemsize * (sets.agg(F.sum("n")).first()[0] or 0))
     rare = _rarest(_shared(_elements(sets, parts), parts), _sizes(sets, parts), parts, percent)
     regions = connected_components(spark, _stars(rare, parts)).withColumnRenamed("root", "region")
     sets = materialize(spark, sets.join(regions, "node").select("region", "node", "n", "codes"), "region-sets")
@@ -536,9 +538,12 @@ def jaccard_join(
     ties = tied.select("a", F.explode("all").alias("b")).where("a <> b")
     if not ties.isEmpty():
         linked = connected_components(spark, linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(ties))
-    with_root = sized.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = with_root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = with_root.join(least, "root", "left")
+    # the minima are taken over distinct sets; written first, so that joins with hot sets or components
+    # can be split at run time
+    roots = nodes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = materialize(spark, roots.where("root <> node").select("root").distinct().join(roots, "root").groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
+    named = roots.join(least, "root", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sized.join(materialize(spark, named, "named"), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -110,6 +110,17 @@ def windows(code: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return mix(acc[at]), at
 
 
+#: Bytes of records that one Python task holds at once.
+PART_BYTES = 8 << 20
+
+
+def parts_for(spark, total_bytes: int | None) -> int:
+    """Partitions for so many bytes of records: as many as keep a part within PART_BYTES, whatever the
+    session's number of shuffle partitions, and no more than eight where less would do."""
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-int(total_bytes or 0) // PART_BYTES), min(conf, 8), 1)
+
+
 def prepare(spark) -> None:
     """Ship the package and keep Arrow batches small enough for long texts."""
     ship_package(spark)
