@@ -431,9 +431,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: i
     """One row per document row: bytes, removed bytes, maximal removed runs (also as offsets) and the
     digest of what remains."""
     wc.prepare(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs)
     small = materialize(spark, texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    # one anchor in about half a window of the gram positions
+    parts = wc.parts_for(spark, 2 * _ANCHOR.itemsize * (small.agg(F.sum("n_bytes")).first()[0] or 0) // (span - gram + 1))
     copies = small.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     long = texts.where(F.octet_length("text") >= span).select(_tid("digest").alias("tid"), "text")
     found = repeated_anchors(anchor_blobs(long, parts, span, gram), parts).groupBy("tid").agg(F.collect_list("blob").alias("blobs"))
@@ -442,6 +443,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: i
     wanted = found.join(chosen, "tid").withColumnRenamed("digest", "g")
     with_text = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
     with_text = materialize(spark, with_text.select("tid", "blobs", "text", "copies", "doc_id", "digest"), "repeated")
+    held = with_text.agg(F.sum(F.aggregate("blobs", F.lit(0).cast("long"), lambda a, b: a + F.octet_length(b)))).first()[0]
+    parts = wc.parts_for(spark, (held or 0) // _ANCHOR.itemsize * (2 * span - gram))
     spans = repeated_spans(context_blobs(with_text, parts, span, gram), parts, span)
     spans = spans.groupBy("tid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
