@@ -45,6 +45,7 @@ def drop_bitmaps(spark: SparkSession, docs: DataFrame, min_length: int = MIN_LEN
     ordered = hashed.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     per_document = ordered.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
     frequent = per_document.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_documents).drop("n")
+    frequent = materialize(spark, frequent, "frequent")  # a join of its own, which can be split where a line is hot
     dropped = hashed.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = dropped.groupBy("doc_id", "row_key", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
