@@ -287,3 +287,61 @@ def test_ordinal_fit():
     assert m.weights[7] < -1 and m.thresholds[0] < m.thresholds[1]
     p = m.probabilities(np.array([0.0, m.weights[7]]))
     assert np.allclose(p.sum(1), 1) and p[0, 2] > p[1, 2] and p[1, 0] > p[0, 0]
+
+
+@pytest.mark.parametrize("segment", [2 << 20, 150])
+def test_every_window_holds_an_anchor_of_its_own(monkeypatch, segment):
+    """Each window lies around an anchor, and equal windows hold an equal one, in periodic text too."""
+    import pyarrow as pa
+
+    from tessella.llm import wordcodes as wc
+
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    rng = np.random.default_rng(3)
+    prose = "".join(rng.choice(list("abcd "), 120))
+    texts = [prose, "x" + prose[:90] + "yz", "ab" * 200, "q" + "ab" * 90 + "r", "a" * 333, "short", "", prose * 3]
+    data, off = wc.column_bytes(pa.array(texts))
+    span, gram = 40, 20
+    found: dict[int, dict] = {}
+    for rows, starts, part, at in suffix_dedup._segments(data, off, span):
+        pos, h = suffix_dedup.anchors(part, at, span, gram)
+        row = np.searchsorted(at, pos, side="right") - 1
+        for r, p, x in zip(rows[row], pos - at[row] + starts[row], h):
+            found.setdefault(int(r), {})[int(p)] = int(x)
+    held: dict[str, list] = {}
+    for r, t in enumerate(texts):
+        for i in range(len(t) - span + 1):
+            own = {h for p, h in found[r].items() if i <= p <= i + span - gram}
+            assert own
+            held.setdefault(t[i : i + span], []).append(own)
+    assert all(set.intersection(*v) for v in held.values())
+    assert len(found[4]) < 60 and len(found[2]) < 80
+
+
+def test_regions_of_one_task_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(25):
+        core = rng.integers(0, 4000, 60)
+        for _ in range(rng.integers(1, 5)):
+            s = core.copy()
+            s[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(0, 4000)
+            sets.append(np.unique(s).astype(np.uint64))
+    label = list(range(len(sets)))
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    want = list(range(len(sets)))
+    for a, b in jaccard_join.join_region(sets):
+        label[top(a)] = top(b)
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                old, new = want[i], want[j]
+                want = [new if w == old else w for w in want]
+    groups = lambda v: sorted(sorted(i for i, w in enumerate(v) if w == x) for x in set(v))
+    assert groups([top(i) for i in range(len(sets))]) == groups(want)
