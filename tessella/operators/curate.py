@@ -152,6 +152,7 @@ def audit_leaks(split_rows: DataFrame) -> DataFrame:
         F.struct(F.lit("audio_leak").alias("kind"), F.col("audio_sha256").alias("key")),
         F.struct(F.lit("text_leak").alias("kind"), tx.norm_text(F.col("text")).alias("key")),
     )).alias("k")).select("fid", "split", "_rank", "k.kind", "k.key").where(F.col("key").isNotNull() & (F.col("key") != ""))
+    both = materialize(split_rows.sparkSession, both, "audit")  # keys once for both sides of the join
     owner = both.groupBy("kind", "key").agg(F.min("_rank").alias("_own"))
     leaks = both.join(owner, ["kind", "key"]).where(F.col("_rank") > F.col("_own"))
     return leaks.select("fid", "kind", "key", F.element_at(F.array(*map(F.lit, SPLITS)), F.col("_own").cast("int")).alias("owner"), "split")

@@ -16,7 +16,7 @@ from tessella.functions import signals as sg
 from tessella.functions import text as tx
 from tessella.functions import vectors as vx
 from tessella.operators import curate, enrich, experiments, ratings, reports, verdicts
-from tessella.session import table
+from tessella.session import materialize, table
 from tessella.streaming import events as stream
 
 QUERIES: dict = {}
@@ -156,6 +156,8 @@ def _frozen(spark, sf) -> DataFrame:
     rows = rows.withColumn("blank", tx.norm_text(F.col("text")) == "").select("_ord", "fid", "norm", "blank", "audio_sha256", "label")
     rows = rows.join(out, F.col("_ord") == F.col("doc_id"), "left")
     rows = rows.withColumn("early", F.when(F.col("_out"), "reviewed_out").when(F.col("blank"), "no_text"))
+    # ids and hashes only: the texts are read and normalised once, not once for each side of the join
+    rows = materialize(spark, rows.drop("doc_id", "_out", "blank"), "frozen")
     first = rows.where("early is null").groupBy("norm").agg(F.min("_ord").alias("_first"), F.min_by("audio_sha256", "_ord").alias("_sha"))
     rows = rows.join(first, "norm", "left")
     why = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("_ord") == F.col("_first"), None).when(F.col("audio_sha256") == F.col("_sha"), "dup_audio").otherwise("dup_text")
