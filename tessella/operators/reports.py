@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 from tessella.functions import dsp
 
-KNOWN_ORDER = ("legacy", "voxcpm2", "qwen3_tts")
-
 
 def anchor_audio(anchors: Column) -> Column:
     """The first anchor (struct with ``audio``) that has audio."""
@@ -41,7 +39,7 @@ def originals_first(rows: DataFrame, path: str) -> DataFrame:
     return rows.orderBy(F.size(F.split(F.col(path), "/")) > 1, path)
 
 
-def display_order(names: DataFrame, column: str, known: tuple[str, ...] = KNOWN_ORDER) -> DataFrame:
+def display_order(names: DataFrame, column: str, known: tuple[str, ...]) -> DataFrame:
     """Known names in their order, then the rest by name, with a position."""
     rank = F.array_position(F.array(*map(F.lit, known)), F.col(column))
     return names.select(column).distinct().withColumn("rank", F.when(rank > 0, rank)).orderBy(F.col("rank").isNull(), "rank", column)

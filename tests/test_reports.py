@@ -5,11 +5,11 @@ from tessella.operators import reports
 
 
 def test_roles_orders_hashes(spark):
-    p = spark.createDataFrame([("voxcpm2/zero_shot_1.wav",), ("original_rain.wav",), ("legacy_codec.wav",)], "p string")
-    assert [tuple(r[0]) for r in p.select(reports.path_role(F.col("p"))).collect()] == [("voxcpm2", "zero_shot"), ("original", "original"), ("legacy", "codec_roundtrip")]
-    assert [r.p for r in reports.originals_first(p, "p").collect()][-1] == "voxcpm2/zero_shot_1.wav"
-    b = spark.createDataFrame([("z",), ("qwen3_tts",), ("a",), ("legacy",)], "b string")
-    assert [r.b for r in reports.display_order(b, "b").collect()] == ["legacy", "qwen3_tts", "a", "z"]
+    p = spark.createDataFrame([("first/zero_shot_1.wav",), ("original_rain.wav",), ("third_codec.wav",)], "p string")
+    assert [tuple(r[0]) for r in p.select(reports.path_role(F.col("p"))).collect()] == [("first", "zero_shot"), ("original", "original"), ("third", "codec_roundtrip")]
+    assert [r.p for r in reports.originals_first(p, "p").collect()][-1] == "first/zero_shot_1.wav"
+    b = spark.createDataFrame([("z",), ("second",), ("a",), ("third",)], "b string")
+    assert [r.b for r in reports.display_order(b, "b", ("third", "second")).collect()] == ["third", "second", "a", "z"]
     c = spark.createDataFrame([({"in": {"t": "h"}},)], "codec map<string,map<string,string>>")
     assert [tuple(r) for r in reports.codec_hashes(c).collect()] == [("codec/in:t", "h")]
     r = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "_ord int, rated_at string")
