@@ -23,6 +23,8 @@ from tessella.session import materialize
 #: Documents with fewer tokens than this have measures too noisy to judge, whatever their language.
 MIN_TOKENS = 64
 MIN_DOCS = 30
+#: Languages whose bands are sent to all workers; where there are more, the bands are joined by shuffle.
+MAX_SENT = 10_000
 #: A band reaches this many robust deviations from the median on either side.
 WIDTH = 12.0
 #: No band is narrower than these half-widths (characters per token, byte share, bits).
@@ -149,8 +151,8 @@ def quality_rules(
 
         vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     measured = materialize(spark, measures(spark, docs, vocabulary), "quality")
-    band = bands(measured, min_tokens, min_docs)
-    joined = measured.join(band, "lang", "left")
+    band = materialize(spark, bands(measured, min_tokens, min_docs), "bands")
+    joined = measured.join(F.broadcast(band) if band.count() <= MAX_SENT else band, "lang", "left")
     inside = F.lit(True)
     for m, floor in zip(_MEASURES, FLOOR):
         q = F.col(f"q_{m}")
