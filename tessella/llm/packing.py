@@ -137,7 +137,8 @@ def pack(
         ranks = ranks or public.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public.PATTERN
     cut = materialize(spark, pieces(spark, docs, vocabulary, ranks, pattern, capacity, end_id), "pieces")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # buckets of about a million pieces, so that none of them is large however many there are
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.count() >> 20)
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     of_class = Window.partitionBy("length").orderBy("bucket")
