@@ -212,7 +212,7 @@ def _by_node(dealt: DataFrame, parts: int, solve, schema: str) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return dealt.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def _counts(blobs: DataFrame, parts: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _counts(blobs: DataFrame, parts: int) -> DataFrame:
         ids, inverse = np.unique(rec["node"], return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(inverse, weights=rec["shared"]).astype(np.int64))], names=["node", "shared"])
 
-    counted = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, _DEALT)
+    counted = blobs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(count, _DEALT)
     return _by_node(counted, parts, total, "node long, shared long")
 
 
@@ -265,7 +265,7 @@ def _shared(blobs: DataFrame, parts: int) -> DataFrame:
             rec["node"], rec["part"], rec["sig"], rec["size"] = node[many], part, sig[many], size[many]
             yield _deal(rec, parts, 0)
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _DEALT)
+    return blobs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, _DEALT)
 
 
 def _sizes(sets: DataFrame, parts: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _stars(blobs: DataFrame, parts: int) -> DataFrame:
             pair = np.unique(np.stack([first[ok], node[ok]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["a", "b"])
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+    return blobs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- the join inside one region
