@@ -205,7 +205,7 @@ def repeated_anchors(blobs: DataFrame, parts: int) -> DataFrame:
                 cut = np.flatnonzero(np.r_[True, rec["tid"][1:] != rec["tid"][:-1]])
                 yield pa.RecordBatch.from_arrays([pa.array(rec["tid"][cut]), pa.array([rec[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(rec)])], pa.binary())], names=["tid", "blob"])
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "tid long, blob binary")
+    return blobs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, "tid long, blob binary")
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -411,7 +411,7 @@ def repeated_spans(blobs: DataFrame, parts: int, span: int) -> DataFrame:
                 merged = [_merge(whole[k]) for k in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([[x[0] for x in m] for m in merged], pa.list_(pa.int64())), pa.array([[x[1] for x in m] for m in merged], pa.list_(pa.int64()))], names=["tid", "starts", "ends"])
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "tid long, starts array<long>, ends array<long>")
+    return blobs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, "tid long, starts array<long>, ends array<long>")
 
 
 def _merge(spans) -> list[list[int]]:
