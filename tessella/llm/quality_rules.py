@@ -2,10 +2,12 @@
 
 Every whole text is encoded with a public piece vocabulary. Three measures per document (characters
 per token, share of byte-fallback tokens, entropy of its token distribution) must lie within the
-band of the document's language. Bands come from statistics over all documents of the language.
+band of the document's language and length class (powers of two of tokens: entropy grows with length).
+Bands come from statistics over all documents of the language that pass the base rule.
 
 Cases: a null or empty text has no words and fails the base rule; a null language is replaced by the
-dominant script; languages with fewer than ``min_docs`` long enough documents use the pooled band;
+dominant script; a length class of fewer than ``min_docs`` documents uses the band of its language;
+languages with fewer than ``min_docs`` long enough documents are not judged;
 repeated rows are judged row by row; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import wordcodes as wc
@@ -25,10 +27,12 @@ MIN_TOKENS = 64
 MIN_DOCS = 30
 #: Languages whose bands are sent to all workers; where there are more, the bands are joined by shuffle.
 MAX_SENT = 10_000
-#: A band reaches this many robust deviations from the median on either side.
-WIDTH = 12.0
-#: No band is narrower than these half-widths (characters per token, byte share, bits).
-FLOOR = (0.5, 0.1, 2.0)
+#: A band reaches this many robust deviations from the median, below and above (characters per token,
+#: byte share, bits). Set from the labelled documents of sf0.1 and check_s: junk has low entropy, while
+#: good texts of mixed languages lie up to a bit above their language's median.
+WIDTH = ((8.0, 8.0), (12.0, 12.0), (5.0, 12.0))
+#: No band is narrower than these half-widths; labelled good documents lie within 0.05 in byte share.
+FLOOR = ((0.1, 0.1), (0.05, 0.05), (0.3, 1.0))
 
 SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
@@ -125,16 +129,23 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(",")]
 _MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 
 
-def bands(measured: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
-    """Per language the median and the median absolute deviation stand-in (half the interquartile
-    range) of each measure, over all documents of the language; languages are rows, never collected."""
-    judged = measured.where(f"n_tokens >= {min_tokens}")
+#: The length class that stands for all lengths.
+_ANY = -1
+_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+
 
-    def stats(x):
-        return [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q_{m}") for m in _MEASURES]
+def _length_class() -> Column:
+    return F.floor(F.log2("n_tokens")).cast("int")
 
-    own = judged.groupBy("lang").agg(F.count("*").alias("n_docs"), *stats(judged)).where(f"n_docs >= {min_docs}")
-    return own.drop("n_docs")
+
+def bands(measured: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
+    """Per language a map from length class (and _ANY) to the quartiles of each measure, over all
+    documents of the language that pass the base rule; languages are rows, never collected."""
+    judged = measured.where(f"n_tokens >= {min_tokens} and not ({_FAILED})")
+    each = judged.select("lang", F.explode(F.array(_length_class(), F.lit(_ANY))).alias("class"), *_MEASURES)
+    quartiles = F.struct(*(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(m) for m in _MEASURES))
+    classes = each.groupBy("lang", "class").agg(F.count("*").alias("n_docs"), quartiles.alias("q")).where(f"n_docs >= {min_docs}")
+    return classes.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "q"))).alias("own"))
 
 
 def quality_rules(
@@ -143,7 +154,7 @@ def quality_rules(
     vocabulary: str | None = None,
     min_tokens: int = MIN_TOKENS,
     min_docs: int = MIN_DOCS,
-    width: float = WIDTH,
+    width: tuple[tuple[float, float], ...] = WIDTH,
 ) -> DataFrame:
     """Counts, measures, ``base_failed`` and ``kept`` per document row."""
     if vocabulary is None:
@@ -153,13 +164,15 @@ def quality_rules(
     measured = materialize(spark, measures(spark, docs, vocabulary), "quality")
     band = materialize(spark, bands(measured, min_tokens, min_docs), "bands")
     joined = measured.join(F.broadcast(band) if band.count() <= MAX_SENT else band, "lang", "left")
+    at = lambda bands, c: F.try_element_at(F.col(bands), c)
+    joined = joined.withColumn("q", F.coalesce(at("own", _length_class()), at("own", F.lit(_ANY))))
     inside = F.lit(True)
-    for m, floor in zip(_MEASURES, FLOOR):
-        q = F.col(f"q_{m}")
-        half = F.greatest((q[2] - q[0]) / 2 * width, F.lit(floor))
-        inside = inside & F.col(m).between(q[1] - half, q[1] + half)
-    judged = (F.col("n_tokens") >= min_tokens) & F.col("q_chars_per_token").isNotNull()
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    for m, widths, floors in zip(_MEASURES, width, FLOOR):
+        q = F.col("q")[m]
+        below, above = (F.greatest((q[2] - q[0]) / 2 * w, F.lit(f)) for w, f in zip(widths, floors))
+        inside = inside & F.col(m).between(q[1] - below, q[1] + above)
+    judged = (F.col("n_tokens") >= min_tokens) & F.col("q").isNotNull()
+    failed = F.expr(_FAILED)
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),

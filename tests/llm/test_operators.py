@@ -1,6 +1,7 @@
 """Every operator against a brute-force restatement, and its defined results for odd rows."""
 
 import hashlib
+import os
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ from tessella.llm import decontaminate, jaccard_join, line_dedup, packing, pii,
 from tests.llm import brute
 
 EMPTY = hashlib.sha256(b"").hexdigest()
+LABELLED = "/root/testdata/sf0.1"
 
 
 def by_id(df, *cols):
@@ -203,6 +205,15 @@ def test_fertility_bands(spark):
     assert all(got[i][0] for i in range(60)) and not got[100][0] and got[100][1] > 0.5
 
 
+@pytest.mark.skipif(not os.path.isdir(LABELLED), reason="the tables aren't here")
+def test_fertility_bands_on_labels(spark):
+    """Of labelled documents that pass the base rule, those of odd id: junk leaves, good ones stay."""
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    held = quality_rules.quality_rules(spark, docs).where("not base_failed and doc_id % 2 = 1").join(labels, "doc_id")
+    junk, junk_kept, good, good_kept = held.selectExpr(*(x for q in (0, 1) for x in (f"count_if(quality = {q})", f"count_if(quality = {q} and kept)"))).first()
+    assert junk > 100 and junk_kept <= 0.15 * junk and good > 1000 and good - good_kept <= 0.01 * good
+
+
 def test_script():
     assert [quality_rules.script_of(t) for t in ("abc", "где", "中文", "123", "")] == ["script:latin", "script:cyrillic", "script:cjk", "none", "none"]
 
