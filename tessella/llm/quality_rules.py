@@ -7,7 +7,8 @@ Bands come from statistics over all documents of the language that pass the base
 
 Cases: a null or empty text has no words and fails the base rule; a null language is replaced by the
 dominant script; a length class of fewer than ``min_docs`` documents uses the band of its language;
-languages with fewer than ``min_docs`` long enough documents are not judged;
+languages with fewer than ``min_docs`` long enough documents use the pooled band of all languages (of
+the length class, where that has ``min_docs`` documents);
 repeated rows are judged row by row; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -140,11 +141,13 @@ def _length_class() -> Column:
 
 def bands(measured: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
     """Per language a map from length class (and _ANY) to the quartiles of each measure, over all
-    documents of the language that pass the base rule; languages are rows, never collected."""
+    documents of the language that pass the base rule; languages are rows, never collected. The row
+    without a language is the pool of all of them, whose _ANY has no least number of documents."""
     judged = measured.where(f"n_tokens >= {min_tokens} and not ({_FAILED})")
-    each = judged.select("lang", F.explode(F.array(_length_class(), F.lit(_ANY))).alias("class"), *_MEASURES)
+    each = judged.select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), _length_class().alias("class"), *_MEASURES)
+    each = each.withColumn("class", F.explode(F.array("class", F.lit(_ANY))))
     quartiles = F.struct(*(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(m) for m in _MEASURES))
-    classes = each.groupBy("lang", "class").agg(F.count("*").alias("n_docs"), quartiles.alias("q")).where(f"n_docs >= {min_docs}")
+    classes = each.groupBy("lang", "class").agg(F.count("*").alias("n_docs"), quartiles.alias("q")).where(f"n_docs >= {min_docs} or lang is null and class = {_ANY}")
     return classes.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "q"))).alias("own"))
 
 
@@ -163,9 +166,10 @@ def quality_rules(
         vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     measured = materialize(spark, measures(spark, docs, vocabulary), "quality")
     band = materialize(spark, bands(measured, min_tokens, min_docs), "bands")
-    joined = measured.join(F.broadcast(band) if band.count() <= MAX_SENT else band, "lang", "left")
+    pool = band.where("lang is null").select(F.col("own").alias("pool")).scalar()
+    joined = measured.join(F.broadcast(band) if band.count() <= MAX_SENT else band, "lang", "left").withColumn("pool", pool)
     at = lambda bands, c: F.try_element_at(F.col(bands), c)
-    joined = joined.withColumn("q", F.coalesce(at("own", _length_class()), at("own", F.lit(_ANY))))
+    joined = joined.withColumn("q", F.coalesce(*(at(b, c) for b in ("own", "pool") for c in (_length_class(), F.lit(_ANY)))))
     inside = F.lit(True)
     for m, widths, floors in zip(_MEASURES, width, FLOOR):
         q = F.col("q")[m]

@@ -205,6 +205,20 @@ def test_fertility_bands(spark):
     assert all(got[i][0] for i in range(60)) and not got[100][0] and got[100][1] > 0.5
 
 
+def test_rare_languages_use_the_pooled_band(spark):
+    """Junk of a language, or a script without a language, too rare for a band of its own leaves; its prose stays."""
+    import random
+
+    r = random.Random(2)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    junk = lambda: " ".join(chr(0x1300 + r.randrange(60)) * 5 for _ in range(100))
+    rows = [(i, prose(120), "en") for i in range(60)] + [(100, prose(120), "xx"), (101, junk(), "xx"), (102, junk(), None), (103, prose(120), None)]
+    got = by_id(quality_rules.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")), "base_failed", "kept")
+    assert [got[i] for i in range(100, 104)] == [(False, True), (False, False), (False, False), (False, True)]
+    assert all(got[i][1] for i in range(60))
+
+
 @pytest.mark.skipif(not os.path.isdir(LABELLED), reason="the tables aren't here")
 def test_fertility_bands_on_labels(spark):
     """Of labelled documents that pass the base rule, those of odd id: junk leaves, good ones stay."""
