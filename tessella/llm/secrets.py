@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns plus a randomness test battery, in DataFrame functions only.
 
-The battery looks at long tokens with a digit and a letter. An encoding is inferred from a token's
+The battery looks at long tokens with a digit and a letter; '=' ends a token as its padding, and a run
+that mixes the characters of both base64 alphabets is split under each of them. An encoding is inferred from a token's
 characters; chi-squared uniformity over its alphabet, a runs test about the alphabet's middle and the
 lag-1 serial correlation give three p-values under "uniformly random", combined by Fisher's rule.
 Random tokens have uniform combined p-values while structured ones crowd at zero, so per encoding and
@@ -29,7 +30,17 @@ HEX = r"[0-9a-f]{16,}+"
 MIN_VALUE = 12
 NEEDLES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
+MIN_TOKEN = 20
+
+
+def _runs(chars: str) -> str:
+    """Whole runs of ``chars`` with the '=' behind them; of shorter runs only those that have any."""
+    return f"[{chars}]{{{MIN_TOKEN},}}+=*+|(?<![{chars}])[{chars}]{{1,{MIN_TOKEN - 1}}}+=++"
+
+
+TOKEN = _runs("A-Za-z0-9+/_-")
+#: The runs of either base64 alphabet.
+PIECES = (_runs("A-Za-z0-9+/"), _runs("A-Za-z0-9_-"))
 ENCODINGS = (
     ("hex", "0123456789abcdef", "^[0-9a-f]+$"),
     ("hexu", "0123456789ABCDEF", "^[0-9A-F]+$"),
@@ -155,7 +166,14 @@ def _step(a: Column, v: Column, k: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of (start, end, class, p): class holds the encoding and the length class."""
-    found = F.filter(located(text, TOKEN), lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]"))
+    whole = lambda found: F.filter(found, lambda x: (F.length(x["match"]) >= MIN_TOKEN) & x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]"))
+
+    def split(x: Column) -> Column:
+        shift = lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["match"].alias("match"))
+        mixed = x["match"].rlike("[+/]") & x["match"].rlike("[_-]")
+        return F.when(mixed, F.concat(*(F.transform(whole(located(x["match"], p)), shift) for p in PIECES))).otherwise(F.array(x))
+
+    found = F.array_distinct(F.flatten(F.transform(whole(located(text, TOKEN)), split)))
     bare = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.rtrim(x["match"], F.lit("=")).alias("token")))
 
     def judged(x: Column) -> Column:
@@ -192,7 +210,7 @@ def _names(spans: Column) -> Column:
 
 def secrets(spark: SparkSession, docs: DataFrame, max_false: float = MAX_FALSE) -> DataFrame:
     """Counts and digest of the fixed kinds and all spans, per document row. Random tokens that overlap
-    a fixed span are dropped; fixed spans always stay."""
+    a fixed span or lie inside another random one are dropped; fixed spans always stay."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id",
@@ -202,7 +220,9 @@ def secrets(spark: SparkSession, docs: DataFrame, max_false: float = MAX_FALSE)
     scanned = materialize(spark, scanned, "secrets")
     cut = cuts(scanned.where("size(found) > 0"), max_false).scalar()
     base = F.col("base")
-    extra = F.filter(F.col("found"), lambda x: (x["p"] >= F.try_element_at(F.col("cuts"), x["class"])) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    random = F.filter(F.col("found"), lambda x: (x["p"] >= F.try_element_at(F.col("cuts"), x["class"])) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    extra = let(random, lambda xs: F.filter(xs, lambda x: ~F.exists(xs, lambda y: inside(x, y))))
     every = F.concat(base, _kind(extra, 3))
     count = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long")
     return scanned.withColumn("cuts", F.when(F.size("found") > 0, cut)).select(

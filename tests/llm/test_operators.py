@@ -31,6 +31,17 @@ def test_secrets(spark, corpus, frames, odd, none):
     assert out[1][0] == f"random:2:{2 + len(token)}" and out[2][0] == "" and out[3] == ("", 0) and out[4][1] == 700
 
 
+def test_random_tokens_within_longer_runs(spark):
+    """A random value behind NAME=, or glued to a prefix of other characters, is a token of its own."""
+    token, padded = "k8sJ3xQ9vBn2LpR7tYw4Zq0D", "k8sJ3xQ9vBn2LpR7tY=="
+    b64, b64u = "k8sJ3x+Q9vBn2LpR/7tYw4Zq0DhM", "k8sJ3x-Q9vBn2LpR_7tYw4Zq0DhM"
+    texts = [f"AUTH={token}", f"https://a.example/x?sig={token}&n=1", f"AWS_KEY={token}==", f"my-app_{b64}", f"etc/app/{b64u}", f"A={padded} B={token}", "n1" + "=" * 40, f"a/b_c={token}"]
+    out = by_id(secrets.secrets(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "spans")
+    at = lambda i, t: f"random:{texts[i].index(t)}:{texts[i].index(t) + len(t)}"
+    want = [at(0, token), at(1, token), at(2, token + "=="), at(3, b64), at(4, b64u), f"{at(5, padded)},{at(5, token)}", "", at(7, token)]
+    assert [out[i][0] for i in range(len(texts))] == want
+
+
 def test_randomness_battery(spark):
     rng = np.random.default_rng(4)
     tokens = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(200)] + ["0123456789abcdef" * 4, "a1" * 32, "00000000ffffffff" * 4]
