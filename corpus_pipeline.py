@@ -67,11 +67,16 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _only(docs, contamination.decontaminate(spark, _as_ids(docs, "text"), benchmark).where("not contaminated"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+def sequences(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """What is left, packed into sequences: the pieces with their ids."""
     return packing.pack(spark, docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests of ``sequences``."""
+    return sequences(spark, docs).drop("ids")
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),

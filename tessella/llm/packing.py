@@ -4,8 +4,8 @@ number of pieces, so bins are filled independently wherever the pieces lie.
 A document is cut into whole sequences, then greedily into the largest sizes ``capacity // j`` that
 still fit (the remainder shrinks quadratically, so few pieces result) and one last crumb. Every class
 holds pieces of one exact length and its bins take ``capacity // length`` of them. Pieces are numbered
-within (class, bucket) pairs and shifted by the counts of the earlier buckets; no task sees a class
-whole. The pieces left over, fewer than one bin per class and so bounded by the capacity alone, are
+within (class, bucket) pairs, a bucket being what one task tokenised, and shifted by the counts of the
+earlier buckets; no task sees a class whole, and the ids stay where they were written. The pieces left over, fewer than one bin per class and so bounded by the capacity alone, are
 packed best-fit decreasing.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each; a null ``doc_id``
@@ -15,12 +15,12 @@ stays null; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +32,10 @@ END_ID = 1
 #: Classes 1..CLASSES have size capacity // j; a shorter remainder is a crumb in a class of its length.
 CLASSES = 32
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Rows of piece counts that are sent to all workers; where there are more, they are joined by shuffle.
+MAX_SENT = 500_000
+
+_PIECES = "doc_id long, start long, length long, doc_tokens long, bucket long, rank long, ids binary"
 
 
 def cuts(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:
@@ -76,16 +79,18 @@ class Encoder:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
-    """Tokenise every whole text and cut it; one row per piece."""
+    """Tokenise every whole text and cut it; one row per piece with its ids (32-bit, little-endian) and its
+    rank among the pieces of its length in its task."""
     wc.prepare(spark)
 
     def run(batches):
-        encoder, known = Encoder(vocabulary, ranks, pattern), {}
+        encoder, known, seen = Encoder(vocabulary, ranks, pattern), {}, {}
+        bucket = TaskContext.get().partitionId()
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             _, off = wc.column_bytes(batch.column(1))
             for lo, hi in wc.slices(off):
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(7)]
                 for doc, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), pc.fill_null(batch.column(1).slice(lo, hi - lo), "").to_pylist()):
                     raw = encoder.ids(text).tobytes() + tail
                     n, start = len(raw) // 4, 0
@@ -93,17 +98,19 @@ def pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, ranks: str, pa
                     if rest is None:
                         rest = known[n % capacity] = cuts(n % capacity, capacity)
                     for size in [capacity] * (n // capacity) + rest:
-                        for c, v in zip(out, (doc, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n)):
+                        rank = seen.get(size, 0)
+                        seen[size] = rank + 1
+                        for c, v in zip(out, (doc, start, size, n, bucket, rank, raw[4 * start : 4 * (start + size)])):
                             c.append(v)
                         start += size
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[x.split()[0] for x in _PIECES.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:-1]), pa.array(out[-1], pa.binary())], names=[x.split()[0] for x in _PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)
 
 
 def best_fit(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Pack the left-over pieces; adds ``bin`` and ``offset``."""
-    rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    rows = rows.sort_values(["length", "doc_id", "start", "ids"], ascending=[False, True, True, True], kind="stable")
     free: list[tuple[int, int]] = []
     bins, offsets, used = [], [], 0
     for size in rows["length"]:
@@ -129,7 +136,7 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """One row per piece with its sequence and offset."""
+    """One row per piece with its sequence and offset, its ids and their checksum."""
     if vocabulary is None or ranks is None or pattern is None:
         import public_tokenizers as public
 
@@ -137,10 +144,7 @@ def pack(
         ranks = ranks or public.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public.PATTERN
     cut = materialize(spark, pieces(spark, docs, vocabulary, ranks, pattern, capacity, end_id), "pieces")
-    # buckets of about a million pieces, so that none of them is large however many there are
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.count() >> 20)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    counts = materialize(spark, cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     of_class = Window.partitionBy("length").orderBy("bucket")
     shifts = counts.select(
         "length", "bucket",
@@ -152,29 +156,27 @@ def pack(
     classes = classes.select("length", F.expr(f"total div ({capacity} div length)").alias("bins"))
     # one row per distinct length: bounded by the capacity
     bases = classes.select("length", (F.sum("bins").over(Window.orderBy(F.desc("length"))) - F.col("bins")).alias("base"), F.sum("bins").over(Window.partitionBy()).alias("all_bins"))
-    local = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    places = materialize(spark, shifts.join(bases, "length"), "places")
     numbered = (
-        cut.withColumn("rank", F.row_number().over(local))
-        .join(shifts, ["length", "bucket"])
-        .join(bases, "length")
-        .withColumn("at", F.col("before") + F.col("rank") - 1)
+        cut.join(F.broadcast(places) if places.count() <= MAX_SENT else places, ["length", "bucket"])
+        .withColumn("at", F.col("before") + F.col("rank"))
         .withColumn("full", F.col("at") < F.expr(f"(total div ({capacity} div length)) * ({capacity} div length)"))
     )
-    numbered = materialize(spark, numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at", "full", "base", "all_bins"), "numbered")
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
     full = numbered.where("full").withColumn("sequence_id", F.col("base") + F.floor(F.col("at") / per_bin)).withColumn("offset", F.pmod(F.col("at"), per_bin) * F.col("length"))
 
     def left_over(pdf: pd.DataFrame) -> pd.DataFrame:
         out = best_fit(pdf, capacity)
         out["sequence_id"] = out["all_bins"] + out["bin"]
-        return out[columns]
+        return out[[*columns, "ids"]]
 
     # ids travel as text: pandas would turn nullable longs into floats
     loose = numbered.where("not full").withColumn("doc_id", F.col("doc_id").cast("string"))
-    rest = loose.groupBy(F.lit(0).alias("one")).applyInPandas(left_over, "doc_id string, " + ", ".join(f"{c} long" for c in columns[1:]))
+    rest = loose.groupBy(F.lit(0).alias("one")).applyInPandas(left_over, "doc_id string, " + ", ".join(f"{c} long" for c in columns[1:]) + ", ids binary")
     rest = rest.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return full.select(*(F.col(c).cast("long").alias(c) for c in columns)).unionByName(rest)
+    packed = full.select(*(F.col(c).cast("long").alias(c) for c in columns), "ids").unionByName(rest)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

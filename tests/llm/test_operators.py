@@ -164,6 +164,24 @@ def test_packing(spark, corpus, frames, odd, none):
     assert packing.pack(spark, odd).select("doc_id", "doc_tokens").where("doc_id is null").count() >= 2 and packing.pack(spark, none).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(spark, corpus, frames):
+    """Sequences put together from the packed pieces give every text's ids back."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as public
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    found, filled = {}, {}
+    for p in packing.pack(spark, frames[0]).orderBy("sequence_id", "offset").collect():
+        own = filled.setdefault(p.sequence_id, bytearray())
+        assert len(own) == 4 * p.offset and len(p.ids) == 4 * p.length and zlib.crc32(p.ids) == p.ids_crc32
+        own += p.ids
+        found.setdefault(p.doc_id, []).append((p.start, p.sequence_id, p.offset, p.length))
+    for d, t, _ in corpus[0]:
+        got = b"".join(bytes(filled[s][4 * o : 4 * (o + n)]) for _, s, o, n in sorted(found[d]))
+        assert np.frombuffer(got, "<u4").tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
