@@ -51,14 +51,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, once."""
-    # rows without an id get one above all others, by their text
-    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    named = docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    joined = jaccard_join.jaccard_join(spark, named.select(F.col(_ID).alias("doc_id"), "text"))
-    heads = joined.where("doc_id = component_id").select(F.col("doc_id").alias(_HEAD)).distinct()
-    stay = named.join(heads.hint("shuffle_hash"), F.col(_ID) == F.col(_HEAD), "left_semi")
-    return stay.dropDuplicates([_ID]).select(*docs.columns)
+    """Of each component the document with the smallest id stays, once; ids that are null come last, and
+    of different texts with one id the one with the smallest row key comes first."""
+    rows = _keyed(docs)
+    joined = jaccard_join.jaccard_join(spark, _as_ids(docs, "text")).select(F.col("doc_id").alias(_KEY), "component_id").distinct()
+    ids = rows.select(_ROW, F.col("doc_id").cast("long").alias(_ID)).distinct()
+    order = F.struct(F.col(_ID).isNull(), _ID, _ROW)
+    heads = joined.join(ids.hint("shuffle_hash"), F.col(_KEY) == F.col(_ROW)).groupBy("component_id").agg(F.min(order)[_ROW].alias(_HEAD))
+    stay = rows.join(heads.select(_HEAD).hint("shuffle_hash"), F.col(_ROW) == F.col(_HEAD), "left_semi")
+    # rows equal in id and text may differ in other columns: one of them by a hash of all
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(_DOC)
+    return stay.groupBy(_ROW).agg(first).select(f"{_DOC}.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,5 +42,16 @@ def test_run_on_odd_and_empty_tables(spark, frames, odd, none, tmp_path):
         assert stage(spark, docs, str(tmp_path / "odd")).columns == docs.columns
 
 
+def test_unlike_texts_with_one_id_are_kept_apart(spark):
+    """Only near copies go: rows that share an id, or have none, are joined by their texts."""
+    prose = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(5, prose("a")), (5, prose("b")), (5, prose("b")), (3, prose("c")), (7, prose("b") + " more"), (None, prose("d")), (None, prose("a")), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source")
+    out = cp.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert got == sorted((str(d), str(t)) for d, t in (rows[0], rows[1], rows[3], rows[5], rows[7]))
+
+
 def test_stage_list():
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "decontaminate", "packing"] and cp.ORACLE_SQL is None
