@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.session import materialize
+from tessella.session import materialize, release
 
 SPLITS = ("train", "validation", "test")
 MIN_SECONDS, MAX_SECONDS = 0.4, 120.0
@@ -95,9 +95,11 @@ def greedy_two_key(spark: SparkSession, rows: DataFrame, first: str, second: str
         won = open_rows.join(a, first).join(b, second).where((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).select(first, second, order)
         won = materialize(spark, won, "greedy-won")
         accepted = won if accepted is None else accepted.unionByName(won)
-        open_rows = open_rows.join(won.select(first), first, "left_anti").join(won.select(second), second, "left_anti")
-        open_rows = materialize(spark, open_rows.select(first, second, order), "greedy")
+        before, left = open_rows, open_rows.join(won.select(first), first, "left_anti").join(won.select(second), second, "left_anti")
+        open_rows = materialize(spark, left.select(first, second, order), "greedy")
+        release(before)
         if open_rows.isEmpty():
+            release(open_rows)
             return accepted
 
 

@@ -33,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) one of our own."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a session on one machine gets a folder
+    of our own; a cluster must name one, since its machines share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(sc, "_tessella_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tessella-")
@@ -67,7 +70,18 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: lis
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._tessella_path = path
+    return written
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that no later result reads; anything else is left alone."""
+    for df in tables:
+        path = getattr(df, "_tessella_path", None)
+        if path:
+            _remove(df.sparkSession.sparkContext, path)
+            df._tessella_path = None
 
 
 def ship_package(spark: SparkSession) -> None:
