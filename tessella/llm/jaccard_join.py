@@ -7,44 +7,49 @@ elements; sets sharing fewer with all others drop out. The sets left exchange al
 learn in how many sets each occurs. A set with fewer than ``percent`` of its elements in others drops
 out; the others are candidates of each other where they share one of their rarest elements (as many as
 a linked set can lack, and one more), which keeps passages common to many documents out of it.
-Components of the candidates are the regions.
+Components of the candidates are the first regions.
 
-Inside a region pivots do the work. Distances to the first pivots give triangle-inequality windows:
-a set joins only with sets whose distance to every pivot differs by at most the radius, and only when
-they aren't connected yet, so thousands of near copies cost a few passes and never all pairs. Regions
-too large for one task are split by rounds of broadcast pivots: every member is compared with all
-pivots, linked members settle, and those within the radius of the window of another part (replicated
-boundary sets) recurse together with the remote ones.
+Every region is joined by pivots, recursively. Pivots lie far from one another; each is compared with
+all members, which settles it. The others belong to the Voronoi region of their nearest pivot and are
+replicated, as boundary sets, into regions whose windows they meet by the triangle inequality: a linked
+partner differs by at most the radius in its distance to every pivot. Regions whose members are all
+connected already are done, so thousands of near copies cost a few passes and never all pairs. Where
+windows would replicate too much a region stays whole, less its pivots. Regions that one task can hold
+are joined there; larger ones take rounds over the cluster, in chunks that each get a copy of the pivots.
 
 Sets that are equal are one node from the start.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer
 words than ``n`` form one shingle; rows that share a ``doc_id`` have one component, the one reached by
-any of them; a null ``doc_id`` is never the smallest; extra columns are ignored; an empty table gives
-no rows. Shingles are compared by 52 bits, sets by 64 bits of hash.
+any of them; a null ``doc_id`` is never the smallest; of sets at one distance to two pivots the earlier
+pivot's region takes them; texts of any length are cut into shingles whole; extra columns are ignored;
+an empty table gives no rows. Shingles are compared by 52 bits, sets by 64 bits of hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import wordcodes as wc
 from tessella.llm.components import connected_components
-from tessella.session import materialize
+from tessella.session import materialize, release
 
 N = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Share of a set's elements by which signatures are longer than one common element would need.
 SURPLUS = 0.1
-#: Elements of one region that a single task joins, and pivots in one round of a larger region.
+#: Elements of one region that a single task joins, of one chunk of a larger region, and of the pivots sent
+#: to a chunk (a single larger set goes alone).
 REGION_LIMIT = 4 << 20
-PIVOTS = 32
-#: Pivot distances kept for windows inside a task.
-WINDOWS = 8
+PIVOT_ELEMENTS = 1 << 20
+#: Pivots chosen in one round.
+PIVOTS = 8
+#: Copies of members that a Voronoi split may make of one, on average.
+REPLICAS = 1.5
 _CODE = 52
 _CODE_MASK = np.uint64((1 << _CODE) - 1)
 
@@ -155,27 +160,43 @@ def _groups(held):
     return sig, node, group, np.bincount(group)[group]
 
 
-def _signatures(docs: DataFrame, parts: int, n: int, percent: int, surplus: float) -> DataFrame:
+def _measured(docs: DataFrame, n: int, percent: int, surplus: float) -> DataFrame:
+    """(doc_id, n, node, sig): the size, hash and signature of each row's set. Of equal sets met in one task
+    only the first carries its signature."""
+
     def run(batches):
-        out, seen = _Parts(parts), set()
+        seen = set()
         for batch in batches:
-            data, off = wc.column_bytes(batch.column(0))
+            data, off = wc.column_bytes(batch.column(1))
             for lo, hi in wc.slices(off, rows=4096):
                 codes, bounds = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 size = np.diff(bounds)
                 node = node_ids(codes, bounds)
-                keep = size > 0
-                for i, x in enumerate(node.tolist()):  # equal sets met in this task are one
-                    if keep[i]:
-                        keep[i] = x not in seen
-                        seen.add(x)
-                take = np.where(keep, signature_length(size, percent, surplus), 0)
-                at = np.repeat(bounds[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-                out.add(codes[at], np.repeat(node, take))
-                yield from out.flush()
+                take = signature_length(size, percent, surplus).tolist()
+                sig = []
+                for x, a, k in zip(node.tolist(), bounds.tolist(), take):
+                    sig.append(codes[a : a + k].tobytes() if k and x not in seen else None)
+                    seen.add(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(node), pa.array(sig, pa.binary())], names=["doc_id", "n", "node", "sig"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, node long, sig binary")
+
+
+def _signatures(sized: DataFrame, parts: int) -> DataFrame:
+    """(part, blob) of the signature elements."""
+
+    def run(batches):
+        out, seen = _Parts(parts), set()
+        for batch in batches:
+            for node, sig in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if node not in seen:
+                    seen.add(node)
+                    own = np.frombuffer(sig.as_buffer(), np.uint64)
+                    out.add(own, np.full(len(own), node, np.int64))
+            yield from out.flush()
         yield from out.flush(last=True)
 
-    return docs.select("text").mapInArrow(run, "part int, blob binary")
+    return sized.where("sig is not null").select("node", "sig").mapInArrow(run, "part int, blob binary")
 
 
 _COUNT = np.dtype([("node", "<i8"), ("shared", "<u4")])
@@ -321,48 +342,73 @@ def _stars(blobs: DataFrame, parts: int) -> DataFrame:
 # ---------------------------------------------------------------- the join inside one region
 
 
-def join_region(sets: list[np.ndarray], percent: int = PERCENT, windows: int = WINDOWS) -> list[tuple[int, int]]:
-    """A spanning forest of the link graph of ``sets`` (sorted distinct codes), as index pairs."""
-    g = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(g), size)
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    posting = owner[order]
-    start = np.searchsorted(ranked, flat, side="left")
-    count = np.searchsorted(ranked, flat, side="right") - start
-    base = np.cumsum(size) - size
-    label = np.arange(g)
-    radius = 1 - percent / 100 + 1e-9
-    far = np.zeros((0, g))
-    edges: list[tuple[int, int]] = []
-    parts = g
-    for q in range(g):
-        if parts == 1:
-            break
-        rest = label != label[q]
-        rest[:q] = False  # earlier sets were compared with all
-        rest &= (100 * size >= percent * size[q]) & (percent * size <= 100 * size[q])
-        for d in far:
-            rest &= np.abs(d - d[q]) <= radius
-        if not rest.any():
-            continue
-        c = count[base[q] : base[q] + size[q]]
-        at = np.repeat(start[base[q] : base[q] + size[q]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        common = np.bincount(posting[at], minlength=g)
-        if len(far) < windows:
-            far = np.vstack([far, 1 - common / (size + size[q] - common)])
-        hit = np.flatnonzero(rest & (100 * common >= percent * (size + size[q] - common)))
-        for z in hit.tolist():
-            if label[z] != label[q]:
-                edges.append((q, z))
-                label[label == label[z]] = label[q]
-                parts -= 1
-    return edges
-
-
-_SET = "region long, node long, n int, codes binary"
+class Region:
+    """Sets (sorted distinct codes) that one task joins, with labels of what is connected already."""
+
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray | None = None, percent: int = PERCENT, pivots: int = PIVOTS):
+        self.percent, self.pivots = percent, pivots
+        self.radius = 1 - percent / 100 + 1e-9
+        self.size = np.array([len(s) for s in sets], np.int64)
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.zeros(0, np.int64))
+        self.sets = np.split(ids.astype(np.int32), np.cumsum(self.size)[:-1]) if sets else []
+        self.mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
+        self.label = np.unique(labels, return_inverse=True)[1] if labels is not None else np.arange(len(sets))
+        self.edges: list[tuple[int, int]] = []
+
+    def distances(self, q: int, members: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the members to set ``q``; links found on the way are kept."""
+        self.mark[self.sets[q]] = True
+        common = np.add.reduceat(self.mark[flat], at, dtype=np.int64)
+        self.mark[self.sets[q]] = False
+        union = self.size[members] + self.size[q] - common
+        for z in members[100 * common >= self.percent * union].tolist():
+            if self.label[z] != self.label[q]:
+                self.edges.append((q, z))
+                self.label[self.label == self.label[z]] = self.label[q]
+        return 1 - common / union
+
+    def settled(self, members: np.ndarray) -> bool:
+        own = self.label[members]
+        return len(own) < 2 or bool((own == own[0]).all())
+
+    def join(self) -> list[tuple[int, int]]:
+        """Links that span the components of the link graph, as index pairs."""
+        todo = [np.arange(len(self.sets))]
+        while todo:
+            members = todo.pop()
+            if self.settled(members):
+                continue
+            sizes = self.size[members]
+            flat, at = np.concatenate([self.sets[m] for m in members]), np.cumsum(sizes) - sizes
+            far = np.full(len(members), 2.0)
+            rows = []
+            while len(rows) < min(self.pivots, len(members)) and not self.settled(members):
+                q = int(far.argmax())
+                rows.append(self.distances(int(members[q]), members, flat, at))
+                far = np.minimum(far, rows[-1])
+                far[q] = -1
+            left = far >= 0
+            members, d = members[left], np.stack(rows)[:, left]
+            if not self.settled(members):
+                todo += [members[r] for r in voronoi(d, self.radius)]
+        return self.edges
+
+
+def voronoi(d: np.ndarray, radius: float, replicas: float = REPLICAS) -> list[np.ndarray]:
+    """Member masks of the regions of pivots at distances ``d`` [pivot, member]: the members nearest to a
+    pivot, and those of later regions that the windows admit. Every linked pair is in one region at least.
+    A split that would copy members more than ``replicas`` times leaves one region."""
+    home = d.argmin(0)
+    nearest = d.min(0)
+    out, held = [], 0
+    for i in range(len(d)):
+        own = home == i
+        if own.any():
+            box = ((d >= d[:, own].min(1, keepdims=True) - radius) & (d <= d[:, own].max(1, keepdims=True) + radius)).all(0)
+            region = own | (home > i) & box & (d[i] <= nearest + 2 * radius)
+            out.append(region)
+            held += int(region.sum())
+    return out if held <= replicas * d.shape[1] else [np.ones(d.shape[1], bool)]
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -380,123 +426,152 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, n int, codes binary")
 
 
+_LINKS = "a long, b long"
+
+
 def _join_small(sets: DataFrame, parts: int, percent: int) -> DataFrame:
     """Links within the regions that one task can hold."""
 
-    def solve(nodes, codes):
-        known = dict(zip(nodes, codes))  # repeated rows of one set
-        ids = sorted(known, key=lambda k: (-len(known[k]), k))
-        links = join_region([np.frombuffer(known[k], np.uint64) for k in ids], percent) if len(ids) > 1 else []
-        return [ids[a] for a, _ in links], [ids[b] for _, b in links]
+    def solve(rows: list):
+        known = {node: (label, codes) for node, label, codes in rows}  # repeated rows of one set
+        ids = sorted(known, key=lambda k: (-len(known[k][1]), k))
+        if len(ids) < 2:
+            return []
+        region = Region([np.frombuffer(known[k][1], np.uint64) for k in ids], np.array([known[k][0] for k in ids]), percent)
+        return [(ids[a], ids[b]) for a, b in region.join()]
 
     def run(batches):
-        region, nodes, codes = None, [], []
-        a, b = [], []
+        region, rows, links = None, [], []
         for batch in batches:
-            for r, x, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for r, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if r != region:
-                    if len(nodes) > 1:
-                        x0, y0 = solve(nodes, codes)
-                        a += x0
-                        b += y0
-                    region, nodes, codes = r, [], []
-                nodes.append(x)
-                codes.append(c)
-        if len(nodes) > 1:
-            x0, y0 = solve(nodes, codes)
-            a += x0
-            b += y0
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return sets.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
-
-
-def _pivot_round(spark: SparkSession, sets: DataFrame, percent: int, pivots: int):
-    """One round over the regions of ``sets``: (links, members that must go on)."""
-    radius = 1 - percent / 100 + 1e-9
-    # pivots: remote sets of the last round first, then by hash; very long sets last
-    w = Window.partitionBy("region").orderBy(F.col("n") > 200_000, F.col("near").cast("int"), F.xxhash64("node"))
-    chosen = sets.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pivots).select("region", "node", "codes").collect()
-    table: dict[int, list] = {}
-    for r in chosen:
-        table.setdefault(r.region, []).append((r.node, np.frombuffer(bytes(r.codes), np.uint64)))
-    sent = spark.sparkContext.broadcast(table)  # at most `pivots` sets for each region of the block
+                    links += solve(rows)
+                    region, rows = r, []
+                rows.append(row)
+            if len(links) > 4096:
+                yield _link_batch(links)
+                links = []
+        yield _link_batch(links + solve(rows))
+
+    dealt = sets.select("region", "node", "label", "codes").repartition(parts, "region").sortWithinPartitions("region")
+    return dealt.mapInArrow(run, _LINKS)
+
+
+def _link_batch(links: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _pivots(spark: SparkSession, sets: DataFrame, pivots: int, elements: int) -> DataFrame:
+    """(region, rank, node): at most ``pivots`` sets of each region that hold ``elements`` together, one at
+    least. Each rank takes the smallest of a hash of its own, so regions of any size only need minima; sets
+    connected with nothing yet come first, larger sets than the limit last."""
+    order = lambda i: F.struct(F.col("n") > elements, F.col("label") != F.col("node"), F.xxhash64("node", F.lit(i)))
+    least = sets.groupBy("region").agg(*(F.min_by(F.struct("node", "n"), order(i)).alias(f"p{i}") for i in range(pivots)))
+    every = F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))
+    taken = F.aggregate(
+        every,
+        F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<bigint>").alias("nodes")),
+        lambda a, p: F.when((F.size(a["nodes"]) == 0) | (a["held"] + p["n"] <= elements), F.struct((a["held"] + p["n"]).cast("long").alias("held"), F.array_append(a["nodes"], p["node"]).alias("nodes"))).otherwise(a),
+        lambda a: a["nodes"],
+    )
+    return materialize(spark, least.select("region", F.posexplode(taken).alias("rank", "node")), "pivots")
+
+
+def _measured_by_pivots(spark: SparkSession, sets: DataFrame, chosen: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Every member with its distances to the pivots of its region, in order, and the pivots it is linked
+    with. Regions are dealt in chunks, so a large one has many tasks."""
+    weights = sets.groupBy("region").agg(F.sum("n").alias("weight"))
+    chunks = materialize(spark, weights.select("region", F.ceil(F.col("weight") / chunk).cast("int").alias("chunks")), "chunks")
+    held = sets.join(chunks, "region")
+    members = held.select("region", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(-1).alias("rank"), "node", "label", "n", "codes")
+    copies = chosen.join(sets.select("region", "node", "label", "n", "codes"), ["region", "node"]).join(chunks, "region")
+    copies = copies.select("region", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rank", "node", "label", "n", "codes")
 
     def measure(batches):
+        key, known = None, []
         for batch in batches:
-            dists, masks, own = [], [], []
-            for region, node, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
-                x = np.frombuffer(codes.as_buffer(), np.uint64)
-                d, linked = [], []
-                for i, (p, s) in enumerate(sent.value[region]):
-                    at = np.searchsorted(s, x)
-                    common = int((s[np.minimum(at, len(s) - 1)] == x).sum())
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(4)), (c.as_buffer() for c in batch.column(6))))
+            at, dist, linked, own = [], [], [], []
+            for i, (region, part, rank, node, codes) in enumerate(rows):
+                if key != (region, part):
+                    key, known = (region, part), []
+                x = np.frombuffer(codes, np.uint64)
+                if rank >= 0:  # pivots come before members
+                    known.append((node, x.copy()))
+                    continue
+                d, hit = [], []
+                for p, s in known:
+                    common = int((s[np.minimum(np.searchsorted(s, x), len(s) - 1)] == x).sum())
                     union = len(x) + len(s) - common
                     d.append(1 - common / union)
                     if 100 * common >= percent * union:
-                        linked.append(p)
-                dists.append(d)
-                masks.append(linked)
-                own.append(any(p == node for p, _ in sent.value[region]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(dists, pa.list_(pa.float64())), pa.array(masks, pa.list_(pa.int64())), pa.array(own, pa.bool_())], names=["region", "node", "n", "codes", "d", "linked", "pivot"])
-
-    seen = materialize(spark, sets.select("region", "node", "n", "codes").mapInArrow(measure, _SET + ", d array<double>, linked array<long>, pivot boolean"), "pivot-round")
-    links = seen.select(F.explode("linked").alias("a"), F.col("node").alias("b")).where("a <> b")
-    # parts: pivots that share a linked member; at most `pivots` of them for each region
-    joined = seen.where("size(linked) > 1").select("region", F.explode(F.slice("linked", 2, pivots)).alias("other"), F.col("linked")[0].alias("one")).distinct().collect()
-    root: dict[tuple, int] = {(r, p): p for r, ps in table.items() for p, _ in ps}
-
-    def find(r, p):
-        while root[r, p] != p:
-            p = root[r, p]
-        return p
-
-    for row in joined:
-        root[row.region, find(row.region, row.other)] = find(row.region, row.one)
-    mapping = [(r, p, find(r, p)) for r, p in root]
-    part_of = spark.createDataFrame(mapping, "region long, first long, part long")
-    member = seen.withColumn("first", F.get("linked", F.lit(0))).join(F.broadcast(part_of), ["region", "first"], "left")
-    # windows: the box of pivot distances of each part, and of the remote sets by their nearest pivot
-    member = member.withColumn("cell", F.when(F.col("part").isNull(), F.floor(F.array_min("d") * 20)).otherwise(-1))
-    dims = [F.struct(F.min(F.get("d", F.lit(i))).alias("lo"), F.max(F.get("d", F.lit(i))).alias("hi")) for i in range(pivots)]
-    boxes = member.where("not pivot").groupBy("region", "part", "cell").agg(F.array(*dims).alias("box"), F.count("*").alias("held"))
-    boxes = boxes.select("region", F.struct("part", "cell", "box", "held").alias("b")).groupBy("region").agg(F.collect_list("b").alias("boxes"))  # at most pivots + 21
-    near = F.exists(
-        "boxes",
-        lambda b: (
-            (F.col("part").isNull() & b["part"].isNull() & ((b["held"] > 1) | (b["cell"] != F.col("cell")))) | ~b["part"].eqNullSafe(F.col("part"))
-        )
-        & F.forall(F.zip_with(F.col("d"), F.slice(b["box"], F.lit(1), F.size("d")), lambda x, y: (x >= y["lo"] - radius) & (x <= y["hi"] + radius)), lambda ok: ok),
-    )
-    left = member.where("not pivot").join(boxes, "region").where(near)
-    return links, left.select("region", "node", "n", "codes", F.col("part").isNotNull().alias("near"))
-
-
-def region_links(spark: SparkSession, sets: DataFrame, parts: int, percent: int, limit: int, pivots: int) -> DataFrame:
-    """Links (a, b) that span the components of every region."""
-    found, current = None, sets.withColumn("near", F.lit(False))
+                        hit.append(p)
+                at.append(i)
+                dist.append(d)
+                linked.append(hit)
+                own.append(any(p == node for p, _ in known))
+            some = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in (0, 3, 4, 5, 6)), pa.array(dist, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.int64())), pa.array(own, pa.bool_())], names=["region", "node", "label", "n", "codes", "d", "linked", "pivot"])
+
+    dealt = members.unionByName(copies)
+    tasks = max(int(chunks.agg(F.sum("chunks")).first()[0] or 0), 1)
+    dealt = dealt.repartition(tasks, "region", "chunk").sortWithinPartitions("region", "chunk", F.desc("rank"), "node")
+    seen = dealt.mapInArrow(measure, "region long, node long, label long, n int, codes binary, d array<double>, linked array<long>, pivot boolean")
+    out = materialize(spark, seen, "pivot-round")
+    release(chunks)
+    return out
+
+
+def _pivot_round(spark: SparkSession, sets: DataFrame, percent: int, pivots: int, elements: int, chunk: int):
+    """One round over large regions: (links, members of the next regions). Only sums, minima and maxima per
+    region and pivot are gathered, and those in tables."""
+    radius = 1 - percent / 100 + 1e-9
+    chosen = _pivots(spark, sets, pivots, elements)
+    seen = _measured_by_pivots(spark, sets, chosen, percent, chunk)
+    links = materialize(spark, seen.select(F.explode("linked").alias("a"), F.col("node").alias("b")).where("a <> b"), "links")
+    # what this round connects: labels that share a pivot, or lie at two pivots that share a member
+    ties = seen.where("size(linked) > 0").select(F.col("linked")[0].alias("one"), F.explode(F.array_append(F.slice("linked", 2, pivots), F.col("label"))).alias("other"))
+    roots = connected_components(spark, ties.select(F.col("one").alias("a"), F.col("other").alias("b")).distinct())
+    first = F.coalesce(F.get("linked", F.lit(0)), F.col("label"))
+    rest = seen.where("not pivot").withColumn("at", first).join(roots.select(F.col("node").alias("at"), "root"), "at", "left")
+    rest = rest.withColumn("label", F.coalesce("root", "at")).drop("root", "at", "linked", "pivot")
+    nearest = F.array_min("d")
+    rest = materialize(spark, rest.withColumn("home", F.array_position("d", nearest).cast("int") - 1), "labelled")
+    release(seen, chosen)
+    # the box of pivot distances of every Voronoi region; labels only matter where a region has several
+    sides = [F.struct(F.min(F.get("d", F.lit(i))).alias("lo"), F.max(F.get("d", F.lit(i))).alias("hi")) for i in range(pivots)]
+    boxes = rest.groupBy("region", "home").agg(F.array(*sides).alias("box"), F.min("label").alias("low"), F.max("label").alias("high"))
+    boxes = materialize(spark, boxes.groupBy("region").agg(F.collect_list(F.struct("home", "box", "low", "high")).alias("boxes")), "boxes")  # at most ``pivots`` each
+    meets = lambda b: F.forall(F.zip_with("d", F.slice(b["box"], F.lit(1), F.size("d")), lambda x, y: (x >= y["lo"] - radius) & (x <= y["hi"] + radius)), lambda ok: ok)
+    near = lambda b: F.get("d", b["home"]) <= nearest + 2 * radius
+    partner = lambda b: ((b["low"] != F.col("label")) | (b["high"] != F.col("label"))) & meets(b) & ((b["home"] >= F.col("home")) | near(b))
+    open_rows = rest.join(boxes, "region").where(F.exists("boxes", partner))
+    into = F.transform(F.filter("boxes", lambda b: (b["home"] == F.col("home")) | ((b["home"] < F.col("home")) & meets(b) & near(b))), lambda b: b["home"])
+    open_rows = materialize(spark, open_rows.withColumn("into", into).drop("boxes"), "open")
+    # where windows copy too much the region stays whole
+    kept = open_rows.groupBy("region").agg((F.sum(F.size("into")) <= REPLICAS * F.count("*")).alias("split"))
+    kept = materialize(spark, kept, "splits")
+    moved = open_rows.join(kept, "region").select("region", F.explode(F.when(F.col("split"), F.col("into")).otherwise(F.array(F.lit(-1)))).alias("cell"), "node", "label", "n", "codes")
+    after = materialize(spark, moved.select(F.xxhash64("region", "cell").alias("region"), "node", "label", "n", "codes"), "regions")
+    release(rest, boxes, open_rows, kept)
+    return links, after
+
+
+def region_links(spark: SparkSession, sets: DataFrame, parts: int, percent: int, limit: int, pivots: int, elements: int = PIVOT_ELEMENTS) -> DataFrame:
+    """Links (a, b) that span the components of every region of ``sets`` (region, node, n, codes)."""
+    found, current = None, sets.withColumn("label", F.col("node"))
     while True:
-        weights = current.groupBy("region").agg(F.sum("n").alias("weight"))
-        small = current.join(weights.where(f"weight <= {limit}"), "region", "left_semi")
-        links = _join_small(small, parts, percent)
+        weights = materialize(spark, current.groupBy("region").agg(F.sum("n").alias("weight")).where(f"weight > {limit}"), "weights")
+        if weights.isEmpty():
+            links = _join_small(current, parts, percent)
+            return links if found is None else found.unionByName(links)
+        links = materialize(spark, _join_small(current.join(weights, "region", "left_anti"), parts, percent), "links")
         found = links if found is None else found.unionByName(links)
-        large = current.join(weights.where(f"weight > {limit}"), "region", "left_semi")
-        large = materialize(spark, large.select("region", "node", "n", "codes", "near"), "large-regions")
-        if large.isEmpty():
-            return found
-        # regions in blocks, so that the pivots sent at once are bounded
-        went_on = None
-        for block in range(max(1, large.select("region").distinct().count() // 256)):
-            blocks = max(1, large.select("region").distinct().count() // 256)
-            own = large.where(F.pmod(F.xxhash64("region"), F.lit(blocks)) == block)
-            if own.isEmpty():
-                continue
-            links, left = _pivot_round(spark, own, percent, pivots)
-            found = found.unionByName(links)
-            went_on = left if went_on is None else went_on.unionByName(left)
-        if went_on is None:
-            return found
-        current = materialize(spark, went_on, "regions")
+        large = materialize(spark, current.join(weights, "region", "left_semi"), "large-regions")
+        links, after = _pivot_round(spark, large, percent, pivots, elements, limit)
+        found = found.unionByName(links)
+        release(weights, large, current)
+        current = after
 
 
 def jaccard_join(
@@ -511,28 +586,22 @@ def jaccard_join(
     """One row per document row: its number of shingles and its component."""
     wc.prepare(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def measure(batches):
-        for batch in batches:
-            data, off = wc.column_bytes(batch.column(1))
-            for lo, hi in wc.slices(off, rows=4096):
-                codes, bounds = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds).astype(np.int64)), pa.array(node_ids(codes, bounds))], names=["doc_id", "n", "node"])
-
-    sized = materialize(spark, source.mapInArrow(measure, "doc_id long, n long, node long"), "sets")
+    sized = materialize(spark, _measured(source, n, percent, surplus), "sets")
     nodes = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"))
     elements = nodes.agg(F.sum("n")).first()[0] or 0
     parts = wc.parts_for(spark, 14 * elements * (100 - percent + 100 * surplus) // 100)
-    counted = _counts(_signatures(source, parts, n, percent, surplus), parts)
+    counted = _counts(_signatures(sized, parts), parts)
     least = F.greatest(F.floor(surplus * F.ceil(F.col("n") * percent / 100)), F.lit(1))
     chosen = nodes.join(counted, "node").where(F.col("shared") >= least).select("node", F.col("doc_id").alias("d"))
     texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    sets = materialize(spark, _sets(texts, n), "candidate-sets")
-    parts = wc.parts_for(spark, _SHARED.itemsize * (sets.agg(F.sum("n")).first()[0] or 0))
-    rare = _rarest(_shared(_elements(sets, parts), parts), _sizes(sets, parts), parts, percent)
+    candidates = materialize(spark, _sets(texts, n), "candidate-sets")
+    parts = wc.parts_for(spark, _SHARED.itemsize * (candidates.agg(F.sum("n")).first()[0] or 0))
+    rare = _rarest(_shared(_elements(candidates, parts), parts), _sizes(candidates, parts), parts, percent)
     regions = connected_components(spark, _stars(rare, parts)).withColumnRenamed("root", "region")
-    sets = materialize(spark, sets.join(regions, "node").select("region", "node", "n", "codes"), "region-sets")
+    sets = materialize(spark, candidates.join(regions, "node").select("region", "node", "n", "codes"), "region-sets")
+    release(candidates, regions)
     linked = connected_components(spark, region_links(spark, sets, parts, percent, region_limit, pivots))
+    release(sets)
     # rows that share a doc_id tie their sets together
     tied = sized.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all")).where("a <> z")
     ties = tied.select("a", F.explode("all").alias("b")).where("a <> b")

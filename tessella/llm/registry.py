@@ -22,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op4_sharding": sharding.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
 }

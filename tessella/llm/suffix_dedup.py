@@ -4,8 +4,9 @@ Every byte covered by a ``span``-byte string that also starts elsewhere is remov
 suffixes of a large corpus at once is out of reach, so anchors come first: of the ``gram``-byte
 strings inside any ``span``-byte window the one with the smallest hash is an anchor, and two equal
 windows hold equal anchors. Anchors found at one place only rule out all windows around them. The
-others bring their surroundings (all windows that hold them) to the partition of their hash, where a
-two-stage suffix sort (suffixes smaller than their successor are sorted directly, the rest induced by
+others bring their surroundings (all windows that hold them) to the partition of their hash; an anchor
+at very many places is lengthened to both sides first, each lengthening standing for some of the
+windows around it, so its surroundings spread over many partitions. There a two-stage suffix sort (suffixes smaller than their successor are sorted directly, the rest induced by
 bucket scans) and common prefixes of neighbours find the repeated strings, byte by byte.
 
 Texts that are equal are one text to all this: copies of at least ``span`` bytes vanish whole, and
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import wordcodes as wc
-from tessella.session import materialize
+from tessella.session import materialize, release
 
 SPAN = 400
 GRAM = 200
@@ -135,6 +136,10 @@ class _Out:
 
 
 _ANCHOR = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("pos", "<u4")])
+#: An anchor found at several places; it is lengthened in 2**level ways.
+_FOUND = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("pos", "<u4"), ("level", "u1")])
+#: Places up to which an anchor stays as it is, and how often the ways are doubled at most.
+PLACES, LEVELS = 1024, 4
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -188,8 +193,10 @@ def _by_part(batches):
         yield held
 
 
-def repeated_anchors(blobs: DataFrame, parts: int) -> DataFrame:
-    """(tid, blob) rows of the anchors found at two places at least, gathered per text."""
+def repeated_anchors(blobs: DataFrame, parts: int, near: int, places: int) -> DataFrame:
+    """(tid, blob) rows of the anchors found at two places at least, gathered per text. Places of one
+    text at most ``near`` apart tell of periodic text, whose anchors aren't at one place of equal windows:
+    those stay as they are."""
 
     def run(batches):
         for held in _by_part(batches):
@@ -199,7 +206,15 @@ def repeated_anchors(blobs: DataFrame, parts: int) -> DataFrame:
             place = new_hash | np.r_[True, (rec["tid"][1:] != rec["tid"][:-1]) | (rec["pos"][1:] != rec["pos"][:-1])]
             rec, new_hash = rec[place], new_hash[place]
             group = np.cumsum(new_hash) - 1
-            rec = rec[np.bincount(group)[group] > 1]
+            count = np.bincount(group)
+            level = np.clip(np.ceil(np.log2(count / places)), 0, LEVELS).astype(np.uint8)
+            close = (rec["tid"][1:] == rec["tid"][:-1]) & ~new_hash[1:] & (np.diff(rec["pos"].astype(np.int64)) <= near)
+            level[group[1:][close]] = 0
+            found = np.empty(len(rec), _FOUND)
+            for c in _ANCHOR.names:
+                found[c] = rec[c]
+            found["level"] = level[group]
+            rec = found[count[group] > 1]
             rec = rec[np.argsort(rec["tid"], kind="stable")]
             if len(rec):
                 cut = np.flatnonzero(np.r_[True, rec["tid"][1:] != rec["tid"][:-1]])
@@ -324,26 +339,56 @@ def repeated_starts(text: bytes, ends: np.ndarray, place, span: int) -> np.ndarr
 # ---------------------------------------------------------------- surroundings and spans
 
 _CONTEXT = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("start", "<u4"), ("size", "<u4")])
-#: Bytes of surroundings sorted at once. Those of one anchor stay together, those of different anchors
-#: need not; sorting takes about 30 bytes of memory a byte.
+#: Bytes of surroundings sorted at once. Those of one lengthened anchor stay together, those of different
+#: ones need not; sorting takes about 30 bytes of memory a byte.
 CHUNK = 1 << 20
+#: Marks the size of surroundings that repeat whole and travel without their bytes.
+_WHOLE = 1 << 31
+
+
+def lengthened(data: bytes, h: int, pos: int, level: int, span: int, gram: int):
+    """(key, start, end) of the surroundings of one anchor: the windows in which it stands at ``lo`` to
+    ``hi`` share what lies from ``lo`` before it to ``hi`` short of the window's end."""
+    n, slack, ways = len(data), span - gram, 1 << level
+    if not level:
+        yield h, max(0, pos - slack), min(n, pos + span)
+        return
+    for i in range(ways):
+        lo, hi = slack * i // ways, slack * (i + 1) // ways
+        if pos >= lo and pos - hi + span <= n:
+            shared = hashlib.blake2b(data[pos - lo : pos - hi + span], digest_size=8, salt=bytes([i])).digest()
+            yield int.from_bytes(shared, "little"), max(0, pos - hi), min(n, pos - lo + span)
 
 
 def context_blobs(found: DataFrame, parts: int, span: int, gram: int) -> DataFrame:
-    """(part, blob) rows of the surroundings of repeated anchors: records, then their bytes."""
+    """(part, blob) rows of the surroundings of repeated anchors: records, then their bytes. Surroundings of
+    lengthened anchors that are equal to earlier ones of the task repeat whole and leave their bytes out."""
 
     def run(batches):
-        out = _Out(parts)
+        out, first = _Out(parts), {}
+
+        def add(key: int, tid: int, a: int, b: int, body: bytes | None):
+            size = b - a if body is not None else (b - a) | _WHOLE
+            part = _part_of(np.array([key], np.uint64), parts)
+            out.add(part, [np.array([(key, tid, a, size)], _CONTEXT).tobytes() + (body or b"")])
+
         for batch in batches:
             for tid, blobs, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 raw = text.as_buffer()
-                n = raw.size
                 data = raw.to_pybytes()
                 for blob in blobs.values:
-                    rec = np.frombuffer(blob.as_buffer(), _ANCHOR)
-                    for p, h, pos in zip(_part_of(rec["hash"], parts).tolist(), rec["hash"].tolist(), rec["pos"].tolist()):
-                        a, b = max(0, pos - (span - gram)), min(n, pos + span)
-                        out.add([p], [np.array([(h, tid, a, b - a)], _CONTEXT).tobytes() + data[a:b]])
+                    rec = np.frombuffer(blob.as_buffer(), _FOUND)
+                    for h, pos, level in zip(rec["hash"].tolist(), rec["pos"].tolist(), rec["level"].tolist()):
+                        for key, a, b in lengthened(data, h, pos, level, span, gram):
+                            body = data[a:b]
+                            known = first.setdefault((key, hashlib.blake2b(body, digest_size=16).digest()), [tid, a, False]) if level else None
+                            if known is None or known[:2] == [tid, a]:
+                                add(key, tid, a, b, body)
+                            elif b - a >= span:
+                                add(key, tid, a, b, None)
+                                if not known[2]:
+                                    add(key, known[0], known[1], known[1] + b - a, None)
+                                    known[2] = True
                 yield from out.flush()
         yield from out.flush(last=True)
 
@@ -354,10 +399,13 @@ def _contexts(held):
     for buf in held:
         raw, at = memoryview(buf), 0
         while at < len(raw):
-            h, tid, start, size = np.frombuffer(raw, _CONTEXT, 1, at)[0]
+            h, tid, start, size = np.frombuffer(raw, _CONTEXT, 1, at)[0].tolist()
             at += _CONTEXT.itemsize
-            yield int(h), int(tid), int(start), bytes(raw[at : at + int(size)])
-            at += int(size)
+            if size & _WHOLE:
+                yield h, tid, start, None, size ^ _WHOLE
+            else:
+                yield h, tid, start, bytes(raw[at : at + size]), size
+                at += size
 
 
 def _solve(contexts: list, span: int, whole: dict[int, list]) -> None:
@@ -398,13 +446,16 @@ def repeated_spans(blobs: DataFrame, parts: int, span: int) -> DataFrame:
             whole: dict[int, list] = {}
             chunk: list = []
             size, last = 0, None
-            for one in sorted(_contexts(held), key=lambda x: x[0]):
-                if one[0] != last and size >= CHUNK:
+            for h, tid, start, body, n in sorted(_contexts(held), key=lambda x: x[0]):
+                if body is None:
+                    whole.setdefault(tid, []).append((start, start + n))
+                    continue
+                if h != last and size >= CHUNK:
                     _solve(chunk, span, whole)
                     chunk, size = [], 0
-                last = one[0]
-                chunk.append(one[1:])
-                size += len(one[3])
+                last = h
+                chunk.append((tid, start, body))
+                size += n
             _solve(chunk, span, whole)
             if whole:
                 keys = list(whole)
@@ -424,33 +475,30 @@ def _merge(spans) -> list[list[int]]:
     return out
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-
-
-def suffix_dedup(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """One row per document row: bytes, removed bytes, maximal removed runs (also as offsets) and the
-    digest of what remains."""
+def suffix_dedup(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int = GRAM, places: int = PLACES) -> DataFrame:
+    """One row per document row: bytes, removed bytes, maximal removed runs (also as offsets), what remains
+    as its digest, bytes and code points (counted by their first bytes), and whether anything repeats."""
     wc.prepare(spark)
     texts = _texts(docs)
-    small = materialize(spark, texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    small = materialize(spark, texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_chars")), "digests")
     # one anchor in about half a window of the gram positions
     parts = wc.parts_for(spark, 2 * _ANCHOR.itemsize * (small.agg(F.sum("n_bytes")).first()[0] or 0) // (span - gram + 1))
     copies = small.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     long = texts.where(F.octet_length("text") >= span).select(_tid("digest").alias("tid"), "text")
-    found = repeated_anchors(anchor_blobs(long, parts, span, gram), parts).groupBy("tid").agg(F.collect_list("blob").alias("blobs"))
+    found = repeated_anchors(anchor_blobs(long, parts, span, gram), parts, span - gram + 1, places).groupBy("tid").agg(F.collect_list("blob").alias("blobs"))
     # one document of each text brings its bytes
     chosen = copies.where(F.col("n_bytes") >= span).select("digest", "copies", F.col("doc_id").alias("d"), _tid("digest").alias("tid"))
     wanted = found.join(chosen, "tid").withColumnRenamed("digest", "g")
     with_text = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
     with_text = materialize(spark, with_text.select("tid", "blobs", "text", "copies", "doc_id", "digest"), "repeated")
     held = with_text.agg(F.sum(F.aggregate("blobs", F.lit(0).cast("long"), lambda a, b: a + F.octet_length(b)))).first()[0]
-    parts = wc.parts_for(spark, (held or 0) // _ANCHOR.itemsize * (2 * span - gram))
+    parts = wc.parts_for(spark, (held or 0) // _FOUND.itemsize * (2 * span - gram))
     spans = repeated_spans(context_blobs(with_text, parts, span, gram), parts, span)
     spans = spans.groupBy("tid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
     def cut(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for digest, text, a, b in zip(*(batch.column(i) for i in range(4))):
                 data = text.as_buffer().to_pybytes()
                 merged = _merge(zip(a.as_py(), b.as_py()))
@@ -459,13 +507,17 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: i
                     kept.append(data[at:x])
                     at = y
                 kept.append(data[at:])
-                for c, v in zip(out, (digest.as_py(), sum(y - x for x, y in merged), hashlib.sha256(b"".join(kept)).hexdigest(), [x for x, _ in merged], [y for _, y in merged])):
+                rest = b"".join(kept)
+                chars = int(((np.frombuffer(rest, np.uint8) & 0xC0) != 0x80).sum())
+                for c, v in zip(out, (digest.as_py(), sum(y - x for x, y in merged), hashlib.sha256(rest).hexdigest(), chars, [x for x, _ in merged], [y for _, y in merged])):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["g", "cut_bytes", "kept", "starts", "ends"])
+            spans = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.string(), pa.int64(), spans, spans))], names=["g", "cut_bytes", "kept", "kept_chars", "starts", "ends"])
 
     alone = with_text.where("copies = 1").join(spans, "tid").select("digest", F.col("text").cast("binary").alias("text"), "starts", "ends")
-    done = materialize(spark, alone.mapInArrow(cut, "g string, cut_bytes long, kept string, starts array<long>, ends array<long>"), "cut")
-    many = copies.where(f"copies > 1 and n_bytes >= {span}").select(F.col("digest").alias("g"), F.col("n_bytes").alias("cut_bytes"), F.sha2(F.lit(""), 256).alias("kept"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
+    done = materialize(spark, alone.mapInArrow(cut, "g string, cut_bytes long, kept string, kept_chars long, starts array<long>, ends array<long>"), "cut")
+    release(with_text)
+    many = copies.where(f"copies > 1 and n_bytes >= {span}").select(F.col("digest").alias("g"), F.col("n_bytes").alias("cut_bytes"), F.sha2(F.lit(""), 256).alias("kept"), F.lit(0).cast("long").alias("kept_chars"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
     result = small.join(done.unionByName(many), F.col("digest") == F.col("g"), "left")
     none = F.array().cast("array<long>")
     return result.select(
@@ -473,10 +525,29 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: i
         F.coalesce("cut_bytes", F.lit(0).cast("long")).alias("n_removed"),
         F.when(F.col("starts").isNull(), 0).otherwise(F.size("starts")).cast("long").alias("n_spans"),
         F.coalesce("kept", "digest").alias("kept_sha256"),
+        (F.col("n_bytes") - F.coalesce("cut_bytes", F.lit(0))).alias("n_kept"),
+        F.coalesce("kept_chars", "n_chars").alias("n_kept_chars"),
+        F.col("cut_bytes").isNotNull().alias("repeated"),
         F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"),
     )
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("starts", "ends")
+
+
+#: Every window as hex digits, cut out of blocks so that no cut has to count far into a text.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+b AS (SELECT doc_id, n, b, substr(h, 2048 * b + 1, 2048 + {2 * SPAN}) AS part FROM (SELECT doc_id, h, n, unnest(range(0, n // 1024 + 1)) AS b FROM d WHERE n >= {SPAN})),
+w AS (SELECT doc_id, 1024 * b + j AS i, md5_number(substr(part, 2 * j + 1, {2 * SPAN})) AS k FROM (SELECT doc_id, n, b, part, unnest(range(0, 1024)) AS j FROM b) WHERE 1024 * b + j + {SPAN} <= n),
+s AS (SELECT doc_id, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {SPAN} THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + {SPAN} AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f) GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM r),
+k AS (SELECT doc_id, any_value(n) AS n, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256,
+  d.n - coalesce(n_removed, 0) AS n_kept, (length(regexp_replace(coalesce(kept, h), '([0-7C-F][0-9A-F])|[89AB][0-9A-F]', '\\1', 'g')) // 2)::BIGINT AS n_kept_chars, k.doc_id IS NOT NULL AS repeated
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
