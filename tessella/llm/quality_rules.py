@@ -2,13 +2,17 @@
 
 Every whole text is encoded with a public piece vocabulary. Three measures per document (characters
 per token, share of byte-fallback tokens, entropy of its token distribution) must lie within the
-band of the document's language and length class (powers of two of tokens: entropy grows with length).
+band of the document's language and length class (half octaves of tokens: entropy grows with length).
 Bands come from statistics over all documents of the language that pass the base rule.
 
+Every document that passes the base rule is judged, whatever its length and however rare its language:
+where fewer than ``min_docs`` documents share its language and length class, the band is that of the next
+wider choice that has so many: the language's octave, all languages' half octave and octave, the
+language's and all languages' two octaves, and at last all documents.
+
 Cases: a null or empty text has no words and fails the base rule; a null language is replaced by the
-dominant script; a length class of fewer than ``min_docs`` documents uses the band of its language;
-languages with fewer than ``min_docs`` long enough documents use the pooled band of all languages (of
-the length class, where that has ``min_docs`` documents);
+dominant script, of scripts with equally many letters by the first in the order of their code points;
+a measure on the edge of its band is inside; texts of any length are encoded whole;
 repeated rows are judged row by row; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -23,8 +27,7 @@ from pyspark.sql import functions as F
 from tessella.llm import wordcodes as wc
 from tessella.session import materialize
 
-#: Documents with fewer tokens than this have measures too noisy to judge, whatever their language.
-MIN_TOKENS = 64
+#: Documents that a band rests on; only the last choice of band may rest on fewer.
 MIN_DOCS = 30
 #: Languages whose bands are sent to all workers; where there are more, the bands are joined by shuffle.
 MAX_SENT = 10_000
@@ -130,24 +133,27 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(",")]
 _MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 
 
-#: The length class that stands for all lengths.
-_ANY = -1
 _FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+#: Choices of band from narrow to wide: whether of the own language, and how many half octaves it spans
+#: (none: all lengths).
+_CHOICES = ((True, 1), (True, 2), (False, 1), (False, 2), (True, 4), (False, 4), (False, None))
 
 
-def _length_class() -> Column:
-    return F.floor(F.log2("n_tokens")).cast("int")
+def _class(span: int | None) -> Column:
+    """The length class among those of ``span`` half octaves, told apart from the classes of other spans."""
+    return F.lit(0) if span is None else F.lit(1000 * span) + F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) * 2 / span).cast("int")
 
 
-def bands(measured: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
-    """Per language a map from length class (and _ANY) to the quartiles of each measure, over all
-    documents of the language that pass the base rule; languages are rows, never collected. The row
-    without a language is the pool of all of them, whose _ANY has no least number of documents."""
-    judged = measured.where(f"n_tokens >= {min_tokens} and not ({_FAILED})")
-    each = judged.select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), _length_class().alias("class"), *_MEASURES)
-    each = each.withColumn("class", F.explode(F.array("class", F.lit(_ANY))))
+def bands(measured: DataFrame, min_docs: int) -> DataFrame:
+    """Per language a map from length class to the quartiles of each measure, over all documents of the
+    language that pass the base rule; languages are rows, never collected. The row without a language is
+    the pool of all of them, whose class of all lengths has no least number of documents."""
+    judged = measured.where(f"not ({_FAILED})")
+    spans = sorted({s or 0 for _, s in _CHOICES})
+    each = judged.select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), F.array(*(_class(s or None) for s in spans)).alias("classes"), *_MEASURES)
+    each = each.select("lang", F.explode("classes").alias("class"), *_MEASURES)
     quartiles = F.struct(*(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(m) for m in _MEASURES))
-    classes = each.groupBy("lang", "class").agg(F.count("*").alias("n_docs"), quartiles.alias("q")).where(f"n_docs >= {min_docs} or lang is null and class = {_ANY}")
+    classes = each.groupBy("lang", "class").agg(F.count("*").alias("n_docs"), quartiles.alias("q")).where(f"n_docs >= {min_docs} or lang is null and class = 0")
     return classes.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "q"))).alias("own"))
 
 
@@ -155,7 +161,6 @@ def quality_rules(
     spark: SparkSession,
     docs: DataFrame,
     vocabulary: str | None = None,
-    min_tokens: int = MIN_TOKENS,
     min_docs: int = MIN_DOCS,
     width: tuple[tuple[float, float], ...] = WIDTH,
 ) -> DataFrame:
@@ -165,22 +170,21 @@ def quality_rules(
 
         vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     measured = materialize(spark, measures(spark, docs, vocabulary), "quality")
-    band = materialize(spark, bands(measured, min_tokens, min_docs), "bands")
+    band = materialize(spark, bands(measured, min_docs), "bands")
     pool = band.where("lang is null").select(F.col("own").alias("pool")).scalar()
     joined = measured.join(F.broadcast(band) if band.count() <= MAX_SENT else band, "lang", "left").withColumn("pool", pool)
-    at = lambda bands, c: F.try_element_at(F.col(bands), c)
-    joined = joined.withColumn("q", F.coalesce(*(at(b, c) for b in ("own", "pool") for c in (_length_class(), F.lit(_ANY)))))
+    choice = lambda own, span: F.try_element_at(F.col("own" if own else "pool"), _class(span))
+    joined = joined.withColumn("q", F.coalesce(*(choice(*c) for c in _CHOICES)))
     inside = F.lit(True)
     for m, widths, floors in zip(_MEASURES, width, FLOOR):
         q = F.col("q")[m]
         below, above = (F.greatest((q[2] - q[0]) / 2 * w, F.lit(f)) for w, f in zip(widths, floors))
         inside = inside & F.col(m).between(q[1] - below, q[1] + above)
-    judged = (F.col("n_tokens") >= min_tokens) & F.col("q").isNotNull()
     failed = F.expr(_FAILED)
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (~judged | F.coalesce(inside, F.lit(True)))).alias("kept"),
+        (~failed & F.coalesce(inside, F.lit(False))).alias("kept"),
         "n_tokens", "chars_per_token", "byte_share", "token_entropy",
     )
 
