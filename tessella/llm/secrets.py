@@ -2,16 +2,19 @@
 
 The battery looks at long tokens with a digit and a letter; '=' ends a token as its padding, and a run
 that mixes the characters of both base64 alphabets is split under each of them. An encoding is inferred from a token's
-characters; chi-squared uniformity over its alphabet, a runs test about the alphabet's middle and the
-lag-1 serial correlation give three p-values under "uniformly random", combined by Fisher's rule.
+characters; chi-squared uniformity over its alphabet and over the alphabet's halves, a runs test about
+the alphabet's middle and the lag-1 serial correlation give four p-values under "uniformly random",
+combined by Fisher's rule.
 Random tokens have uniform combined p-values while structured ones crowd at zero, so per encoding and
 length class the number of random tokens is estimated from the upper half of the p-values of the
-whole corpus, and the cut is the smallest whose estimated share of structured tokens is within
-``max_false``.
+whole corpus (a token that occurs many times counts once), and the cut is the smallest whose estimated
+share of structured tokens is within ``max_false``. Every class starts from the same ``PRIOR`` counts, so a class of few tokens is judged by the
+same rule as one of many.
 
 Cases: a null text counts as empty and has no spans; repeated rows are judged row by row; a null
-``doc_id`` stays null; extra columns are ignored; an empty table gives no rows. Texts are scanned
-whole; positions are code points, ends exclusive.
+``doc_id`` stays null; extra columns are ignored; an empty table gives no rows. Texts of any length are
+scanned whole; positions are code points, ends exclusive. Of overlapping random tokens the longest stays,
+of equal ones in two alphabets the one span; spans that start together are listed by kind, then end.
 """
 
 from __future__ import annotations
@@ -52,8 +55,9 @@ ENCODINGS = (
 )
 MAX_FALSE = 0.1
 BINS = 20
-#: Cut where a class has too few tokens for an estimate.
-DEFAULT_CUT, MIN_CLASS = 0.05, 20
+#: What a class holds before its tokens are counted: random tokens, even over the bins, and structured ones
+#: in the lowest bin.
+PRIOR = (50.0, 50.0)
 _CHUNK = 256
 
 
@@ -126,7 +130,7 @@ def _two_sided(z: Column) -> Column:
 
 
 def battery(token: Column, alphabet: Column) -> Column:
-    """Combined p-value of the three tests of ``token`` over ``alphabet``."""
+    """Combined p-value of the four tests of ``token`` over ``alphabet``."""
     size = F.struct(F.length(token).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"))
     return let(size, lambda s: _combined(token, alphabet, s["n"], s["k"]))
 
@@ -146,9 +150,10 @@ def _combined(token: Column, alphabet: Column, n: Column, k: Column) -> Column:
         var = F.greatest(t["sq"] / n - mean * mean, F.lit(1e-9))
         # circular lag product, so every symbol counts twice
         serial = ((t["lag"] + t["last"] * t["first"]) / n - mean * mean) / var
-        return -F.log(_two_sided(by_runs)) - F.log(_two_sided((serial + 1 / (n - 1)) * F.sqrt(n)))
+        halves = (2 * high - n) / F.sqrt(n)  # the root of chi-squared over two classes
+        return -F.log(_two_sided(halves)) - F.log(_two_sided(by_runs)) - F.log(_two_sided((serial + 1 / (n - 1)) * F.sqrt(n)))
 
-    return let(-F.log(_one_sided(chi)) + let(state, sequence), lambda x: F.exp(-x) * (1 + x + x * x / 2))
+    return let(-F.log(_one_sided(chi)) + let(state, sequence), lambda x: F.exp(-x) * (1 + x + x * x / 2 + x * x * x / 6))
 
 
 def _step(a: Column, v: Column, k: Column) -> Column:
@@ -192,14 +197,17 @@ def candidates(text: Column) -> Column:
 def cuts(scanned: DataFrame, max_false: float) -> DataFrame:
     """One row: a map from class to the smallest p kept. At most 16 classes per encoding and BINS bins
     take part, whatever the corpus."""
-    each = scanned.select(F.explode("found").alias("x")).select(F.col("x.class").alias("class"), F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    tokens = scanned.select(F.explode("found").alias("x")).select("x.class", "x.p").distinct()  # equal tokens have equal p
+    each = tokens.select("class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts = each.groupBy("class", "bin").agg(F.count("*").alias("n"))
-    classes = counts.groupBy("class").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("upper"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-    above = lambda b: F.aggregate(F.sequence(b, F.lit(BINS - 1)), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at(F.col("bins"), i), F.lit(0).cast("long")))
-    random = F.col("upper") / (1 - BINS // 2 / BINS)
-    false = lambda b: 1 - random * (1 - b / BINS) / F.greatest(above(b), F.lit(1))
+    even, low = PRIOR[0] / BINS, PRIOR[1]
+    classes = counts.groupBy("class").agg(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("upper"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    held = lambda i: F.coalesce(F.try_element_at(F.col("bins"), i), F.lit(0).cast("long")) + even + F.when(i == 0, low).otherwise(0.0)
+    above = lambda b: F.aggregate(F.sequence(b, F.lit(BINS - 1)), F.lit(0.0), lambda a, i: a + held(i))
+    random = (F.col("upper") + even * (BINS - BINS // 2)) / (1 - BINS // 2 / BINS)
+    false = lambda b: 1 - random * (1 - b / BINS) / above(b)
     fits = F.filter(F.sequence(F.lit(1), F.lit(BINS // 2)), lambda b: false(b) <= max_false)
-    cut = F.when(F.col("total") < MIN_CLASS, F.lit(DEFAULT_CUT)).otherwise(F.coalesce(F.get(fits, F.lit(0)), F.lit(BINS // 2)) / BINS)
+    cut = F.coalesce(F.get(fits, F.lit(0)), F.lit(BINS // 2)) / BINS
     return classes.agg(F.map_from_entries(F.collect_list(F.struct("class", cut.alias("cut")))).alias("cuts"))
 
 
@@ -227,7 +235,7 @@ def secrets(spark: SparkSession, docs: DataFrame, max_false: float = MAX_FALSE)
     count = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long")
     return scanned.withColumn("cuts", F.when(F.size("found") > 0, cut)).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_names(base), 256).alias("base_sha256"), _names(every).alias("spans"),
+        F.sha2(_names(base), 256).alias("base_sha256"), _names(every).alias("spans"), F.size(every).cast("long").alias("n_secrets"),
     )
 
 

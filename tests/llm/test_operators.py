@@ -42,6 +42,23 @@ def test_random_tokens_within_longer_runs(spark):
     assert [out[i][0] for i in range(len(texts))] == want
 
 
+def test_discovery_control_by_class(spark):
+    """Planted random values of three encodings leave as spans; structured tokens in the same classes stay
+    out, in classes of a few tokens as in classes of hundreds."""
+    rng = np.random.default_rng(21)
+    hexes, full = list("0123456789ABCDEF"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    for n in (6, 300):
+        rows, planted = [], {}
+        for i in range(n):
+            value = "".join(rng.choice(hexes if i % 2 else full, 40))
+            rows += [(3 * i, f"the value {value} was set"), (3 * i + 1, f"see SectionOverview{i % 7}OfTheLongDocument{i % 5}Part here"), (3 * i + 2, f"id {'A1B2' * 10} and {'0' * 20}XBCDEF{i % 10} again")]
+            planted[3 * i] = f"random:10:{10 + len(value)}"
+        got = by_id(secrets.secrets(spark, spark.createDataFrame(rows, "doc_id long, text string")), "spans", "n_secrets")
+        caught = sum(got[d][0] == s for d, s in planted.items())
+        false = sum("random" in got[d][0] for d in got if d % 3)
+        assert caught >= 0.9 * n and false <= 0.1 * caught and got[2] == (f"hex:{8 + 40}:{8 + 60}", 1)
+
+
 def test_randomness_battery(spark):
     rng = np.random.default_rng(4)
     tokens = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(200)] + ["0123456789abcdef" * 4, "a1" * 32, "00000000ffffffff" * 4]
@@ -232,6 +249,44 @@ def test_decontaminate(spark, corpus, frames, odd, none):
     assert clean.where("contaminated or n_items > 0").count() == 0 and clean.first().items_sha256 == EMPTY
 
 
+def test_longest_matches(spark, corpus, frames):
+    """Every maximal run of equal words of ten or more (or a whole short item), with its places."""
+    rows, bench = corpus
+    words = lambda t: brute.W7.findall(brute.low(t))
+    want = {}
+    for d, t in ((r[0], r[1]) for r in rows):
+        w, own = words(t), []
+        for item, b in bench:
+            v = words(b)
+            k = min(10, len(v))
+            if not k:
+                continue
+            for i in range(len(w) - k + 1):
+                for j in range(len(v) - k + 1 if len(v) >= 10 else 1):
+                    if w[i : i + k] == v[j : j + k] and not (len(v) >= 10 and i and j and w[i - 1] == v[j - 1]):
+                        n = k
+                        while len(v) >= 10 and i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                            n += 1
+                        own.append((i, n, None if item is None else str(item), j))
+        want[d] = sorted(own, key=str)
+    for block in (decontaminate.BLOCK_WORDS, 40):
+        got = decontaminate.decontaminate(spark, frames[0], frames[1], block_words=block).collect()
+        assert {r.doc_id: sorted((tuple(m) for m in r.matches), key=str) for r in got} == want
+        assert all(r.longest_match == max((m.length for m in r.matches), default=0) for r in got)
+
+
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        per = rng.integers(0, 40, 6)
+        row = np.repeat(np.arange(6), per)
+        code = rng.integers(1, 4, len(row)).astype(np.uint64)
+        shard = decontaminate.Shard(code, row, 6, 10)
+        ends = shard.ends
+        keys = [tuple(code[i : min(i + 10, ends[i])].tolist()) for i in shard.array]
+        assert sorted(shard.array.tolist()) == list(range(len(row))) and keys == sorted(keys)
+
+
 def test_quality_rules(spark, corpus, frames, odd, none):
     rows, _ = corpus
     out = quality_rules.quality_rules(spark, frames[0])
