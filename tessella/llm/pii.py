@@ -1,12 +1,15 @@
 """Personal data: fixed patterns plus a linear-chain conditional random field over word shapes.
 
-The field is trained on the small labelled table below and decoded by Viterbi in numpy batches. Only
-tokens with a digit or an ``@`` may carry a label other than O, so the chain splits exactly at all
-other tokens and only runs of such tokens (with their neighbours as features) need decoding.
+The field is trained on the small labelled table below and decoded by Viterbi in numpy batches. It adds
+kinds that no fixed pattern covers: local phone numbers, identity numbers, account numbers, addresses of
+hosts without a dot, names behind a title or cue, street addresses and dates of birth. Any token may carry
+a label if it lies within ``REACH`` tokens of a mark (a digit, an ``@`` or one of ``CUES``); further away all
+tokens are O, so the chain splits exactly there and only the stretches around marks need decoding.
 
 Cases: a null text counts as empty and has no spans; repeated rows are judged row by row; a null
-``doc_id`` stays null; extra columns are ignored; an empty table gives no rows. Texts are scanned
-whole. Positions are code points, ends exclusive.
+``doc_id`` stays null; extra columns are ignored; an empty table gives no rows. Texts of any length are
+scanned whole. Positions are code points, ends exclusive; spans that start together are listed by kind,
+then end; of label sequences with equal scores the one with the earlier labels holds.
 """
 
 from __future__ import annotations
@@ -33,8 +36,16 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Labels of the field; a span is one B token and the I tokens that follow it.
-FIELD_KINDS = ("crf_phone", "crf_id", "crf_email")
+FIELD_KINDS = ("crf_phone", "crf_id", "crf_email", "crf_account", "crf_name", "crf_address", "crf_birth")
 LABELS = ("O", *(f"{p}-{k}" for k in FIELD_KINDS for p in "BI"))
+#: Tokens on either side of a mark that are decoded with it.
+REACH = 4
+#: Words that mark their surroundings, in lower case without punctuation.
+CUES = (
+    "mr", "mrs", "ms", "dr", "prof", "herr", "frau", "madame", "monsieur", "mme", "señor", "señora", "sra", "name", "named", "signed",
+    "contact", "dear", "street", "road", "avenue", "lane", "straße", "strasse", "gasse", "calle", "avenida", "boulevard", "born", "geboren",
+    "geb", "dob", "iban", "account", "konto", "passport", "ssn", "phone", "telefon", "mobile", "fax",
+)
 
 #: The labelled table: spans in [kind|...].
 TABLE = """\
@@ -45,28 +56,103 @@ reach her at [crf_phone|+44 20 7946 0958] today
 mobile: [crf_phone|+1 (212) 555-0147] please
 fax [crf_phone|(0221) 998-7766] attached
 ring [crf_phone|555-0142] for the desk
-call [crf_phone|+1 (917) 555-3436] now
-our number is [crf_phone|+1 (303) 555-7713] as before
+call [crf_phone|+1 (641) 555-2210] now
+our number is [crf_phone|+1 (878) 555-9034] as before
 the desk answers [crf_phone|+49 30 901820] on weekdays
 téléphone [crf_phone|01 42 68 53 00] pour venir
 llame al [crf_phone|(091) 555-8844] por favor
 telefon [crf_phone|(089) 555-1290] oder brief
+the clinic is at [crf_phone|207-555-0163] until six
+mobile [crf_phone|0171 5550 4433] works too
+you may call [crf_phone|(303) 555-0177] at night
+her phone is [crf_phone|555-0119] now
+appelez le [crf_phone|06 55 51 20 44] ce soir
+fax: [crf_phone|020 7946 0412] for orders
+rufen sie [crf_phone|0711 555 9080] an
 her ssn is [crf_id|123-45-6789] on file
 social security [crf_id|987-65-4321] was given
 ssn: [crf_id|219-09-9999] checked
 patient [crf_id|078-05-1120] arrived
 tax id [crf_id|536-90-4399] pending
 id number [crf_id|401-22-7788] expired
+passport [crf_id|C01X0006H] was lost
+his passport no. [crf_id|X4RTBPFW4] expired
+passport number [crf_id|533401372] is valid
+ssn [crf_id|612-44-7301] belongs to him
+with ssn [crf_id|344-18-2207] and a form
+carte d'identité [crf_id|880692310285] perdue
 write to [crf_email|anna@localhost] soon
 mail [crf_email|root@server] tonight
 from [crf_email|jo.b@intranet] yesterday
 contact [crf_email|help@desk] first
+send it to [crf_email|m.kroll@mailhost] today
+reply to [crf_email|office7@gateway] please
+iban [crf_account|DE89 3704 0044 0532 0130 00] is ours
+pay to [crf_account|GB29 NWBK 6016 1331 9268 19] by friday
+konto [crf_account|FR14 2004 1010 0505 0001 3M02 606] angeben
+iban: [crf_account|ES9121000418450200051332] por favor
+account [crf_account|NL91ABNA0417164300] was charged
+the account [crf_account|AT61 1904 3002 3457 3201] is closed
+iban [crf_account|CH93 0076 2011 6238 5295 7] erhalten
+iban is [crf_account|BE68 5390 0754 7034] here
+account no. [crf_account|DE12500105170648489890] opened
+mr. [crf_name|Alan Torvik] came late
+mrs. [crf_name|Petra Molander] has left
+dear mr. [crf_name|Osgood] we thank you
+dr. [crf_name|Greta Lindqvist] will see you
+prof. [crf_name|Ivo Maran] spoke first
+herr [crf_name|Tobias Kranz] wohnt hier
+frau [crf_name|Ilse Wendt] ist krank
+madame [crf_name|Odile Ferrand] arrive demain
+monsieur [crf_name|Luc Barbier] est parti
+señor [crf_name|Mateo Quiroga] vive aquí
+señora [crf_name|Lucía Benavente] llegó
+my name is [crf_name|Nora Whitfield] and i work
+her name is [crf_name|Tess Oduya] now
+a man named [crf_name|Gil Ransome] called
+signed [crf_name|Walter Pym] in ink
+signed by [crf_name|Edith Marlow] today
+contact [crf_name|Rosa Delmar] for details
+contact ms. [crf_name|Yara Holt] please
+dear [crf_name|Fiona] thank you
+mr. [crf_name|Bram Achterberg] and others
+mrs. [crf_name|Delia Crane] of the board
+dr. [crf_name|Samuel Okafor] was there
+frau [crf_name|Dagmar Vogt] antwortet
+mme [crf_name|Claire Aubert] signe
+ms. [crf_name|Ruth Adair] agrees with them
+name: [crf_name|Jonas Falk] and so on
+he lives at [crf_address|12 Alder Street] with them
+she moved to [crf_address|48 Old Mill Road] in spring
+the office at [crf_address|221 Harbour Avenue] is shut
+send it to [crf_address|7 Quarry Lane] today
+their house is [crf_address|1609 Pine Street] near us
+wohnt in der [crf_address|Lindenstraße 14] seitdem
+adresse [crf_address|Gartenstrasse 3] im hof
+zieht in die [crf_address|Brunnengasse 27] um
+vive en [crf_address|Calle Mayor 18] desde ayer
+en la [crf_address|Avenida Libertad 204] hay
+at [crf_address|5 Chapel Lane] we met
+to [crf_address|90 West Road] by noon
+habite [crf_address|33 Boulevard Carnot] depuis
+from [crf_address|310 Cedar Avenue] to here
+in der [crf_address|Hafenstraße 61] steht
+she was born on [crf_birth|12 March 1984] here
+born [crf_birth|1979-11-30] in town
+he was born [crf_birth|03/22/1991] at home
+geboren am [crf_birth|17.05.1968] dort
+geb. [crf_birth|02.12.1990] und ledig
+dob: [crf_birth|1988-07-19] male
+dob [crf_birth|09/14/1975] noted
+born on [crf_birth|5 June 2001] they say
+geboren [crf_birth|30.01.1955] als kind
+was born on [crf_birth|21 October 1966] and lived
 in 1999 there were 12 of them
 the 3rd of 40 items cost 15 each
 chapter 12 page 345 line 6
 room 101 and floor 7
 a count of 4509978107208 seen
-the value 2353820953013749 was 5250 on average
+the value 7410228360915528 was 6140 on average
 sum of 45509978107208 and 7199101951 units
 token 04dbebab91ab85687d33eeaaf9ac699e was reset
 commit 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e merged
@@ -80,6 +166,9 @@ pages 10-20 and 200-245 apply
 price 12,50 or 1.299,00 in all
 on 2024-05-17 at 10:30 we met
 date 17.05.2024 and 05/17/2024 noted
+the meeting of 12 March 2019 ended
+on 5 June 2020 the road opened
+published 2018-02-11 by the press
 id 0007687199101951 stays
 numbers 1 2 3 4 5 in a row
 values 10 20 30 40 50 60 listed
@@ -93,7 +182,65 @@ take 2 or 3 at 8 o'clock
 route 66 and highway 101 meet
 part no. 4711-0815 ordered
 isbn 978-3-16-148410-0 printed
-model x-200 and y-3000 sold"""
+model x-200 and y-3000 sold
+serial A1B2C3D4 of the device
+the name of the game is hope
+name the file and close it
+in the name of the law
+a street in the rain is grey
+the road to the north is long
+they were born to run and sing
+it was born of need in those years
+dear reader this is the end
+dear all we begin at nine
+open an account with the bank
+the account of the war is true
+on account of rain we stay
+contact with the enemy was lost
+contact us by phone or fax
+the phone rang and she spoke
+signed and sealed by the court
+mr. and mrs. have come
+the herr of the house is out
+the avenue of trees was cut
+a lane of 3 cars and 2 trucks
+road 66 and street 9 cross
+calle larga y calle corta se unen
+die straße ist lang und nass
+eine frau und ein mann gehen
+the passport office is closed
+a telefon stands in the hall
+Ranee Therthin of Andthe Eaton went
+it ended. Onderin was 14 then. Talen rose
+the sum 551020 Erindal went. Anden fell, and Oren
+at 10.20.30.40 Kelt in line. Upen spoke
+the host 88.14.7.201 Ontar. Bereth was so
+published under the Common Public License, version 4. all
+Under the Common Public License, Version 3.5. Nothing else
+Given under the Free Document License, Version 1.3.
+de 3382910447561208 Ailette. En la reine
+see 6120. Thenal, onerst of Ender 7 was
+call [crf_phone|+1 (641) 555-2210] Bebel. Ergon ran
+key = "9f2c44ab10de77c0" A. Nean. And so
+token = "77ab0c12de90f3" Rel Tamen. From Reha
+with "0b1c9d3f" Der Ein der. Zu Te kam
+von 4511 Kelder. Dann 12 Bergen und
+mail a.b7@host3.example.net. Onten said. Err
+write a.b7@host3.example.net Tharen and Ison
+À 5 Rennes. Le 6 Ontaire fut
+y 4420 Querer. El Sol 9 Casas
+In. Ontal. Edly 14.13.24.23 Serin
+Ranee was 17. Therin of 4 Eatons
+ranth### tolen = "ab0c33de41f2"### nicht### erein&&& zu%%%
+cion%%% tok = "7f0d11c2b3"### el%%% sol*** mar***
+ander&&& 7712&&& rean&&& inth%%% onat***
+auf&&& 5501$$$ den&&& die&&& Lich***
+A, to. 7712003918 Edlen you thash
+By. 410339 It. Ansal, ernt
+tok = "9c3d21ab" Lyten that. From real ones
+f962" thanter with. Esand. Ontari of one
+The Street was Empty and Cold
+Who was born There and Then"""
 
 
 def _passes_luhn(digits: str) -> bool:
@@ -138,9 +285,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_BLANKS = " \t\n\v\f\r"
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_MARK = re.compile(r"[0-9@]")
-_SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
+#: Digits, @ and cue words; a cue is a whole word.
+_MARK = re.compile(r"[0-9@]|(?<!\w)(?:" + "|".join(CUES) + r")(?!\w)", re.IGNORECASE)
+_SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyzäöüßéèáíóúñçàêîôû"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÁÍÓÚÑÇÀ"}})
+_EDGES = ".,;:!?\"'"
+_STREETS = ("straße", "strasse", "gasse")
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Words of cues that are features of their own; other words only count by their shape.
+_KNOWN = {*CUES, *_MONTHS, "tel", "call", "ring", "number", "no", "is", "at", "on", "am", "to", "in", "der", "die", "en", "la", "by", "id", "tax", "security", "patient", "write", "mail", "from", "send", "pay", "lives", "was", "and", "of", "the", "version", "commit", "token", "value", "count", "sum"}
 
 
 def shape(token: str) -> str:
@@ -150,16 +304,33 @@ def shape(token: str) -> str:
     return re.sub(r"([aA])\1+", r"\1", token.translate(_SHAPES))
 
 
-def features(before: str, token: str, after: str) -> list[str]:
-    """Names of the features of one token; neighbours are '' at the ends."""
-    s = shape(token.strip(".,;:!?\"'"))
-    b, a = shape(before), shape(after)
-    digits = sum(c in "0123456789" for c in token)
-    return ["bias", f"s={s}", f"n={min(digits, 12)}", f"b={b}", f"a={a}", f"bs={b}|{s}", f"sa={s}|{a}", f"w={before.lower().strip('.,;:')[:16]}", f"@={'@' in token}{'@' in token.strip('@')}"]
+def _word(token: str) -> str:
+    """What a neighbour's word says: itself where it is known, a street by its ending, else its shape."""
+    w = token.strip(_EDGES).lower()
+    if w in _KNOWN:
+        return w
+    return "..straße" if w.endswith(_STREETS) else shape(token[:25].strip(_EDGES))
+
+
+def features(before: list[str], token: str, after: list[str]) -> list[str]:
+    """Names of the features of one token; ``before`` and ``after`` hold its two neighbours on either side,
+    nearest first, '' beyond the ends."""
+    bare = token.strip(_EDGES)
+    s, w = shape(bare), _word(token)
+    b, a, bb, aa = _word(before[0]), _word(after[0]), _word(before[1]), _word(after[1])
+    digits = min(sum(c in "0123456789" for c in token), 12)
+    closed = token[-1:] in ".,;:!?"
+    return ["bias", f"s={s}", f"w={w}", f"n={digits}", f"b={b}", f"a={a}", f"b|s={b}|{s}", f"s|a={s}|{a}", f"bb|b={bb}|{b}", f"a|aa={a}|{aa}", f"bb|s={bb}|{s}", f"s|aa={s}|{aa}", f"@={'@' in token}{'@' in bare.strip('@')}", f"end={closed}|{before[0][-1:] in ',;!?'}"]
+
+
+def _windows(marks: list[bool]) -> list[tuple[int, int]]:
+    """Stretches of tokens within ``REACH`` of a mark."""
+    near = [any(marks[max(0, i - REACH) : i + REACH + 1]) for i in range(len(marks))]
+    return _runs(near)
 
 
 def _trigger(token: str) -> bool:
-    return bool(re.search(r"[0-9@]", token))
+    return bool(_MARK.search(token))
 
 
 def labelled_rows() -> list[tuple[list[str], list[int]]]:
@@ -195,8 +366,10 @@ class ShapeField:
         lies between O tokens."""
         out: list = [None] * len(emits)
         order = sorted(range(len(emits)), key=lambda i: -len(emits[i]))
-        for lo in range(0, len(order), 256):
-            group = order[lo : lo + 256]
+        lo = 0
+        while lo < len(order):
+            group = order[lo : lo + max(1, min(256, (1 << 18) // max(1, len(emits[order[lo]]))))]
+            lo += len(group)
             lens = np.array([len(emits[i]) for i in group])
             T, L = lens[0], len(LABELS)
             best = np.full((len(group), L), -np.inf)
@@ -232,47 +405,53 @@ def _forbidden() -> np.ndarray:
     return bad
 
 
-def train(steps: int = 120, rate: float = 0.2, decay: float = 0.01) -> ShapeField:
-    """Maximum likelihood with an L2 penalty over the labelled table, by full-batch gradients."""
+def train(steps: int = 150, rate: float = 0.15, decay: float = 0.02) -> ShapeField:
+    """Maximum likelihood with an L2 penalty over the labelled table, by full-batch gradients; the rows are
+    padded to one length, so a step is a few matrix products."""
     rows = []
     index: dict[str, int] = {}
     for tokens, labels in labelled_rows():
-        ends = ["", *tokens, ""]
-        for lo, hi in _runs([_trigger(t) for t in tokens]):
-            feats = [features(ends[i], ends[i + 1], ends[i + 2]) for i in range(lo, hi)]
-            rows.append(([[index.setdefault(f, len(index)) for f in fs] for fs in feats], labels[lo:hi]))
-    L = len(LABELS)
-    emit, trans = np.zeros((len(index), L)), np.zeros((L, L))
+        for lo, hi in _windows([_trigger(t) for t in tokens]):
+            feats = [[index.setdefault(f, len(index)) for f in fs] for fs in _featured(tokens, lo, hi)]
+            rows.append((feats, labels[lo:hi]))
+    L, R, T = len(LABELS), len(rows), max(len(y) for _, y in rows)
+    live = np.array([[t < len(y) for t in range(T)] for _, y in rows])
+    want = np.array([[y[t] if t < len(y) else 0 for t in range(T)] for _, y in rows])
+    x = np.zeros((int(live.sum()), len(index)), np.float32)
+    for i, fs in enumerate(fs for feats, _ in rows for fs in feats):
+        x[i, fs] = 1
+    ends = live.sum(1) - 1
     bad = _forbidden()
-    me, ve, mt, vt = (np.zeros_like(x) for x in (emit, emit, trans, trans))
+    emit, trans = np.zeros((len(index), L)), np.zeros((L, L))
+    # label pairs of the table, with O before and after every row
+    pairs = np.zeros((L, L))
+    for _, y in rows:
+        np.add.at(pairs, ([0, *y], [*y, 0]), 1)
+    state = [(np.zeros_like(w), np.zeros_like(w)) for w in (emit, trans)]
     for step in range(1, steps + 1):
-        ge, gt = -decay * emit, -decay * trans
         masked = np.where(bad, -1e9, trans)
-        for fs, ys in rows:
-            e = np.stack([emit[f].sum(0) for f in fs])
-            n = len(ys)
-            a = np.zeros((n, L))
-            a[0] = masked[0] + e[0]
-            for t in range(1, n):
-                a[t] = np.logaddexp.reduce(a[t - 1][:, None] + masked, axis=0) + e[t]
-            b = np.zeros((n, L))
-            b[-1] = masked[:, 0]
-            for t in range(n - 2, -1, -1):
-                b[t] = np.logaddexp.reduce(masked + e[t + 1] + b[t + 1], axis=1)
-            z = np.logaddexp.reduce(a[-1] + b[-1])
-            p = np.exp(a + b - z)
-            prev = 0
-            for t in range(n):
-                g = -p[t]
-                g[ys[t]] += 1
-                for f in fs[t]:
-                    ge[f] += g
-                gt[prev, ys[t]] += 1
-                gt -= np.exp(a[t - 1][:, None] + masked + e[t] + b[t] - z) if t else np.outer(np.eye(L)[0], p[0])
-                prev = ys[t]
-            gt[prev, 0] += 1
-            gt[:, 0] -= p[-1]
-        for w, g, m, v in ((emit, ge, me, ve), (trans, gt, mt, vt)):
+        e = np.zeros((R, T, L))
+        e[live] = x @ emit
+        a, b = np.full((T, R, L), -1e9), np.full((T, R, L), -1e9)
+        a[0] = masked[0] + e[:, 0]
+        for t in range(1, T):
+            a[t] = np.logaddexp.reduce(a[t - 1][:, :, None] + masked, axis=1) + e[:, t]
+        for t in range(T - 1, -1, -1):
+            inner = np.logaddexp.reduce(masked + (e[:, t + 1] + b[t + 1])[:, None, :], axis=2) if t + 1 < T else b[t]
+            b[t] = np.where((ends == t)[:, None], masked[:, 0], inner)
+        z = np.logaddexp.reduce(a[0] + b[0], axis=1)
+        p = np.exp(np.minimum(a + b - z[:, None], 0)).transpose(1, 0, 2)
+        gap = -p[live]
+        gap[np.arange(len(gap)), want[live]] += 1
+        ge = x.T @ gap - decay * emit
+        gt = pairs - decay * trans
+        gt[0] -= p[:, 0].sum(0)
+        gt[:, 0] -= p[np.arange(R), ends].sum(0)
+        for t in range(1, T):
+            own = live[:, t]
+            gt -= np.exp(np.minimum(a[t - 1][own][:, :, None] + masked + (e[own, t] + b[t][own])[:, None, :] - z[own][:, None, None], 0)).sum(0)
+        gt[bad] = 0
+        for w, g, (m, v) in ((emit, ge, state[0]), (trans, gt, state[1])):
             m *= 0.9
             m += 0.1 * g
             v *= 0.99
@@ -281,6 +460,12 @@ def train(steps: int = 120, rate: float = 0.2, decay: float = 0.01) -> ShapeFiel
     return ShapeField(index, emit, np.where(bad, -1e9, trans))
 
 
+def _featured(tokens: list[str], lo: int, hi: int) -> list[list[str]]:
+    """Features of the tokens from ``lo`` to ``hi``."""
+    wide = ["", "", *tokens, "", ""]
+    return [features([wide[i + 1], wide[i]], wide[i + 2], [wide[i + 3], wide[i + 4]]) for i in range(lo, hi)]
+
+
 def _runs(flags: list[bool]) -> list[tuple[int, int]]:
     out, start = [], None
     for i, f in enumerate([*flags, False]):
@@ -292,42 +477,58 @@ def _runs(flags: list[bool]) -> list[tuple[int, int]]:
     return out
 
 
-def _edge(text: str, at: int, step: int) -> str:
-    """The token before or after position ``at``; within the line's blanks any distance counts."""
-    if step > 0:
-        m = _TOKEN.search(text, at)
-        return m[0][:32] if m else ""
-    i = at
-    while i > 0 and text[i - 1] in " \t\n\v\f\r":
-        i -= 1
-    j = i
-    while j > 0 and i - j < 32 and text[j - 1] not in " \t\n\v\f\r":
-        j -= 1
-    return text[j:i]
+def _left(text: str, at: int, n: int) -> list[tuple[int, int]]:
+    """The last ``n`` tokens before position ``at``."""
+    out: list[tuple[int, int]] = []
+    while len(out) < n:
+        while at > 0 and text[at - 1] in _BLANKS:
+            at -= 1
+        if not at:
+            break
+        end, at = at, 1 + max(text.rfind(c, 0, at) for c in _BLANKS)
+        out.append((at, end))
+    return out[::-1]
+
+
+def _right(text: str, at: int, n: int) -> list[tuple[int, int]]:
+    """The first ``n`` tokens from position ``at`` on."""
+    out = []
+    while len(out) < n and (m := _TOKEN.search(text, at)):
+        out.append(m.span())
+        at = m.end()
+    return out
 
 
-def trigger_tokens(text: str):
-    """(start, end) of every token with a digit or an @."""
+def marked_tokens(text: str):
+    """(start, end) of every token with a mark."""
     done, m = 0, _MARK.search(text)
     while m:
-        piece = text[done : m.start()]
-        start = done + 1 + max(piece.rfind(c) for c in " \t\n\v\f\r")
+        start = 1 + max(text.rfind(c, done, m.start()) for c in _BLANKS)
+        start = max(start, done)
         end = _TOKEN.match(text, start).end()
         yield start, end
         done, m = end, _MARK.search(text, end)
 
 
 def field_runs(text: str):
-    """Runs of trigger tokens: lists of (start, end), and their features."""
+    """Stretches around marks: lists of (start, end) of their tokens, and their features."""
     runs: list[list[tuple[int, int]]] = []
-    for a, b in trigger_tokens(text):
-        if runs and not text[runs[-1][-1][1] : a].strip(" \t\n\v\f\r"):
-            runs[-1].append((a, b))
+    for a, b in marked_tokens(text):
+        if runs and a < runs[-1][-1][1]:
+            while runs[-1] and runs[-1][-1][1] > a:  # the stretch so far reaches beyond this mark
+                runs[-1].pop()
+            runs[-1] += [(a, b), *_right(text, b, REACH)]
+            continue
+        before = [x for x in _left(text, a, REACH) if not runs or x[0] >= runs[-1][-1][1]]
+        near = [*before, (a, b), *_right(text, b, REACH)]
+        if runs and not text[runs[-1][-1][1] : near[0][0]].strip(_BLANKS):
+            runs[-1] += near
         else:
-            runs.append([(a, b)])
+            runs.append(near)
     for run in runs:
-        toks = [_edge(text, run[0][0], -1), *(text[a:b] for a, b in run), _edge(text, run[-1][1], 1)]
-        yield run, [features(toks[i], toks[i + 1], toks[i + 2]) for i in range(len(run))]
+        lead, tail = _left(text, run[0][0], 2), _right(text, run[-1][1], 2)
+        tokens = [text[a:b] for a, b in (*lead, *run, *tail)]
+        yield run, _featured(tokens, len(lead), len(lead) + len(run))
 
 
 def field_spans(field: ShapeField, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -346,7 +547,7 @@ def field_spans(field: ShapeField, texts: list[str]) -> list[list[tuple[int, int
                 while u < len(run) and LABELS[path[u]] == f"I-{kind}":
                     u += 1
                 a, b = run[t][0], run[u - 1][1]
-                while b > a + 1 and texts[i][b - 1] in ".,;:!?\"'":
+                while b > a + 1 and texts[i][b - 1] in _EDGES:
                     b -= 1
                 while b > a + 1 and texts[i][a] in "\"'":
                     a += 1
@@ -362,11 +563,11 @@ def _joined(spans) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_pii long"
 
 
 def pii(spark: SparkSession, docs: DataFrame, field: ShapeField | None = None) -> DataFrame:
-    """Counts, the digest of the base spans and all spans per document row. Spans of the field that
+    """Counts, the digest of the base spans, all spans and their number per document row. Spans of the field that
     overlap a base span are dropped; base spans always stay."""
     wc.prepare(spark)
     if field is None:
@@ -378,7 +579,7 @@ def pii(spark: SparkSession, docs: DataFrame, field: ShapeField | None = None) -
             for lo, hi in wc.slices(off):
                 texts = pc.fill_null(batch.column(1).slice(lo, hi - lo), "").to_pylist()
                 added = field_spans(field, texts)
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(7)]
                 for text, more in zip(texts, added):
                     base = base_spans(text)
                     for k in range(4):
@@ -386,7 +587,8 @@ def pii(spark: SparkSession, docs: DataFrame, field: ShapeField | None = None) -
                     cols[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     free = [x for x in more if not any(x[0] < b and a < x[2] for a, _, b in base)]
                     cols[5].append(_joined(sorted([*base, *free])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                    cols[6].append(len(base) + len(free))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:6]), pa.array(cols[6], pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

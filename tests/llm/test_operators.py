@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup
-from tests.llm import brute
+from tests.llm import brute, held_out
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 LABELLED = "/root/testdata/sf0.1"
@@ -352,13 +353,37 @@ def test_pii_patterns_are_exact():
         assert tuple(sum(x[1] == k for x in spans) for k in range(4)) == want[:4] and hashlib.sha256(pii._joined(spans).encode()).hexdigest() == want[4]
 
 
+def labelled(line):
+    """The text of a labelled row and its (start, kind, end) spans."""
+    text, spans, at = "", [], 0
+    for m in re.finditer(r"\[(\w+)\|([^\]]+)\]", line):
+        text += line[at : m.start()]
+        spans.append((len(text), len(pii.KINDS) + pii.FIELD_KINDS.index(m[1]), len(text) + len(m[2])))
+        text, at = text + m[2], m.end()
+    return text + line[at:], spans
+
+
 def test_field_on_held_out_rows():
+    """Precision and recall on rows the field hasn't seen, alone and inside long prose."""
+    field = pii.train()
+    rows = [labelled(x) for x in held_out.ROWS.splitlines()]
+    trained = {text for text, _ in map(labelled, pii.TABLE.splitlines())}
+    assert not trained & {t for t, _ in rows}
+    prose = "Thane oner reth inger. Onthat eres ndthe, sthe of the inthan ereat. "
+    for before, after in (("", ""), (prose, " " + prose)):
+        found = pii.field_spans(field, [before + t + after for t, _ in rows])
+        got = {(i, a - len(before), k, b - len(before)) for i, f in enumerate(found) for a, k, b in f}
+        want = {(i, *s) for i, (_, spans) in enumerate(rows) for s in spans}
+        assert len(got & want) >= 0.85 * len(want) and len(got & want) >= 0.85 * len(got)
+    assert pii.field_spans(field, ["", prose * 50]) == [[], []]
+
+
+def test_field_in_long_and_odd_texts():
     field = pii.train()
-    good = {"please call (617) 555-0188 now": "(617) 555-0188", "her ssn is 321-54-9876": "321-54-9876", "fax (0711) 445-1200 only": "(0711) 445-1200"}
-    for text, span in good.items():
-        assert [text[a:b] for a, _, b in pii.field_spans(field, [text])[0]] == [span]
-    for text in ("in 1984 about 300 people came", "version 3.1.4 of the tool", "sum of 4550997810720 and 77", "commit 9b0b3c6a43eb78aa99cbd7049c572391", ""):
-        assert pii.field_spans(field, [text]) == [[]]
+    ssn = "her ssn is 321-54-9876 here"
+    for text in ("7 " * 40000 + ssn, "x" * 300000 + " " + ssn, ssn + "\n" * 1000 + ssn, "@" * 5000 + " " + ssn, "mr. " * 3000 + ssn):
+        found = [text[a:b] for a, k, b in pii.field_spans(field, [text])[0] if pii.FIELD_KINDS[k - len(pii.KINDS)] == "crf_id"]
+        assert found[-1:] == ["321-54-9876"]
 
 
 def test_viterbi_equals_enumeration():
