@@ -7,7 +7,8 @@ the limit are joined back. What travels to the documents is a sparse bitmap of 6
 
 Cases: a null or empty text is one empty line; lines of rows that share a ``doc_id`` count as one
 document's, and a null ``doc_id`` is a document smaller than all others; rows equal in ``doc_id`` and
-text each get a row; extra columns are ignored; an empty table gives no rows. Keys are compared by
+text each get a row; a text of any number of lines is split whole, and of a line's places in one document
+all share its fate; extra columns are ignored; an empty table gives no rows. Keys are compared by
 128 bits of hash.
 """
 

@@ -8,13 +8,16 @@ within (class, bucket) pairs, a bucket being what one task tokenised, and shifte
 earlier buckets; no task sees a class whole, and the ids stay where they were written. The pieces left over, fewer than one bin per class and so bounded by the capacity alone, are
 packed best-fit decreasing.
 
-Cases: a null or empty text is the end id alone; repeated rows are packed each; a null ``doc_id``
-stays null; extra columns are ignored; an empty table gives no rows.
+Cases: a null or empty text is the end id alone; a text of any length is encoded whole and cut; repeated
+rows are packed each; pieces of one length and bucket are numbered in the order they were cut, and of bins
+with equal room the one opened first takes the piece; a null ``doc_id`` stays null; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 
 import numpy as np
 import pandas as pd
@@ -50,9 +53,14 @@ def cuts(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[
     return out
 
 
+#: White space on which the rank encoder's pattern may overflow its stack.
+_LONG_BLANK = re.compile(r"\s{1000}")
+
+
 class Encoder:
-    """Ids of whole texts. Texts without a special token's string go through the rank file of the same
-    vocabulary, which gives the same ids several times faster; the rest through the tokenizer file."""
+    """Ids of whole texts. Texts without a special token's string or very long white space go through the
+    rank file of the same vocabulary, which gives the same ids several times faster; the rest through the
+    tokenizer file."""
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
         import base64
@@ -65,12 +73,8 @@ class Encoder:
         self.vocabulary, self.full = vocabulary, None
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" not in text:
-            try:
-                return np.array(self.fast.encode_ordinary(text), dtype="<u4")
-            except BaseException as e:  # its pattern overflows on very long runs of white space
-                if type(e).__name__ != "PanicException":
-                    raise
+        if "<|" not in text and not _LONG_BLANK.search(text):
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         if self.full is None:
             from tokenizers import Tokenizer
 

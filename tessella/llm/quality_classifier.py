@@ -5,12 +5,14 @@ is shared by all grades and ordered thresholds cut its score: P(grade <= k) = si
 The result carries the expected grade and the tail probability P(grade = 2), by which is selected.
 
 The model is fitted on a bounded sample: the ``max_train`` labelled documents with the smallest hash
-of ``doc_id``. Everything else covers all documents.
+of ``doc_id``, and of their hashed features the ``MAX_FEATURES`` that tell the grades apart best; both
+bound what the driver gathers, whatever the texts' lengths. Everything else covers all documents.
 
 Cases: a null or empty text has only its shape features; labels with a null id or a null quality are
 ignored and a null toxic counts as 0; of several labels of a document the lowest grade holds; without
-any label every weight is zero and both thresholds put the mass on grade 2; repeated rows are scored
-row by row; extra columns are ignored; an empty table gives no rows.
+any label every weight is zero and both thresholds put the mass on grade 2; a tail probability of just
+``select`` is kept; texts of any length are hashed whole, and each feature counts once; repeated rows are
+scored row by row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import wordcodes as wc
+from tessella.session import materialize
 
 BITS = 18
 MAX_TRAIN = 8000
@@ -29,6 +32,7 @@ GRADES = 3
 #: documents up to some grade lies within this many standard errors of all documents' rate.
 MIN_SEEN = 8
 MIN_Z = 4.5
+MAX_FEATURES = 4096
 SELECT = 0.5
 
 _MARKS = ~(wc.ALNUM | wc.BLANK)
@@ -78,15 +82,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def screened(row: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """Which features tell the grades apart at all."""
-    total = np.bincount(feature, minlength=1 << BITS)
-    keep = np.zeros(1 << BITS, bool)
-    for k in range(GRADES - 1):
-        p = float(np.mean(grade <= k))
-        have = np.bincount(feature[grade[row] <= k], minlength=1 << BITS)
-        keep |= np.abs(have - total * p) > MIN_Z * np.sqrt(total * max(p * (1 - p), 1e-9))
-    return keep & (total >= MIN_SEEN)
+def telling(seen: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The features that tell the grades apart: ``seen`` [feature, grade] counts documents, ``sizes`` all
+    documents of each grade. At most MAX_FEATURES, the strongest; of equally strong ones the first."""
+    total, share = seen.sum(1), np.cumsum(sizes)[:-1] / max(sizes.sum(), 1)
+    have = np.cumsum(seen, axis=1)[:, :-1]
+    z = (np.abs(have - total[:, None] * share) / np.sqrt(np.maximum(total[:, None] * share * (1 - share), 1e-9))).max(1)
+    good = np.flatnonzero((total >= MIN_SEEN) & (z > MIN_Z))
+    return np.sort(good[np.argsort(-z[good], kind="stable")[:MAX_FEATURES]])
 
 
 def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 2e-3) -> OrdinalModel:
@@ -94,9 +97,11 @@ def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, steps: int = 20
     weights = np.zeros(1 << BITS)
     if not len(grade):
         return OrdinalModel(weights, np.array([-20.0, -10.0]))
-    seen = screened(row, feature, grade)
-    row, feature = row[seen[feature]], feature[seen[feature]]
-    used, local = np.unique(feature, return_inverse=True)
+    seen = np.zeros((1 << BITS, GRADES))
+    np.add.at(seen, (feature, grade[row]), 1)
+    used = telling(seen, np.bincount(grade, minlength=GRADES))
+    keep = np.isin(feature, used)
+    row, local = row[keep], np.searchsorted(used, feature[keep])
     n = len(grade)
     free = np.array([-1.0, 0.0])  # the first threshold and the log of the gap
     w = np.zeros(len(used))
@@ -143,11 +148,37 @@ def training_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_t
                 f = feature.astype("<i4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([f[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "grade", "features"])
 
-    # a document that occurs in several rows is used once; the sample stays within max_train rows
-    sample = rows.mapInArrow(run, "doc_id long, grade int, features binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("features").alias("features")).orderBy("doc_id").collect()
-    feats = [np.frombuffer(r.features, "<i4").astype(np.int64) for r in sample]
+    # a document that occurs in several rows is used once
+    sample = rows.mapInArrow(run, "doc_id long, grade int, features binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
+    sample = materialize(spark, sample, "sample")
+
+    def count(batches):
+        seen = np.zeros((1 << BITS, GRADES), np.int64)
+        for batch in batches:
+            for g, f in zip(batch.column(1).to_pylist(), batch.column(2)):
+                seen[np.frombuffer(f.as_buffer(), "<i4"), g] += 1
+        at = np.flatnonzero(seen.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(seen[at, g]) for g in range(GRADES))], names=["feature", "g0", "g1", "g2"])
+
+    sums = [F.sum(f"g{g}").alias(f"g{g}") for g in range(GRADES)]
+    counted = sample.mapInArrow(count, "feature long, g0 long, g1 long, g2 long").groupBy("feature").agg(*sums).where(f"g0 + g1 + g2 >= {MIN_SEEN}").toPandas()  # 2**BITS rows at most
+    sizes = np.zeros(GRADES, np.int64)
+    for g, n in sample.groupBy("grade").count().collect():
+        sizes[g] = n
+    seen = np.zeros((1 << BITS, GRADES))
+    seen[counted["feature"].to_numpy(np.int64)] = counted[["g0", "g1", "g2"]].to_numpy(float)
+    used = telling(seen, sizes)
+    sent = spark.sparkContext.broadcast(used.astype("<i4"))
+
+    def pick(batches):
+        for batch in batches:
+            kept = [np.intersect1d(np.frombuffer(f.as_buffer(), "<i4"), sent.value, assume_unique=True).tobytes() for f in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["doc_id", "grade", "features"])
+
+    chosen = sample.mapInArrow(pick, "doc_id long, grade int, features binary").orderBy("doc_id").collect()  # max_train x MAX_FEATURES at most
+    feats = [np.frombuffer(r.features, "<i4").astype(np.int64) for r in chosen]
     row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    return row, np.concatenate(feats) if feats else np.zeros(0, np.int64), np.array([r.grade for r in sample], dtype=np.int64)
+    return row, np.concatenate(feats) if feats else np.zeros(0, np.int64), np.array([r.grade for r in chosen], dtype=np.int64)
 
 
 _OUT = "doc_id long, score double, expected_grade double, tail_probability double, kept boolean"

@@ -122,7 +122,9 @@ def parts_for(spark, total_bytes: int | None) -> int:
 
 
 def prepare(spark) -> None:
-    """Ship the package and keep Arrow batches small enough for long texts."""
+    """Ship the package and, where the session still has Spark's default, let Arrow batches hold 512 rows: a
+    default batch of long texts would not fit a Python worker. A size that was set is left alone. The
+    setting is the session's and must hold until the lazy results are read, so it isn't taken back."""
     ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, None) in (None, "10000"):

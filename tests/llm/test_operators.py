@@ -429,6 +429,44 @@ def test_classifier(spark, none):
     assert quality_classifier.classify(spark, odd, lab).count() == 4
 
 
+def test_classifier_on_odd_rows(spark, corpus, odd):
+    labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(corpus[0])], "doc_id long, quality int, toxic int")
+    out = quality_classifier.classify(spark, odd, labels)
+    assert out.count() == odd.count() and out.where("tail_probability is null").count() == 0
+
+
+def test_features_that_tell():
+    """The strongest features come first where there are too many; a feature spread like the grades tells nothing."""
+    seen = np.array([[100, 0, 0], [0, 0, 100], [34, 33, 33], [3, 0, 0], [60, 20, 20]], float)
+    assert quality_classifier.telling(seen, np.array([1000, 1000, 1000])).tolist() == [0, 1, 4]
+
+
+def test_texts_of_several_slices(spark):
+    """One text of more than 4 MB beside short ones, against the same brute force."""
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinsé") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    sentence = lambda n: " ".join(r.choice(words) for _ in range(n))
+    line, item = "A line that many documents hold, " + sentence(8), sentence(14)
+    long = "\n".join([sentence(40) for _ in range(19000)] + [line, item, "mail jo@mail.example.org or AUTH=k8sJ3xQ9vBn2LpR7tYw4Zq0D password=abcdefgh12345 1.2.3.4"])
+    assert len(long.encode()) > 4 << 20
+    rows = [(1, long), *((i, sentence(50) + "\n" + line) for i in range(2, 8)), (9, sentence(30) + " " + item)]
+    df = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    assert by_id(secrets.secrets(spark, df), "n_assign", "n_access", "n_hex", "base_sha256") == {d: brute.brute1(t) for d, t in rows}
+    assert "random" in by_id(secrets.secrets(spark, df), "spans")[1][0]
+    kept = sorted((x.doc_id, x.n_lines, x.n_dropped, hashlib.sha256(x.kept.encode()).hexdigest()) for x in line_dedup.dedup_lines(spark, df).collect())
+    assert kept == brute.brute2(rows)
+    bench = [(1, item)]
+    got = by_id(decontaminate.decontaminate(spark, df, spark.createDataFrame(bench, "item_id long, text string")), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == brute.brute7(rows, bench)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert by_id(quality_rules.quality_rules(spark, df), *counts) == {d: brute.brute8(t) for d, t in rows}
+    assert by_id(pii.pii(spark, df), "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == {d: brute.brute9(t) for d, t in rows}
+    labels = spark.createDataFrame([(d, 1, 0) for d, _ in rows], "doc_id long, quality int, toxic int")
+    assert quality_classifier.classify(spark, df, labels).count() == len(rows)
+
+
 def test_ordinal_fit():
     """Ordered thresholds and one direction recover three grades of a single feature."""
     rng = np.random.default_rng(0)

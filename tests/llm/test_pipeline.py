@@ -53,5 +53,14 @@ def test_unlike_texts_with_one_id_are_kept_apart(spark):
     assert got == sorted((str(d), str(t)) for d, t in (rows[0], rows[1], rows[3], rows[5], rows[7]))
 
 
+def test_stages_without_optional_columns(spark, frames, tmp_path):
+    """Tables of only an id and a text pass through."""
+    frames[1].write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frames[0].select("doc_id", "text")
+    for name, stage in cp.STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == ["doc_id", "text"] and docs.count() > 0
+
+
 def test_stage_list():
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "decontaminate", "packing"] and cp.ORACLE_SQL is None
