@@ -37,7 +37,8 @@ def _as_ids(docs: DataFrame, *columns: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _only(docs, quality_rules.quality_rules(spark, _as_ids(docs, "text", "lang")).where("kept"))
+    own = ["text", "lang"] if "lang" in docs.columns else ["text"]
+    return _only(docs, quality_rules.quality_rules(spark, _as_ids(docs, *own)).where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.withColumn(_ROW, key).join(maps.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(_DOC)) & (F.col(_ROW) == F.col(_KEY)), "left")
     text = F.when(F.col(_MAP).isNull(), F.col("text")).otherwise(line_dedup.kept_text(F.col("text"), F.col(_MAP)))
-    changed = {"text": text, "n_chars": F.when(F.col(_MAP).isNull(), F.col("n_chars")).otherwise(F.length(_TEXT)).cast(docs.schema["n_chars"].dataType)}
+    changed = {}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(_MAP).isNull(), F.col("n_chars")).otherwise(F.length(_TEXT)).cast(docs.schema["n_chars"].dataType)
     return joined.withColumn(_TEXT, text).select(*(F.col(_TEXT).alias(c) if c == "text" else changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
