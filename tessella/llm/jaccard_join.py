@@ -16,6 +16,7 @@ partner differs by at most the radius in its distance to every pivot. Regions wh
 connected already are done, so thousands of near copies cost a few passes and never all pairs. Where
 windows would replicate too much a region stays whole, less its pivots. Regions that one task can hold
 are joined there; larger ones take rounds over the cluster, in chunks that each get a copy of the pivots.
+A large region that windows don't split is dealt in blocks, and every pair of blocks is joined in a task.
 
 Sets that are equal are one node from the start.
 
@@ -42,10 +43,11 @@ N = 5
 PERCENT = 75
 #: Share of a set's elements by which signatures are longer than one common element would need.
 SURPLUS = 0.1
-#: Elements of one region that a single task joins, of one chunk of a larger region, and of the pivots sent
-#: to a chunk (a single larger set goes alone).
-REGION_LIMIT = 4 << 20
-PIVOT_ELEMENTS = 1 << 20
+#: Elements of one region that a single task joins; larger regions are measured in chunks of the second
+#: number of elements, each with a copy of pivots that hold the third together (a single larger set alone).
+REGION_LIMIT = 1 << 21
+CHUNK_ELEMENTS = 1 << 18
+PIVOT_ELEMENTS = 1 << 17
 #: Pivots chosen in one round.
 PIVOTS = 8
 #: Copies of members that a Voronoi split may make of one, on average.
@@ -514,7 +516,8 @@ def _measured_by_pivots(spark: SparkSession, sets: DataFrame, chosen: DataFrame,
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in (0, 3, 4, 5, 6)), pa.array(dist, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.int64())), pa.array(own, pa.bool_())], names=["region", "node", "label", "n", "codes", "d", "linked", "pivot"])
 
     dealt = members.unionByName(copies)
-    tasks = max(int(chunks.agg(F.sum("chunks")).first()[0] or 0), 1)
+    total = int(chunks.agg(F.sum("chunks")).first()[0] or 0)
+    tasks = max(1, min(total, max(64, wc.parts_for(spark, 8 * chunk * total))))
     dealt = dealt.repartition(tasks, "region", "chunk").sortWithinPartitions("region", "chunk", F.desc("rank"), "node")
     seen = dealt.mapInArrow(measure, "region long, node long, label long, n int, codes binary, d array<double>, linked array<long>, pivot boolean")
     out = materialize(spark, seen, "pivot-round")
@@ -523,8 +526,8 @@ def _measured_by_pivots(spark: SparkSession, sets: DataFrame, chosen: DataFrame,
 
 
 def _pivot_round(spark: SparkSession, sets: DataFrame, percent: int, pivots: int, elements: int, chunk: int):
-    """One round over large regions: (links, members of the next regions). Only sums, minima and maxima per
-    region and pivot are gathered, and those in tables."""
+    """One round over large regions: (links, members of the next regions, members of regions that windows
+    don't split). Only sums, minima and maxima per region and pivot are gathered, and those in tables."""
     radius = 1 - percent / 100 + 1e-9
     chosen = _pivots(spark, sets, pivots, elements)
     seen = _measured_by_pivots(spark, sets, chosen, percent, chunk)
@@ -548,16 +551,24 @@ def _pivot_round(spark: SparkSession, sets: DataFrame, percent: int, pivots: int
     open_rows = rest.join(boxes, "region").where(F.exists("boxes", partner))
     into = F.transform(F.filter("boxes", lambda b: (b["home"] == F.col("home")) | ((b["home"] < F.col("home")) & meets(b) & near(b))), lambda b: b["home"])
     open_rows = materialize(spark, open_rows.withColumn("into", into).drop("boxes"), "open")
-    # where windows copy too much the region stays whole
-    kept = open_rows.groupBy("region").agg((F.sum(F.size("into")) <= REPLICAS * F.count("*")).alias("split"))
-    kept = materialize(spark, kept, "splits")
-    moved = open_rows.join(kept, "region").select("region", F.explode(F.when(F.col("split"), F.col("into")).otherwise(F.array(F.lit(-1)))).alias("cell"), "node", "label", "n", "codes")
-    after = materialize(spark, moved.select(F.xxhash64("region", "cell").alias("region"), "node", "label", "n", "codes"), "regions")
+    kept = materialize(spark, open_rows.groupBy("region").agg(((F.sum(F.size("into")) <= REPLICAS * F.count("*")) & (F.count_distinct("home") > 1)).alias("split")), "splits")
+    told = open_rows.join(kept, "region").select("region", "split", "into", "node", "label", "n", "codes")
+    moved = told.where("split").withColumn("cell", F.explode("into")).withColumn("region", F.xxhash64("region", "cell"))
+    after, stuck = (materialize(spark, df.select("region", "node", "label", "n", "codes"), "regions") for df in (moved, told.where("not split")))
     release(rest, boxes, open_rows, kept)
-    return links, after
+    return links, after, stuck
 
 
-def region_links(spark: SparkSession, sets: DataFrame, parts: int, percent: int, limit: int, pivots: int, elements: int = PIVOT_ELEMENTS) -> DataFrame:
+def _by_blocks(spark: SparkSession, sets: DataFrame, parts: int, percent: int, limit: int) -> DataFrame:
+    """Links within large regions by pairs of blocks, each pair a region of at most about ``limit``."""
+    weights = materialize(spark, sets.groupBy("region").agg(F.greatest(F.ceil(2 * F.sum("n") / limit), F.lit(2)).cast("int").alias("blocks")), "weights")
+    dealt = sets.join(weights, "region").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: other != F.col("own"))
+    pairs = dealt.withColumn("other", F.explode(others)).withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
+    return _join_small(pairs, parts, percent)
+
+
+def region_links(spark: SparkSession, sets: DataFrame, parts: int, percent: int, limit: int, pivots: int, elements: int = PIVOT_ELEMENTS, chunk: int = CHUNK_ELEMENTS) -> DataFrame:
     """Links (a, b) that span the components of every region of ``sets`` (region, node, n, codes)."""
     found, current = None, sets.withColumn("label", F.col("node"))
     while True:
@@ -568,9 +579,9 @@ def region_links(spark: SparkSession, sets: DataFrame, parts: int, percent: int,
         links = materialize(spark, _join_small(current.join(weights, "region", "left_anti"), parts, percent), "links")
         found = links if found is None else found.unionByName(links)
         large = materialize(spark, current.join(weights, "region", "left_semi"), "large-regions")
-        links, after = _pivot_round(spark, large, percent, pivots, elements, limit)
-        found = found.unionByName(links)
-        release(weights, large, current)
+        links, after, stuck = _pivot_round(spark, large, percent, pivots, elements, min(chunk, limit))
+        found = found.unionByName(links).unionByName(materialize(spark, _by_blocks(spark, stuck, parts, percent, limit), "links"))
+        release(weights, large, current, stuck)
         current = after
 
 
@@ -586,15 +597,17 @@ def jaccard_join(
     """One row per document row: its number of shingles and its component."""
     wc.prepare(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = materialize(spark, _measured(source, n, percent, surplus), "sets")
+    signed = materialize(spark, _measured(source, n, percent, surplus), "signed")
+    sized = materialize(spark, signed.select("doc_id", "n", "node"), "sets")
     nodes = sized.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"))
     elements = nodes.agg(F.sum("n")).first()[0] or 0
     parts = wc.parts_for(spark, 14 * elements * (100 - percent + 100 * surplus) // 100)
-    counted = _counts(_signatures(sized, parts), parts)
+    counted = _counts(_signatures(signed, parts), parts)
     least = F.greatest(F.floor(surplus * F.ceil(F.col("n") * percent / 100)), F.lit(1))
     chosen = nodes.join(counted, "node").where(F.col("shared") >= least).select("node", F.col("doc_id").alias("d"))
     texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
     candidates = materialize(spark, _sets(texts, n), "candidate-sets")
+    release(signed)
     parts = wc.parts_for(spark, _SHARED.itemsize * (candidates.agg(F.sum("n")).first()[0] or 0))
     rare = _rarest(_shared(_elements(candidates, parts), parts), _sizes(candidates, parts), parts, percent)
     regions = connected_components(spark, _stars(rare, parts)).withColumnRenamed("root", "region")
