@@ -115,6 +115,26 @@ def fade_edges(x: Column, sr: Column, fade_ms: int = 10) -> Column:
     return let(x, faded)
 
 
+def preprocess(x: Column, sr: Column, segments: Column | None = None, highpass: bool = True, trim: bool = True, loudness: bool = True) -> Column:
+    """High-pass, then the cut by speech segments where they are given or else the trim of quiet ends, then
+    the level; any step can be left out. ``segments`` is an array of [start, end] in milliseconds."""
+    from tessella.functions import dsp
+
+    y = dsp.highpass_signal(x, sr) if highpass else x
+    if segments is not None:
+        y = dsp.cut_signal(y, sr, segments)["x"]
+    elif trim:
+        y = trim_silence(y, sr)
+    return normalize_loudness(y) if loudness else y
+
+
+def energy_delta(energies: Column) -> Column:
+    """Mean step of the log energy from frame to frame; null with fewer than two frames."""
+    logs = F.transform(energies, lambda e: F.log10(e + EPS))
+    steps = F.zip_with(F.slice(logs, 2, F.size(logs)), F.slice(logs, F.lit(1), F.greatest(F.size(logs) - 1, F.lit(0))), lambda b, a: F.abs(b - a))
+    return F.when(F.size(energies) > 1, total(steps) / (F.size(energies) - 1))
+
+
 def wave_diff(a: Column, b: Column) -> Column:
     """struct(cosine, rmse) over the common length."""
     n = F.least(F.size(a), F.size(b))

@@ -15,6 +15,8 @@ ASR_PUNCTUATION = "，。！？、；：「」『』（）…—,.!?;:\"'"
 
 #: Java's \s is ASCII unless (?U) is set, and then still lacks the four separators 0x1c-0x1f.
 _SPACE = "\\s\\x1c-\\x1f"
+#: The same class as characters, for translate(): the white space of Unicode and the four separators.
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _NORM = f"(?U)[{_SPACE}{PUNCTUATION}]"
 _ASR_NORM = f"(?U)[{_SPACE}{ASR_PUNCTUATION}]"
 _EDGE = f"(?U)^[{_SPACE}]+|[{_SPACE}]+$"
@@ -31,13 +33,36 @@ def strip(value: Column) -> Column:
 
 def norm_text(text: Column) -> Column:
     """The comparison form: no whitespace, no punctuation; null becomes empty."""
-    return F.regexp_replace(blank(text), _NORM, "")
+    return F.translate(blank(text), _BLANKS + PUNCTUATION.replace("\\", ""), "")
 
 
 def asr_norm(text: Column) -> Column:
     """Without <|tags|>, other symbols, whitespace and the narrower punctuation class."""
-    bare = F.regexp_replace(blank(text), "<\\|[^|]+\\|>", "")
-    return F.regexp_replace(F.regexp_replace(bare, "\\p{So}", ""), _ASR_NORM, "")
+    plain = F.translate(bare := without_tags(blank(text)), _BLANKS + ASR_PUNCTUATION, "")
+    # the kept symbols are beyond ASCII, so texts of one byte a character have none
+    return F.when(F.length(bare) == F.octet_length(bare), plain).otherwise(F.regexp_replace(plain, "\\p{So}", ""))
+
+
+def without_tags(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("<|")), F.regexp_replace(text, "<\\|[^|]+\\|>", "")).otherwise(text)
+
+
+#: The form of character ids and of ratings file names.
+_ID = "^[a-z0-9_]+$"
+_RATINGS_NAME = "(?U)^listen-ratings[\\w-]*\\.json\\z"
+
+
+def valid_id(value: Column) -> Column:
+    return F.coalesce(F.regexp_like(value, F.lit(_ID)), F.lit(False))
+
+
+def valid_ratings_name(value: Column) -> Column:
+    return F.coalesce(F.regexp_like(value, F.lit(_RATINGS_NAME)), F.lit(False))
+
+
+def is_json_object(value: Column) -> Column:
+    """Whether a text is one JSON object; lists, scalars, broken and empty texts are not."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
 
 
 def content_sha(value: Column) -> Column:

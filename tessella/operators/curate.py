@@ -181,31 +181,56 @@ def build_blocklist(parts: list[DataFrame]) -> DataFrame:
     return rows.agg(gather(F.lower("sha")).alias("audio_sha256"), gather(F.when(tx.blank(F.col("text")) != "", tx.norm_text(F.col("text")))).alias("norm_texts"), gather("fid").alias("fids"), F.count("*").alias("n_entries"))
 
 
+#: Buckets of a text's character counts, and the length of the shared runs that long texts are joined on.
+_BUCKETS, _RUN = 32, 6
+
+
+def _counted(norm: Column) -> Column:
+    """Characters by bucket, once per text."""
+    at = F.transform(F.split(norm, ""), lambda c: F.pmod(F.ascii(c), F.lit(_BUCKETS)))
+    return F.transform(F.sequence(F.lit(0), F.lit(_BUCKETS - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)))
+
+
+def _seeded(texts: DataFrame, threshold: float) -> DataFrame:
+    """Of each text whether pairs at the threshold must share a run of ``_RUN`` characters around one of
+    its rare ones, and those runs. In texts of 200 characters and more matching blocks only start at
+    characters that make up 1 % at most, so matches that reach the threshold need few and long blocks."""
+    chars = F.split("other", "")
+    common = F.transform(F.array(F.floor(F.size(chars) / 100) + 1), lambda limit: F.filter(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) > limit))[0]
+    long = F.length("other") >= 200
+    rare = F.when(long, F.filter(F.transform(chars, lambda c, i: F.when(~F.array_contains(F.col("_common"), c), i)), lambda i: i.isNotNull()))
+    rows = texts.withColumn("_common", common).withColumn("_rare", rare)
+    n = F.length("other").cast("double")
+    least, unmatched = threshold / 2 * n * (1 + threshold / (2 - threshold)), (1 - threshold) * n * (1 + (2 - threshold) / threshold)
+    blocks = F.least(F.size("_rare").cast("double"), unmatched + 1)
+    runs = F.array_distinct(F.flatten(F.transform("_rare", lambda i: F.transform(F.sequence(F.greatest(i - _RUN + 1, F.lit(0)), i), lambda a: F.substr("other", a + 1, F.lit(_RUN))))))
+    return rows.withColumn("seeded", F.coalesce(long & (least >= _RUN * blocks), F.lit(False))).withColumn("runs", F.when(F.col("seeded"), F.filter(runs, lambda r: F.length(r) == _RUN))).drop("_common", "_rare")
+
+
 def similar_to_blocklist(rows: DataFrame, texts: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Per row key the best fuzzy ratio of its ``norm`` against ``texts.norm``, where it reaches the
-    threshold. ``rows`` has key, norm. Lengths bound the ratio, so both sides are joined on bands of
-    geometric width instead of pairing everything: partners lie in the same or the next band."""
+    threshold. ``rows`` has key, norm. Candidates come from equi-joins: on runs of characters where long
+    texts must share one, else on bands of geometric length, since partners lie in the same or the next
+    band; the lengths and the characters' counts bound the ratio before it is computed."""
     import math
 
     step = math.log((2 - threshold) / threshold)  # partners' lengths differ by at most this factor
     band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
-    left = rows.where("norm <> ''").select("key", "norm", F.explode(F.array(band("norm") - 1, band("norm"), band("norm") + 1)).alias("band"))
-    right = texts.where("norm <> ''").select(F.col("norm").alias("other")).distinct().withColumn("band", band("other"))
-    pairs = left.join(right, "band").where(tx.ratio_bound(F.col("norm"), F.col("other")) >= threshold)
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    # the multiset of characters bounds the matching blocks
-    pairs = pairs.withColumn("_bound", 2.0 * shared_characters(letters(F.col("norm")), letters(F.col("other"))) / (F.length("norm") + F.length("other")))
-    scored = pairs.where(F.col("_bound") >= threshold).withColumn("ratio", tx.fuzzy_ratio("norm", "other"))
+    spark = rows.sparkSession
+    left = materialize(spark, rows.where("norm <> ''").select("key", "norm", _counted(F.col("norm")).alias("c")), "fuzzy-rows")
+    right = _seeded(texts.where("norm <> ''").select(F.col("norm").alias("other")).distinct(), threshold)
+    right = materialize(spark, right.withColumn("d", _counted(F.col("other"))), "fuzzy-texts")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.substr("norm", i, F.lit(_RUN)))))
+    by_run = left.select("key", "norm", "c", F.explode(runs).alias("at")).join(right.where("seeded").select("other", "d", F.explode("runs").alias("run")).select("other", "d", F.xxhash64("run").alias("at")), "at")
+    bands = left.select("key", "norm", "c", F.explode(F.array(band("norm") - 1, band("norm"), band("norm") + 1)).alias("at"))
+    by_band = bands.join(right.where("not seeded").select("other", "d", band("other").alias("at")), "at")
+    pairs = by_run.unionByName(by_band).where(tx.ratio_bound(F.col("norm"), F.col("other")) >= threshold)
+    shared = F.aggregate(F.zip_with("c", "d", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    pairs = pairs.where(2.0 * shared / (F.length("norm") + F.length("other")) >= threshold).select("key", "norm", "other").distinct()
+    scored = pairs.withColumn("ratio", tx.fuzzy_ratio("norm", "other"))
     return scored.groupBy("key").agg(F.max("ratio").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def shared_characters(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two character arrays."""
-    distinct = F.array_distinct(a)
-    count = lambda x, c: F.size(F.filter(x, lambda y: y == c))
-    return F.aggregate(distinct, F.lit(0), lambda s, c: s + F.least(count(a, c), count(b, c)))
-
-
 def prepare_training(spark: SparkSession, rows: DataFrame, blocked_fids: DataFrame, blocked_shas: DataFrame, blocked_texts: DataFrame) -> DataFrame:
     """The reject cascade: every row with ``reason`` (null where accepted). Rows carry _ord, fid, text,
     file_sha256 (null where the file is missing), readable, duration_s, rms_dbfs. The block tables have

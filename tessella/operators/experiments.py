@@ -155,3 +155,11 @@ def collision_names(rows: DataFrame, stem: str, order: str) -> DataFrame:
 
     k = F.row_number().over(Window.partitionBy(stem).orderBy(order)) - 1
     return rows.withColumn("unique_name", F.when(k == 0, F.col(stem)).otherwise(F.concat_ws("-", F.col(stem), k.cast("string"))))
+
+
+def require_sha(rows: DataFrame, actual: str, expected: str, name: str) -> DataFrame:
+    """``rows`` as they are, unless a hash differs from the expected one whatever its letter case (or is
+    missing): then reading them fails and names the row."""
+    same = F.coalesce(F.lower(actual) == F.lower(expected), F.lit(False))
+    message = F.concat(F.lit("hash mismatch: "), F.col(name).cast("string"))
+    return rows.withColumn(actual, F.when(same, F.col(actual)).otherwise(F.raise_error(message).cast("string")))

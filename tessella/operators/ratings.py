@@ -59,18 +59,40 @@ def rated(ratings: Column, mode: Column) -> Column:
 def fold_snapshots(events: DataFrame) -> DataFrame:
     """Compare-and-set writes per name, in order: a write whose expected revision is set and isn't the
     current one is rejected. ``events`` has _ord, name, expected_revision, payload; the revision of an
-    accepted write is derived from name and order. Writers of one name form one sequential history."""
-    revision = lambda e: F.substring(F.sha2(F.concat_ws("|", e["name"], e["_ord"].cast("string")), 256), 1, 16)
-    rows = events.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_ord", "name", "expected_revision", "payload"))).alias("log"))
-    start = F.struct(F.lit(None).cast("string").alias("revision"), F.lit(None).cast("string").alias("payload"), F.lit(0).alias("accepted"), F.lit(0).alias("rejected"))
-
-    def step(acc: Column, e: Column) -> Column:
-        stale = e["expected_revision"].isNotNull() & ~e["expected_revision"].eqNullSafe(acc["revision"])
-        return F.when(stale, F.struct(acc["revision"].alias("revision"), acc["payload"].alias("payload"), acc["accepted"].alias("accepted"), (acc["rejected"] + 1).alias("rejected"))).otherwise(
-            F.struct(revision(e).alias("revision"), e["payload"].alias("payload"), (acc["accepted"] + 1).alias("accepted"), acc["rejected"].alias("rejected"))
-        )
-
-    return rows.select("name", F.aggregate("log", start, step).alias("s")).select("name", "s.*")
+    accepted write is derived from name and order. The writes of one name form one sequential history: they
+    are sorted within their partition and streamed through, one state held at a time."""
+
+    def run(frames):
+        import hashlib
+
+        name, state = None, (None, None, 0, 0)
+        for pdf in frames:
+            done = []
+            for key, order, expected, payload in pdf[["name", "_ord", "expected_revision", "payload"]].itertuples(index=False):
+                if key != name:
+                    if name is not None:
+                        done.append((name, *state))
+                    name, state = key, (None, None, 0, 0)
+                revision, body, accepted, rejected = state
+                if expected is not None and expected != revision:
+                    state = (revision, body, accepted, rejected + 1)
+                else:
+                    state = (hashlib.sha256(f"{key}|{order}".encode()).hexdigest()[:16], payload, accepted + 1, rejected)
+            yield pd.DataFrame(done, columns=columns)
+        if name is not None:
+            yield pd.DataFrame([(name, *state)], columns=columns)
+
+    columns = ["name", "revision", "payload", "accepted", "rejected"]
+    ordered = events.where("name is not null").select("name", F.col("_ord").cast("string").alias("_ord"), "expected_revision", F.col("payload").cast("string").alias("payload"), F.col("_ord").alias("_at"))
+    ordered = ordered.repartition("name").sortWithinPartitions("name", "_at").drop("_at")
+    return ordered.mapInPandas(run, "name string, revision string, payload string, accepted int, rejected int")
+
+
+def progress(wanted: DataFrame, rated: DataFrame, key: str) -> DataFrame:
+    """One row: how many wanted ids are rated, how many are pending, and how many rated ids nobody wanted."""
+    w, r = wanted.select(key).distinct(), rated.select(key).distinct()
+    both = w.withColumn("_w", F.lit(1)).join(r.withColumn("_r", F.lit(1)), key, "full")
+    return both.agg(F.count_if(F.expr("_w = 1 and _r = 1")).alias("verified"), F.count_if(F.expr("_w = 1 and _r is null")).alias("pending"), F.count_if(F.expr("_w is null and _r = 1")).alias("unknown"))
 
 
 def verify_assets(contract: DataFrame, files: DataFrame) -> DataFrame:

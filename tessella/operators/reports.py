@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,3 +163,27 @@ def session_states(transitions: DataFrame) -> DataFrame:
     """The last state of each session, and whether it ended."""
     last = transitions.groupBy("session").agg(F.max_by("state", "_ord").alias("state"), F.count("*").alias("n"))
     return last.withColumn("ended", F.col("state").isin("completed", "failed"))
+
+
+def status_at(transitions: DataFrame, ticks: DataFrame) -> DataFrame:
+    """What a poll sees: per session and tick the state it had last reached, null before its first one.
+    ``transitions`` has session, at, _ord, state; ``ticks`` session, tick."""
+    sides = transitions.select("session", F.col("at").alias("t"), F.lit(0).alias("poll"), F.col("_ord"), "state").unionByName(
+        ticks.select("session", F.col("tick").alias("t"), F.lit(1).alias("poll"), F.lit(None).cast("long").alias("_ord"), F.lit(None).cast("string").alias("state"))
+    )
+    seen = F.last("state", ignorenulls=True).over(Window.partitionBy("session").orderBy("t", "poll", "_ord").rowsBetween(Window.unboundedPreceding, 0))
+    return sides.withColumn("state", seen).where("poll = 1").select("session", F.col("t").alias("tick"), "state")
+
+
+def html_list(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """One list per group, items escaped and in order: the bundle behind a page."""
+    item = F.concat(F.lit("<li>"), html_escape(F.col(value)), F.lit("</li>"))
+    items = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))).alias("items"))
+    return items.select(group, F.concat(F.lit("<ul>"), F.array_join(F.transform("items", lambda x: x["i"]), ""), F.lit("</ul>")).alias("html"))
+
+
+def table_rows(rows: DataFrame, order: str) -> DataFrame:
+    """(_ord, line): the lines of a report table, made where the rows are; the header is line null."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    names = [c for c in rows.columns if c != order]
+    return rows.select(F.col(order).alias("_ord"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, names)), F.lit(" |")).alias("line"))

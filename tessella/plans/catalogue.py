@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import dsp
 from tessella.functions import signals as sg
 from tessella.functions import text as tx
 from tessella.functions import vectors as vx
@@ -104,39 +103,6 @@ def parse_names(spark, sf):
     return p.select("page_id", tx.path_parts(F.col("url"))["name"].alias("name"), parsed["label"].alias("label"), parsed["text"].alias("body"))
 
 
-@query("sentence_chunks")
-def sentence_chunks(spark, sf):
-    c = table(spark, sf, "conversations")
-    chunks = tx.split_sentences(tx.collapse_space(F.col("text")), 100)
-    return c.select("conv_id", "turn", F.posexplode(chunks).alias("pos", "chunk"))
-
-
-@query("cer_unicode")
-def cer_unicode(spark, sf):
-    return _turn_cer(spark, sf, ascii_only=False)
-
-
-@query(
-    "cer_ascii",
-    f"""WITH t AS (SELECT conv_id, turn, {asr_sql('text')} AS x FROM conversations),
-p AS (SELECT a.conv_id, a.turn, a.x AS r, b.x AS h FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE length(a.x) = strlen(a.x) AND length(b.x) = strlen(b.x))
-SELECT conv_id, turn, CASE WHEN r = '' AND h = '' THEN 0.0 WHEN r = '' THEN 1.0 ELSE levenshtein(r, h) / length(r) END AS cer,
-  (CASE WHEN r = '' THEN 0 ELSE levenshtein(r, h) END)::INTEGER AS distance, (CASE WHEN r = '' THEN length(h) ELSE length(r) END)::INTEGER AS n FROM p""",
-)
-def cer_ascii(spark, sf):
-    return _turn_cer(spark, sf, ascii_only=True)
-
-
-def _turn_cer(spark, sf, ascii_only: bool) -> DataFrame:
-    """Each turn as the reference, the next one as what was recognised."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", tx.asr_norm(F.col("text")).alias("x"))
-    h = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("h"))
-    p = t.join(h, ["conv_id", "turn"])
-    if ascii_only:
-        p = p.where((F.length("x") == F.octet_length("x")) & (F.length("h") == F.octet_length("h")))
-    return p.withColumn("c", tx.cer(F.col("x"), F.col("h"))).select("conv_id", "turn", "c.*")
-
-
 # ---------------------------------------------------------------- curation
 
 _FREEZE = f"""WITH {_BASE},
@@ -196,13 +162,6 @@ def leak_exact_anti(spark, sf):
     return curate.exclude(d, b, ["norm"]).select("doc_id")
 
 
-@query("leak_fuzzy")
-def leak_fuzzy(spark, sf):
-    """Conversation turns close to a benchmark text."""
-    rows = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("key"), tx.norm_text(F.col("text")).alias("norm"))
-    return curate.similar_to_blocklist(rows, table(spark, sf, "benchmark").select(tx.norm_text(F.col("text")).alias("norm")))
-
-
 @query(
     "dedup_first_wins",
     f"WITH {_BASE} SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, sha256(nt) AS norm FROM ided WHERE nt <> '' GROUP BY nt",
@@ -212,13 +171,6 @@ def dedup_first_wins(spark, sf):
     return curate.first_wins(d, "norm", "doc_id")
 
 
-@query("dedup_two_key_greedy")
-def dedup_two_key_greedy(spark, sf):
-    """Events by (user, value in hundredths), accepted one after another."""
-    e = table(spark, sf, "events").select("event_id", "user_id", F.floor(F.col("value") * 100).alias("cents"))
-    return curate.greedy_two_key(spark, e.where("user_id is not null and cents is not null"), "user_id", "cents", "event_id")
-
-
 @query(
     "audit_cross_split",
     f"""WITH {_BASE}, s AS (SELECT fid, sha, nt, {split_sql('fid')} AS split FROM ided),
@@ -551,13 +503,6 @@ def context_variance(spark, sf):
     return v.select("output_sha256", "n", F.array_join("case_ids", ",").alias("case_ids"), F.array_join("divergent", ",").alias("divergent"))
 
 
-@query("rating_cas_fold")
-def rating_cas_fold(spark, sf):
-    """Events of a user as writes to one snapshot; every third expects a revision that can't be current."""
-    e = table(spark, sf, "events").select(F.col("event_id").alias("_ord"), F.col("user_id").cast("string").alias("name"), F.when(F.col("event_id") % 3 == 0, "stale").alias("expected_revision"), F.col("event_type").alias("payload"))
-    return ratings.fold_snapshots(e)
-
-
 @query(
     "review_status",
     """WITH s AS (SELECT user_id, count(*) AS n_total, count(*) FILTER (WHERE event_type <> 'error' OR value > 1) AS n_rated, bool_or(value > 45) AS fatigue, bool_and(value >= 0) AS assets_ok FROM events GROUP BY user_id)
@@ -669,37 +614,12 @@ def wave_difference(spark, sf):
     return e.join(n, "vec_id").select("vec_id", F.round(sg.wave_diff(F.col("embedding"), F.col("other"))["cosine"], 6).alias("cosine"))
 
 
-@query("trim_and_level")
-def trim_and_level(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", vx.doubles(F.col("embedding")).alias("x"))
-    t = sg.normalize_loudness(sg.fade_edges(sg.trim_silence(F.col("x"), F.lit(1000), pad_ms=2, win_ms=2), F.lit(1000), 4))
-    return e.select("vec_id", F.size(t).alias("n"), F.round(sg.peak(t), 6).alias("peak"))
-
-
 def _long_signals(spark, sf) -> DataFrame:
     """Each user's values in event order, as a signal of 24 kHz."""
     e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
     return e.select("user_id", F.transform("v", lambda s: s["value"] / 100 - 0.25).alias("x"))
 
 
-@query("spectral_stats")
-def spectral_stats(spark, sf):
-    return _long_signals(spark, sf).select("user_id", dsp.analyze_signal("x", F.lit(24000)).alias("a")).select("user_id", "a.*")
-
-
-@query("band_energy")
-def band_energy(spark, sf):
-    s = _long_signals(spark, sf).select("user_id", dsp.analyze_signal(dsp.highpass_signal("x", F.lit(24000)), F.lit(24000)).alias("a"))
-    return s.select("user_id", "a.band_energy_4k_8k", "a.band_energy_8k_12k")
-
-
-@query("xcorr_lag")
-def xcorr_lag(spark, sf):
-    """Every signal against itself delayed by five samples at half the level."""
-    s = _long_signals(spark, sf).withColumn("y", F.concat(F.array_repeat(F.lit(0.0), 5), F.transform("x", lambda v: v / 2)))
-    return s.select("user_id", dsp.compare_signals("x", "y", F.lit(24000)).alias("c")).select("user_id", "c.*")
-
-
 @query("events_json_extract", "SELECT event_type, sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0))::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")
 def events_json_extract(spark, sf):
     k = F.get_json_object("props", "$.k").try_cast("long")
@@ -732,12 +652,6 @@ def page_contracts(spark, sf):
     return c.select("name", F.size("review_ids").cast("long").alias("assets"), F.array_join("review_ids", ",").alias("review_ids"), "complete")
 
 
-@query("chunk_seeds")
-def chunk_seeds(spark, sf):
-    c = table(spark, sf, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("key"), tx.split_sentences(tx.collapse_space(F.col("text")), 100).alias("chunks"), F.col("turn"))
-    return reports.chunk_plan(c, "key", "chunks", 42 + F.col("turn"))
-
-
 @query("logical_ids", "SELECT c.c_custkey AS c_custkey, coalesce(n.n_name, c.c_mktsegment) AS id, n.n_name IS NOT NULL AS known FROM customer c LEFT JOIN nation n ON c.c_mktsegment = n.n_name")
 def logical_ids(spark, sf):
     samples = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("path"))

@@ -58,14 +58,19 @@ def _remove(sc, path: str) -> None:
         pass
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there and any
-    executor can reread it. The application's scratch folder is deleted when the driver exits."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's scratch folder, which is deleted when the driver exits."""
     root = f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}"
     if not getattr(spark.sparkContext, "_tessella_scratch", None):
         spark.sparkContext._tessella_scratch = root
         atexit.register(_remove, spark.sparkContext, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there and any
+    executor can reread it."""
+    path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

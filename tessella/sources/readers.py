@@ -76,6 +76,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def first_valid(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The first document that is there and is valid JSON of the schema; without one an empty table."""
+    wide = T._parse_datatype_string(schema + ", _bad string")
+    for path in paths:
+        if exists(spark, path):
+            doc = spark.read.schema(wide).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+            broken = doc.select(F.col("_bad").isNotNull().alias("broken"), *(F.col(c).isNull() for c in doc.columns[:1])).first()  # one document
+            if broken is None or not broken.broken:
+                return doc.drop("_bad")
+    return spark.createDataFrame([], schema)
+
+
+def first_root(rows: DataFrame, listing: DataFrame, path: str, roots: list[str]) -> DataFrame:
+    """The file of each row: its path below the first root that has it, null where none does. ``listing`` has
+    rel."""
+    tried = rows.select(path, F.posexplode(F.array(*(F.concat(F.lit(r), F.col(path)) for r in roots))).alias("rank", "rel"))
+    hits = tried.join(listing.select("rel").distinct(), "rel").groupBy(path).agg(F.min_by("rel", "rank").alias("file"))
+    return rows.join(hits, path, "left")
+
+
 def files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = AUDIO_SUFFIXES, content: bool = False) -> DataFrame:
     """Files below ``root`` by suffix: path, relative path, size, and hash when ``content``."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -49,6 +49,32 @@ def current_version(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(newest), F.col("_revision") == F.col("_newest")).drop("_newest")
 
 
+def read_snapshot(spark: SparkSession, path: str, legacy: DataFrame) -> DataFrame:
+    """The newest version, or the legacy rows where no version was ever saved."""
+    from tessella.sources.readers import exists
+
+    if not exists(spark, path):
+        return legacy
+    return current_version(spark, path).drop("_revision", "_saved_at")
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """One row per version with its number of rows, oldest first."""
+    rows = spark.read.parquet(path).groupBy("_revision", "_saved_at").agg(F.count("*").alias("n"))
+    return rows.orderBy("_saved_at").select("_revision", "_saved_at", "n")
+
+
+def add_to_pool(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Append contents that the pool at ``path`` doesn't hold yet, each once. Names are hashes of contents and
+    the commit makes a batch visible whole, so a repeated or broken-off run leaves nothing twice."""
+    from tessella.sources.readers import exists
+
+    new = content_pool(rows)
+    if exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
 def sidecars(cases: DataFrame) -> DataFrame:
     """(path, json) of the sidecar document of each output."""
     meta = [c for c in cases.columns if c != "output"]

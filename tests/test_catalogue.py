@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from tessella.plans import catalogue
+from tessella.plans import catalogue, exchange, further  # noqa: F401
 from tests import oracle
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="the tables aren't here")
