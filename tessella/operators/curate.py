@@ -181,20 +181,22 @@ def build_blocklist(parts: list[DataFrame]) -> DataFrame:
     return rows.agg(gather(F.lower("sha")).alias("audio_sha256"), gather(F.when(tx.blank(F.col("text")) != "", tx.norm_text(F.col("text")))).alias("norm_texts"), gather("fid").alias("fids"), F.count("*").alias("n_entries"))
 
 
-#: Buckets of a text's character counts, and the length of the shared runs that long texts are joined on.
-_BUCKETS, _RUN = 32, 6
+#: Characters that are counted one by one (all others count as one kind), and the length of the shared runs
+#: that long texts are joined on.
+_COUNTED, _RUN = "etaoinsrhldcumfpgwybvkxjqzTAIS", 6
 
 
 def _counted(norm: Column) -> Column:
-    """Characters by bucket, once per text."""
-    at = F.transform(F.split(norm, ""), lambda c: F.pmod(F.ascii(c), F.lit(_BUCKETS)))
-    return F.transform(F.sequence(F.lit(0), F.lit(_BUCKETS - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)))
+    """How often each counted character occurs, and all others together; once per text."""
+    counts = [F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in _COUNTED]
+    return F.array(*counts, F.length(F.translate(norm, _COUNTED, "")))
 
 
 def _seeded(texts: DataFrame, threshold: float) -> DataFrame:
     """Of each text whether pairs at the threshold must share a run of ``_RUN`` characters around one of
-    its rare ones, and those runs. In texts of 200 characters and more matching blocks only start at
-    characters that make up 1 % at most, so matches that reach the threshold need few and long blocks."""
+    its rare ones or at its beginning, and those runs. In texts of 200 characters and more a matching block
+    holds a character that makes up 1 % at most, but for a common beginning, so matches that reach the
+    threshold need few and long blocks."""
     chars = F.split("other", "")
     common = F.transform(F.array(F.floor(F.size(chars) / 100) + 1), lambda limit: F.filter(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) > limit))[0]
     long = F.length("other") >= 200
@@ -202,8 +204,8 @@ def _seeded(texts: DataFrame, threshold: float) -> DataFrame:
     rows = texts.withColumn("_common", common).withColumn("_rare", rare)
     n = F.length("other").cast("double")
     least, unmatched = threshold / 2 * n * (1 + threshold / (2 - threshold)), (1 - threshold) * n * (1 + (2 - threshold) / threshold)
-    blocks = F.least(F.size("_rare").cast("double"), unmatched + 1)
-    runs = F.array_distinct(F.flatten(F.transform("_rare", lambda i: F.transform(F.sequence(F.greatest(i - _RUN + 1, F.lit(0)), i), lambda a: F.substr("other", a + 1, F.lit(_RUN))))))
+    blocks = F.least(F.size("_rare").cast("double") + 1, unmatched + 1)
+    runs = F.array_distinct(F.array_append(F.flatten(F.transform("_rare", lambda i: F.transform(F.sequence(F.greatest(i - _RUN + 1, F.lit(0)), i), lambda a: F.substr("other", a + 1, F.lit(_RUN))))), F.substr("other", F.lit(1), F.lit(_RUN))))
     return rows.withColumn("seeded", F.coalesce(long & (least >= _RUN * blocks), F.lit(False))).withColumn("runs", F.when(F.col("seeded"), F.filter(runs, lambda r: F.length(r) == _RUN))).drop("_common", "_rare")
 
 
