@@ -152,7 +152,7 @@ def bands(measured: DataFrame, min_docs: int) -> DataFrame:
     spans = sorted({s or 0 for _, s in _CHOICES})
     each = judged.select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), F.array(*(_class(s or None) for s in spans)).alias("classes"), *_MEASURES)
     each = each.select("lang", F.explode("classes").alias("class"), *_MEASURES)
-    quartiles = F.struct(*(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(m) for m in _MEASURES))
+    quartiles = F.struct(*(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(m) for m in _MEASURES))
     classes = each.groupBy("lang", "class").agg(F.count("*").alias("n_docs"), quartiles.alias("q")).where(f"n_docs >= {min_docs} or lang is null and class = 0")
     return classes.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "q"))).alias("own"))
 
