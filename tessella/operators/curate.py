@@ -5,8 +5,10 @@ Rows carry an explicit order column; "first" always means smallest order, never
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,21 +194,31 @@ def _counted(norm: Column) -> Column:
     return F.array(*counts, F.length(F.translate(norm, _COUNTED, "")))
 
 
+def _shared_runs(text: str, threshold: float) -> list[str] | None:
+    """The runs of ``_RUN`` characters one of which any partner at the threshold must hold; none where no such
+    rule holds. In texts of 200 characters and more a matching block holds a character that makes up 1 % at
+    most, but for a common beginning, so matches that reach the threshold need few and long blocks."""
+    n = len(text)
+    if n < 200:
+        return None
+    often = {c for c, k in Counter(text).items() if k > n // 100 + 1}
+    rare = [i for i, c in enumerate(text) if c not in often]
+    least = threshold / 2 * n * (1 + threshold / (2 - threshold))
+    unmatched = (1 - threshold) * n * (1 + (2 - threshold) / threshold)
+    if least < _RUN * min(len(rare) + 1, unmatched + 1):
+        return None
+    starts = {0, *(a for i in rare for a in range(max(0, i - _RUN + 1), min(i, n - _RUN) + 1))}
+    return sorted({text[a : a + _RUN] for a in starts})
+
+
 def _seeded(texts: DataFrame, threshold: float) -> DataFrame:
-    """Of each text whether pairs at the threshold must share a run of ``_RUN`` characters around one of
-    its rare ones or at its beginning, and those runs. In texts of 200 characters and more a matching block
-    holds a character that makes up 1 % at most, but for a common beginning, so matches that reach the
-    threshold need few and long blocks."""
-    chars = F.split("other", "")
-    common = F.transform(F.array(F.floor(F.size(chars) / 100) + 1), lambda limit: F.filter(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) > limit))[0]
-    long = F.length("other") >= 200
-    rare = F.when(long, F.filter(F.transform(chars, lambda c, i: F.when(~F.array_contains(F.col("_common"), c), i)), lambda i: i.isNotNull()))
-    rows = texts.withColumn("_common", common).withColumn("_rare", rare)
-    n = F.length("other").cast("double")
-    least, unmatched = threshold / 2 * n * (1 + threshold / (2 - threshold)), (1 - threshold) * n * (1 + (2 - threshold) / threshold)
-    blocks = F.least(F.size("_rare").cast("double") + 1, unmatched + 1)
-    runs = F.array_distinct(F.array_append(F.flatten(F.transform("_rare", lambda i: F.transform(F.sequence(F.greatest(i - _RUN + 1, F.lit(0)), i), lambda a: F.substr("other", a + 1, F.lit(_RUN))))), F.substr("other", F.lit(1), F.lit(_RUN))))
-    return rows.withColumn("seeded", F.coalesce(long & (least >= _RUN * blocks), F.lit(False))).withColumn("runs", F.when(F.col("seeded"), F.filter(runs, lambda r: F.length(r) == _RUN))).drop("_common", "_rare")
+    """``texts`` with their ``runs``, null where partners needn't share one."""
+
+    @F.pandas_udf("array<string>")
+    def runs(other: pd.Series) -> pd.Series:
+        return other.map(lambda t: _shared_runs(t, threshold))
+
+    return texts.withColumn("runs", runs("other")).withColumn("seeded", F.col("runs").isNotNull())
 
 
 def similar_to_blocklist(rows: DataFrame, texts: DataFrame, threshold: float = SIMILAR) -> DataFrame:
@@ -219,16 +231,22 @@ def similar_to_blocklist(rows: DataFrame, texts: DataFrame, threshold: float = S
     step = math.log((2 - threshold) / threshold)  # partners' lengths differ by at most this factor
     band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
     spark = rows.sparkSession
-    left = materialize(spark, rows.where("norm <> ''").select("key", "norm", _counted(F.col("norm")).alias("c")), "fuzzy-rows")
+    left = rows.where("norm <> ''").select(F.xxhash64("key", "norm").alias("row"), "key", "norm", F.length("norm").alias("n"), _counted(F.col("norm")).alias("c"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work a row or pair: not merged at run time
+    left = materialize(spark, left.repartition(tasks, "row"), "fuzzy-rows")
     right = _seeded(texts.where("norm <> ''").select(F.col("norm").alias("other")).distinct(), threshold)
-    right = materialize(spark, right.withColumn("d", _counted(F.col("other"))), "fuzzy-texts")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.substr("norm", i, F.lit(_RUN)))))
-    by_run = left.select("key", "norm", "c", F.explode(runs).alias("at")).join(right.where("seeded").select("other", "d", F.explode("runs").alias("run")).select("other", "d", F.xxhash64("run").alias("at")), "at")
-    bands = left.select("key", "norm", "c", F.explode(F.array(band("norm") - 1, band("norm"), band("norm") + 1)).alias("at"))
-    by_band = bands.join(right.where("not seeded").select("other", "d", band("other").alias("at")), "at")
-    pairs = by_run.unionByName(by_band).where(tx.ratio_bound(F.col("norm"), F.col("other")) >= threshold)
+    right = materialize(spark, right.select(F.xxhash64("other").alias("block"), "other", F.length("other").alias("m"), _counted(F.col("other")).alias("d"), "seeded", "runs"), "fuzzy-texts")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.substr("norm", i, F.lit(_RUN)))))
+    # only ids and lengths travel to find candidates
+    by_run = left.repartition(tasks, "row").select("row", "n", F.explode(runs).alias("at")).join(right.where("seeded").select("block", "m", F.explode(F.transform("runs", lambda r: F.xxhash64(r))).alias("at")), "at")
+    bands = left.select("row", "n", F.explode(F.array(band("norm") - 1, band("norm"), band("norm") + 1)).alias("at"))
+    by_band = bands.join(right.where("not seeded").select("block", "m", band("other").alias("at")), "at")
+    close = 2.0 * F.least("n", "m") / (F.col("n") + F.col("m")) >= threshold
+    found = by_run.where(close).select("row", "block").unionByName(by_band.where(close).select("row", "block")).distinct()
+    pairs = found.join(left.select("row", "key", "norm", "c").dropDuplicates(["row"]), "row").join(right.select("block", "other", "d"), "block")
     shared = F.aggregate(F.zip_with("c", "d", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    pairs = pairs.where(2.0 * shared / (F.length("norm") + F.length("other")) >= threshold).select("key", "norm", "other").distinct()
+    pairs = pairs.where(2.0 * shared / (F.length("norm") + F.length("other")) >= threshold)
+    pairs = pairs.repartition(tasks, "row", "block")
     scored = pairs.withColumn("ratio", tx.fuzzy_ratio("norm", "other"))
     return scored.groupBy("key").agg(F.max("ratio").alias("similarity")).where(F.col("similarity") >= threshold)
 
