@@ -153,11 +153,11 @@ chapter 12 page 345 line 6
 room 101 and floor 7
 a count of 4509978107208 seen
 the value 7410228360915528 was 6140 on average
-sum of 45509978107208 and 7199101951 units
-token 04dbebab91ab85687d33eeaaf9ac699e was reset
-commit 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e merged
+sum of 61288300457719 and 3308275164 units
+token 5c1f90b7e24d4a08b6a3d9917fe20c35 was reset
+commit e07b1c5d92af4e3886d0a4571c9be2f3a8d6104b merged
 version 2.0. of the license
-at 97.51.17.173 the host answers
+at 83.20.9.114 the host answers
 host 300.12.44.500 is wrong
 ratio 3.14159 and 2.71828 hold
 score 10-12 and 3-1 in sets
@@ -169,7 +169,7 @@ date 17.05.2024 and 05/17/2024 noted
 the meeting of 12 March 2019 ended
 on 5 June 2020 the road opened
 published 2018-02-11 by the press
-id 0007687199101951 stays
+id 0003140092267718 stays
 numbers 1 2 3 4 5 in a row
 values 10 20 30 40 50 60 listed
 see item 42 of 100

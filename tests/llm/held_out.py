@@ -47,8 +47,8 @@ dob: [crf_birth|1969-12-25] female
 he was born [crf_birth|11/05/1983] abroad
 in 1984 about 300 people came
 version 3.1.4 of the tool
-sum of 4550997810720 and 77
-commit 9b0b3c6a43eb78aa99cbd7049c572391
+sum of 8120446093371 and 77
+commit 71ac05de93bf4c2688e1d7340fb9a25c
 on 2021-08-19 the store closed
 the third street was closed in 2003
 we opened an account in 1998
