@@ -124,7 +124,7 @@ def transitions(values: DataFrame) -> DataFrame:
     steps = values.select("step").distinct()
     order = Window.orderBy("step")  # one row per step
     moves = steps.select(F.col("step").alias("_a"), F.lead("step").over(order).alias("_b")).where("_b is not null")
-    sides = values.join(F.broadcast(moves), F.col("step") == F.col("_a")).select("_a", "_b", "key", F.col("value").alias("x"), F.lit(None).cast("double").alias("y"))
-    sides = sides.unionByName(values.join(F.broadcast(moves), F.col("step") == F.col("_b")).select("_a", "_b", "key", F.lit(None).cast("double").alias("x"), F.col("value").alias("y")))
+    sides = values.join(moves, F.col("step") == F.col("_a")).select("_a", "_b", "key", F.col("value").alias("x"), F.lit(None).cast("double").alias("y"))
+    sides = sides.unionByName(values.join(moves, F.col("step") == F.col("_b")).select("_a", "_b", "key", F.lit(None).cast("double").alias("x"), F.col("value").alias("y")))
     both = sides.groupBy("_a", "_b", "key").agg(F.max("x").alias("x"), F.max("y").alias("y"))
     return both.select(F.concat_ws("->", "_a", "_b").alias("transition"), "key", F.try_divide(F.abs(F.col("y") - F.col("x")), F.abs("x")).alias("rel_l2"), (F.col("x") == F.col("y")).alias("identical"))
