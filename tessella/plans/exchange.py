@@ -213,13 +213,13 @@ def wav_decode(spark, sf):
     return d.select("vec_id", F.round(sg.peak(F.col("x")), 9).alias("peak"), F.round(sg.total(F.col("x")), 6).alias("total"))
 
 
-@query("wav_resampled", "SELECT vec_id, 16000 AS sample_rate, 2 * len(embedding) AS n FROM embeddings WHERE vec_id % 10 <> 9")
+@query("wav_resampled", "SELECT vec_id, 16000 AS sample_rate, (2 * len(embedding))::INTEGER AS n FROM embeddings WHERE vec_id % 10 <> 9")
 def wav_resampled(spark, sf):
     d = audio.decoded(spark, _sounds(spark, sf), target=16000).where("error is null")
     return d.select("vec_id", "sample_rate", F.size("x").alias("n"))
 
 
-@query("resample_tone", "SELECT unnest(range(8)) AS k, 0.5 AS level, 480 AS n")
+@query("resample_tone", "SELECT unnest(range(8)) AS k, 0.5::DOUBLE AS level, 480 AS n")
 def resample_tone(spark, sf):
     """Steady tones keep their level, whatever the ratio of rates."""
     from tessella.functions import dsp

@@ -56,7 +56,7 @@ def collapse_space(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.collapse_space(F.col("text")), 256).alias("h"))
 
 
-@query("chunk_seeds", f"WITH c AS (SELECT conv_id || '/' || turn AS key, turn, {_LINE} AS t FROM conversations WHERE text IS NOT NULL), k AS (SELECT key, turn, {chunks_sql('t', 100, True, True)} AS k FROM c) SELECT key, i - 1 AS pos, k[i] AS chunk, 42 + turn + i - 1 AS seed, CASE WHEN i > 1 THEN 0.2 ELSE 0.0 END AS gap_s FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM k)")
+@query("chunk_seeds", f"WITH c AS (SELECT conv_id || '/' || turn AS key, turn, {_LINE} AS t FROM conversations WHERE text IS NOT NULL), k AS (SELECT key, turn, {chunks_sql('t', 100, True, True)} AS k FROM c) SELECT key, i - 1 AS pos, k[i] AS chunk, 42 + turn + i - 1 AS seed, (CASE WHEN i > 1 THEN 0.2 ELSE 0.0 END)::DOUBLE AS gap_s FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM k)")
 def chunk_seeds(spark, sf):
     c = table(spark, sf, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("key"), tx.split_sentences(tx.collapse_space(F.col("text")), 100).alias("chunks"), F.col("turn"))
     return reports.chunk_plan(c, "key", "chunks", 42 + F.col("turn")).withColumn("pos", F.col("pos").cast("long"))
@@ -319,7 +319,7 @@ def spectral_stats(spark, sf):
     return a.select("user_id", F.round("duration", 9).alias("duration"), F.round("rms_dbfs", 6).alias("rms_dbfs"), F.round("spectral_flatness", 6).alias("spectral_flatness"), F.round("spectral_crest", 5).alias("spectral_crest"), F.round("spectral_entropy", 6).alias("spectral_entropy"))
 
 
-@query("xcorr_lag", "SELECT user_id, 5 AS lag, 1.0 AS xcorr, CASE WHEN count(*) >= 256 THEN 2.0 END AS gain, CASE WHEN count(*) >= 256 THEN 0.0 END AS nmse FROM events GROUP BY user_id")
+@query("xcorr_lag", "SELECT user_id, 5 AS lag, 1.0::DOUBLE AS xcorr, CASE WHEN count(*) >= 256 THEN 2.0::DOUBLE END AS gain, CASE WHEN count(*) >= 256 THEN 0.0::DOUBLE END AS nmse FROM events GROUP BY user_id")
 def xcorr_lag(spark, sf):
     """Every signal against itself delayed by five samples at half the level."""
     s = _long_signals(spark, sf).withColumn("y", F.concat(F.array_repeat(F.lit(0.0), 5), F.transform("x", lambda v: v / 2)))
@@ -327,7 +327,7 @@ def xcorr_lag(spark, sf):
     return c.select("user_id", "c.lag", F.round("c.xcorr", 6).alias("xcorr"), F.round("c.gain", 6).alias("gain"), F.round(F.abs("c.nmse"), 6).alias("nmse"))
 
 
-@query("codec_chain", "SELECT vec_id::VARCHAR AS case_id, 0 AS lag_in, 2.0 AS gain_in, 0 AS lag_out, 0.5 AS gain_out, 0.0 AS nmse FROM embeddings")
+@query("codec_chain", "SELECT vec_id::VARCHAR AS case_id, 0 AS lag_in, 2.0::DOUBLE AS gain_in, 0 AS lag_out, 0.5::DOUBLE AS gain_out, 0.0::DOUBLE AS nmse FROM embeddings")
 def codec_chain(spark, sf):
     """A signal, itself at half the level, and at the full level again: lags, gains and errors along the chain."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("case_id"), F.lit(8000).alias("sr"), F.flatten(F.array_repeat(vx.doubles(F.col("embedding")), 5)).alias("x"))
@@ -337,7 +337,7 @@ def codec_chain(spark, sf):
     return c.select("case_id", F.col(f"{a}.lag").alias("lag_in"), F.round(f"{a}.gain", 6).alias("gain_in"), F.col(f"{b}.lag").alias("lag_out"), F.round(f"{b}.gain", 6).alias("gain_out"), F.round(F.abs(f"{whole}.nmse"), 6).alias("nmse"))
 
 
-@query("highpass_level", "SELECT vec_id, 0.0 AS peak, 64 AS n FROM embeddings")
+@query("highpass_level", "SELECT vec_id, 0.0::DOUBLE AS peak, 64 AS n FROM embeddings")
 def highpass_level(spark, sf):
     """A steady level is all below the cut-off: nothing of it stays."""
     e = table(spark, sf, "embeddings").select("vec_id", F.array_repeat(F.col("label").cast("double") / 10, 64).alias("x"))
@@ -359,7 +359,7 @@ def cut_segments(spark, sf):
     return c.select("vec_id", "c.segments_in", "c.segments_kept", F.size("c.x").alias("n"), "c.all_dropped")
 
 
-@query("preprocess_level", "SELECT vec_id, 2048 AS n, -25.0 AS rms_dbfs, 400 AS n_cut FROM embeddings")
+@query("preprocess_level", "SELECT vec_id, 2048 AS n, -25.0::DOUBLE AS rms_dbfs, 400 AS n_cut FROM embeddings")
 def preprocess_level(spark, sf):
     """The whole chain, with trimming and with cutting: lengths, and the level it ends at."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: F.sin(i * (F.col("label") + 3) * 0.1) * 0.2).alias("x"))
@@ -581,7 +581,7 @@ def time_stamps(spark, sf):
     return table(spark, sf, "region").select("r_regionkey", form(reports.utc_stamp(), day + r"(Z|[+-]\d\d:\d\d)$").alias("seconds_ok"), form(reports.utc_stamp(True), day + r"\.\d{3}(Z|[+-]\d\d:\d\d)$").alias("ms_ok"))
 
 
-@query("status_polls", "WITH t AS (SELECT DISTINCT user_id, unnest([100, 2500, 9000]) AS tick FROM events) SELECT t.user_id AS session, tick, arg_max(event_type, event_id) AS state FROM t LEFT JOIN events e ON e.user_id = t.user_id AND e.event_id <= tick GROUP BY ALL")
+@query("status_polls", "WITH t AS (SELECT DISTINCT user_id, unnest([100, 2500, 9000])::BIGINT AS tick FROM events) SELECT t.user_id AS session, tick, arg_max(event_type, event_id) AS state FROM t LEFT JOIN events e ON e.user_id = t.user_id AND e.event_id <= tick GROUP BY ALL")
 def status_polls(spark, sf):
     """What three polls see of every session."""
     e = table(spark, sf, "events")
