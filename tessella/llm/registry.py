@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_pairs, decontaminate, fill_in_middle, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup
+from tessella.llm import byte_pairs, decontaminate, fill_in_middle, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, vector_codes
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_pii": pii.op9,
     "op10_quality_classifier": quality_classifier.op10,
+    "op11_vector_codes": vector_codes.op11,
     "op12_fill_in_middle": fill_in_middle.op12,
     "op13_byte_pairs": byte_pairs.op13,
 }
@@ -25,5 +26,6 @@ ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op4_sharding": sharding.ORACLE,
     "op5_suffix_dedup": suffix_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
