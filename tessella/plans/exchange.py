@@ -12,7 +12,7 @@ from tessella.functions import vectors as vx
 from tessella.operators import enrich
 from tessella.plans.catalogue import _FREEZE, _frozen, query, split_sql
 from tessella.session import scratch_path, table
-from tessella.sources import audio, config, readers, sinks
+from tessella.sources import audio, config, ordering, readers, sinks
 
 
 def _index_file(spark: SparkSession, sf: str) -> str:
@@ -34,11 +34,11 @@ def ok_rows_scan(spark, sf):
     return readers.ok_rows(spark, _index_file(spark, sf)).select("source", F.length("text").alias("n"))
 
 
-@query("manifest_scan", "SELECT url AS audio, 'p' || page_id AS label, page_id AS wem_hash, text FROM (SELECT *, CASE WHEN page_id % 3 <> 0 THEN substr(html, 1, 40) END AS text FROM pages)")
+@query("manifest_scan", "SELECT url AS audio, 'p' || page_id AS label, page_id AS wem_hash, text FROM (SELECT *, CASE WHEN page_id % 3 <> 0 THEN html END AS text FROM pages)")
 def manifest_scan(spark, sf):
     p = table(spark, sf, "pages")
     path = scratch_path(spark, "manifest")
-    sinks.write_jsonl(p.select(F.col("url").alias("audio"), F.concat(F.lit("p"), "page_id").alias("label"), F.col("page_id").alias("wem_hash"), F.when(F.col("page_id") % 3 != 0, F.substring("html", 1, 40)).alias("text")), path)
+    sinks.write_jsonl(p.select(F.col("url").alias("audio"), F.concat(F.lit("p"), "page_id").alias("label"), F.col("page_id").alias("wem_hash"), F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("text")), path)
     return readers.manifest(spark, path).select("audio", "label", "wem_hash", "text")
 
 
@@ -135,12 +135,12 @@ def _document(spark, rows: DataFrame, name: str) -> str:
     return path
 
 
-@query("report_last_wins", "SELECT 's/' || (item_id % 20) AS key, max(item_id) AS edit_distance, arg_max(substr(text, 1, 30), item_id) AS hypothesis FROM benchmark GROUP BY item_id % 20")
+@query("report_last_wins", "SELECT 's/' || (item_id % 20) AS key, max(item_id) AS edit_distance, arg_max(text, item_id) AS hypothesis FROM benchmark GROUP BY item_id % 20")
 def report_last_wins(spark, sf):
     b = table(spark, sf, "benchmark")
     key = F.concat(F.lit("s\\"), (F.col("item_id") % 20).cast("string"))
     even = F.col("item_id") % 20 % 2 == 0  # a key is a source in some rows and a case in others
-    r = b.select("item_id", F.when(even, key).alias("source"), F.when(~even, key).alias("case_id"), F.col("item_id").alias("edit_distance"), F.substring("text", 1, 30).alias("hypothesis"))
+    r = b.select("item_id", F.when(even, key).alias("source"), F.when(~even, key).alias("case_id"), F.col("item_id").alias("edit_distance"), F.col("text").alias("hypothesis"))
     doc = r.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "source", "case_id", "edit_distance", "hypothesis"))), lambda x: x.dropFields("item_id")).alias("results"))
     return readers.report(spark, _document(spark, doc, "report")).select("key", "edit_distance", "hypothesis")
 
@@ -313,18 +313,61 @@ def split_fanout(spark, sf):
     return one("train").unionByName(one("validation")).unionByName(one("test"))
 
 
-@query("split_order", "SELECT unnest(['test', 'train', 'validation']) AS split, 0 AS inversions")
+@query(
+    "split_order",
+    _FREEZE + f"SELECT split, fid, row_number() OVER (PARTITION BY split ORDER BY fid) - 1 AS place FROM (SELECT fid, {split_sql('fid')} AS split FROM done WHERE why IS NULL)",
+)
 def split_order(spark, sf):
-    """Within the files of a split rows come in the order of their ids."""
+    """The whole sequence of every split, as its files give it when they are read by name."""
     path = scratch_path(spark, "splits")
     sinks.write_splits(_frozen(spark, sf), path)
-    out = None
-    for s in ("test", "train", "validation"):
-        rows = spark.read.schema("fid string").json(f"{path}/{s}").select("fid", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-        pairs = rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "fid"))), lambda x: x["fid"]).alias("ids"))
-        bad = pairs.agg(F.coalesce(F.sum(F.when(F.col("ids") == F.array_sort("ids"), 0).otherwise(1)), F.lit(0)).cast("int").alias("inversions")).select(F.lit(s).alias("split"), "inversions")
-        out = bad if out is None else out.unionByName(bad)
-    return out
+    one = lambda s: ordering.numbered(spark, readers.jsonl(spark, f"{path}/{s}", "fid string")).select(F.lit(s).alias("split"), "fid", F.col("_ord").alias("place"))
+    return one("test").unionByName(one("train")).unionByName(one("validation"))
+
+
+def _uneven(spark, sf: str, rows: DataFrame, key: str, order: str) -> str:
+    """``rows`` as JSON lines in files of very different sizes, whose names follow ``order`` in ``key``: the
+    first file holds a few rows, the second most, the rest a few each."""
+    path, group = scratch_path(spark, "uneven"), F.when(F.col(key) < 3, 0).when(F.col(key) % 11 != 0, 1).otherwise(F.col(key) % 5 + 2)
+    rows.withColumn("g", group).repartition("g").sortWithinPartitions("g", order).write.partitionBy("g").json(path)
+    return path
+
+
+@query(
+    "file_order",
+    """WITH r AS (SELECT event_id, CASE WHEN event_id < 3 THEN 0 WHEN event_id % 11 <> 0 THEN 1 ELSE event_id % 5 + 2 END AS g FROM events)
+SELECT event_id, row_number() OVER (ORDER BY g, event_id) - 1 AS place, row_number() OVER (PARTITION BY g ORDER BY event_id) AS line FROM r""",
+)
+def file_order(spark, sf):
+    """Rows of files of unequal sizes, numbered in file and line order."""
+    path = _uneven(spark, sf, table(spark, sf, "events").select("event_id", "event_type"), "event_id", "event_id")
+    rows = readers.jsonl(spark, path, "event_id bigint, event_type string")
+    return ordering.numbered(spark, rows).select("event_id", F.col("_ord").alias("place"), F.col("_line").alias("line"))
+
+
+@query(
+    "file_order_first",
+    """WITH r AS (SELECT *, CASE WHEN event_id < 3 THEN 0 WHEN event_id % 11 <> 0 THEN 1 ELSE event_id % 5 + 2 END AS g FROM events)
+SELECT user_id, arg_min(event_id, g * 100000000 + event_id) AS first_event, arg_max(event_id, g * 100000000 + event_id) AS last_event FROM r GROUP BY user_id""",
+)
+def file_order_first(spark, sf):
+    """First and last row of every key over files of unequal sizes."""
+    from tessella.operators import curate
+
+    path = _uneven(spark, sf, table(spark, sf, "events").select("event_id", "user_id"), "event_id", "event_id")
+    rows = readers.jsonl(spark, path, "event_id bigint, user_id bigint")
+    first = curate.first_wins(rows, "user_id", "_ord").select("user_id", F.col("event_id").alias("first_event"))
+    return first.join(enrich.latest(rows, "user_id", "_ord").select("user_id", F.col("event_id").alias("last_event")), "user_id")
+
+
+@query("manifest_lines", "SELECT 'c' || conv_id || '/' || turn AS audio, text, 2 * row_number() OVER (PARTITION BY turn % 3 ORDER BY conv_id, turn) - 1 AS line FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL")
+def manifest_lines(spark, sf):
+    """A manifest of three files with a blank line after every row: lines are counted in their own file."""
+    path = scratch_path(spark, "manifest")
+    c = table(spark, sf, "conversations").where("conv_id is not null and turn is not null")
+    line = F.concat(F.to_json(F.struct(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("audio"), "text")), F.lit("\n"))
+    c.select("conv_id", "turn", (F.col("turn") % 3).alias("g"), line.alias("value")).repartition("g").sortWithinPartitions("g", "conv_id", "turn").select("g", "value").write.partitionBy("g").text(path)
+    return readers.manifest(spark, path).select("audio", "text", F.col("_line").alias("line"))
 
 
 @query("training_export", "SELECT 'a/' || doc_id AS audio, sha256(text) AS text_sha, 'audio,text' AS columns FROM documents WHERE doc_id % 4 <> 0 AND text IS NOT NULL")

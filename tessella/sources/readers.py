@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tessella.functions import text as tx
 from tessella.operators.enrich import latest, slashed
+from tessella.sources.ordering import numbered, with_order
 
 AUDIO_SUFFIXES = (".wav", ".ogg", ".flac", ".mp3")
 
@@ -22,22 +23,25 @@ REPORT = "results array<struct<source:string,case_id:string,speaker_cos:double,w
 CASES = "cases array<struct<case_id:string,status:string,text:string,seed:bigint,prompt_sha256:string,output:string,output_sha256:string,effective_args:map<string,string>>>, model map<string,string>"
 
 
-def with_order(df: DataFrame) -> DataFrame:
-    """Rows in file and line order. The id is only ordered, not dense, and needs no shuffle."""
-    return df.withColumn("_ord", F.monotonically_increasing_id())
-
-
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines table; blank lines are skipped."""
+    """A JSON-lines table with ``_ord``, its rows' places by file and line; blank lines are skipped."""
     return with_order(spark.read.schema(schema).json(path))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of text files, blank ones too, by ``_ord`` (from 0 over all files), ``_file`` and ``_line``
+    (from 1 in each file)."""
+    return numbered(spark, with_order(spark.read.text(path)))
+
+
 def manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
-    """Import rows; a line that isn't an object with an ``audio`` key fails the read with its text."""
-    wide = T._parse_datatype_string(schema + ", _bad string")
-    rows = with_order(spark.read.schema(wide).option("columnNameOfCorruptRecord", "_bad").json(path))
-    problem = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("not an object: "), F.col("_bad"))).when(tx.blank(F.col("audio")) == "", F.lit("row without audio"))
-    return rows.withColumn("audio", F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(F.col("audio"))).drop("_bad")
+    """Import rows in the order of their lines; a line that isn't an object, or has no ``audio`` key, fails
+    the read with its file, number and text."""
+    lines = numbered_lines(spark, path).where(F.regexp_replace("value", r"\s", "") != "")
+    problem = F.when(~tx.is_json_object(F.col("value")), F.lit("not an object: ")).when(~F.array_contains(F.json_object_keys("value"), "audio"), F.lit("row without audio: "))
+    told = F.concat(F.lit("manifest line "), F.col("_line").cast("string"), F.lit(" of "), F.col("_file"), F.lit(": "), problem, F.col("value"))
+    row = F.when(problem.isNotNull(), F.raise_error(told).cast("string")).otherwise(F.col("value"))
+    return lines.select(F.from_json(row, schema).alias("r"), "_ord", "_file", "_line").select("r.*", "_ord", "_file", "_line")
 
 
 def ok_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.curate import SPLITS
+from tessella.sources.ordering import write_ordered
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -16,11 +17,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_splits(frozen: DataFrame, path: str) -> None:
-    """One folder per split, empty ones too, rows in fid order within a file."""
+    """One folder per split, empty ones too. A split's files hold consecutive ranges of fid, so that read
+    by name they give all its rows in fid order."""
     columns = [c for c in ("audio", "fid", "text", "audio_sha256", "label", "text_source", "source_sha256", "provenance") if c in frozen.columns]
+    kept = frozen.where(F.col("why").isNull()) if "why" in frozen.columns else frozen
     for split in SPLITS:
-        rows = frozen.where((F.col("split") == split) & F.col("why").isNull()) if "why" in frozen.columns else frozen.where(F.col("split") == split)
-        write_jsonl(rows.select(*columns).sort("fid"), f"{path}/{split}")
+        write_ordered(kept.where(F.col("split") == split), f"{path}/{split}", ["fid"], columns)
 
 
 def write_training(prepared: DataFrame, path: str) -> None:

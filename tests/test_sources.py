@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.sources import audio, config, readers, sinks
+from tessella.operators import curate
+from tessella.sources import audio, config, ordering, readers, sinks
 from tessella.streaming import events
 
 
@@ -28,6 +29,63 @@ def test_jsonl_and_manifest(spark, tmp_path):
     assert [(r.file, r.text) for r in readers.provenance(spark, pv).collect()] == [("a/b.wav", "2")]
 
 
+def test_order_over_files_of_unequal_sizes(spark, tmp_path):
+    """Spark packs files by size: the small first file is read after the large second one."""
+    (tmp_path / "d").mkdir()
+    lines(tmp_path / "d/part-0.json", [{"file": "x", "text": "first"}])
+    lines(tmp_path / "d/part-1.json", [{"file": f"f{i % 400}", "text": str(i)} for i in range(3000)])
+    lines(tmp_path / "d/part-2.json", [{"file": "x", "text": "last"}, {"file": "f0", "text": "end"}])
+    rows = readers.jsonl(spark, str(tmp_path / "d"), "file string, text string")
+    got = ordering.numbered(spark, rows).orderBy("_ord").collect()
+    assert [r._ord for r in got] == list(range(3003)) and [r.text for r in got] == ["first", *map(str, range(3000)), "last", "end"]
+    assert [r._line for r in got] == [1, *range(1, 3001), 1, 2]
+    assert curate.first_wins(rows, "file", "_ord").where("file = 'x'").first().text == "first"
+    assert {r.file: r.text for r in readers.provenance(spark, str(tmp_path / "d")).where("file in ('x', 'f0')").collect()} == {"x": "last", "f0": "end"}
+
+
+def test_order_within_blocks_of_a_file(spark, tmp_path):
+    """A file that is cut into blocks, read together with small ones, keeps its line numbers."""
+    (tmp_path / "d").mkdir()
+    lines(tmp_path / "d/a.json", [{"file": "a" * 50, "text": str(i)} for i in range(4000)])
+    lines(tmp_path / "d/b.json", [{"file": "b", "text": "b"}])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = ordering.numbered(spark, readers.jsonl(spark, str(tmp_path / "d"), "file string, text string"))
+        got = rows.orderBy("_ord").collect()
+        assert len({r._file for r in got}) == 2 and [r.text for r in got] == [*map(str, range(4000)), "b"] and got[-1]._line == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_running_total(spark):
+    rows = spark.range(500).selectExpr("id", "id % 7 as v").repartition(5)
+    got = {r.id: r.s for r in ordering.running_total(spark, rows, ["id"], "v", "s").collect()}
+    assert got == {i: sum(j % 7 for j in range(i)) for i in range(500)}
+    assert ordering.running_total(spark, rows.where("id < 0"), ["id"], "v", "s").count() == 0
+
+
+def test_manifest_names_the_line(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    lines(tmp_path / "d/a.jsonl", [{"audio": "a"}, "", "  ", {"audio": "", "text": None}])
+    good = readers.manifest(spark, str(tmp_path / "d")).orderBy("_ord").collect()
+    assert [(r.audio, r._line) for r in good] == [("a", 1), ("", 4)]
+    lines(tmp_path / "d/b.jsonl", [{"audio": "b"}, "", {"text": "no key"}])
+    with pytest.raises(Exception, match=r"manifest line 3 of \S*b.jsonl: row without audio: .*no key"):
+        readers.manifest(spark, str(tmp_path / "d")).collect()
+    lines(tmp_path / "d/b.jsonl", ["", "[{\"audio\": 1}]"])
+    with pytest.raises(Exception, match="manifest line 2 of .*not an object"):
+        readers.manifest(spark, str(tmp_path / "d")).collect()
+
+
+def test_splits_are_sorted_across_files(spark, tmp_path):
+    rows = spark.range(900).selectExpr("sha2(cast(id as string), 256) as fid", "'train' as split", "cast(null as string) as why").repartition(6)
+    sinks.write_splits(rows, str(tmp_path / "s"))
+    names = sorted((tmp_path / "s/train").glob("part-*.json"))
+    got = [json.loads(x)["fid"] for n in names for x in n.read_text().splitlines()]
+    assert len(names) > 1 and len(got) == 900 and got == sorted(got) and (tmp_path / "s/test").is_dir()
+
+
 def test_reports_and_cases(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"results": [{"source": "a\\b", "speaker_cos": 0.1}, {"case_id": "c", "cer": 0.2}, {"source": "a/b", "speaker_cos": 0.3}]}, indent=2))
     assert {r.key: (r.speaker_cos, r.cer) for r in readers.report(spark, str(tmp_path / "r.json")).collect()} == {"a/b": (0.3, None), "c": (None, 0.2)}
