@@ -9,10 +9,12 @@ from collections import Counter
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.operators.graph import connected_components
 from tessella.session import materialize, release
 
 SPLITS = ("train", "validation", "test")
@@ -83,26 +85,66 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(*(F.col(key) if c == key else F.col(f"_b.{c}").alias(c) for c in rows.columns))
 
 
-def greedy_two_key(spark: SparkSession, rows: DataFrame, first: str, second: str, order: str) -> DataFrame:
-    """Sequential "accept unless either key was accepted before" as a fixpoint.
+#: Rounds of the fixpoint before what is left is folded component by component.
+ROUNDS = 4
+
+
+def greedy_two_key(spark: SparkSession, rows: DataFrame, first: str, second: str, order: str, rounds: int = ROUNDS) -> DataFrame:
+    """Sequential "accept unless either key was accepted before".
 
     In each round a row that is the smallest undecided one under both keys is accepted, and every row
-    that shares a key with an accepted one leaves. Rounds follow the longest alternating chain, not the
-    number of rows; each writes its undecided rows, so lineage stays short."""
-    open_rows = materialize(spark, rows.select(first, second, order), "greedy")
-    accepted = None
-    while True:
+    that shares a key with an accepted one leaves; frequent keys fall in the first rounds. An alternating
+    chain would need a round for every two of its rows, so after ``rounds`` the rest goes to
+    ``fold_components``. Each round writes its undecided rows, so lineage stays short. A null key neither
+    blocks nor is blocked."""
+    keyless = F.col(first).isNull() & F.col(second).isNull()
+    accepted = rows.where(keyless).select(first, second, order)
+    open_rows = materialize(spark, rows.where(~keyless).select(first, second, order), "greedy")
+    for _ in range(rounds):
         a = open_rows.groupBy(first).agg(F.min(order).alias("_a"))
         b = open_rows.groupBy(second).agg(F.min(order).alias("_b"))
-        won = open_rows.join(a, first).join(b, second).where((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).select(first, second, order)
+        leads = lambda key, least: F.col(key).isNull() | (F.col(order) == F.col(least))
+        won = open_rows.join(a, first, "left").join(b, second, "left").where(leads(first, "_a") & leads(second, "_b")).select(first, second, order)
         won = materialize(spark, won, "greedy-won")
-        accepted = won if accepted is None else accepted.unionByName(won)
+        accepted = accepted.unionByName(won)
         before, left = open_rows, open_rows.join(won.select(first), first, "left_anti").join(won.select(second), second, "left_anti")
         open_rows = materialize(spark, left.select(first, second, order), "greedy")
         release(before)
         if open_rows.isEmpty():
             release(open_rows)
             return accepted
+    return accepted.unionByName(fold_components(spark, open_rows, first, second, order))
+
+
+def fold_components(spark: SparkSession, rows: DataFrame, first: str, second: str, order: str) -> DataFrame:
+    """``greedy_two_key`` by the components of the graph whose nodes are key values and whose edges are
+    rows with a key at least. Components are found in rounds that grow with the logarithm of the longest
+    chain; each is then decided by one pass over its sorted rows. A task streams its components and holds
+    the accepted keys of one, as 128 bits of hash each."""
+    hashed = lambda c, k: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(k), c))
+    keyed = materialize(spark, rows.select(first, second, order, hashed(first, 1).alias("_a"), hashed(second, 2).alias("_b")), "greedy-keys")
+    roots = connected_components(spark, keyed.where("_a is not null and _b is not null").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    placed = keyed.withColumn("node", F.coalesce("_a", "_b")).join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["_root", "_a", hashed(first, 3).alias("_a2"), "_b", hashed(second, 4).alias("_b2"), first, second, order]
+    ordered = placed.select(*columns).repartition(tasks, "_root").sortWithinPartitions("_root", order)
+
+    def fold(batches):
+        root, seen = None, set()
+        for batch in batches:
+            keep = []
+            for r, a, a2, b, b2 in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if r != root:
+                    root, seen = r, set()
+                keys = {(k, k2) for k, k2 in ((a, a2), (b, b2)) if k is not None}
+                keep.append(seen.isdisjoint(keys))
+                if keep[-1]:
+                    seen |= keys
+            yield batch.filter(pa.array(keep, pa.bool_())).select([5, 6, 7])
+
+    out = materialize(spark, ordered.mapInArrow(fold, rows.select(first, second, order).schema), "greedy-folded")
+    release(keyed, roots)
+    return out
 
 
 def decide(rows: DataFrame, accepted: DataFrame, first: str, second: str, order: str, late: Column | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import curate, enrich
+from tessella.operators import curate, enrich, graph
 
 
 def sequential(rows):
@@ -35,6 +35,36 @@ def test_greedy_two_key_equals_sequential(spark, seed):
     assert {r._ord: r.why for r in out.collect()} == sequential(rows)
 
 
+def test_greedy_chain_ends_in_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 rows, each sharing a key with the next: by fixpoint alone 5,000 rounds."""
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda s, df, name, **k: (written.append(name), keep(s, df, name, **k))[1])
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "_ord long, a string, b string").repartition(4)
+    got = sorted(r._ord for r in curate.greedy_two_key(spark, df, "a", "b", "_ord").collect())
+    want = sequential([(*r, False) for r in rows])
+    assert got == [o for o, w in want.items() if w is None] and written.count("large") <= 24
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folded_components_equal_sequential(spark, seed):
+    """Rows with null keys, too: a null key blocks nothing."""
+    rng = random.Random(seed)
+    pick = lambda p, n: None if rng.random() < 0.1 else f"{p}{rng.randrange(n)}"
+    rows = [(i, pick("k", 40), pick("k", 25)) for i in range(160)] + [(500, None, None), (501, None, None)]
+    df = spark.createDataFrame(rows, "_ord long, a string, b string").repartition(5)
+    a, b, want = set(), set(), []
+    for o, x, y in rows:
+        if (x is None or x not in a) and (y is None or y not in b):
+            a.add(x)
+            b.add(y)
+            want.append(o)
+    assert sorted(r._ord for r in curate.greedy_two_key(spark, df, "a", "b", "_ord", rounds=0).collect()) == want
+    assert sorted(r._ord for r in curate.greedy_two_key(spark, df, "a", "b", "_ord", rounds=1).collect()) == want
+    assert sorted(r._ord for r in curate.greedy_two_key(spark, df, "a", "b", "_ord").collect()) == want
+
+
 def test_greedy_counter_example(spark):
     df = spark.createDataFrame([(1, "s1", "t1"), (2, "s2", "t1"), (3, "s2", "t3")], "_ord long, a string, b string")
     assert sorted(r._ord for r in curate.greedy_two_key(spark, df, "a", "b", "_ord").collect()) == [1, 3]
