@@ -5,15 +5,14 @@ Rows carry an explicit order column; "first" always means smallest order, never
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.operators.fuzzy import SIMILAR, similar_to_blocklist
 from tessella.operators.graph import connected_components
 from tessella.session import materialize, release
 
@@ -22,7 +21,6 @@ MIN_SECONDS, MAX_SECONDS = 0.4, 120.0
 HARD_KINDS = ("too_short", "non_finite", "empty")
 PREP_MIN_ROWS, PREP_MIN_SECONDS = 30, 120.0
 PREP_MIN_DURATION, PREP_MAX_DURATION, PREP_SILENT_DB = 0.4, 90.0, -50.0
-SIMILAR = 0.85
 VALIDATION_ROWS = 8
 
 
@@ -225,74 +223,6 @@ def build_blocklist(parts: list[DataFrame]) -> DataFrame:
     return rows.agg(gather(F.lower("sha")).alias("audio_sha256"), gather(F.when(tx.blank(F.col("text")) != "", tx.norm_text(F.col("text")))).alias("norm_texts"), gather("fid").alias("fids"), F.count("*").alias("n_entries"))
 
 
-#: Characters that are counted one by one (all others count as one kind), and the length of the shared runs
-#: that long texts are joined on.
-_COUNTED, _RUN = "etaoinsrhldcumfpgwybvkxjqzTAIS", 6
-
-
-def _counted(norm: Column) -> Column:
-    """How often each counted character occurs, and all others together; once per text."""
-    counts = [F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in _COUNTED]
-    return F.array(*counts, F.length(F.translate(norm, _COUNTED, "")))
-
-
-def _shared_runs(text: str, threshold: float) -> list[str] | None:
-    """The runs of ``_RUN`` characters one of which any partner at the threshold must hold; none where no such
-    rule holds. In texts of 200 characters and more a matching block holds a character that makes up 1 % at
-    most, but for a common beginning, so matches that reach the threshold need few and long blocks."""
-    n = len(text)
-    if n < 200:
-        return None
-    often = {c for c, k in Counter(text).items() if k > n // 100 + 1}
-    rare = [i for i, c in enumerate(text) if c not in often]
-    least = threshold / 2 * n * (1 + threshold / (2 - threshold))
-    unmatched = (1 - threshold) * n * (1 + (2 - threshold) / threshold)
-    if least < _RUN * min(len(rare) + 1, unmatched + 1):
-        return None
-    starts = {0, *(a for i in rare for a in range(max(0, i - _RUN + 1), min(i, n - _RUN) + 1))}
-    return sorted({text[a : a + _RUN] for a in starts})
-
-
-def _seeded(texts: DataFrame, threshold: float) -> DataFrame:
-    """``texts`` with their ``runs``, null where partners needn't share one."""
-
-    @F.pandas_udf("array<string>")
-    def runs(other: pd.Series) -> pd.Series:
-        return other.map(lambda t: _shared_runs(t, threshold))
-
-    return texts.withColumn("runs", runs("other")).withColumn("seeded", F.col("runs").isNotNull())
-
-
-def similar_to_blocklist(rows: DataFrame, texts: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """Per row key the best fuzzy ratio of its ``norm`` against ``texts.norm``, where it reaches the
-    threshold. ``rows`` has key, norm. Candidates come from equi-joins: on runs of characters where long
-    texts must share one, else on bands of geometric length, since partners lie in the same or the next
-    band; the lengths and the characters' counts bound the ratio before it is computed."""
-    import math
-
-    step = math.log((2 - threshold) / threshold)  # partners' lengths differ by at most this factor
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
-    spark = rows.sparkSession
-    left = rows.where("norm <> ''").select(F.xxhash64("key", "norm").alias("row"), "key", "norm", F.length("norm").alias("n"), _counted(F.col("norm")).alias("c"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work a row or pair: not merged at run time
-    left = materialize(spark, left.repartition(tasks, "row"), "fuzzy-rows")
-    right = _seeded(texts.where("norm <> ''").select(F.col("norm").alias("other")).distinct(), threshold)
-    right = materialize(spark, right.select(F.xxhash64("other").alias("block"), "other", F.length("other").alias("m"), _counted(F.col("other")).alias("d"), "seeded", "runs"), "fuzzy-texts")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.substr("norm", i, F.lit(_RUN)))))
-    # only ids and lengths travel to find candidates
-    by_run = left.repartition(tasks, "row").select("row", "n", F.explode(runs).alias("at")).join(right.where("seeded").select("block", "m", F.explode(F.transform("runs", lambda r: F.xxhash64(r))).alias("at")), "at")
-    bands = left.select("row", "n", F.explode(F.array(band("norm") - 1, band("norm"), band("norm") + 1)).alias("at"))
-    by_band = bands.join(right.where("not seeded").select("block", "m", band("other").alias("at")), "at")
-    close = 2.0 * F.least("n", "m") / (F.col("n") + F.col("m")) >= threshold
-    found = by_run.where(close).select("row", "block").unionByName(by_band.where(close).select("row", "block")).distinct()
-    pairs = found.join(left.select("row", "key", "norm", "c").dropDuplicates(["row"]), "row").join(right.select("block", "other", "d"), "block")
-    shared = F.aggregate(F.zip_with("c", "d", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    pairs = pairs.where(2.0 * shared / (F.length("norm") + F.length("other")) >= threshold)
-    pairs = pairs.repartition(tasks, "row", "block")
-    scored = pairs.withColumn("ratio", tx.fuzzy_ratio("norm", "other"))
-    return scored.groupBy("key").agg(F.max("ratio").alias("similarity")).where(F.col("similarity") >= threshold)
-
-
 def prepare_training(spark: SparkSession, rows: DataFrame, blocked_fids: DataFrame, blocked_shas: DataFrame, blocked_texts: DataFrame) -> DataFrame:
     """The reject cascade: every row with ``reason`` (null where accepted). Rows carry _ord, fid, text,
     file_sha256 (null where the file is missing), readable, duration_s, rms_dbfs. The block tables have
@@ -301,7 +231,7 @@ def prepare_training(spark: SparkSession, rows: DataFrame, blocked_fids: DataFra
     rows = mark_members(rows.withColumn("_sha", F.lower("file_sha256")), blocked_fids, "fid", "_fid")
     rows = mark_members(rows, blocked_shas.select(F.lower("key").alias("key")), "_sha", "_audio")
     rows = mark_members(rows, blocked_texts, "norm", "_exact")
-    near = similar_to_blocklist(rows.where("norm <> ''").select(F.col("_ord").alias("key"), "norm"), blocked_texts.select(F.col("key").alias("norm")))
+    near = similar_to_blocklist(rows.select(F.col("_ord").alias("key"), "norm"), blocked_texts.select(F.col("key").alias("norm")), SIMILAR)
     rows = rows.join(near.select(F.col("key").alias("_ord"), "similarity"), "_ord", "left")
     early = (
         F.when(F.col("_fid"), "leak_fid").when(F.col("file_sha256").isNull(), "missing_file").when(F.col("_audio"), "leak_audio_sha")

@@ -11,8 +11,8 @@ from tessella.functions import text as tx
 from tessella.functions import vectors as vx
 from tessella.operators import curate, enrich, experiments, ratings, reports, verdicts
 from tessella.plans.catalogue import _BASE, _cells, _CELLS, _index, _long_signals, norm_sql, query, split_sql
-from tessella.session import table
-from tessella.sources import sinks
+from tessella.session import materialize, table
+from tessella.sources import ordering, sinks
 from tessella.streaming import events as stream
 
 # ---------------------------------------------------------------- text
@@ -243,6 +243,27 @@ def dedup_two_key_greedy(spark, sf):
     return curate.greedy_two_key(spark, e.where("user_id is not null and cents is not null"), "user_id", "cents", "event_id")
 
 
+@query(
+    "dedup_chains",
+    """WITH e AS (SELECT event_id, sum(CASE WHEN user_id % 31 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS chain FROM events WHERE event_id IS NOT NULL),
+r AS (SELECT event_id, chain, row_number() OVER (PARTITION BY chain ORDER BY event_id) - 1 AS i FROM e)
+SELECT event_id, chain::BIGINT AS chain, i::BIGINT AS place FROM r WHERE i % 2 = 0""",
+)
+def dedup_chains(spark, sf):
+    """Chains of rows that share a key with the next, by turns the first and the second: every other row
+    of a chain is accepted, however long it is."""
+    e = table(spark, sf, "events").where("event_id is not null").select("event_id", F.when(F.col("user_id") % 31 == 0, 1).otherwise(0).cast("long").alias("starts"))
+    chained = ordering.running_total(spark, e, ["event_id"], "starts", "before").withColumn("chain", F.col("before") + F.col("starts"))
+    ranked = chained.select("event_id", "chain", F.lit(1).cast("long").alias("one"))
+    ranked = ordering.running_total(spark, ranked, ["event_id"], "one", "at")
+    first = ranked.groupBy("chain").agg(F.min("at").alias("first"))
+    placed = materialize(spark, ranked.join(first, "chain").select("event_id", "chain", (F.col("at") - F.col("first")).alias("place")), "chains")
+    key = lambda p: F.concat_ws("/", "chain", p)
+    rows = placed.select("event_id", key(F.expr("(place + 1) div 2")).alias("a"), key(F.expr("place div 2")).alias("b"))
+    kept = curate.greedy_two_key(spark, rows, "a", "b", "event_id").select("event_id")
+    return placed.join(kept, "event_id")
+
+
 @query(
     "cer_unicode",
     f"""WITH t AS (SELECT conv_id, turn, {_PAIR_TEXT.format('text')} AS y FROM conversations), u AS (SELECT conv_id, turn, regexp_replace(y, '[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}' || '，。！？、；：「」『』（）…—,.!?;:"''' || ']', '', 'g') AS x FROM t),

@@ -1,6 +1,7 @@
 """The leak search against all pairs, and properties of chunks, cuts and guards."""
 
 import difflib
+import os
 import random
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import dsp
 from tessella.functions import text as tx
-from tessella.operators import curate, experiments
+from tessella.operators import curate, experiments, fuzzy
+from tests import oracle
 
 
 def _prose(r, n):
@@ -39,6 +41,57 @@ def test_similar_equals_all_pairs(spark):
     assert {x.key: x.similarity for x in got.collect()} == want and 20 < len(want) < len(rows)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.75, 0.95, 1.0])
+def test_filters_lose_no_pair(threshold):
+    """Every pair that reaches the threshold is a candidate, at lengths where runs must be shared and where
+    single characters must, and where the second text is long enough to have its common characters ignored."""
+    r = random.Random(int(100 * threshold))
+    texts = [_prose(r, n) for n in (1, 2, 4, 9, 20, 70, 110, 240)] + ["ab" * 120, "🙂x" * 30]
+    blocked, found, pairs = fuzzy.Blocked(texts, threshold), 0, 0
+    for t in texts:
+        for _ in range(25):
+            v = list(t)
+            for _ in range(r.randrange(len(v) + 1)):
+                at = r.randrange(len(v) + 1)
+                v[at : at + r.randrange(3)] = r.choice(["", "x", "th", t[:5]])
+            row = "".join(v) or "q"
+            near = {b for b, other in enumerate(texts) if difflib.SequenceMatcher(None, row, other).ratio() >= threshold}
+            got = set(blocked.candidates(row).tolist())
+            assert near <= got
+            found, pairs = found + len(near), pairs + len(got)
+            assert blocked.best(row) == max((difflib.SequenceMatcher(None, row, texts[b]).ratio() for b in near), default=0)
+    assert found > 10
+
+
+def test_blocks_of_texts(spark):
+    """The same result whatever the texts are cut into."""
+    r = random.Random(8)
+    texts = [_prose(r, 30) for _ in range(40)]
+    rows = spark.createDataFrame([(i, t[:-3] + "zz") for i, t in enumerate(texts)] + [(0, texts[5]), (99, ""), (98, None)], "key int, norm string").repartition(3)
+    blocks = spark.createDataFrame([(t,) for t in [*texts, texts[0], "", None]], "norm string")
+    one = {x.key: x.similarity for x in fuzzy.similar_to_blocklist(rows, blocks).collect()}
+    assert one == {x.key: x.similarity for x in fuzzy.similar_to_blocklist(rows, blocks, block_chars=500).collect()} and one[0] == 1.0 and len(one) == 40
+    assert fuzzy.similar_to_blocklist(rows, blocks.where("norm = ''")).count() == 0
+    assert fuzzy.similar_to_blocklist(rows.where("key > 200"), blocks).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="the tables aren't here")
+def test_leak_query_equals_all_pairs(spark):
+    from tessella.plans import catalogue, further  # noqa: F401
+
+    norm = lambda t: spark.read.parquet(f"{oracle.DATA}/{t}.parquet").withColumn("norm", tx.norm_text(F.col("text")))
+    texts = {r.item_id: r.norm for r in norm("benchmark").collect()}
+    rows = {f"{r.conv_id}/{r.turn}": r.norm for r in norm("conversations").collect()}
+    rows |= {f"near/{i}": t[2 : 2 + len(t) // 2] + "Q#" + t[len(t) // 2 + 4 :] for i, t in texts.items()}
+    want = {}
+    for key, a in rows.items():
+        for b in set(texts.values()) - {""}:
+            m = difflib.SequenceMatcher(None, a, b)
+            if a and m.real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 and m.ratio() >= 0.85:
+                want[key] = max(want.get(key, 0), m.ratio())
+    assert {r.key: r.similarity for r in catalogue.QUERIES["leak_fuzzy"](spark, oracle.DATA).collect()} == want and len(want) > 20
+
+
 def values(spark, column, rows, types="t string"):
     return [x[0] for x in spark.createDataFrame(rows, types).select(column.alias("v")).collect()]
 
