@@ -1,9 +1,11 @@
 """Line deduplication: range-partitioned line hashes, keep bitmaps per document.
 
-Line hashes are range-partitioned by (hash, document) and sorted by document and position, so that a
-line found in a third of all documents spreads over many tasks. Each partition streams its sorted rows
-into one row per hash and document, and those into one partial count per hash; the few hashes over
-the limit are joined back. What travels to the documents is a sparse bitmap of 64-line words.
+Line hashes are range-partitioned by (hash, document), so that a line found in a third of all documents
+spreads over many tasks, and sorted by hash, document and position within. A window streams each range's
+first occurrences, one row per hash and document, which are counted where they are before the counts are
+shuffled; the few hashes over the limit are joined back. What travels to the documents is not text but
+a sparse bitmap of 64-line words. Its bits are the keep bitmap's complement: most documents keep all their
+lines, and then there is none.
 
 Cases: a null or empty text is one empty line; lines of rows that share a ``doc_id`` count as one
 document's, and a null ``doc_id`` is a document smaller than all others; rows equal in ``doc_id`` and
@@ -14,7 +16,7 @@ all share its fate; extra columns are ignored; an empty table gives no rows. Key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.session import materialize
@@ -36,6 +38,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row_key", F.xxhash64("text"))
 
 
+def first_occurrences(hashed: DataFrame, parts: int) -> DataFrame:
+    """The first row of every line hash and document. The window's keys hold all keys of the ranges, so it
+    runs on them without another exchange, over rows sorted by hash, document and position."""
+    ranges = hashed.select("h1", "h2", "doc_id", "pos").repartitionByRange(parts, "h1", "h2", "doc_id")
+    nth = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos"))
+    return ranges.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
 def drop_bitmaps(spark: SparkSession, docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Documents that lose lines: their dropped lines as (word, bits) pairs, 64 lines to a word."""
     lines = _rows(docs).select("doc_id", "row_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -43,9 +53,8 @@ def drop_bitmaps(spark: SparkSession, docs: DataFrame, min_length: int = MIN_LEN
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "row_key", "pos")
     hashed = materialize(spark, hashed, "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = hashed.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    per_document = ordered.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
-    frequent = per_document.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_documents).drop("n")
+    first = first_occurrences(hashed, parts)
+    frequent = first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_documents).drop("n")
     frequent = materialize(spark, frequent, "frequent")  # a join of its own, which can be split where a line is hot
     dropped = hashed.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     bit = F.expr("shiftleft(1L, pos % 64)")
@@ -57,7 +66,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_length: int = MIN_LENG
     """Every document row with ``n_lines``, ``n_dropped`` and ``kept``, the remaining text."""
     rows = _rows(docs)
     maps = drop_bitmaps(spark, docs, min_length, min_documents).withColumnsRenamed({"doc_id": "d", "row_key": "k"})
-    joined = rows.join(maps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")), "left")
+    joined = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")), "left")
     return joined.select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.aggregate("bitmap", F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x["bits"])), F.lit(0).cast("long")).alias("n_dropped"), kept_text(F.col("text"), F.col("bitmap")).alias("kept"))
 
 

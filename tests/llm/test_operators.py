@@ -80,6 +80,24 @@ def test_line_dedup(spark, corpus, frames, odd, none):
     assert [got[i][0] for i in range(5)] == [200] * 4 + [0] and got[0][1] == "z"
 
 
+def test_line_dedup_streams_sorted_ranges(spark):
+    """First occurrences come from ranges sorted by hash, document and position: the sort stays in the plan,
+    right above the range exchange, and only their counts are shuffled by hash."""
+    hashed = spark.range(3000).selectExpr("id % 7 as h1", "id % 7 as h2", "id % 90 as doc_id", "cast(id as int) as pos")
+    first = line_dedup.first_occurrences(hashed, 5)
+    counts = first.groupBy("h1", "h2").agg(F.count("*"), F.max("doc_id"))
+    assert counts.count() == 7
+    steps = [x.strip(" +-:*()0123456789") for x in counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()]
+    names = [re.match(r"\w*", x)[0] for x in steps]
+    window, sort = names.index("Window"), names.index("Sort")
+    assert re.search(r"Sort \[h1\S* ASC[^,]*, h2\S* ASC[^,]*, doc_id\S* ASC[^,]*, pos\S* ASC", steps[sort]) and "rangepartitioning(h1" in steps[sort + 1]
+    assert names[window:sort].count("Exchange") == names[window:sort].count("HashAggregate") == 0 and names[:window].count("Exchange") == 1
+    want = {}
+    for i in range(3000):
+        want.setdefault((i % 7, i % 90), i)
+    assert {(r.h1, r.doc_id): r.pos for r in first.collect()} == want
+
+
 def test_jaccard_join(spark, corpus, frames, odd, none):
     rows, _ = corpus
     want = brute.brute3([(d, t) for d, t, _ in rows])
