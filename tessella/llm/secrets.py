@@ -1,15 +1,21 @@
 """Secret scans: fixed patterns plus a randomness test battery, in DataFrame functions only.
 
-The battery looks at long tokens with a digit and a letter; '=' ends a token as its padding, and a run
-that mixes the characters of both base64 alphabets is split under each of them. An encoding is inferred from a token's
-characters; chi-squared uniformity over its alphabet and over the alphabet's halves, a runs test about
-the alphabet's middle and the lag-1 serial correlation give four p-values under "uniformly random",
-combined by Fisher's rule.
-Random tokens have uniform combined p-values while structured ones crowd at zero, so per encoding and
-length class the number of random tokens is estimated from the upper half of the p-values of the
-whole corpus (a token that occurs many times counts once), and the cut is the smallest whose estimated
-share of structured tokens is within ``max_false``. Every class starts from the same ``PRIOR`` counts, so a class of few tokens is judged by the
-same rule as one of many.
+Every run of at least ``MIN_TOKEN`` token characters is tested; '=' ends a token as its padding, and a run
+that mixes the characters of both base64 alphabets is split under each of them. An encoding is inferred from
+a token's characters. Two questions are put to a token:
+
+* Could it be random? Chi-squared uniformity over the alphabet and over its halves, a runs test about the
+  alphabet's middle and the lag-1 serial correlation give four p-values under "uniformly random", combined
+  by Fisher's rule; a token below ``MIN_RANDOM`` is structured.
+* Could it be words? ``evidence`` is the binary logarithm of the ratio of its probability under the uniform
+  alphabet to that under a model of words, numbers and separators run together, with letters by frequency
+  and by turns of vowels and consonants, and few changes of case and kind. Over structured tokens this ratio averages
+  one at most whatever their length, so two to the power of minus the evidence is a p-value, and longer tokens can gather more of it.
+
+False discoveries are then controlled by the step-up rule of Benjamini and Hochberg over all distinct
+tokens of the corpus, apart for every encoding and length class: a token stays if its p-value is within
+``max_false`` times the share of its class that has as much evidence. The rule holds in a class of one
+token as in one of millions. Digits alone are never evidence: any number might be meant.
 
 Cases: a null text counts as empty and has no spans; repeated rows are judged row by row; a null
 ``doc_id`` stays null; extra columns are ignored; an empty table gives no rows. Texts of any length are
@@ -19,7 +25,9 @@ of equal ones in two alphabets the one span; spans that start together are liste
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.session import materialize
@@ -38,13 +46,16 @@ MIN_TOKEN = 20
 
 def _runs(chars: str) -> str:
     """Whole runs of ``chars`` with the '=' behind them; of shorter runs only those that have any."""
-    return f"[{chars}]{{{MIN_TOKEN},}}+=*+|(?<![{chars}])[{chars}]{{1,{MIN_TOKEN - 1}}}+=++"
+    return f"(?<![{chars}])(?:[{chars}]{{{MIN_TOKEN},}}+=*+|[{chars}]{{1,{MIN_TOKEN - 1}}}+=++)"
 
 
 TOKEN = _runs("A-Za-z0-9+/_-")
 #: The runs of either base64 alphabet.
 PIECES = (_runs("A-Za-z0-9+/"), _runs("A-Za-z0-9_-"))
 ENCODINGS = (
+    ("digits", "0123456789", "^[0-9]+$"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz", "^[a-z]+$"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "^[A-Z]+$"),
     ("hex", "0123456789abcdef", "^[0-9a-f]+$"),
     ("hexu", "0123456789ABCDEF", "^[0-9A-F]+$"),
     ("b32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "^[A-Z2-7]+$"),
@@ -54,10 +65,21 @@ ENCODINGS = (
     ("b64u", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^[0-9A-Za-z_-]+$"),
 )
 MAX_FALSE = 0.1
-BINS = 20
-#: What a class holds before its tokens are counted: random tokens, even over the bins, and structured ones
-#: in the lowest bin.
-PRIOR = (50.0, 50.0)
+#: A token is structured if the battery's p-value is lower; so many random tokens are lost.
+MIN_RANDOM = 0.005
+#: Levels of evidence are whole bits up to this.
+LEVELS = 64
+#: How often each letter stands in English text, in percent.
+LETTERS = {
+    "a": 8.2, "b": 1.5, "c": 2.8, "d": 4.3, "e": 12.7, "f": 2.2, "g": 2.0, "h": 6.1, "i": 7.0, "j": 0.15, "k": 0.77, "l": 4.0, "m": 2.4,
+    "n": 6.7, "o": 7.5, "p": 1.9, "q": 0.095, "r": 6.0, "s": 6.3, "t": 9.1, "u": 2.8, "v": 0.98, "w": 2.4, "x": 0.15, "y": 2.0, "z": 0.074,
+}
+VOWELS = "aeiou"
+#: Chances in structured tokens: that a vowel follows a consonant or a vowel, that a letter is any of its
+#: sort rather than one by frequency, and that a small letter, a capital, a digit or a separator is followed
+#: by each of these.
+AFTER_CONSONANT, AFTER_VOWEL, ANY = 0.52, 0.2, 0.2
+FOLLOWS = ((0.86, 0.06, 0.05, 0.03), (0.7, 0.2, 0.05, 0.05), (0.12, 0.08, 0.75, 0.05), (0.45, 0.25, 0.25, 0.05), (0.25, 0.25, 0.25, 0.25))
 _CHUNK = 256
 
 
@@ -169,9 +191,58 @@ def _step(a: Column, v: Column, k: Column) -> Column:
     ))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, class, p): class holds the encoding and the length class."""
-    whole = lambda found: F.filter(found, lambda x: (F.length(x["match"]) >= MIN_TOKEN) & x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]"))
+_SYMBOLS = "+/_-"
+_CHARACTERS = "".join(LETTERS) + "".join(LETTERS).upper() + "0123456789" + _SYMBOLS
+_KINDS = 6  # small vowel, small consonant, capital vowel, capital consonant, digit, separator
+
+
+def _word_model() -> tuple[list[int], list[float], list[float]]:
+    """The kind and cost in bits of every character, and the costs of kinds that follow one another, row by
+    row with one more for the beginning. The chances of a row add up to one."""
+    sorts = {v: {c: f for c, f in LETTERS.items() if (c in VOWELS) == v} for v in (True, False)}
+    chance = {c: (1 - ANY) * f / sum(sort.values()) + ANY / len(sort) for sort in sorts.values() for c, f in sort.items()}
+    kinds, costs = [], []
+    for c in _CHARACTERS:
+        low = c.lower()
+        kinds.append((low not in VOWELS) + 2 * (c != low) if low in LETTERS else 4 + (c in _SYMBOLS))
+        costs.append(-math.log2(chance[low]) if low in LETTERS else math.log2(10 if c.isdigit() else len(_SYMBOLS)))
+    group, turns = (0, 0, 1, 1, 2, 3, 4), []
+    for kind in range(_KINDS + 1):
+        vowel = AFTER_VOWEL if kind in (0, 2) else AFTER_CONSONANT
+        for to in range(_KINDS):
+            turns.append(-math.log2(FOLLOWS[group[kind]][group[to]] * (1 if to >= 4 else vowel if to % 2 == 0 else 1 - vowel)))
+    return kinds, costs, turns
+
+
+_CHARACTER_KINDS, _COSTS, _TURNS = _word_model()
+#: The same turns within tokens of one kind alone, which make up half of the model: vowels and consonants only.
+_TURNS_ALONE = [
+    0.0 if to >= 4 else -math.log2(v if to % 2 == 0 else 1 - v)
+    for kind in range(_KINDS + 1) for to in range(_KINDS) for v in [AFTER_VOWEL if kind in (0, 2) else AFTER_CONSONANT]
+]
+
+
+def evidence(token: Column, alphabet: Column) -> Column:
+    """Bits by which uniform choice from ``alphabet`` explains the token better than words do."""
+    array = lambda values: F.array(*map(F.lit, values))
+    tables = F.struct(array(_CHARACTER_KINDS).alias("kinds"), array(_COSTS).alias("costs"), array(_TURNS).alias("turns"), array(_TURNS_ALONE).alias("alone"))
+    start = F.struct(F.lit(_KINDS).alias("last"), F.lit(0.0).alias("mixed"), F.lit(0.0).alias("single"))
+
+    def step(a: Column, c: Column, t: Column) -> Column:
+        at = F.call_function("instr", F.lit(_CHARACTERS), c) - 1
+        known = F.struct(F.get(t["kinds"], at).alias("kind"), F.get(t["costs"], at).alias("cost"))
+        turn = lambda x: a["last"] * _KINDS + x["kind"]
+        return let(known, lambda x: F.struct(x["kind"].alias("last"), (a["mixed"] + x["cost"] + F.get(t["turns"], turn(x))).alias("mixed"), (a["single"] + x["cost"] + F.get(t["alone"], turn(x))).alias("single")))
+
+    one_kind = token.rlike("^(?:[a-z]*|[A-Z]*|[0-9]*)$")
+    cost = let(tables, lambda t: F.aggregate(F.split(token, ""), start, lambda a, c: step(a, c, t), lambda a: 1 + F.when(one_kind, F.least(a["mixed"], a["single"])).otherwise(a["mixed"])))
+    return cost - F.length(token) * F.log2(F.length(alphabet).cast("double"))
+
+
+def candidates(text: Column, max_false: float = MAX_FALSE) -> Column:
+    """Array of (start, end, class, token, level): class holds the encoding and the length class, level the
+    whole bits of evidence, 0 where the battery finds structure."""
+    whole = lambda found: F.filter(found, lambda x: F.length(x["match"]) >= MIN_TOKEN)
 
     def split(x: Column) -> Column:
         shift = lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["match"].alias("match"))
@@ -180,6 +251,12 @@ def candidates(text: Column) -> Column:
 
     found = F.array_distinct(F.flatten(F.transform(whole(located(text, TOKEN)), split)))
     bare = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.rtrim(x["match"], F.lit("=")).alias("token")))
+    least = -math.log2(max_false)
+
+    def level(token: Column, letters: Column) -> Column:
+        """The battery looks at tokens only that have the evidence to be found at all."""
+        bits = F.least(F.floor(evidence(token, letters)).cast("int"), F.lit(LEVELS))
+        return let(bits, lambda b: F.when(b < least, F.lit(0)).when(battery(token, letters) < MIN_RANDOM, F.lit(0)).otherwise(b))
 
     def judged(x: Column) -> Column:
         code, letters = F.lit(None).cast("int"), F.array(*(F.lit(e[1]) for e in ENCODINGS))
@@ -187,28 +264,23 @@ def candidates(text: Column) -> Column:
             code = F.when(x["token"].rlike(pattern), F.lit(i)).otherwise(code)
         size = F.least(F.floor(F.log2(F.length(x["token"]).cast("double"))).cast("int"), F.lit(15))
         return let(code, lambda c: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), (c * 16 + size).alias("class"),
-            F.when(c.isNotNull() & (F.length(x["token"]) > 2), let(F.get(letters, c), lambda a: battery(x["token"], a))).alias("p"),
+            x["start"].alias("start"), x["end"].alias("end"), (c * 16 + size).alias("class"), F.xxhash64(x["token"]).alias("token"),
+            F.when(c.isNotNull() & (F.length(x["token"]) > 2), let(F.get(letters, c), lambda a: level(x["token"], a))).alias("level"),
         ))
 
-    return F.filter(F.transform(bare, judged), lambda x: x["p"].isNotNull())
+    return F.filter(F.transform(bare, judged), lambda x: x["level"].isNotNull())
 
 
 def cuts(scanned: DataFrame, max_false: float) -> DataFrame:
-    """One row: a map from class to the smallest p kept. At most 16 classes per encoding and BINS bins
-    take part, whatever the corpus."""
-    tokens = scanned.select(F.explode("found").alias("x")).select("x.class", "x.p").distinct()  # equal tokens have equal p
-    each = tokens.select("class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    counts = each.groupBy("class", "bin").agg(F.count("*").alias("n"))
-    even, low = PRIOR[0] / BINS, PRIOR[1]
-    classes = counts.groupBy("class").agg(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("upper"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-    held = lambda i: F.coalesce(F.try_element_at(F.col("bins"), i), F.lit(0).cast("long")) + even + F.when(i == 0, low).otherwise(0.0)
-    above = lambda b: F.aggregate(F.sequence(b, F.lit(BINS - 1)), F.lit(0.0), lambda a, i: a + held(i))
-    random = (F.col("upper") + even * (BINS - BINS // 2)) / (1 - BINS // 2 / BINS)
-    false = lambda b: 1 - random * (1 - b / BINS) / above(b)
-    fits = F.filter(F.sequence(F.lit(1), F.lit(BINS // 2)), lambda b: false(b) <= max_false)
-    cut = F.coalesce(F.get(fits, F.lit(0)), F.lit(BINS // 2)) / BINS
-    return classes.agg(F.map_from_entries(F.collect_list(F.struct("class", cut.alias("cut")))).alias("cuts"))
+    """One row: a map from class to the lowest level that is kept, of the classes that have one. At most 16
+    classes per encoding and LEVELS levels take part, whatever the corpus."""
+    tokens = scanned.select(F.explode("found").alias("x")).select("x.class", "x.token", "x.level").distinct()
+    counts = tokens.groupBy("class", "level").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("class").orderBy(F.desc("level"))
+    all_of = F.sum("n").over(Window.partitionBy("class"))
+    steps = counts.select("class", "level", (all_of * F.pow(F.lit(2.0), -F.col("level")) <= max_false * F.sum("n").over(above)).alias("fits"))
+    classes = steps.where(F.col("fits") & (F.col("level") > 0)).groupBy("class").agg(F.min("level").alias("cut"))
+    return classes.agg(F.map_from_entries(F.collect_list(F.struct("class", "cut"))).alias("cuts"))
 
 
 def _names(spans: Column) -> Column:
@@ -223,12 +295,12 @@ def secrets(spark: SparkSession, docs: DataFrame, max_false: float = MAX_FALSE)
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id",
         base_spans(F.col("text")).alias("base"),
-        F.when(F.col("text").rlike(TOKEN), candidates(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,end:int,class:int,p:double>>")).alias("found"),
+        F.when(F.col("text").rlike(TOKEN), candidates(F.col("text"), max_false)).otherwise(F.array().cast("array<struct<start:int,end:int,class:int,token:bigint,level:int>>")).alias("found"),
     )
     scanned = materialize(spark, scanned, "secrets")
     cut = cuts(scanned.where("size(found) > 0"), max_false).scalar()
     base = F.col("base")
-    random = F.filter(F.col("found"), lambda x: (x["p"] >= F.try_element_at(F.col("cuts"), x["class"])) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    random = F.filter(F.col("found"), lambda x: (x["level"] >= F.try_element_at(F.col("cuts"), x["class"])) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
     extra = let(random, lambda xs: F.filter(xs, lambda x: ~F.exists(xs, lambda y: inside(x, y))))
     every = F.concat(base, _kind(extra, 3))

@@ -60,6 +60,97 @@ def test_discovery_control_by_class(spark):
         assert caught >= 0.9 * n and false <= 0.1 * caught and got[2] == (f"hex:{8 + 40}:{8 + 60}", 1)
 
 
+#: Names and titles run together, with digits, separators and capitals: none is random.
+RUN_TOGETHER = """nineteen84georgeorwell catch22josephheller slaughterhouse5vonnegut 2001aspaceodysseykubrick apollo13missionreport
+IMG_20230415_123456_edited my-awesome-project-v2-final usr/local/lib/python3/site-packages error_log_2024-01-15_backup fahrenheit451raybradbury
+the100yearoldmanwhoclimbed area51declassifiedfiles route66roadtripguide2019 windows10updateassistant iphone12promaxreview blade2runner2049soundtrack
+formula1worldchampionship2021 covid19vaccinationcenter section8housingassistance boeing747maintenance customer_support_ticket_4821
+ReadOnlyMemoryStreamFactory2 chapter12thefinalcountdown year2000bugpreparedness world-health-organization-report TheQuickBrownFox2JumpsOver
+ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz aaaaaaaaaaaaaaaaaaaaaaaaaaaa 00000000000000000000000000 20240115093000202401150931 xyzxyzxyzxyzxyzxyzxyzxyz
+einlichheitenverbraucherschutz donaudampfschifffahrtskapitaen internationalisation antidisestablishmentarianism""".split()
+
+
+@pytest.mark.parametrize("n", [1, 12])
+def test_words_run_together_are_no_discoveries(spark, n):
+    """In classes of few tokens: words run together stay out, random values of five encodings leave."""
+    rng, small = np.random.default_rng(17 + n), "abcdefghijklmnopqrstuvwxyz"
+    alphabets = ["0123456789" + small, small, small.upper() + small + "0123456789", small.upper() + small + "0123456789-_", "0123456789ABCDEF"]
+    planted = ["".join(rng.choice(list(a), size)) for a in alphabets for size in (24, 32, 48) for _ in range(n)]
+    rows = [(i, f"see {t} there") for i, t in enumerate(RUN_TOGETHER + planted)]
+    got = by_id(secrets.secrets(spark, spark.createDataFrame(rows, "doc_id long, text string")), "spans")
+    found = [got[i][0] == f"random:4:{4 + len(t)}" for i, t in enumerate(RUN_TOGETHER + planted)]
+    assert not any("random" in got[i][0] for i in range(len(RUN_TOGETHER))) and sum(found) >= 0.9 * len(planted)
+    alone = secrets.secrets(spark, spark.createDataFrame(rows[: len(RUN_TOGETHER)], "doc_id long, text string"))
+    assert alone.where("spans like '%random%'").count() == 0
+
+
+def plain_evidence(token, letters):
+    """The same ratio by plain probabilities."""
+    sort = lambda c: {k: v for k, v in secrets.LETTERS.items() if (k in secrets.VOWELS) == (c in secrets.VOWELS)}
+    group = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    mixed = alone = 1.0
+    for last, c in zip([None, *token], token):
+        low, s = c.lower(), sort(c.lower())
+        own = (1 - secrets.ANY) * s[low] / sum(s.values()) + secrets.ANY / len(s) if low in s else 1 / (10 if c.isdigit() else 4)
+        vowel = secrets.AFTER_VOWEL if last and last.lower() in secrets.VOWELS else secrets.AFTER_CONSONANT
+        turn = (vowel if low in secrets.VOWELS else 1 - vowel) if low in s else 1.0
+        mixed *= secrets.FOLLOWS[4 if last is None else group(last)][group(c)] * turn * own
+        alone *= turn * own
+    single = len({group(c) for c in token}) == 1 and not token[0] in "+/_-"
+    return -np.log2(max(mixed, alone) / 2 if single else mixed / 2) - len(token) * np.log2(len(letters))
+
+
+def plain_battery(token, letters):
+    """The four tests by their textbook formulas."""
+    from math import erfc, exp, log, sqrt
+
+    x, n, k = np.array([letters.index(c) for c in token], float), len(token), len(letters)
+    counts = np.bincount(x.astype(int), minlength=k)
+    z = (((counts - n / k) ** 2 / (n / k)).sum() - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)
+    up = x * 2 >= k
+    high, runs = up.sum(), 1 + (up[1:] != up[:-1]).sum()
+    expected = 1 + 2 * high * (n - high) / n
+    by_runs = 37.0 if high in (0, n) else (runs - expected) / sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    serial = ((x * np.roll(x, -1)).mean() - x.mean() ** 2) / max(x.var(), 1e-9)
+    two = lambda v: max(min(erfc(min(abs(v), 37) / sqrt(2)), 1), 1e-300)
+    ps = [max(erfc(min(z, 37) / sqrt(2)) / 2, 1e-300), two((2 * high - n) / sqrt(n)), two(by_runs), two((serial + 1 / (n - 1)) * sqrt(n))]
+    s = -sum(map(log, ps))
+    return exp(-s) * (1 + s + s * s / 2 + s**3 / 6)
+
+
+def test_evidence_and_battery_equal_plain_formulas(spark):
+    rng, rows = np.random.default_rng(8), []
+    for _, letters, _ in secrets.ENCODINGS:
+        rows += [("".join(rng.choice(list(letters), size)), letters) for size in (20, 33, 90)]
+    rows += [(t, next(a for _, a, p in secrets.ENCODINGS if re.search(p, t))) for t in RUN_TOGETHER if any(re.search(p, t) for _, _, p in secrets.ENCODINGS)]
+    df = spark.createDataFrame(rows, "t string, a string")
+    for r in df.select("t", "a", secrets.evidence(F.col("t"), F.col("a")).alias("e"), secrets.battery(F.col("t"), F.col("a")).alias("p")).collect():
+        assert abs(r.e - plain_evidence(r.t, r.a)) < 1e-6
+        assert abs(r.p - plain_battery(r.t, r.a)) < 1e-5
+
+
+def test_chances_add_up():
+    """The word model is a distribution, so its ratio to the uniform one is a valid measure."""
+    kinds, costs, turns = secrets._word_model()
+    for kind in range(secrets._KINDS + 1):
+        total = sum(2.0 ** -(turns[kind * secrets._KINDS + k] + c) for k, c in zip(kinds, costs))
+        assert abs(total - 1) < 1e-9
+
+
+def test_step_up_rule(spark):
+    """Cuts equal the rule over whole-bit levels, class by class; equal tokens count once."""
+    rng = np.random.default_rng(3)
+    found = [(c, int(t), int(v)) for c in range(6) for t, v in enumerate(np.minimum(rng.geometric(0.1 + c / 8, 8 * c + 1) - 1, 64))]
+    df = spark.createDataFrame([([{"class": c, "token": t, "level": v}] * 2,) for c, t, v in found], "found array<struct<class:int,token:bigint,level:int>>")
+    want = {}
+    for c in range(6):
+        levels = [v for k, _, v in found if k == c]
+        fits = [v for v in set(levels) if v and len(levels) * 2.0**-v <= 0.1 * sum(x >= v for x in levels)]
+        if fits:
+            want[c] = min(fits)
+    assert secrets.cuts(df, 0.1).first().cuts == want and want
+
+
 def test_randomness_battery(spark):
     rng = np.random.default_rng(4)
     tokens = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(200)] + ["0123456789abcdef" * 4, "a1" * 32, "00000000ffffffff" * 4]
