@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,13 @@ CUES = (
     "geb", "dob", "iban", "account", "konto", "passport", "ssn", "phone", "telefon", "mobile", "fax",
 )
 
+#: How much likelier, in natural logarithms, a span must be than no span in its place.
+MARGIN = 0.5
+_SYMBOL = re.compile(r"[^\w.,;:!?'\"()+/@\x20\xA0’–-]")
+_INITIAL = re.compile(r"\W*[^\W\d_]\.")
+_NAMES = [i for i, x in enumerate(LABELS) if x.endswith("crf_name")]
+_INSIDE = [i for i, x in enumerate(LABELS) if x[0] == "I"]
+
 #: The labelled table: spans in [kind|...].
 TABLE = """\
 call me on [crf_phone|(415) 555-0132] after noon
@@ -122,6 +130,10 @@ frau [crf_name|Dagmar Vogt] antwortet
 mme [crf_name|Claire Aubert] signe
 ms. [crf_name|Ruth Adair] agrees with them
 name: [crf_name|Jonas Falk] and so on
+mr. [crf_name|T. Renner] agreed at once
+prof. [crf_name|A. M. Castell] wrote it
+dr. [crf_name|L. Osterman] spoke well
+signed [crf_name|K. Dorset] again
 he lives at [crf_address|12 Alder Street] with them
 she moved to [crf_address|48 Old Mill Road] in spring
 the office at [crf_address|221 Harbour Avenue] is shut
@@ -210,35 +222,64 @@ die straße ist lang und nass
 eine frau und ein mann gehen
 the passport office is closed
 a telefon stands in the hall
-Ranee Therthin of Andthe Eaton went
-it ended. Onderin was 14 then. Talen rose
-the sum 551020 Erindal went. Anden fell, and Oren
-at 10.20.30.40 Kelt in line. Upen spoke
-the host 88.14.7.201 Ontar. Bereth was so
+In 1912 the Titanic sank. Many drowned
+Apollo 11 landed. Armstrong spoke first
+Berlin hat 12 Bezirke. Mitte ist einer
+Chapter 3. Winter in London begins
+see Figure 4. Results for Europe follow
+The 24 Hours of Le Mans. Porsche won
+Table 7. Rainfall in Northern Italy
+le 14 juillet. Paris danse toute la nuit
+À 20 km de Lyon. Le village dort
+en 1492. Colón llegó a América
+El Niño de 1998. Perú sufrió mucho
+Am 3. Oktober. Deutschland feiert
+Artikel 5. Kunst und Wissenschaft sind frei
+Version 2.0. Apache Software Foundation
+under the Apache License, Version 2.0
+GNU General Public License, version 3. You may copy
+Mozilla Public License 1.1. All rights
+api_key = "b71e90aa42f6" Keep it secret
+token = "5c1f90b7e24d" Set in Config
+token: 0d4b77e1 Main Branch only
+secret = "77fa01bc9d" Do not share
+password=hunter2 Change it now
+hash 9f86d081884c. Verified by Build Server
+host 88.14.7.201 Down. Restart Gateway
+ping 10.20.30.40 OK. Next Hop
+card 4111111111111111 Valid. Thru Desk
+order 7712003918 Shipped. Via Air Mail
+Route 66. American Highway begins in Chicago
+Boeing 747. Seattle Factory closed
+World War 2. Eastern Front moved
+Windows 95. Start Menu was new
+Room 12. Please Knock Twice
+Street View was new in 2007. Many used it
+Avenue Q. Broadway saw it in 2003
+Name Order Matters. See 4 below
+The Name of the Rose. Italian novel
+Dear Diary. Today was grey
+Contact Lost. Ship 9 Went Silent
+Contact Sales for 3 free seats
+Phone Home was a hit in 1982
+Account Number Required. See 12
+Born to Run. Album of 1975
+Signed Copies Sold Out. Only 5 left
+Mobile World Congress. Barcelona hosts 90000
+Lane Closed. Take Exit 14 instead
+mail a.b7@host3.example.net Subject. Meeting Notes
+sum 551020 Total. Gross Amount, and Net
+6120. Then, rest of Order 7 was
+bb### 7712 ###cc $$$ 5501 %% ok
+key### token = "ab0c33de41f2"### done### end&&& all%%%
+In. Out. Wait 14.13.24.23 Stop
+y 4420 Pesos. El Sol 9 Casas
+call [crf_phone|+1 (641) 555-2210] Monday. Shop closed
 published under the Common Public License, version 4. all
 Under the Common Public License, Version 3.5. Nothing else
 Given under the Free Document License, Version 1.3.
 de 3382910447561208 Ailette. En la reine
 see 6120. Thenal, onerst of Ender 7 was
-call [crf_phone|+1 (641) 555-2210] Bebel. Ergon ran
-key = "9f2c44ab10de77c0" A. Nean. And so
-token = "77ab0c12de90f3" Rel Tamen. From Reha
-with "0b1c9d3f" Der Ein der. Zu Te kam
-von 4511 Kelder. Dann 12 Bergen und
-mail a.b7@host3.example.net. Onten said. Err
-write a.b7@host3.example.net Tharen and Ison
-À 5 Rennes. Le 6 Ontaire fut
-y 4420 Querer. El Sol 9 Casas
-In. Ontal. Edly 14.13.24.23 Serin
-Ranee was 17. Therin of 4 Eatons
-ranth### tolen = "ab0c33de41f2"### nicht### erein&&& zu%%%
-cion%%% tok = "7f0d11c2b3"### el%%% sol*** mar***
-ander&&& 7712&&& rean&&& inth%%% onat***
-auf&&& 5501$$$ den&&& die&&& Lich***
-A, to. 7712003918 Edlen you thash
-By. 410339 It. Ansal, ernt
-tok = "9c3d21ab" Lyten that. From real ones
-f962" thanter with. Esand. Ontari of one
 The Street was Empty and Cold
 Who was born There and Then"""
 
@@ -287,8 +328,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _BLANKS = " \t\n\v\f\r"
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-#: Digits, @ and cue words; a cue is a whole word.
-_MARK = re.compile(r"[0-9@]|(?<!\w)(?:" + "|".join(CUES) + r")(?!\w)", re.IGNORECASE)
+#: A mark is a digit, an @ or a cue as a whole word.
+_SIGN = re.compile(r"[0-9@]")
 _SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyzäöüßéèáíóúñçàêîôû"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÁÍÓÚÑÇÀ"}})
 _EDGES = ".,;:!?\"'"
 _STREETS = ("straße", "strasse", "gasse")
@@ -329,8 +370,23 @@ def _windows(marks: list[bool]) -> list[tuple[int, int]]:
     return _runs(near)
 
 
+def _cues(text: str) -> list[int]:
+    """Where cues begin that are words of their own, in order."""
+    low = text.lower()
+    low = low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    out = []
+    for cue in CUES:
+        at = low.find(cue)
+        while at >= 0:
+            end = at + len(cue)
+            if not (at and (low[at - 1].isalnum() or low[at - 1] == "_")) and not (end < len(low) and (low[end].isalnum() or low[end] == "_")):
+                out.append(at)
+            at = low.find(cue, end)
+    return sorted(out)
+
+
 def _trigger(token: str) -> bool:
-    return bool(_MARK.search(token))
+    return bool(_SIGN.search(token) or _cues(token))
 
 
 def labelled_rows() -> list[tuple[list[str], list[int]]]:
@@ -361,6 +417,14 @@ class ShapeField:
             out[i] = self.emit[known].sum(0)
         return out
 
+    def gain(self, path: np.ndarray, scores: np.ndarray, start: int, end: int) -> float:
+        """How much better the path is than the same path with O from ``start`` to ``end``."""
+        before, after = path[start - 1] if start else 0, path[end] if end < len(path) else 0
+        own, turns = np.arange(start, end), [before, *path[start:end], after]
+        kept = scores[own, path[start:end]].sum() + self.trans[turns[:-1], turns[1:]].sum()
+        none = [before, *[0] * (end - start), after]
+        return float(kept - scores[own, 0].sum() - self.trans[none[:-1], none[1:]].sum())
+
     def viterbi(self, emits: list[np.ndarray]) -> list[np.ndarray]:
         """Best label sequence of each run; runs of similar length are decoded side by side. Every run
         lies between O tokens."""
@@ -405,9 +469,10 @@ def _forbidden() -> np.ndarray:
     return bad
 
 
+@lru_cache(maxsize=2)
 def train(steps: int = 150, rate: float = 0.15, decay: float = 0.02) -> ShapeField:
     """Maximum likelihood with an L2 penalty over the labelled table, by full-batch gradients; the rows are
-    padded to one length, so a step is a few matrix products."""
+    padded to one length, and forward and backward sums are kept in range by dividing each step by its total."""
     rows = []
     index: dict[str, int] = {}
     for tokens, labels in labelled_rows():
@@ -420,7 +485,7 @@ def train(steps: int = 150, rate: float = 0.15, decay: float = 0.02) -> ShapeFie
     x = np.zeros((int(live.sum()), len(index)), np.float32)
     for i, fs in enumerate(fs for feats, _ in rows for fs in feats):
         x[i, fs] = 1
-    ends = live.sum(1) - 1
+    last = live.sum(1) - 1
     bad = _forbidden()
     emit, trans = np.zeros((len(index), L)), np.zeros((L, L))
     # label pairs of the table, with O before and after every row
@@ -429,27 +494,31 @@ def train(steps: int = 150, rate: float = 0.15, decay: float = 0.02) -> ShapeFie
         np.add.at(pairs, ([0, *y], [*y, 0]), 1)
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in (emit, trans)]
     for step in range(1, steps + 1):
-        masked = np.where(bad, -1e9, trans)
-        e = np.zeros((R, T, L))
-        e[live] = x @ emit
-        a, b = np.full((T, R, L), -1e9), np.full((T, R, L), -1e9)
-        a[0] = masked[0] + e[:, 0]
-        for t in range(1, T):
-            a[t] = np.logaddexp.reduce(a[t - 1][:, :, None] + masked, axis=1) + e[:, t]
+        turn = np.where(bad, 0.0, np.exp(trans))
+        e = np.ones((R, T, L))
+        scores = x @ emit.astype(np.float32)
+        e[live] = np.exp(scores - scores.max(axis=1, keepdims=True))
+        a, b = np.zeros((T, R, L)), np.zeros((T, R, L))
+        for t in range(T):
+            a[t] = (turn[0] if t == 0 else a[t - 1] @ turn) * e[:, t]
+            a[t] /= a[t].sum(axis=1, keepdims=True)
         for t in range(T - 1, -1, -1):
-            inner = np.logaddexp.reduce(masked + (e[:, t + 1] + b[t + 1])[:, None, :], axis=2) if t + 1 < T else b[t]
-            b[t] = np.where((ends == t)[:, None], masked[:, 0], inner)
-        z = np.logaddexp.reduce(a[0] + b[0], axis=1)
-        p = np.exp(np.minimum(a + b - z[:, None], 0)).transpose(1, 0, 2)
+            inner = (e[:, t + 1] * b[t + 1]) @ turn.T if t + 1 < T else np.ones((R, L))
+            b[t] = np.where((last == t)[:, None], turn[:, 0], inner)
+            b[t] /= b[t].sum(axis=1, keepdims=True)
+        p = a * b
+        p = (p / p.sum(axis=2, keepdims=True)).transpose(1, 0, 2)
         gap = -p[live]
         gap[np.arange(len(gap)), want[live]] += 1
-        ge = x.T @ gap - decay * emit
+        ge = x.T @ gap.astype(np.float32) - decay * emit
         gt = pairs - decay * trans
         gt[0] -= p[:, 0].sum(0)
-        gt[:, 0] -= p[np.arange(R), ends].sum(0)
+        gt[:, 0] -= p[np.arange(R), last].sum(0)
         for t in range(1, T):
             own = live[:, t]
-            gt -= np.exp(np.minimum(a[t - 1][own][:, :, None] + masked + (e[own, t] + b[t][own])[:, None, :] - z[own][:, None, None], 0)).sum(0)
+            to = e[own, t] * b[t][own]
+            mass = a[t - 1][own] @ turn
+            gt -= turn * (a[t - 1][own].T @ (to / (mass * to).sum(axis=1, keepdims=True)))
         gt[bad] = 0
         for w, g, (m, v) in ((emit, ge, state[0]), (trans, gt, state[1])):
             m *= 0.9
@@ -466,6 +535,21 @@ def _featured(tokens: list[str], lo: int, hi: int) -> list[list[str]]:
     return [features([wide[i + 1], wide[i]], wide[i + 2], [wide[i + 3], wide[i + 4]]) for i in range(lo, hi)]
 
 
+def barred(tokens: list[str], gaps: list[str]) -> np.ndarray:
+    """Labels that a token can't carry: none but O with a symbol in it, no name with a digit, and no
+    continuation behind the end of a sentence or clause (an initial's point ends none) or of a line.
+    ``gaps`` has the blanks before each token."""
+    out = np.zeros((len(tokens), len(LABELS)), bool)
+    for t, token in enumerate(tokens):
+        if _SYMBOL.search(token):
+            out[t, 1:] = True
+        elif _SIGN.search(token):
+            out[t, _NAMES] = True
+        if t and ("\n" in gaps[t] or (tokens[t - 1][-1] in ".,;:!?" and not _INITIAL.fullmatch(tokens[t - 1]))):
+            out[t, _INSIDE] = True
+    return out
+
+
 def _runs(flags: list[bool]) -> list[tuple[int, int]]:
     out, start = [], None
     for i, f in enumerate([*flags, False]):
@@ -501,19 +585,30 @@ def _right(text: str, at: int, n: int) -> list[tuple[int, int]]:
 
 def marked_tokens(text: str):
     """(start, end) of every token with a mark."""
-    done, m = 0, _MARK.search(text)
-    while m:
-        start = 1 + max(text.rfind(c, done, m.start()) for c in _BLANKS)
-        start = max(start, done)
-        end = _TOKEN.match(text, start).end()
-        yield start, end
-        done, m = end, _MARK.search(text, end)
-
-
-def field_runs(text: str):
-    """Stretches around marks: lists of (start, end) of their tokens, and their features."""
+    cues, k, done = _cues(text), 0, 0
+    m = _SIGN.search(text)
+    while m or k < len(cues):
+        at = min(m.start() if m else len(text), cues[k] if k < len(cues) else len(text))
+        start = max(1 + max(text.rfind(c, done, at) for c in _BLANKS), done)
+        done = _TOKEN.match(text, start).end()
+        yield start, done
+        while k < len(cues) and cues[k] < done:
+            k += 1
+        if m and m.start() < done:
+            m = _SIGN.search(text, done)
+
+
+def field_runs(text: str, taken=()):
+    """Stretches around marks: lists of (start, end) of their tokens, and their features. Tokens that lie
+    within one of the sorted ``taken`` spans (start, kind, end) mark nothing."""
     runs: list[list[tuple[int, int]]] = []
+    k, free = 0, []
     for a, b in marked_tokens(text):
+        while k < len(taken) and taken[k][2] <= a:
+            k += 1
+        if not any(x[0] <= a and b <= x[2] for x in taken[k : k + len(KINDS)]):
+            free.append((a, b))
+    for a, b in free:
         if runs and a < runs[-1][-1][1]:
             while runs[-1] and runs[-1][-1][1] > a:  # the stretch so far reaches beyond this mark
                 runs[-1].pop()
@@ -531,27 +626,36 @@ def field_runs(text: str):
         yield run, _featured(tokens, len(lead), len(lead) + len(run))
 
 
-def field_spans(field: ShapeField, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind index, end) per text; the punctuation around a span is not part of it."""
+def field_spans(field: ShapeField, texts: list[str], margin: float = MARGIN, taken: list | None = None) -> list[list[tuple[int, int, int]]]:
+    """(start, kind index, end) per text; the punctuation around a span is not part of it. ``taken`` has the
+    sorted spans of each text whose tokens are O."""
     jobs, emits = [], []
     for i, text in enumerate(texts):
-        for run, feats in field_runs(text):
+        held = taken[i] if taken else ()
+        for run, feats in field_runs(text, held):
+            gaps = ["", *(text[a:b] for (_, a), (b, _) in zip(run, run[1:]))]
+            scores = field.scores(feats)
+            scores[barred([text[a:b] for a, b in run], gaps)] = -1e9
+            for a, _, b in held:
+                if a < run[-1][1] and run[0][0] < b:
+                    scores[[t for t, x in enumerate(run) if a < x[1] and x[0] < b], 1:] = -1e9
             jobs.append((i, run))
-            emits.append(field.scores(feats))
+            emits.append(scores)
     out: list[list] = [[] for _ in texts]
-    for (i, run), path in zip(jobs, field.viterbi(emits)):
+    for (i, run), path, scores in zip(jobs, field.viterbi(emits), emits):
         t = 0
         while t < len(run):
             if LABELS[path[t]][0] == "B":
                 kind, u = LABELS[path[t]][2:], t + 1
                 while u < len(run) and LABELS[path[u]] == f"I-{kind}":
                     u += 1
-                a, b = run[t][0], run[u - 1][1]
-                while b > a + 1 and texts[i][b - 1] in _EDGES:
-                    b -= 1
-                while b > a + 1 and texts[i][a] in "\"'":
-                    a += 1
-                out[i].append((a, len(KINDS) + FIELD_KINDS.index(kind), b))
+                if field.gain(path, scores, t, u) >= margin:
+                    a, b = run[t][0], run[u - 1][1]
+                    while b > a + 1 and texts[i][b - 1] in _EDGES:
+                        b -= 1
+                    while b > a + 1 and texts[i][a] in "\"'":
+                        a += 1
+                    out[i].append((a, len(KINDS) + FIELD_KINDS.index(kind), b))
                 t = u
             else:
                 t += 1
@@ -567,8 +671,8 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def pii(spark: SparkSession, docs: DataFrame, field: ShapeField | None = None) -> DataFrame:
-    """Counts, the digest of the base spans, all spans and their number per document row. Spans of the field that
-    overlap a base span are dropped; base spans always stay."""
+    """Counts, the digest of the base spans, all spans and their number per document row. The field leaves the
+    tokens of base spans alone; base spans always stay."""
     wc.prepare(spark)
     if field is None:
         field = train()
@@ -578,10 +682,10 @@ def pii(spark: SparkSession, docs: DataFrame, field: ShapeField | None = None) -
             _, off = wc.column_bytes(batch.column(1))
             for lo, hi in wc.slices(off):
                 texts = pc.fill_null(batch.column(1).slice(lo, hi - lo), "").to_pylist()
-                added = field_spans(field, texts)
+                fixed = [base_spans(text) for text in texts]
+                added = field_spans(field, texts, taken=fixed)
                 cols: list[list] = [[] for _ in range(7)]
-                for text, more in zip(texts, added):
-                    base = base_spans(text)
+                for base, more in zip(fixed, added):
                     for k in range(4):
                         cols[k].append(sum(x[1] == k for x in base))
                     cols[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())

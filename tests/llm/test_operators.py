@@ -487,6 +487,29 @@ def test_field_on_held_out_rows():
     assert pii.field_spans(field, ["", prose * 50]) == [[], []]
 
 
+@pytest.mark.skipif(not os.path.isdir(LABELLED), reason="the tables aren't here")
+def test_field_leaves_invented_prose_alone(spark):
+    """The tables hold none of the field's kinds but for a phone number whose base match fell."""
+    docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
+    added = pii.pii(spark, docs).where("n_pii > n_email + n_ip + n_card + n_phone")
+    more = [x for r in added.collect() for x in r.spans.split(",") if x.startswith("crf_")]
+    assert len(more) <= 1 or (len(more) - sum(x.startswith("crf_phone") for x in more)) <= 1
+
+
+def test_no_span_runs_over_a_sentence():
+    """Capitalised words on either side of a full stop or a line end, beside digits and cues, are no name."""
+    field = pii.train()
+    for text in ("he sold 14 Corn. Orsh mills", "see 3 Elm. As ever", "12 Erer.\nEreresat went", "mr. 5 Queja. Un dia", 'key = "9f3a77" Rest Here', "the x### 12 b%%% Main&&& c*** end"):
+        assert pii.field_spans(field, [text]) == [[]], text
+    assert pii.field_spans(field, ["prof. J. Holloway spoke"])[0] == [(6, len(pii.KINDS) + pii.FIELD_KINDS.index("crf_name"), 17)]
+
+
+def test_marks_are_whole_words():
+    marked = lambda text: [text[a:b] for a, b in pii.marked_tokens(text)]
+    assert marked("İMr. items drum _geb_ geb. x7 Straße strassen İ phone") == ["geb.", "x7", "Straße", "phone"]
+    assert marked("a mr.x@y iban:12 (ssn) names") == ["mr.x@y", "iban:12", "(ssn)"]
+
+
 def test_field_in_long_and_odd_texts():
     field = pii.train()
     ssn = "her ssn is 321-54-9876 here"
