@@ -12,7 +12,7 @@ from tessella.functions import vectors as vx
 from tessella.operators import enrich
 from tessella.plans.catalogue import _FREEZE, _frozen, query, split_sql
 from tessella.session import scratch_path, table
-from tessella.sources import audio, config, ordering, readers, sinks
+from tessella.sources import audio, config, ordering, readers, sinks, versions
 
 
 def _index_file(spark: SparkSession, sf: str) -> str:
@@ -237,29 +237,67 @@ def metric_scan(spark, sf):
     return d.select("vec_id", F.when(F.col("error").isNull(), F.round(sg.db(sg.rms(F.col("x"))), 6)).alias("rms_dbfs"), "error")
 
 
-@query("tensor_headers", "SELECT 't' || p_partkey || '.lora_A' AS key, 'F32' AS dtype, (p_size * 16)::BIGINT AS numel, p_size || ',16' AS shape FROM part")
-def tensor_headers(spark, sf):
+def _tensor_files(spark, sf) -> DataFrame:
+    """(name, content) of a tensor file for each part: its header, then what stands for tensor data. Every
+    seventh is cut off within its header."""
     p = table(spark, sf, "part")
     meta = F.struct(F.lit("F32").alias("dtype"), F.array(F.col("p_size").cast("long"), F.lit(16).cast("long")).alias("shape"))
-    head = F.to_json(F.map_from_entries(F.array(F.struct(F.concat(F.lit("t"), "p_partkey", F.lit(".lora_A")), meta))))
+    head = F.to_json(F.map_from_entries(F.array(*(F.struct(F.concat(F.lit(f"t{k}."), "p_partkey", F.lit(end)), meta) for k, end in ((0, ".lora_A"), (1, ".lora_B"))))))
     size = F.lpad(F.hex(F.octet_length(head).cast("long")), 16, "0")
     little = F.concat(*(F.substring(size, 15 - 2 * i, 2) for i in range(8)))
-    content = F.concat(F.unhex(little), head.cast("binary"), F.lit("tensor data").cast("binary"))
-    rows = p.select(F.explode(audio.tensor_header(content)).alias("h")).select("h.*")
-    return rows.select("key", "dtype", "numel", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"))
+    body = F.when(F.col("p_partkey") % 7 == 3, F.substring(head, 1, 20)).otherwise(F.concat(head, F.repeat(F.lit("tensor data"), 50)))
+    name = F.concat(F.lit("m"), F.col("p_partkey") % 10, F.lit("/p"), "p_partkey", F.lit(".safetensors"))
+    return p.select("p_partkey", name.alias("name"), F.concat(F.unhex(little), body.cast("binary")).alias("content"))
+
+
+def _headers(spark, sf) -> DataFrame:
+    root = scratch_path(spark, "tensors")
+    sinks.write_files(spark, _tensor_files(spark, sf), root)
+    return spark.read.format("tensor_header").load(root)
+
+
+@query(
+    "tensor_headers",
+    """SELECT 'p' || p_partkey || '.safetensors' AS file, 't' || k || '.' || p_partkey || CASE k WHEN 0 THEN '.lora_A' ELSE '.lora_B' END AS key, 'F32' AS dtype, (p_size * 16)::BIGINT AS numel, p_size || ',16' AS shape, NULL AS error
+FROM part, (SELECT unnest([0, 1]) AS k) WHERE p_partkey % 7 <> 3 UNION ALL SELECT 'p' || p_partkey || '.safetensors', NULL, NULL, NULL, NULL, 'ValueError' FROM part WHERE p_partkey % 7 = 3""",
+)
+def tensor_headers(spark, sf):
+    """Tensor files in folders: only their headers are read; one that is cut off is a row with its error."""
+    shape = F.array_join(F.transform("shape", lambda x: x.cast("string")), ",")
+    return _headers(spark, sf).select(F.substring_index("path", "/", -1).alias("file"), "key", "dtype", "numel", F.when(F.col("key").isNotNull(), shape).alias("shape"), F.substring_index("error", ":", 1).alias("error"))
+
+
+@query(
+    "tensor_header_filters",
+    "SELECT 't1.' || p_partkey || '.lora_B' AS key, (p_size * 16)::BIGINT AS numel FROM part WHERE p_partkey % 7 <> 3 AND (p_partkey % 10)::VARCHAR = right(p_partkey::VARCHAR, 1) AND right(p_partkey::VARCHAR, 1) = '4'",
+)
+def tensor_header_filters(spark, sf):
+    """Filters on path and key reach the source: other files aren't opened, other keys make no rows."""
+    rows = _headers(spark, sf)
+    return rows.where(F.col("path").endswith("4.safetensors") & F.col("key").endswith(".lora_B")).select("key", "numel")
+
+
+@query("metric_files", f"WITH {_PCM} SELECT vec_id, CASE WHEN vec_id % 10 <> 9 THEN round(20 * log10(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x))), 6) END AS rms_dbfs, CASE WHEN vec_id % 10 = 9 THEN 'ValueError: not a WAV file' END AS error FROM pcm")
+def metric_files(spark, sf):
+    """Measures of every sound file below a folder; what can't be read is a row with its error."""
+    root = scratch_path(spark, "sounds")
+    sinks.write_files(spark, _sounds(spark, sf).select(F.concat(F.lit("s"), F.col("vec_id") % 7, F.lit("/"), "vec_id", F.lit(".wav")).alias("name"), "content"), root)
+    found = readers.files(spark, root, suffixes=(".wav",), content=True).select("rel", "content")
+    d = audio.decoded(spark, found)
+    return d.select(F.regexp_extract("rel", "/([0-9]+)", 1).cast("long").alias("vec_id"), F.when(F.col("error").isNull(), F.round(sg.db(sg.rms(F.col("x"))), 6)).alias("rms_dbfs"), "error")
 
 
 @query("text_scripts", "SELECT lower(r_name) || '.txt' AS name, r_name || ' speaks' || chr(10) AS text FROM region")
 def text_scripts(spark, sf):
     """Scripts by name; the read-me file is none."""
     root = scratch_path(spark, "inputs")
-    names = [r[0] for r in table(spark, sf, "region").select("r_name").collect()]  # five regions
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name, text in [*((f"{n.lower()}.txt", f"{n} speaks\n") for n in names), ("ReadMe.txt", "none")]:
-        out = fs.create(hadoop.Path(f"{root}/{name}"))
-        out.write(bytearray(text.encode()))
-        out.close()
+    name = F.lower("r_name")
+    rows = table(spark, sf, "region").select(F.explode(F.array(
+        F.struct(F.concat(name, F.lit(".txt")).alias("name"), F.concat("r_name", F.lit(" speaks\n")).alias("content")),
+        F.struct(F.lit("README.txt").alias("name"), F.lit("about").alias("content")),
+        F.struct(F.concat(name, F.lit(".md")).alias("name"), F.lit("no script").alias("content")),
+    )).alias("f")).select("f.*")
+    sinks.write_files(spark, rows, root)
     return readers.text_scripts(spark, root)
 
 
@@ -380,14 +418,14 @@ def training_export(spark, sf):
     return back.select("audio", F.sha2("text", 256).alias("text_sha"), F.lit(",".join(sorted(back.columns))).alias("columns"))
 
 
-@query("content_pool", "SELECT DISTINCT sha256(text) AS sha256, sha256(text) || '.wav' AS name FROM conversations WHERE text IS NOT NULL")
+@query("content_pool", "SELECT DISTINCT sha256(text) AS sha256, sha256(text) || '.wav' AS name, strlen(text)::BIGINT AS length FROM conversations WHERE text IS NOT NULL")
 def content_pool(spark, sf):
-    """Two batches of contents, the second holding the first again: each content is there once."""
+    """Two batches of contents, the second holding the first again: each content is one file, named by its hash."""
     path = scratch_path(spark, "pool")
     c = table(spark, sf, "conversations").where("text is not null").select("turn", F.col("text").cast("binary").alias("content"))
     sinks.add_to_pool(spark, c.where("turn % 2 = 0"), path)
     sinks.add_to_pool(spark, c, path)
-    return spark.read.parquet(path).select("sha256", "name")
+    return readers.files(spark, path, content=True).select("sha256", F.col("rel").alias("name"), "length")
 
 
 @query("sidecars", "SELECT 'out/' || o_orderkey || '.json' AS path, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0")
@@ -397,27 +435,42 @@ def sidecars(spark, sf):
     return sinks.sidecars(o).select("path", j["status"].alias("status"), j["price"].alias("price"))
 
 
+def _by_status(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n"))
+
+
 def _versions(spark, sf) -> str:
     """Three versions of a snapshot: all orders by status, then two changed ones."""
     path = scratch_path(spark, "snapshot")
-    o = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n"))
+    o = _by_status(spark, sf)
     for add in (0, 100, 7):
-        sinks.append_version(spark, o.withColumn("n", F.col("n") + add), path)
+        versions.commit(spark, o.withColumn("n", F.col("n") + add), path)
     return path
 
 
 @query("snapshot_current", "SELECT o_orderstatus AS name, count(*) + 7 AS n FROM orders GROUP BY 1")
 def snapshot_current(spark, sf):
-    return sinks.current_version(spark, _versions(spark, sf)).select("name", "n")
+    return versions.read(spark, _versions(spark, sf)).select("name", "n")
 
 
-@query("snapshot_history", "SELECT unnest([1, 2, 3]) AS version, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS n")
+@query("snapshot_history", "SELECT v AS version, o_orderstatus AS name, count(*) + CASE v WHEN 1 THEN 0 WHEN 2 THEN 100 ELSE 7 END AS n FROM orders, (SELECT unnest([1, 2, 3])::BIGINT AS v) GROUP BY v, o_orderstatus")
 def snapshot_history(spark, sf):
-    """Earlier versions stay, oldest first."""
-    h = sinks.history(spark, _versions(spark, sf))
-    older = h.select(F.col("_saved_at").alias("t"))
-    rank = h.join(older, F.col("t") <= F.col("_saved_at")).groupBy("_revision", "n").agg(F.count("*").cast("int").alias("version"))  # three versions
-    return rank.select("version", "n")
+    """Earlier versions stay, under their numbers."""
+    return versions.version_rows(spark, _versions(spark, sf)).select(F.col("_number").alias("version"), "name", "n")
+
+
+@query("snapshot_conflict", "SELECT o_orderstatus AS name, count(*) + 100 AS n, 2::BIGINT AS version, 'second' AS refused FROM orders GROUP BY 1")
+def snapshot_conflict(spark, sf):
+    """Two writers start from one version: the first is saved, the second is refused and leaves nothing."""
+    path, o, refused = scratch_path(spark, "snapshot"), _by_status(spark, sf), []
+    base = versions.commit(spark, o, path, expected=None)
+    for writer, add in (("first", 100), ("second", 7)):
+        try:
+            versions.commit(spark, o.withColumn("n", F.col("n") + add), path, expected=base.revision)
+        except versions.VersionConflict:
+            refused.append(writer)
+    now = versions.current(spark, path)
+    return versions.read(spark, path).select("name", "n", F.lit(now.number).cast("long").alias("version"), F.lit(",".join(refused)).alias("refused"))
 
 
 @query("snapshot_legacy", "SELECT 'saved' AS origin, o_orderstatus AS name, count(*) + 7 AS n FROM orders GROUP BY 2 UNION ALL SELECT 'legacy', r_name, r_regionkey FROM region")

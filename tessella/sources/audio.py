@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import io
-import json
 import struct
 import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessella.functions import dsp
+from tessella.sources.blobs import HEADER, header_bytes, parse_header
 
 _INFO = [("sample_rate", T.IntegerType()), ("channels", T.IntegerType()), ("frames", T.LongType()), ("duration_s", T.DoubleType()), ("format", T.StringType()), ("subtype", T.StringType()), ("error", T.StringType())]
 INFO = T.StructType([T.StructField(n, t) for n, t in _INFO])
 SOUND = T.StructType([*INFO.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
-HEADER = T.StructType([T.StructField("key", T.StringType()), T.StructField("dtype", T.StringType()), T.StructField("shape", T.ArrayType(T.LongType())), T.StructField("numel", T.LongType())])
 
 
 def decode_wav(raw: bytes) -> tuple[int, int, int, str, np.ndarray]:
@@ -104,51 +103,6 @@ def pcm16(x: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series([encode_pcm16(a, r) for a, r in zip(x, rate)])
 
 
-def parse_header(raw: bytes) -> list[tuple]:
-    """(key, dtype, shape, numel) of a tensor file's header; no tensor data is looked at."""
-    size = struct.unpack("<Q", raw[:8])[0]
-    head = json.loads(raw[8 : 8 + size])
-    rows = []
-    for key, meta in head.items():
-        if key != "__metadata__":
-            shape = [int(d) for d in meta["shape"]]
-            rows.append((key, meta["dtype"], shape, int(np.prod(shape, dtype=np.int64)) if shape else 1))
-    return rows
-
-
 @F.pandas_udf(T.ArrayType(HEADER))
 def tensor_header(content: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(HEADER.names, r)) for r in parse_header(bytes(c))] for c in content])
-
-
-class TensorHeaderSource(DataSource):
-    """``spark.read.format("tensor_header").load(path)``: reads the first bytes of local files only."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tensor_header"
-
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField("path", T.StringType()), *HEADER.fields])
-
-    def reader(self, schema) -> "TensorHeaderReader":
-        return TensorHeaderReader(self.options["path"])
-
-
-class TensorHeaderReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
-
-    def partitions(self):
-        import glob
-        import os
-
-        found = sorted(glob.glob(os.path.join(self.path, "**", "*.safetensors"), recursive=True)) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(p) for p in found]
-
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            size = f.read(8)
-            raw = size + f.read(struct.unpack("<Q", size)[0])
-        for row in parse_header(raw):
-            yield (partition.value, *row)
+    return pd.Series([[dict(zip(HEADER.names, r)) for r in parse_header(header_bytes(pa.BufferReader(c), len(c)))] for c in content])

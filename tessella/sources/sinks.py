@@ -1,13 +1,12 @@
-"""Writers: JSON lines, split fan-out, content pools, versioned snapshots, report tables."""
+"""Writers: JSON lines, split fan-out, content pools and named files, snapshots with a legacy form, report tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.curate import SPLITS
+from tessella.sources import blobs, versions
 from tessella.sources.ordering import write_ordered
 
 
@@ -36,45 +35,22 @@ def content_pool(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("sha256").agg(F.first("content").alias("content")).withColumn("name", F.concat("sha256", F.lit(".wav")))
 
 
-def append_version(spark: SparkSession, df: DataFrame, path: str) -> str:
-    """Add a version of a snapshot: the commit protocol makes it visible whole or not at all. Earlier
-    versions stay, so the history needs no archive step."""
-    revision = uuid.uuid4().hex
-    df.withColumn("_revision", F.lit(revision)).withColumn("_saved_at", F.current_timestamp()).write.mode("append").parquet(path)
-    return revision
+def add_to_pool(spark: SparkSession, rows: DataFrame, path: str, suffix: str = ".wav") -> None:
+    """Store contents in the pool at ``path``, a file each, under names that are their hashes; what the pool
+    holds already stays as it is. ``rows`` has ``content``; equal contents are found where they lie."""
+    blobs.register(spark)
+    rows.where("content is not null").select("content").write.format("content_pool").mode("append").option("suffix", suffix).save(path)
 
 
-def current_version(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the newest version."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max_by("_revision", F.struct("_saved_at", "_revision")).alias("_newest"))
-    return rows.join(F.broadcast(newest), F.col("_revision") == F.col("_newest")).drop("_newest")
+def write_files(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """A file for each row of ``rows`` (name, content) below ``path``; of rows with one name one is kept."""
+    blobs.register(spark)
+    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("content_pool").mode("append").save(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, legacy: DataFrame) -> DataFrame:
     """The newest version, or the legacy rows where no version was ever saved."""
-    from tessella.sources.readers import exists
-
-    if not exists(spark, path):
-        return legacy
-    return current_version(spark, path).drop("_revision", "_saved_at")
-
-
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """One row per version with its number of rows, oldest first."""
-    rows = spark.read.parquet(path).groupBy("_revision", "_saved_at").agg(F.count("*").alias("n"))
-    return rows.orderBy("_saved_at").select("_revision", "_saved_at", "n")
-
-
-def add_to_pool(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Append contents that the pool at ``path`` doesn't hold yet, each once. Names are hashes of contents and
-    the commit makes a batch visible whole, so a repeated or broken-off run leaves nothing twice."""
-    from tessella.sources.readers import exists
-
-    new = content_pool(rows)
-    if exists(spark, path):
-        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
-    new.write.mode("append").parquet(path)
+    return versions.read(spark, path) if versions.current(spark, path) else legacy
 
 
 def sidecars(cases: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import curate
-from tessella.sources import audio, config, ordering, readers, sinks
+from tessella.sources import audio, blobs, config, ordering, readers, sinks, versions
 from tessella.streaming import events
 
 
@@ -136,7 +136,7 @@ def test_tensor_headers(spark, tmp_path):
     want = {("k", "F32", (2, 3), 6), ("s", "F16", (), 1)}
     raw = spark.read.format("binaryFile").load(str(tmp_path / "t.safetensors"))
     assert {(r.key, r.dtype, tuple(r.shape), r.numel) for r in raw.select(F.inline(audio.tensor_header("content"))).collect()} == want
-    spark.dataSource.register(audio.TensorHeaderSource)
+    blobs.register(spark)
     assert {(r.key, r.dtype, tuple(r.shape), r.numel) for r in spark.read.format("tensor_header").load(str(tmp_path)).collect()} == want
 
 
@@ -157,11 +157,9 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("b", "train", None), ("a", "train", None), ("c", "test", None), ("d", None, "dup_text")], "fid string, split string, why string")
     sinks.write_splits(rows, str(tmp_path / "s"))
     assert spark.read.schema("fid string").json(str(tmp_path / "s/train")).count() == 2 and spark.read.schema("fid string").json(str(tmp_path / "s/validation")).count() == 0
-    v = str(tmp_path / "v")
-    sinks.append_version(spark, rows.limit(1), v)
-    last = sinks.append_version(spark, rows.limit(2), v)
-    now = sinks.current_version(spark, v).collect()
-    assert len(now) == 2 and {r._revision for r in now} == {last}
+    assert sinks.read_snapshot(spark, str(tmp_path / "v"), rows.limit(1)).count() == 1
+    versions.commit(spark, rows.limit(3), str(tmp_path / "v"))
+    assert sinks.read_snapshot(spark, str(tmp_path / "v"), rows.limit(1)).count() == 3
     pool = sinks.content_pool(spark.createDataFrame([(b"x",), (b"x",), (b"y",)], "content binary"))
     assert pool.count() == 2
     paths = spark.createDataFrame([("a/b.wav",), ("../x",), ("a/../../x",), ("/abs",), ("C:\\x",), ("a/../b",)], "p string")
@@ -188,3 +186,119 @@ def test_streams_equal_batch(spark, tmp_path):
     q = src.where("event_type = 't0'").select(F.col("event_id").alias("id"), F.lit("generate").alias("method"), F.col("ts").alias("sent_at"))
     a = src.where("event_type <> 't1'").select(F.col("event_id").alias("id"), F.col("ts").alias("got_at"), F.lit(True).alias("ok"))
     assert events.run_to_end(spark, events.match_responses(q, a), "append").count() == 17
+
+
+def test_versions(spark, tmp_path):
+    path, rows = str(tmp_path / "v"), spark.range(6)
+    assert versions.current(spark, path) is None
+    first = versions.commit(spark, rows.limit(1), path, expected=None)
+    second = versions.commit(spark, rows.limit(2), path, expected=first.revision)
+    assert (first.number, second.number, second.parent) == (1, 2, first.revision)
+    for stale in (first.revision, None, "other"):
+        with pytest.raises(versions.VersionConflict, match=second.revision):
+            versions.commit(spark, rows, path, expected=stale)
+    third = versions.commit(spark, rows.limit(3), path)  # without an expectation the newest is replaced
+    assert versions.read(spark, path).count() == 3 and versions.read(spark, path, 1).count() == 1
+    assert [(r.number, r.parent) for r in versions.history(spark, path).collect()] == [(1, None), (2, first.revision), (3, second.revision)]
+    assert {r._number: r.n for r in versions.version_rows(spark, path).groupBy("_number").agg(F.count("*").alias("n")).collect()} == {1: 1, 2: 2, 3: 3}
+    (tmp_path / "v/data/left-by-a-failed-writer").mkdir()
+    assert versions.vacuum(spark, path, keep=2) == [1] and sorted(p.name for p in (tmp_path / "v/data").iterdir()) == sorted([second.revision, third.revision])
+    assert versions.read(spark, path).count() == 3 and versions.history(spark, path).count() == 3
+
+
+def test_version_read_opens_one_folder(spark, tmp_path):
+    path = str(tmp_path / "v")
+    for n in (1, 2, 3):
+        last = versions.commit(spark, spark.range(n), path)
+    files = versions.read(spark, path).inputFiles()
+    assert files and all(last.revision in f for f in files)
+
+
+def test_concurrent_writers_of_a_version(spark, tmp_path, monkeypatch):
+    """Both writers have passed the first check and written their rows when the first publishes."""
+    path = str(tmp_path / "v")
+    base = versions.commit(spark, spark.range(1), path)
+    publish, seen = versions._Store.publish, []
+
+    def late(store, text, folder, name):
+        if not seen:
+            seen.append(True)
+            assert versions.commit(spark, spark.range(7), path, expected=base.revision).number == 2
+        return publish(store, text, folder, name)
+
+    monkeypatch.setattr(versions._Store, "publish", late)
+    with pytest.raises(versions.VersionConflict):
+        versions.commit(spark, spark.range(5), path, expected=base.revision)
+    assert versions.read(spark, path).count() == 7 and len(list((tmp_path / "v/data").iterdir())) == 2
+    seen.clear()
+    monkeypatch.setattr(versions._Store, "publish", lambda s, t, f, n: (seen.append(n), publish(s, t, f, n))[1] if seen else (seen.append(n), False)[1])
+    assert versions.commit(spark, spark.range(4), path).number == 3 and len(seen) == 2  # without an expectation the writer tries again
+    assert [p.name for p in sorted((tmp_path / "v/log").iterdir()) if not p.name.endswith(".crc")] == [f"{n:020d}.json" for n in (1, 2, 3)]
+
+
+def test_publishing_is_create_if_absent(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [versions._Store(spark, str(tmp_path)) for _ in range(8)]
+    for k in range(5):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda x: x[1].publish(f"writer {x[0]}", "log", f"{k}.json"), enumerate(stores)))
+        assert sum(won) == 1 and (tmp_path / f"log/{k}.json").read_text() == f"writer {won.index(True)}"
+    assert len([p for p in (tmp_path / "log").iterdir() if not p.name.endswith(".crc")]) == 5
+
+
+def test_content_pool_files(spark, tmp_path):
+    pool = str(tmp_path / "pool")
+    rows = spark.createDataFrame([(b"x",), (b"x",), (b"y",), (b"",), (None,)], "content binary").repartition(3)
+    sinks.add_to_pool(spark, rows, pool)
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "pool").iterdir()}
+    sinks.add_to_pool(spark, spark.createDataFrame([(b"y",), (b"z",)], "content binary"), pool)
+    import hashlib
+
+    names = lambda *v: {hashlib.sha256(x).hexdigest() + ".wav" for x in v}
+    found = {p.name for p in (tmp_path / "pool").iterdir() if p.is_file()}
+    assert found == names(b"x", b"y", b"z", b"") and not list((tmp_path / "pool/_staging").iterdir())
+    assert all((tmp_path / "pool" / n).stat().st_mtime_ns == before[n] for n in names(b"x", b"y", b""))
+
+
+def test_failed_task_leaves_no_name(spark, tmp_path):
+    pool = str(tmp_path / "pool")
+    blobs.register(spark)
+    fails = F.when(F.col("id") == 37, F.raise_error(F.lit("broken row")).cast("binary")).otherwise(F.col("id").cast("string").cast("binary"))
+    with pytest.raises(Exception, match="broken row"):
+        spark.range(0, 40, 1, 1).select(fails.alias("content")).write.format("content_pool").mode("append").save(pool)
+    assert not [p for p in (tmp_path / "pool").rglob("*") if p.is_file()] and not list((tmp_path / "pool/_staging").iterdir())
+    with pytest.raises(Exception, match="only grows"):
+        spark.range(1).select(F.lit(b"a").alias("content")).write.format("content_pool").mode("overwrite").save(pool)
+
+
+def test_headers_by_range(spark, tmp_path, monkeypatch):
+    """Only headers are read; broken files are rows; filters decide which files are opened."""
+    blobs.register(spark)
+    head = lambda **keys: (lambda h: struct.pack("<Q", len(h)) + h)(json.dumps({k: {"dtype": "F16", "shape": v, "data_offsets": [0, 0]} for k, v in keys.items()}).encode())
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.safetensors").write_bytes(head(x=[2, 3], y=[]) + b"\0" * 5000)
+    (tmp_path / "sub/b.safetensors").write_bytes(head(x=[4]))
+    (tmp_path / "c.safetensors").write_bytes(struct.pack("<Q", 1 << 40) + b"{}")
+    (tmp_path / "d.safetensors").write_bytes(b"abc")
+    (tmp_path / "e.safetensors").write_bytes(struct.pack("<Q", 4) + b"{bad")
+    (tmp_path / "f.bin").write_bytes(b"no")
+    rows = spark.read.format("tensor_header").option("files", 2).load(str(tmp_path))
+    got = {(r.path.split("/")[-1][0], r.key, r.numel, (r.error or "").split(":")[0]) for r in rows.collect()}
+    assert got == {("a", "x", 6, ""), ("a", "y", 1, ""), ("b", "x", 4, ""), ("c", None, None, "ValueError"), ("d", None, None, "ValueError"), ("e", None, None, "JSONDecodeError")}
+    assert rows.rdd.getNumPartitions() == 3
+    reader = blobs.TensorHeaderReader(str(tmp_path), ".safetensors", 1)
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringEndsWith
+
+    other = GreaterThan(("numel",), 2)
+    assert list(reader.pushFilters([StringEndsWith(("path",), "a.safetensors"), EqualTo(("key",), "y"), other])) == [other]
+    parts = reader.partitions()
+    assert len(parts) == 1 and [r[2] for r in reader.read(parts[0])] == ["y"]
+    read = []
+
+    class Opened:
+        def read_at(self, n, at):
+            read.append(n)
+            return (head(x=[2]) + b"\0" * 999)[at : at + n]
+
+    assert blobs.parse_header(blobs.header_bytes(Opened(), 10**9)) == [("x", "F16", [2], 2)] and sum(read) < 100
