@@ -623,3 +623,35 @@ def stream_rating_store(spark, sf):
     w = stream.read_events(spark, sf).select(F.col("event_id").alias("_ord"), F.col("user_id").cast("string").alias("name"), F.when(F.col("event_id") % 3 == 0, "stale").alias("expected_revision"), F.col("event_type").alias("payload"))
     out = stream.latest_of(stream.run_to_end(spark, stream.rating_store(w)), "name")
     return out.withColumn("accepted", F.col("accepted").cast("int")).withColumn("rejected", F.col("rejected").cast("int"))
+
+
+_REQUESTS = """WITH m AS (SELECT user_id % 5 AS worker, event_id // 3 AS id, ts AS t, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'request' WHEN 1 THEN 'response' END AS kind, event_type AS method, value > 5 AS ok, user_id AS u FROM events),
+q AS (SELECT id, t, seq, method, worker, t + INTERVAL 600 SECOND AS deadline FROM m WHERE kind = 'request' AND u % 7 <> 0),
+r AS (SELECT m.id, m.t, m.seq, m.ok, coalesce(q0.worker, m.worker) AS worker FROM m LEFT JOIN (SELECT id, worker FROM m WHERE kind = 'request') q0 ON q0.id = m.id WHERE kind = 'response' AND u % 6 <> 0),
+e AS (SELECT worker, max(t) AS fin FROM (SELECT worker, t FROM q UNION ALL SELECT worker, t FROM r) GROUP BY worker)"""
+
+
+@query(
+    "request_outcomes",
+    _REQUESTS
+    + """ SELECT q.worker::VARCHAR AS worker, q.id::VARCHAR AS id, CASE WHEN r.t <= q.deadline THEN r.seq ELSE q.seq END AS seq, q.method,
+  CASE WHEN r.t <= q.deadline THEN CASE WHEN r.ok THEN 'answered' ELSE 'failed' END WHEN q.deadline <= e.fin THEN 'timed_out' ELSE 'closed' END AS outcome,
+  CASE WHEN r.t <= q.deadline THEN r.t WHEN q.deadline <= e.fin THEN q.deadline ELSE e.fin END AS "at"
+FROM q LEFT JOIN r ON r.id = q.id JOIN e ON e.worker = q.worker
+UNION ALL SELECT r.worker::VARCHAR, r.id::VARCHAR, r.seq, q.method, CASE WHEN q.id IS NULL THEN 'stray' ELSE 'late' END, r.t FROM r LEFT JOIN q ON q.id = r.id WHERE q.id IS NULL OR r.t > q.deadline""",
+)
+def request_outcomes(spark, sf):
+    """Requests of five workers, some of which get no answer, a late one, or an answer without a request."""
+    from tessella.streaming import requests
+
+    k = F.col("event_id")
+    side = lambda df, kind: df.select((F.col("user_id") % 5).cast("string").alias("worker"), F.expr("event_id div 3").cast("string").alias("id"), F.col("ts").alias("at"), k.alias("seq"), F.lit(kind).alias("kind"), F.col("event_type").alias("method"), (F.col("value") > 5).alias("ok"))
+    asked = lambda df: side(df.where((k % 3 == 0) & (F.col("user_id") % 7 != 0)), "request")
+    events = table(spark, sf, "events")
+    owner = events.where(k % 3 == 0).select(F.expr("event_id div 3").cast("string").alias("id"), (F.col("user_id") % 5).cast("string").alias("owner"))
+    # an answer comes from the worker that was asked
+    answered = lambda df: side(df.where((k % 3 == 1) & (F.col("user_id") % 6 != 0)), "response").join(owner, "id", "left").withColumn("worker", F.coalesce("owner", "worker")).drop("owner")
+    both = lambda df: asked(df).unionByName(answered(df))
+    told = stream.run_to_end(spark, requests.track(both(stream.read_events(spark, sf)), 600), "append")
+    ends = both(events).groupBy("worker").agg(F.max("at").alias("end"))
+    return requests.settle(told.drop("_batch"), ends).select("worker", "id", "seq", "method", "outcome", "at")

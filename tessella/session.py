@@ -58,6 +58,11 @@ def _remove(sc, path: str) -> None:
         pass
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours; that it can't be deleted is no error."""
+    _remove(spark.sparkContext, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the application's scratch folder, which is deleted when the driver exits."""
     root = f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}"

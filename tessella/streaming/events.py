@@ -4,7 +4,6 @@ its message handling and its versioned store."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.session import shared_dir
+from tessella.session import remove_path, scratch_path
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 LATEST = "user_id long, event_id long, event_type string, value double, n long"
@@ -72,8 +71,9 @@ def sampled_peaks(samples: DataFrame, width: str = "1 minute", delay: str = "5 m
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "update") -> DataFrame:
-    """Drain what is there now, write every update as Parquet in the shared folder and read it back."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    """Drain what is there now, write every update as Parquet in the application's scratch folder and read
+    it back. The stream's own checkpoint goes when it has ended, the updates when the driver exits."""
+    root = scratch_path(spark, "stream")
     out = f"{root}/out"
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -81,6 +81,7 @@ def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "update") ->
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
     q.awaitTermination()
+    remove_path(spark, f"{root}/checkpoint")
     return spark.read.schema(stream.schema.add("_batch", "integer")).parquet(out)
 
 

@@ -302,3 +302,47 @@ def test_headers_by_range(spark, tmp_path, monkeypatch):
             return (head(x=[2]) + b"\0" * 999)[at : at + n]
 
     assert blobs.parse_header(blobs.header_bytes(Opened(), 10**9)) == [("x", "F16", [2], 2)] and sum(read) < 100
+
+
+def test_request_state_with_timers(spark, tmp_path):
+    """Deadlines fire when the watermark passes them, in triggers of their own; answers afterwards are late
+    and, once the request is forgotten, stray."""
+    from datetime import datetime, timedelta
+
+    from tessella.streaming import requests
+
+    t0 = datetime(2024, 1, 1)
+    at = lambda s: t0 + timedelta(seconds=s)
+    files = [
+        [("w", "a", at(0), 0, "request", "m", None), ("w", "b", at(1), 1, "request", "m", None), ("v", "a", at(2), 2, "request", "n", None), ("w", "x", at(3), 3, "response", None, True)],
+        [("w", "a", at(5), 4, "response", None, True), ("w", "a", at(6), 5, "response", None, True), ("w", "b", at(7), 6, "request", "m", None), ("v", "a", at(40), 7, "response", None, False), (None, "q", at(41), 8, "request", "m", None), ("w", "q", at(41), 8, "note", "m", None)],
+        [("w", "z", at(200), 9, "request", "m", None)],
+        [("w", "b", at(201), 10, "response", None, True), ("v", "c", at(202), 11, "request", "n", None), ("v", "c", at(203), 12, "response", None, False)],
+        [("w", "y", at(9000), 13, "request", "m", None)],
+        [("w", "b", at(9001), 14, "response", None, True)],
+    ]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, requests.MESSAGES).coalesce(1).write.parquet(str(tmp_path / f"in/{k}.parquet"))
+    source = spark.readStream.schema(requests.MESSAGES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
+    told = events.run_to_end(spark, requests.track(source, 30, delay="1 second", keep_s=600), "append")
+    got = {(r.worker, r.id, r.seq, r.outcome, (r.at - t0).total_seconds()) for r in told.collect()}
+    assert got == {
+        ("w", "a", 0, "pending", 0), ("w", "b", 1, "pending", 1), ("v", "a", 2, "pending", 2), ("w", "x", 3, "stray", 3),
+        ("w", "a", 4, "answered", 5), ("w", "a", 5, "stray", 6), ("w", "b", 6, "repeated", 7), ("v", "a", 2, "timed_out", 32), ("v", "a", 7, "late", 40),
+        ("w", "z", 9, "pending", 200), ("w", "b", 1, "timed_out", 31), ("w", "b", 10, "late", 201), ("v", "c", 11, "pending", 202), ("v", "c", 12, "failed", 203),
+        ("w", "z", 9, "timed_out", 230), ("w", "y", 13, "pending", 9000), ("w", "b", 14, "stray", 9001),
+    }
+    ends = spark.createDataFrame([("w", at(9002)), ("v", at(203))], "worker string, end timestamp")
+    last = {(r.worker, r.id): (r.outcome, (r.at - t0).total_seconds()) for r in requests.settle(told.drop("_batch"), ends).where("outcome in ('answered', 'failed', 'timed_out', 'closed')").collect()}
+    assert last == {("w", "a"): ("answered", 5), ("w", "b"): ("timed_out", 31), ("v", "a"): ("timed_out", 32), ("w", "z"): ("timed_out", 230), ("v", "c"): ("failed", 203), ("w", "y"): ("closed", 9002)}
+
+
+def test_streams_leave_no_checkpoint(spark, tmp_path):
+    import glob
+
+    spark.createDataFrame([("w", "a")], "worker string, id string").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("worker string, id string").parquet(str(tmp_path / "in"))
+    updates = events.run_to_end(spark, source, "append")
+    assert updates.count() == 1
+    root = spark.sparkContext._tessella_scratch.removeprefix("file://").removeprefix("file:")
+    assert glob.glob(f"{root}/stream-*/out") and not glob.glob(f"{root}/stream-*/checkpoint")
