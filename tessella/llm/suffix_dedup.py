@@ -136,10 +136,11 @@ class _Out:
 
 
 _ANCHOR = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("pos", "<u4")])
-#: An anchor found at several places; it is lengthened in 2**level ways.
+#: An anchor found at several places; it is lengthened in 2**level ways, and stands for itself besides
+#: where level has the bit BOTH.
 _FOUND = np.dtype([("hash", "<u8"), ("tid", "<i8"), ("pos", "<u4"), ("level", "u1")])
 #: Places up to which an anchor stays as it is, and how often the ways are doubled at most.
-PLACES, LEVELS = 1024, 4
+PLACES, LEVELS, BOTH = 1024, 4, 128
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -194,9 +195,10 @@ def _by_part(batches):
 
 
 def repeated_anchors(blobs: DataFrame, parts: int, near: int, places: int) -> DataFrame:
-    """(tid, blob) rows of the anchors found at two places at least, gathered per text. Places of one
-    text at most ``near`` apart tell of periodic text, whose anchors aren't at one place of equal windows:
-    those stay as they are."""
+    """(tid, blob) rows of the anchors found at two places at least, gathered per text. A window that holds
+    an anchor's string twice need not be anchored at the same one as an equal window elsewhere; its two
+    places are at most ``near`` apart in both texts. Such places stand for themselves too, which joins
+    those windows; windows around one of them alone are joined by its lengthenings, as everywhere."""
 
     def run(batches):
         for held in _by_part(batches):
@@ -209,11 +211,12 @@ def repeated_anchors(blobs: DataFrame, parts: int, near: int, places: int) -> Da
             count = np.bincount(group)
             level = np.clip(np.ceil(np.log2(count / places)), 0, LEVELS).astype(np.uint8)
             close = (rec["tid"][1:] == rec["tid"][:-1]) & ~new_hash[1:] & (np.diff(rec["pos"].astype(np.int64)) <= near)
-            level[group[1:][close]] = 0
             found = np.empty(len(rec), _FOUND)
             for c in _ANCHOR.names:
                 found[c] = rec[c]
             found["level"] = level[group]
+            twice = np.r_[False, close] | np.r_[close, False]
+            found["level"][twice & (found["level"] > 0)] |= BOTH
             rec = found[count[group] > 1]
             rec = rec[np.argsort(rec["tid"], kind="stable")]
             if len(rec):
@@ -349,9 +352,10 @@ _WHOLE = 1 << 31
 def lengthened(data: bytes, h: int, pos: int, level: int, span: int, gram: int):
     """(key, start, end) of the surroundings of one anchor: the windows in which it stands at ``lo`` to
     ``hi`` share what lies from ``lo`` before it to ``hi`` short of the window's end."""
-    n, slack, ways = len(data), span - gram, 1 << level
-    if not level:
+    n, slack, ways = len(data), span - gram, 1 << (level & ~BOTH)
+    if not level or level & BOTH:
         yield h, max(0, pos - slack), min(n, pos + span)
+    if not level:
         return
     for i in range(ways):
         lo, hi = slack * i // ways, slack * (i + 1) // ways

@@ -271,6 +271,42 @@ def test_suffix_dedup_of_hot_passages(spark):
     assert {r.doc_id: r.n_kept_chars for r in out.collect()}[202] == 399
 
 
+def test_one_periodic_text_leaves_an_anchor_split(spark):
+    """A passage in many texts and one text that repeats pieces of it: the passage's anchors stay lengthened
+    everywhere, those of the periodic text stand for themselves besides, and no repeat is lost."""
+    rng = np.random.default_rng(31)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common = prose(500)
+    rows = [(i, prose(120) + common + prose(120)) for i in range(60)]
+    odd = [(1000, prose(30) + common[150:350] * 5 + prose(30)), (1001, common[150:350] * 4 + common[350:] + prose(40)), (1002, prose(80) + common[100:350] + common[150:500] + prose(9)), (1003, common[:420] + common[150:350] * 3)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    want = brute.brute5(rows + odd)
+    for places in (4, 1, 1024):
+        assert by_id(suffix_dedup.suffix_dedup(spark, df, places=places), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    texts = spark.createDataFrame([(i, t) for i, t in rows + odd], "tid long, text string")
+    found = suffix_dedup.repeated_anchors(suffix_dedup.anchor_blobs(texts, 3, 400, 200), 3, 201, 4).collect()
+    levels = {r.tid: np.frombuffer(r.blob, suffix_dedup._FOUND)["level"] for r in found}
+    assert all((levels[i] % suffix_dedup.BOTH).max() == suffix_dedup.LEVELS and not (levels[i] & suffix_dedup.BOTH).any() for i in range(60))
+    assert any((levels[i] & suffix_dedup.BOTH).any() for i in levels if i >= 1000)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_periodic_texts_at_any_number_of_places(spark, seed):
+    """Short windows over texts of few letters and repeated blocks, each anchor lengthened from two places on."""
+    rng = np.random.default_rng(seed)
+    block = "".join(rng.choice(list("ab"), int(rng.integers(5, 40))))
+    rows = []
+    for i in range(40):
+        t = "".join(rng.choice(list("abc"), int(rng.integers(0, 60))))
+        for _ in range(int(rng.integers(1, 8))):
+            t += block[int(rng.integers(0, 4)) :] * int(rng.integers(1, 4)) + "".join(rng.choice(list("abc"), int(rng.integers(0, 12))))
+        rows.append((i, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.brute5(rows, 40)
+    for places in (1, 3):
+        assert by_id(suffix_dedup.suffix_dedup(spark, df, span=40, gram=20, places=places), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_two_stage_sort(seed):
     rng = np.random.default_rng(seed)
