@@ -392,9 +392,34 @@ class Region:
             left = far >= 0
             members, d = members[left], np.stack(rows)[:, left]
             if not self.settled(members):
-                todo += [members[r] for r in voronoi(d, self.radius)]
+                regions = voronoi(d, self.radius)
+                todo += [members[r] for r in regions] if len(regions) > 1 else self.by_rare_elements(members)
         return self.edges
 
+    def by_rare_elements(self, members: np.ndarray) -> list[np.ndarray]:
+        """Regions for members that no window parts, as sets that share a passage and little else are at
+        one distance from all pivots. Linked sets share one of the rarest elements of each, as many as it may lack
+        in common with the other and one more; so a region for each element that is shared among those
+        holds every link. The members stay together where that would not save half of the comparisons."""
+        sizes = self.size[members]
+        row = np.repeat(np.arange(len(members)), sizes)
+        flat = np.concatenate([self.sets[m] for m in members])
+        often = np.bincount(flat)[flat]
+        order = np.lexsort((flat, often, row))
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        prefix = sizes - -(-sizes * self.percent // 100) + 1
+        rare = order[rank < prefix[row]]
+        element, owner = flat[rare], row[rare]
+        order = np.lexsort((owner, element))
+        element, owner = element[order], owner[order]
+        cut = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
+        ends = np.r_[cut[1:], len(element)]
+        shared = ends - cut > 1
+        if ((ends - cut)[shared].astype(float) ** 2).sum() * 2 > float(len(members)) ** 2:
+            return [members]
+        found = {owner[a:b].tobytes(): members[owner[a:b]] for a, b in zip(cut[shared], ends[shared])}
+        return list(found.values())
+
 
 def voronoi(d: np.ndarray, radius: float, replicas: float = REPLICAS) -> list[np.ndarray]:
     """Member masks of the regions of pivots at distances ``d`` [pivot, member]: the members nearest to a

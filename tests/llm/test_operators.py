@@ -703,3 +703,65 @@ def test_regions_of_one_task_equal_all_pairs():
                 want = [new if w == old else w for w in want]
     groups = lambda v: sorted(sorted(i for i, w in enumerate(v) if w == x) for x in set(v))
     assert groups([top(i) for i in range(len(sets))]) == groups(want)
+
+
+def test_unlinked_sets_of_one_passage_take_linear_time():
+    """Sets that share a passage but are not linked: comparisons grow with their number, not its square, and
+    links among them are found."""
+    rng = np.random.default_rng(14)
+
+    def region(n, shared):
+        common = np.arange(shared)
+        sets = [np.sort(np.r_[common, shared + rng.choice(1 << 40, 100 - shared, replace=False)]).astype(np.uint64) for _ in range(n)]
+        for i in range(0, n - 1, 50):  # some near copies
+            sets[i + 1] = np.sort(np.r_[sets[i][:-6], rng.choice(1 << 40, 6, replace=False).astype(np.uint64) + np.uint64(1 << 41)])
+        return jaccard_join.Region(sets)
+
+    for shared in (40, 60):
+        work = []
+        for n in (400, 800, 1600):
+            r, seen, distances = region(n, shared), [], jaccard_join.Region.distances
+            r.distances = lambda q, members, flat, at: (seen.append(len(members)), distances(r, q, members, flat, at))[1]  # noqa: B023
+            edges = r.join()
+            linked = {frozenset(e) for e in edges}
+            assert linked == {frozenset((i, i + 1)) for i in range(0, n - 1, 50)}
+            work.append(sum(seen))
+        assert work[1] < 3 * work[0] and work[2] < 3 * work[1], work
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rare_elements_hold_every_link(seed):
+    """Sets at every distance around the threshold, in one region: the same components as all pairs."""
+    rng = np.random.default_rng(seed)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = []
+    for _ in range(120):
+        keep = base[rng.random(60) < rng.choice([0.55, 0.7, 0.85, 0.95])]
+        sets.append(np.unique(np.r_[keep, rng.choice(10**6, int(rng.integers(1, 15)))]).astype(np.uint64))
+    region = jaccard_join.Region(sets)
+    root = list(range(len(sets)))
+
+    def find(root, x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(root, a)] = find(root, b)
+    for force in (False, True):
+        region = jaccard_join.Region(sets)
+        if force:
+            todo, edges = region.by_rare_elements(np.arange(len(sets))), []
+            for members in todo:
+                own = jaccard_join.Region([sets[m] for m in members])
+                edges += [(members[a], members[b]) for a, b in own.join()]
+        else:
+            edges = region.join()
+        got = list(range(len(sets)))
+        for a, b in edges:
+            got[find(got, a)] = find(got, b)
+        same = lambda r: {frozenset(i for i in range(len(sets)) if find(r, i) == k) for k in {find(r, j) for j in range(len(sets))}}
+        assert same(got) == same(root)
