@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.canonical import round_half_even
+
 DIMENSIONS = ("clarity", "grit", "likeness", "naturalness")
 FIELDS = (*DIMENSIONS, "text_complete", "artifact_type", "stability", "notes")
 
@@ -27,12 +29,13 @@ def sha_status(ratings: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def pair_summary(samples: DataFrame, sides: tuple[str, str] = ("P0", "P2"), dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """Per pair the rounded mean of each dimension and side, the rounded mean of those, and the delta."""
+    """Per pair the rounded mean of each dimension and side, the rounded mean of those, and the delta; all
+    are rounded on their exact binary value, ties to even."""
     long = samples.select("pair_id", "prompt_id", F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), score(F.col(d)).alias("s")) for d in dims))).alias("x")).select("pair_id", "prompt_id", "x.dim", "x.s")
-    means = long.groupBy("pair_id", "prompt_id", "dim").agg(F.round(F.avg("s"), 2).alias("m"))
-    side = means.groupBy("pair_id").pivot("prompt_id", list(sides)).agg(F.round(F.avg("m"), 2))
+    means = long.groupBy("pair_id", "prompt_id", "dim").agg(round_half_even(F.avg("s"), 2).alias("m"))
+    side = means.groupBy("pair_id").pivot("prompt_id", list(sides)).agg(round_half_even(F.avg("m"), 2))
     a, b = sides
-    return side.select("pair_id", F.col(a).alias(f"{a}_mean"), F.col(b).alias(f"{b}_mean"), F.round(F.col(b) - F.col(a), 2).alias("delta"))
+    return side.select("pair_id", F.col(a).alias(f"{a}_mean"), F.col(b).alias(f"{b}_mean"), round_half_even(F.col(b) - F.col(a), 2).alias("delta"))
 
 
 def winner_tally(choices: DataFrame, winner: str = "winner_condition") -> DataFrame:

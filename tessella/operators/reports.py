@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import dsp
+from tessella.functions.canonical import canonical_json
 
 
 def anchor_audio(anchors: Column) -> Column:
@@ -62,14 +63,13 @@ def chunk_plan(chunks: DataFrame, key: str, text_chunks: str, seed: Column, gap_
     return rows.select(key, "pos", "chunk", (F.col("_seed") + F.col("pos")).alias("seed"), F.when(F.col("pos") > 0, gap_s).otherwise(0.0).alias("gap_s"))
 
 
-def canonical_json(values: Column) -> Column:
-    """JSON of a map with its keys in order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+_STRINGS = T.MapType(T.StringType(), T.StringType())
 
 
-def page_identity(payload: Column) -> Column:
-    """Any change of the payload, orders and titles included, changes the identity."""
-    return F.sha2(canonical_json(payload), 256)
+def page_identity(payload: Column, kind: T.DataType = _STRINGS) -> Column:
+    """Hash of the whole payload, nested as it may be: any change, orders and titles included, changes it,
+    the order in which keys were set does not. Payloads that were published before keep their identity."""
+    return F.sha2(canonical_json(payload, kind), 256)
 
 
 def build_contracts(pages: DataFrame, assets: DataFrame) -> DataFrame:

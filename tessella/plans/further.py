@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import dsp
+from tessella.functions import canonical, dsp
 from tessella.functions import signals as sg
 from tessella.functions import text as tx
 from tessella.functions import vectors as vx
@@ -587,7 +587,7 @@ def report_rows(spark, sf):
     return reports.table_rows(s, "s_suppkey")
 
 
-@query("page_identity", "SELECT s_suppkey, sha256('{\"id\":\"' || s_suppkey || '\",\"title\":\"' || s_name || '\"}') AS identity FROM supplier")
+@query("page_identity", "SELECT s_suppkey, sha256('{\"id\": \"' || s_suppkey || '\", \"title\": \"' || s_name || '\"}') AS identity FROM supplier")
 def page_identity(spark, sf):
     """The order in which a payload's keys were set doesn't matter."""
     a, b = (F.lit("title"), F.col("s_name")), (F.lit("id"), F.col("s_suppkey").cast("string"))
@@ -595,6 +595,40 @@ def page_identity(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", reports.page_identity(payload).alias("identity"))
 
 
+@query(
+    "page_identity_nested",
+    """SELECT p_partkey, sha256('{"absent": null, "cells": [{"id": ' || p_partkey || ', "weight": ' || p_retailprice::VARCHAR || '}, {"id": ' || (p_partkey + 1) || ', "weight": ' || (p_size / 8)::VARCHAR || '}], "flags": {"even": ' || (p_partkey % 2 = 0)::VARCHAR || ', "large": ' || (p_size > 25)::VARCHAR || '}, "orders": {"'
+  || 'a' || p_size || '": ["x", "y"], "b": []}, "title": "' || replace(p_name, ' ', '\\n') || ' \\"é\\" \\\\ ' || p_size || '"}') AS identity FROM part""",
+)
+def page_identity_nested(spark, sf):
+    """A payload of lists, maps and structs, with numbers and with characters that JSON escapes."""
+    p = table(spark, sf, "part")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    cell = lambda id_, weight: F.struct(weight.cast("double").alias("weight"), id_.cast("long").alias("id"))
+    orders = F.map_from_arrays(F.array(F.lit("b"), F.concat(F.lit("a"), size)), F.array(F.array().cast("array<string>"), F.array(F.lit("x"), F.lit("y"))))
+    title = F.concat(F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit(' "é" \\ '), size)
+    page = p.select("p_partkey", F.struct(
+        title.alias("title"), F.array(cell(key, F.col("p_retailprice")), cell(key + 1, size / 8)).alias("cells"), orders.alias("orders"),
+        F.struct((size > 25).alias("large"), (key % 2 == 0).alias("even")).alias("flags"), F.lit(None).cast("string").alias("absent"),
+    ).alias("page"))
+    return page.select("p_partkey", reports.page_identity(F.col("page"), page.schema["page"].dataType).alias("identity"))
+
+
+_GRID = "SELECT l_orderkey, l_linenumber, unnest([l_extendedprice::DOUBLE * l_discount::DOUBLE, (2 * l_linenumber + 1) / 8.0, -l_suppkey / 1000.0 - 0.0005, l_quantity::DOUBLE * 100 + 0.675, l_partkey / 64.0]) AS x, unnest(range(5)) AS k FROM lineitem"
+
+
+@query(
+    "binary_rounding",
+    f"SELECT l_orderkey, l_linenumber, k, format('{{:.1f}}', x)::DOUBLE AS one, format('{{:.2f}}', x)::DOUBLE AS two, format('{{:.3f}}', x)::DOUBLE AS three FROM (SELECT l_orderkey, l_linenumber, k, x::DOUBLE AS x FROM ({_GRID}))",
+)
+def binary_rounding(spark, sf):
+    """Products, exact halves and decimals that look like halves, rounded to one, two and three places."""
+    d = lambda c: F.col(c).cast("double")
+    values = F.array(d("l_extendedprice") * d("l_discount"), (2 * d("l_linenumber") + 1) / 8, -d("l_suppkey") / 1000 - 0.0005, d("l_quantity") * 100 + 0.675, d("l_partkey") / 64)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(values).alias("k", "x"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("k").cast("long").alias("k"), *(canonical.round_half_even(F.col("x"), n).alias(name) for n, name in ((1, "one"), (2, "two"), (3, "three"))))
+
+
 @query("time_stamps", "SELECT r_regionkey, true AS seconds_ok, true AS ms_ok FROM region")
 def time_stamps(spark, sf):
     form = lambda c, f: F.regexp_like(c, F.lit(f))
