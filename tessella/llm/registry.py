@@ -18,6 +18,7 @@ QUERIES = {
     "op11_vector_codes": vector_codes.op11,
     "op12_fill_in_middle": fill_in_middle.op12,
     "op13_byte_pairs": byte_pairs.op13,
+    "small_shards": sharding.small_shards,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op4_sharding": sharding.ORACLE,
+    "small_shards": sharding.SMALL_ORACLE,
     "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tessella.session import materialize
 
 LIMIT_BYTES = 8 << 20
+#: Bytes of the shards of ``small_shards``.
+SMALL_BYTES = 1 << 16
 HASH_BITS = 60
 #: Bits examined in one aggregation; a stretch has at most 2**STRETCH prefixes per open bucket.
 STRETCH = 12
@@ -83,7 +85,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE = f"""
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with a limit that small tables exceed many times, so that buckets split again and again."""
+    return shard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), SMALL_BYTES)
+
+
+def _oracle(limit: int) -> str:
+    """Buckets of every depth, and those that fit while the one above didn't."""
+    return f"""
 WITH RECURSIVE base AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), keyed AS (
@@ -94,9 +103,12 @@ WITH RECURSIVE base AS (
   FROM keyed, (SELECT unnest(range(0, 25)) AS depth) d GROUP BY ALL
 ), leaves AS (
   SELECT l.depth, l.prefix, l.held FROM levels l LEFT JOIN levels p ON p.depth = l.depth - 1 AND p.prefix = l.prefix >> 1
-  WHERE (l.held <= {LIMIT_BYTES} OR l.keys = 1) AND (p.depth IS NULL OR NOT (p.held <= {LIMIT_BYTES} OR p.keys = 1))
+  WHERE (l.held <= {limit} OR l.keys = 1) AND (p.depth IS NULL OR NOT (p.held <= {limit} OR p.keys = 1))
 )
 SELECT doc_id, n_bytes, leaves.depth::INTEGER AS shard_depth, leaves.prefix AS shard_prefix, 0::BIGINT AS shard_part,
-  leaves.held::BIGINT AS shard_bytes, leaves.held > {LIMIT_BYTES} AS oversize
+  leaves.held::BIGINT AS shard_bytes, leaves.held > {limit} AS oversize
 FROM keyed JOIN leaves ON leaves.prefix = keyed.hash >> ({HASH_BITS} - leaves.depth)
 """
+
+
+ORACLE, SMALL_ORACLE = _oracle(LIMIT_BYTES), _oracle(SMALL_BYTES)

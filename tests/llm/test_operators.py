@@ -765,3 +765,68 @@ def test_rare_elements_hold_every_link(seed):
             got[find(got, a)] = find(got, b)
         same = lambda r: {frozenset(i for i in range(len(sets)) if find(r, i) == k) for k in {find(r, j) for j in range(len(sets))}}
         assert same(got) == same(root)
+
+
+def plain_fit(x, grade, decay=2e-3):
+    """The same likelihood maximised by Newton steps over a dense matrix, with thresholds as free numbers."""
+    n, k = x.shape
+    theta = np.r_[np.zeros(k), -1.0, 0.0]  # weights, first threshold, log of the gap
+
+    def gradient(theta):
+        w, cuts = theta[:k], np.array([-np.inf, theta[k], theta[k] + np.exp(theta[k + 1]), np.inf])
+        cdf = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
+        high, low = cdf(cuts[grade + 1] - x @ w), cdf(cuts[grade] - x @ w)
+        dh, dl = high * (1 - high) / (high - low), low * (1 - low) / (high - low)
+        first = dh * (grade == 0) - dl * (grade == 1)
+        second = dh * (grade == 1) - dl * (grade == 2)
+        return np.r_[x.T @ (dl - dh) / n - decay * w, (first + second).mean(), second.mean() * np.exp(theta[k + 1])]
+
+    for _ in range(60):
+        g = gradient(theta)
+        h = np.stack([(gradient(theta + 1e-5 * e) - gradient(theta - 1e-5 * e)) / 2e-5 for e in np.eye(k + 2)])
+        step = np.linalg.solve(h, -g)
+        theta = theta + step * min(1, 1 / np.abs(step).max())
+        if np.abs(g).max() < 1e-10:
+            break
+    return theta[:k], np.array([theta[k], theta[k] + np.exp(theta[k + 1])])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ordinal_fit_equals_dense_newton(seed):
+    rng = np.random.default_rng(seed)
+    k, n = 12, 3000
+    x = (rng.random((n, k)) < rng.uniform(0.1, 0.6, k)).astype(float)
+    score = x @ rng.normal(0, 1.5, k) + rng.logistic(0, 1, n)
+    grade = np.searchsorted(np.quantile(score, [0.25, 0.55]), score)
+    row, feature = np.nonzero(x)
+    used = quality_classifier.telling(np.stack([x[grade == g].sum(0) for g in range(3)], axis=1), np.bincount(grade))
+    model = quality_classifier.fit(row, feature, grade, steps=1500)
+    w, cuts = plain_fit(x[:, used], grade)
+    assert np.abs(model.weights[used] - w).max() < 0.01 and np.abs(model.thresholds - cuts).max() < 0.01 and not np.delete(model.weights[:k], used).any()
+    quick = quality_classifier.fit(row, feature, grade)
+    p = lambda m: m.probabilities(x @ m.weights[:k])
+    assert np.abs(p(quick) - p(model)).max() < 0.03
+
+
+def test_scores_equal_plain_sums(spark, corpus):
+    """Every output of the classifier from one document's own features and scalar formulas."""
+    import math
+
+    from tessella.llm import wordcodes as wc
+
+    rows, _ = corpus
+    rng = np.random.default_rng(5)
+    model = quality_classifier.OrdinalModel(rng.normal(0, 0.3, 1 << quality_classifier.BITS), np.array([-1.2, 0.4]))
+    docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = by_id(quality_classifier.classify(spark, docs, None, model=model), "score", "expected_grade", "tail_probability", "kept")
+    for i, (_, text, _) in enumerate(rows):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        _, features = quality_classifier.hashed(data, np.array([0, len(data)]))
+        assert len(set(features.tolist())) == len(features)
+        words = {w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(brute.LOW))}
+        assert len(features) <= len(words) + len(set(re.findall(r"[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+", text or ""))) + 4
+        score = sum(model.weights[f] for f in features)
+        below = [1 / (1 + math.exp(score - t)) for t in (-1.2, 0.4)]
+        want = (score, below[1] - below[0] + 2 * (1 - below[1]), 1 - below[1])
+        assert np.allclose(got[i][:3], want) and got[i][3] == (got[i][2] >= 0.5)
+    assert wc.ALNUM[ord("a")]

@@ -9,6 +9,7 @@ from tests.llm import brute
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="the tables aren't here")
 
+OPERATORS = sorted(n for n in registry.QUERIES if n.startswith("op"))
 COLUMNS = {
     1: ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     2: ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
@@ -25,10 +26,10 @@ COLUMNS = {
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in OPERATORS) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", OPERATORS)
 def test_columns_and_rows(spark, name):
     n = int(name[2:].split("_")[0])
     df = registry.QUERIES[name](spark, oracle.DATA)
