@@ -340,20 +340,28 @@ def spectral_stats(spark, sf):
     return a.select("user_id", F.round("duration", 9).alias("duration"), F.round("rms_dbfs", 6).alias("rms_dbfs"), F.round("spectral_flatness", 6).alias("spectral_flatness"), F.round("spectral_crest", 5).alias("spectral_crest"), F.round("spectral_entropy", 6).alias("spectral_entropy"))
 
 
-@query("xcorr_lag", "SELECT user_id, 5 AS lag, 1.0::DOUBLE AS xcorr, CASE WHEN count(*) >= 256 THEN 2.0::DOUBLE END AS gain, CASE WHEN count(*) >= 256 THEN 0.0::DOUBLE END AS nmse FROM events GROUP BY user_id")
+@query(
+    "xcorr_lag",
+    """SELECT user_id, (user_id % 7)::INTEGER AS lag, 1.0::DOUBLE AS xcorr, CASE WHEN count(*) >= 256 THEN 1.0 + user_id % 3 END AS gain, CASE WHEN count(*) >= 256 THEN 0.0::DOUBLE END AS nmse,
+  CASE WHEN count(*) >= 256 THEN 3 ELSE 0 END::INTEGER AS bands, CASE WHEN count(*) >= 256 THEN round(10 * log10(1.0 + user_id % 3), 2) END AS quieter_db FROM events GROUP BY user_id""",
+)
 def xcorr_lag(spark, sf):
-    """Every signal against itself delayed by five samples at half the level."""
-    s = _long_signals(spark, sf).withColumn("y", F.concat(F.array_repeat(F.lit(0.0), 5), F.transform("x", lambda v: v / 2)))
+    """Every signal against itself, delayed and made quieter by its user."""
+    u = F.col("user_id")
+    s = _long_signals(spark, sf).withColumn("y", F.concat(F.array_repeat(F.lit(0.0), (u % 7).cast("int")), F.transform("x", lambda v: v / (1 + u % 3))))
     c = s.select("user_id", dsp.compare_signals("x", "y", F.lit(24000)).alias("c"))
-    return c.select("user_id", "c.lag", F.round("c.xcorr", 6).alias("xcorr"), F.round("c.gain", 6).alias("gain"), F.round(F.abs("c.nmse"), 6).alias("nmse"))
+    quieter = F.round(F.abs(F.get(F.col("c.bands"), F.lit(0))["mean_diff_db"]), 2)
+    return c.select("user_id", "c.lag", F.round("c.xcorr", 6).alias("xcorr"), F.round("c.gain", 6).alias("gain"), F.round(F.abs("c.nmse"), 6).alias("nmse"), F.size("c.bands").alias("bands"), quieter.alias("quieter_db"))
 
 
-@query("codec_chain", "SELECT vec_id::VARCHAR AS case_id, 0 AS lag_in, 2.0::DOUBLE AS gain_in, 0 AS lag_out, 0.5::DOUBLE AS gain_out, 0.0::DOUBLE AS nmse FROM embeddings")
+@query("codec_chain", "SELECT vec_id::VARCHAR AS case_id, (vec_id % 4)::INTEGER AS lag_in, 2.0 + vec_id % 3 AS gain_in, -(vec_id % 4)::INTEGER AS lag_out, round(1 / (2.0 + vec_id % 3), 6) AS gain_out, 0.0::DOUBLE AS nmse FROM embeddings")
 def codec_chain(spark, sf):
-    """A signal, itself at half the level, and at the full level again: lags, gains and errors along the chain."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("case_id"), F.lit(8000).alias("sr"), F.flatten(F.array_repeat(vx.doubles(F.col("embedding")), 5)).alias("x"))
-    half = e.withColumn("x", F.transform("x", lambda v: v / 2))
-    c = reports.codec_chain(e, half, e)
+    """A signal, itself later and quieter by its id, and as it was again: lags, gains and errors along the chain."""
+    k = F.col("vec_id")
+    e = table(spark, sf, "embeddings").select("vec_id", k.cast("string").alias("case_id"), F.lit(8000).alias("sr"), F.flatten(F.array_repeat(vx.doubles(F.col("embedding")), 5)).alias("x"))
+    e = e.withColumn("x", F.transform("x", lambda v, i: v * F.exp(-i / 200)))  # fading, so that one lag is best
+    quiet = e.withColumn("x", F.concat(F.array_repeat(F.lit(0.0), (k % 4).cast("int")), F.transform("x", lambda v: v / (2 + k % 3))))
+    c = reports.codec_chain(e, quiet, e)
     a, b, whole = "original_vs_input", "input_vs_roundtrip", "original_vs_roundtrip"
     return c.select("case_id", F.col(f"{a}.lag").alias("lag_in"), F.round(f"{a}.gain", 6).alias("gain_in"), F.col(f"{b}.lag").alias("lag_out"), F.round(f"{b}.gain", 6).alias("gain_out"), F.round(F.abs(f"{whole}.nmse"), 6).alias("nmse"))
 

@@ -33,13 +33,13 @@ def test_flags_in_order(spark):
 
 
 def test_band_energy_and_spectra():
-    assert dsp.band_energy_ratio(sine(6000, 1, 0.5, 24000), 24000, 4000, 8000) > 0.9
+    assert dsp.Spectrum(sine(6000, 1, 0.5, 24000), 24000).share(4000, 8000) > 0.9
     noise = np.random.default_rng(1).normal(size=24000) * 0.1
-    tone = dsp.spectral_stats(sine(1000, 1, 0.5, 24000), 24000)
-    rough = dsp.spectral_stats(noise, 24000)
+    tone = dsp.Spectrum(sine(1000, 1, 0.5, 24000), 24000).shapes()
+    rough = dsp.Spectrum(noise, 24000).shapes()
     assert rough["spectral_flatness"] > tone["spectral_flatness"] and rough["spectral_entropy"] > tone["spectral_entropy"] and tone["spectral_crest"] > rough["spectral_crest"]
-    assert dsp.spectral_stats(np.zeros(4096), 24000)["spectral_flatness"] is None
-    assert dsp.temporal_delta(noise, 24000) > 0
+    assert dsp.Spectrum(np.zeros(4096), 24000).shapes()["spectral_flatness"] is None
+    assert dsp.Spectrum(noise, 24000).delta() > 0
 
 
 def test_alignment():
@@ -48,6 +48,9 @@ def test_alignment():
     out = dsp.compare(x, np.concatenate([np.zeros(400), 0.7 * x]), 24000)
     assert out["lag"] == 400 and abs(out["gain"] - 1 / 0.7) < 0.02 and out["nmse"] < 1e-6 and out["corr"] > 0.999 and len(out["bands"]) == 3
     assert dsp.delay(np.concatenate([np.zeros(50), x]), x)[0] == -50
+    for band in out["bands"]:
+        assert abs(band["mean_diff_db"] - 10 * math.log10(0.7)) < 0.01 and abs(band["rmse_db"] + band["mean_diff_db"]) < 0.01 and band["logmag_corr"] > 0.999
+    assert [b["lo"] for b in dsp.compare(x, x, 8000)["bands"]] == [0] and dsp.compare(x[:300], x[:300], 24000)["bands"][0]["rmse_db"] == 0
 
 
 def test_highpass_and_resample():
