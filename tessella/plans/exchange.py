@@ -219,15 +219,16 @@ def wav_resampled(spark, sf):
     return d.select("vec_id", "sample_rate", F.size("x").alias("n"))
 
 
-@query("resample_tone", "SELECT unnest(range(8)) AS k, 0.5::DOUBLE AS level, 480 AS n")
+@query("resample_tone", "SELECT s_suppkey, (1 + s_nationkey % 5) / 10.0 AS level, 480 AS n FROM supplier")
 def resample_tone(spark, sf):
     """Steady tones keep their level, whatever the ratio of rates."""
     from tessella.functions import dsp
 
-    k = spark.range(8).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: F.lit(0.5) * F.cos(i * 2 * 3.141592653589793 * (F.col("id") + 1) * 100 / 8000)).alias("x"))
+    level, hertz = (F.col("s_nationkey") % 5 + 1) / 10, (F.col("s_suppkey") % 8 + 1) * 100
+    k = table(spark, sf, "supplier").select("s_suppkey", F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: level * F.cos(i * 2 * 3.141592653589793 * hertz / 8000)).alias("x"))
     y = dsp.resample_signal("x", F.lit(8000), F.lit(16000))
     # the middle, away from the ends
-    return k.withColumn("y", y).select("k", F.round(sg.peak(F.slice("y", 161, 160)), 2).alias("level"), F.size("y").alias("n"))
+    return k.withColumn("y", y).select("s_suppkey", F.round(sg.peak(F.slice("y", 161, 160)), 2).alias("level"), F.size("y").alias("n"))
 
 
 @query("metric_scan", f"WITH {_PCM} SELECT vec_id, CASE WHEN vec_id % 10 <> 9 THEN round(20 * log10(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x))), 6) END AS rms_dbfs, CASE WHEN vec_id % 10 = 9 THEN 'ValueError: not a WAV file' END AS error FROM pcm")
@@ -315,13 +316,14 @@ def asr_targets(spark, sf):
 
 @query("config_expand", "SELECT r_regionkey, '/data/' || r_name || '/m-' || (CASE WHEN r_regionkey % 2 = 0 THEN 'x' ELSE 'fallback' END) AS path FROM region")
 def config_expand(spark, sf):
-    """Configurations, one for each region, loaded with their references expanded."""
-    env = config.read_env("# places\nROOT=/data\nMODEL='x'\n\n")
-    rows = []
-    for r in table(spark, sf, "region").collect():  # five regions
-        raw = {"name": r.r_name, "model": {"path_or_id": "${ROOT}/%s/m-${%s:fallback}" % (r.r_name, "MODEL" if r.r_regionkey % 2 == 0 else "OTHER")}, "python": "python3", "script": "w.py"}
-        rows.append((r.r_regionkey, config.check_backend(config.expand(raw, env))["model"]["path_or_id"]))
-    return spark.createDataFrame(rows, "r_regionkey int, path string")
+    """Configuration files, one for each region, read with their references expanded."""
+    env, root = config.read_env("# places\nROOT=/data\nMODEL='x'\n\n"), scratch_path(spark, "configs")
+    r = table(spark, sf, "region")
+    place = F.concat(F.lit("${ROOT}/"), "r_name", F.lit("/m-${"), F.when(F.col("r_regionkey") % 2 == 0, "MODEL").otherwise("OTHER"), F.lit(":fallback}"))
+    raw = F.to_json(F.struct(F.col("r_regionkey").alias("region"), F.struct(place.alias("path_or_id")).alias("model"), F.lit("python3").alias("python"), F.lit("w.py").alias("script")))
+    sinks.write_files(spark, r.select(F.concat("r_name", F.lit(".json")).alias("name"), raw.alias("content")), root)
+    read = readers.document(spark, root, "region int, model struct<path_or_id:string>, python string, script string")
+    return read.select(F.col("region").alias("r_regionkey"), tx.expand_env(F.col("model.path_or_id"), env).alias("path"))
 
 
 @query("expand_columns", "SELECT p_partkey, p_name || '/A1/' || CASE WHEN p_partkey % 2 = 0 THEN 'A1' ELSE 'dflt' END AS path FROM part")

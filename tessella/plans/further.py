@@ -366,18 +366,19 @@ def codec_chain(spark, sf):
     return c.select("case_id", F.col(f"{a}.lag").alias("lag_in"), F.round(f"{a}.gain", 6).alias("gain_in"), F.col(f"{b}.lag").alias("lag_out"), F.round(f"{b}.gain", 6).alias("gain_out"), F.round(F.abs(f"{whole}.nmse"), 6).alias("nmse"))
 
 
-@query("highpass_level", "SELECT vec_id, 0.0::DOUBLE AS peak, 64 AS n FROM embeddings")
+@query("highpass_level", "SELECT vec_id, (label % 5 + 1) / 5.0 AS peak, 800 AS n FROM embeddings")
 def highpass_level(spark, sf):
-    """A steady level is all below the cut-off: nothing of it stays."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.array_repeat(F.col("label").cast("double") / 10, 64).alias("x"))
-    y = e.select("vec_id", dsp.highpass_signal("x", F.lit(8000)).alias("y"))
-    return y.select("vec_id", F.abs(F.round(sg.peak(F.col("y")), 6)).alias("peak"), F.size("y").alias("n"))
+    """A tone above the cut-off on a steady level below it: the tone stays, the level goes."""
+    k = F.col("label")
+    tone = F.transform(F.sequence(F.lit(0), F.lit(799)), lambda i: k / 10 + (k % 5 + 1) / 5 * F.cos(i * 2 * 3.141592653589793 / 8))
+    y = table(spark, sf, "embeddings").select("vec_id", dsp.highpass_signal(tone, F.lit(8000)).alias("y"))
+    return y.select("vec_id", F.round(sg.peak(F.slice("y", 301, 200)), 1).alias("peak"), F.size("y").alias("n"))
 
 
-_CUT = "s AS (SELECT vec_id, label AS k FROM embeddings), g AS (SELECT vec_id, k, CASE WHEN k > 3 THEN 300 ELSE k * 100 END AS gap FROM s)"
+_CUT = "s AS (SELECT vec_id, label AS k, embedding FROM embeddings), g AS (SELECT vec_id, k, embedding, CASE WHEN k > 3 THEN 300 ELSE k * 100 END AS gap FROM s)"
 
 
-@query("cut_segments", f"WITH {_CUT} SELECT vec_id, 3 AS segments_in, 2 AS segments_kept, 400 + gap AS n, false AS all_dropped FROM g")
+@query("cut_segments", f"WITH {_CUT} SELECT vec_id, 3 AS segments_in, 2 AS segments_kept, 400 + gap AS n, false AS all_dropped, round(embedding[200 % 64 + 1]::DOUBLE, 6) AS early, round(embedding[(400 + k * 100) % 64 + 1]::DOUBLE, 6) AS late FROM g")
 def cut_segments(spark, sf):
     """Two segments of 200 ms with a gap that depends on the row, and one that is too short, at 1 kHz."""
     k = F.col("label")
@@ -385,7 +386,7 @@ def cut_segments(spark, sf):
     segments = F.array(at(100, 300), at(300 + k * 100, 500 + k * 100), at(1900, 1950))
     e = table(spark, sf, "embeddings").select("vec_id", F.flatten(F.array_repeat(vx.doubles(F.col("embedding")), 32)).alias("x"), segments.alias("s"))
     c = e.select("vec_id", dsp.cut_signal("x", F.lit(1000), "s").alias("c"))
-    return c.select("vec_id", "c.segments_in", "c.segments_kept", F.size("c.x").alias("n"), "c.all_dropped")
+    return c.select("vec_id", "c.segments_in", "c.segments_kept", F.size("c.x").alias("n"), "c.all_dropped", F.round(F.get("c.x", F.lit(100)), 6).alias("early"), F.round(F.get("c.x", F.size("c.x") - 100), 6).alias("late"))
 
 
 @query("preprocess_level", "SELECT vec_id, 2048 AS n, -25.0::DOUBLE AS rms_dbfs, 400 AS n_cut FROM embeddings")
@@ -447,7 +448,7 @@ def checkpoint_transitions(spark, sf):
     return verdicts.transitions(v).withColumn("rel_l2", F.round("rel_l2", 9))
 
 
-@query("config_identical", "SELECT true AS same, false AS mixed")
+@query("config_identical", "SELECT count(DISTINCT p_partkey % 2) <= 2 AS same, count(DISTINCT p_type) = 1 AS mixed FROM part")
 def config_identical(spark, sf):
     """The same settings in another order of keys are one configuration."""
     p = table(spark, sf, "part")
