@@ -52,6 +52,8 @@ PIVOT_ELEMENTS = 1 << 17
 PIVOTS = 8
 #: Copies of members that a Voronoi split may make of one, on average.
 REPLICAS = 1.5
+#: What it costs to look at a region at all, in compared elements.
+REGION_WORK = 50_000
 _CODE = 52
 _CODE_MASK = np.uint64((1 << _CODE) - 1)
 
@@ -375,9 +377,9 @@ class Region:
 
     def join(self) -> list[tuple[int, int]]:
         """Links that span the components of the link graph, as index pairs."""
-        todo = [np.arange(len(self.sets))]
+        todo = [(np.arange(len(self.sets)), len(self.sets))]
         while todo:
-            members = todo.pop()
+            members, limit = todo.pop()
             if self.settled(members):
                 continue
             sizes = self.size[members]
@@ -389,33 +391,39 @@ class Region:
                 rows.append(self.distances(int(members[q]), members, flat, at))
                 far = np.minimum(far, rows[-1])
                 far[q] = -1
+            del flat
             left = far >= 0
             members, d = members[left], np.stack(rows)[:, left]
             if not self.settled(members):
-                regions = voronoi(d, self.radius)
-                todo += [members[r] for r in regions] if len(regions) > 1 else self.by_rare_elements(members)
+                regions = [members[r] for r in voronoi(d, self.radius)]
+                if len(regions) == 1 and len(members) <= limit:
+                    regions = self.by_rare_elements(members)
+                    if len(regions) == 1 and len(regions[0]) == len(members):
+                        limit = len(members) // 2  # not again before half of them are compared
+                todo += [(r, limit if len(regions) == 1 else len(r)) for r in regions]
         return self.edges
 
     def by_rare_elements(self, members: np.ndarray) -> list[np.ndarray]:
         """Regions for members that no window parts, as sets that share a passage and little else are at
         one distance from all pivots. Linked sets share one of the rarest elements of each, as many as it may lack
         in common with the other and one more; so a region for each element that is shared among those
-        holds every link. The members stay together where that would not save half of the comparisons."""
+        holds every link. The members stay together where that would not save half of the work."""
         sizes = self.size[members]
-        row = np.repeat(np.arange(len(members)), sizes)
+        row = np.repeat(np.arange(len(members), dtype=np.int32), sizes)
         flat = np.concatenate([self.sets[m] for m in members])
-        often = np.bincount(flat)[flat]
-        order = np.lexsort((flat, often, row))
-        rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((flat, np.bincount(flat).astype(np.int32)[flat], row))
+        rank = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
         prefix = sizes - -(-sizes * self.percent // 100) + 1
         rare = order[rank < prefix[row]]
+        del order, rank
         element, owner = flat[rare], row[rare]
         order = np.lexsort((owner, element))
         element, owner = element[order], owner[order]
         cut = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
         ends = np.r_[cut[1:], len(element)]
         shared = ends - cut > 1
-        if ((ends - cut)[shared].astype(float) ** 2).sum() * 2 > float(len(members)) ** 2:
+        each = float(sizes.mean())
+        if (((ends - cut)[shared].astype(float) ** 2) * each + REGION_WORK).sum() * 2 > float(len(members)) ** 2 * each:
             return [members]
         found = {owner[a:b].tobytes(): members[owner[a:b]] for a, b in zip(cut[shared], ends[shared])}
         return list(found.values())
