@@ -62,3 +62,34 @@ def test_messages(spark):
     assert {r.id: (r.method, r.ok) for r in reports.correlate_messages(m).collect()} == {"a": ("generate", True), "b": ("health", None)}
     t = spark.createDataFrame([(1, "s", "idle"), (2, "s", "failed"), (1, "u", "idle")], "_ord int, session string, state string")
     assert {r.session: r.ended for r in reports.session_states(t).collect()} == {"s": True, "u": False}
+
+
+def test_report_lines_in_order(spark, tmp_path):
+    from tessella.operators import documents as d
+
+    rows = spark.createDataFrame([(i, f"a|{i}\nb", i / 8, None if i % 2 else "x") for i in range(200)], "_ord long, name string, v double, bad string").repartition(5)
+    table = d.Table("Rows", rows, "_ord", {"name": d.code(F.col("name")), "value": d.fixed(F.col("v"), 2), "none": d.plain(F.lit(None), "-")}, when_bad=F.when(F.col("bad").isNotNull(), F.concat(F.lit("error: "), "bad")))
+    lines = d.render(spark, [d.Text("# T", ""), table, d.Bullets("More", rows, "_ord", F.col("name").substr(1, 1)), d.Text("end")])
+    d.write(lines, str(tmp_path / "r"), 4)
+    got = [x for n in sorted((tmp_path / "r").glob("part-*")) for x in n.read_text().split("\n")[:-1]]
+    body = [f"| `a\\|{i} b` | {round(i / 8, 2):.2f} | - |" if i % 2 else f"| `a\\|{i} b` | error: x |  |" for i in range(200)]
+    assert got == ["# T", "", "## Rows", "", "| name | value | none |", "|---|---|---|", *body, "", "## More", "", *["- a"] * 200, "", "end"]
+    numbers = spark.createDataFrame([(2.675,), (-0.125,), (1e9,), (None,), (float("nan"),), (float("inf"),)], "x double").select(d.fixed(F.col("x"), 2), d.fixed(F.col("x"), 0)).collect()
+    assert [tuple(r) for r in numbers] == [("2.67", "3"), ("-0.12", "0"), ("1000000000.00", "1000000000"), ("", ""), ("", ""), ("", "")]
+
+
+def test_gate_and_pairs_reports(spark):
+    from tessella.operators import documents as d
+
+    cases = spark.createDataFrame([(0, "a", "clone", "o/a.wav", "ok", 1.25, None, None), (1, "b", "zero", None, None, None, "", "no model")], "_ord int, backend string, kind string, output string, status string, wall_seconds double, error string, reason string")
+    names = [c for _, c, _ in d.MEASURES]
+    measures = spark.createDataFrame([(0, "a.wav", None, *[24000.0, *[0.0625] * 10]), (1, "b.wav", "ValueError: bad", *[None] * 11)], "_ord int, sample string, error string, " + ", ".join(f"{n} double" for n in names))
+    text = [r.line for r in d.gate_report(spark, "e1", [("seed", "7")], cases, measures).orderBy("section", "place").collect()]
+    assert text[:4] == ["# Gate report — e1", "", "- seed: 7", ""] and "| a | clone | `o/a.wav` | ok | 1.2 |  |" in text and "| b | zero | `` | ? |  | no model |" in text
+    assert "| `a.wav` | 24000 | 0.06 | 0.06 | 0.1 | 0.1 | 0.062 | 0.062 | 0.062 | 0.1 | 0.062 | 0.062 |" in text and "| `b.wav` | error: ValueError: bad |  |  |  |  |  |  |  |  |  |  |" in text
+    pairs = spark.createDataFrame([(0, "p", "t", 3, "x", "y"), (1, "q", "t", 3, "x", "gone")], "_ord int, pair_id string, text_id string, seed int, left string, right string")
+    runs = spark.createDataFrame([(0, "x", "P0", 3, "ok", None, 1.5, "abcdef012345", None), (1, "y", "P2", 3, "failed", 2, None, None, None)], "_ord int, case_id string, prompt_id string, seed int, status string, retry_count int, duration_s double, output_sha256 string, reused_from string")
+    var = spark.createDataFrame([(0, "abcdef0123456789", ["x", "z"], ["grit"])], "_ord int, output_sha256 string, case_ids array<string>, divergent array<string>")
+    text = [r.line for r in d.pairs_report(spark, "Paired", [], pairs, runs, var).orderBy("section", "place").collect()]
+    assert "| p | t | 3 | new `abcdef0123` 1.5s | failed |" in text and "| q | t | 3 | new `abcdef0123` 1.5s | None |" in text
+    assert "| y | P2 | 3 | failed | 2 | - | `` |" in text and "- `abcdef012345`: x, z differ in grit" in text

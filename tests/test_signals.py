@@ -53,6 +53,21 @@ def test_alignment():
     assert [b["lo"] for b in dsp.compare(x, x, 8000)["bands"]] == [0] and dsp.compare(x[:300], x[:300], 24000)["bands"][0]["rmse_db"] == 0
 
 
+@pytest.mark.parametrize("rate", [16000, 24000, 44100, 48000])
+def test_loudness_of_the_standards_tones(rate):
+    """A full-scale tone of 997 Hz on one channel reads -3.01; levels add up, gates leave silence out."""
+    tone = sine(997, 2, 1.0, rate)
+    assert dsp.loudness(tone, rate) == pytest.approx(-3.01, abs=0.06)
+    assert dsp.loudness(tone / 10, rate) == pytest.approx(-23.01, abs=0.06)
+    quiet = np.concatenate([tone / 10, np.zeros(6 * rate), tone / 10])
+    assert dsp.loudness(quiet, rate) == pytest.approx(-23.01, abs=0.4)
+    assert dsp.loudness(np.concatenate([tone, tone / 1000]), rate) == pytest.approx(dsp.loudness(tone, rate), abs=0.4)
+    assert dsp.loudness(np.zeros(rate), rate) is None and dsp.loudness(tone[: rate // 4], rate) is None and dsp.loudness(tone, 2000) is None
+    if rate == 48000:  # the standard's own coefficients
+        (b, a), (_, c) = dsp.k_weighting(rate)
+        assert np.allclose(b, [1.53512485958697, -2.69169618940638, 1.19839281085285], atol=1e-9) and np.allclose(a[1:], [-1.69065929318241, 0.73248077421585], atol=1e-9) and np.allclose(c[1:], [-1.99004745483398, 0.99007225036621], atol=1e-9)
+
+
 def test_highpass_and_resample():
     dc = dsp.highpass(sine(1000, 0.5, 0.3, 8000) + 0.4, 8000)
     assert abs(dc[1000:3000].mean()) < 1e-3 and abs(np.abs(dc[1000:3000]).max() - 0.3) < 0.01
