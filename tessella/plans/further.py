@@ -590,6 +590,39 @@ def page_bundle(spark, sf):
     return reports.html_list(s, "s_nationkey", "s_suppkey", "v")
 
 
+@query(
+    "gate_report",
+    """SELECT 1 AS section, (s_suppkey + 4)::BIGINT AS place, '| b' || s_nationkey || ' | ' || CASE WHEN s_suppkey % 2 = 0 THEN 'clone' ELSE 'zero' END || ' | `o/' || s_suppkey || '.wav` | ' || CASE WHEN s_suppkey % 3 = 0 THEN 'failed' ELSE 'ok' END || ' | ' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE format('{:.1f}', s_suppkey / 20.0) END || ' | ' || CASE WHEN s_suppkey % 3 = 0 THEN 'out of \\| memory' ELSE '' END || ' |' AS line FROM supplier
+UNION ALL SELECT 2, p_partkey + 4, '| `' || p_partkey || '.wav` | ' || CASE WHEN p_partkey % 7 = 3 THEN 'error: ' || p_size || ' |  |  |  |  |  |  |  |  |  | ' ELSE p_size * 1000 || ' | ' || format('{:.2f}', p_retailprice::DOUBLE) || ' | ' || format('{:.2f}', -p_size / 8.0) || ' |  |  | ' || format('{:.3f}', (p_size + 0.5) / 1000) || ' |  |  |  |  | ' END || ' |' FROM part
+UNION ALL SELECT 0, unnest([0, 1, 2, 3]), unnest(['# Gate report — nightly', '', '- parts: ' || (SELECT count(*) FROM part), ''])
+UNION ALL SELECT 1, unnest([0, 1, 2, 3, 4611686018427387904]), unnest(['## Case results', '', '| Backend | Case | Output | Status | Wall (s) | Notes |', '|---|---|---|---|---|---|', ''])
+UNION ALL SELECT 2, unnest([0, 1, 2, 3, 4611686018427387904]), unnest(['## Objective metrics', '', '| Sample | SR | dur (s) | RMS dBFS | LUFS | TP dBTP | E4-8k% | E8-12k% | flatness | crest | entropy | Δ2-9k |', '|---|---|---|---|---|---|---|---|---|---|---|---|', ''])""",
+)
+def gate_report(spark, sf):
+    """A report of cases and measures, each line with its place; numbers as they are printed."""
+    from tessella.operators import documents
+
+    k, key, size = F.col("s_suppkey"), F.col("p_partkey"), F.col("p_size")
+    failed = k % 3 == 0
+    cases = table(spark, sf, "supplier").select(
+        k.alias("_ord"), F.concat(F.lit("b"), "s_nationkey").alias("backend"), F.when(k % 2 == 0, "clone").otherwise("zero").alias("kind"), F.concat(F.lit("o/"), k, F.lit(".wav")).alias("output"),
+        F.when(failed, "failed").otherwise("ok").alias("status"), F.when(~failed, k / 20).alias("wall_seconds"), F.when(failed, "out of | memory").alias("error"), F.lit(None).cast("string").alias("reason"),
+    )
+    parts = table(spark, sf, "part")
+    known = {"sample_rate": size * 1000, "duration": F.col("p_retailprice").cast("double"), "rms_dbfs": -size / 8, "band_energy_4k_8k": (size + 0.5) / 1000}
+    measures = parts.select(key.alias("_ord"), F.concat(key, F.lit(".wav")).alias("sample"), F.when(key % 7 == 3, size.cast("string")).alias("error"), *(known.get(c, F.lit(None)).cast("double").alias(c) for _, c, _ in documents.MEASURES))
+    return documents.gate_report(spark, "nightly", [("parts", str(parts.count()))], cases, measures)
+
+
+@query("loudness_tone", "SELECT n_nationkey, round(-3.01 + 20 * log10((1 + n_nationkey % 5) / 10.0), 1) AS lufs FROM nation")
+def loudness_tone(spark, sf):
+    """A tone of 997 Hz at full scale on one channel has -3.01 LUFS; quieter ones have as much less."""
+    level = (F.col("n_nationkey") % 5 + 1) / 10
+    tone = F.transform(F.sequence(F.lit(0), F.lit(23999)), lambda i: level * F.sin(i * 2 * 3.141592653589793 * 997 / 48000))
+    a = table(spark, sf, "nation").repartition(4).select("n_nationkey", dsp.analyze_signal(tone, F.lit(48000)).alias("a"))
+    return a.select("n_nationkey", F.round("a.lufs", 1).alias("lufs"))
+
+
 @query("report_rows", "SELECT s_suppkey AS _ord, '| ' || s_name || ' | a\\|b | ' || CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::VARCHAR ELSE '' END || ' |' AS line FROM supplier")
 def report_rows(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.lit("a|b").alias("b"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("n"))
