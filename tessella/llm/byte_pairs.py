@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm import wordcodes as wc
 
-#: Entries that a worker remembers of pieces and of pairs; a full table is emptied, which costs time only.
-MAX_KNOWN = 1 << 18
+#: Entries that a worker remembers of pieces (twice as many) and of pairs; forgetting costs time only.
+MAX_KNOWN = 1 << 19
 _NEVER = 1 << 60
 
 
@@ -102,48 +102,67 @@ class Vocabulary:
         whole = self.by_text.get(piece)
         if whole is not None:
             return [whole]
-        greedy = [token for _, token in self.find.iter_long(piece)]
-        if all(map(self.follows, greedy, greedy[1:])):
-            return greedy
-        n, length, shorter = len(piece), self.length, self.shorter
+        out, pairs, n = [token for _, token in self.find.iter_long(piece)], self.pairs, len(piece)
+        for good, pair in enumerate(zip(out, out[1:]), 1):
+            known = pairs.get(pair)
+            if not (self.follows(*pair) if known is None else known):
+                break
+        else:
+            return out
+        # the first ``good`` longest matches stand; from here shorter ones are tried
+        length, shorter, token = self.length, self.shorter, out[good]
+        del out[good:]
+        at, last = sum([length[t] for t in out]), out[-1]
         longest = [-1] * n
-        for last, token in self.find.iter(piece):  # of tokens that begin at one place the longest ends last
-            longest[last + 1 - length[token]] = token
-        dead, out, at, token = bytearray(n + 1), [], 0, longest[0]
+        for stop, match in self.find.iter(piece):  # of tokens that begin at one place the longest ends last
+            longest[stop + 1 - length[match]] = match
+        dead = bytearray(n + 1)
         while at < n:
             while token is not None:
                 end = at + length[token]
-                if not dead[end] and (not out or self.follows(out[-1], token)):
-                    break
+                if not dead[end]:
+                    if last is None:
+                        break
+                    known = pairs.get((last, token))
+                    if known or (known is None and self.follows(last, token)):
+                        break
                 token = shorter[token]
             if token is None:
                 dead[at] = 1
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else None
             else:
                 out.append(token)
-                at = end
+                at, last = end, token
                 token = longest[at] if at < n else None
         return out
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """All token bytes end to end by id, and where each id's begin; the last id stands for unknown ones."""
-        top = max([*self.tokens, *self.added.values()]) + 1
-        added = {i: t.encode() for t, i in self.added.items()}
-        words = [added[i] if i in added else self.tokens.get(i, "").encode("latin-1") for i in range(top)] + [b""]
-        return np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])])
+
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every token of a vocabulary file, added ones too."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    alphabet = byte_alphabet()
+    out = {i: bytes(alphabet[c] for c in t) for t, i in file["model"]["vocab"].items()}
+    return out | {t["id"]: t["content"].encode() for t in file.get("added_tokens", [])}
 
 
 class _Pieces(dict):
-    """Ids by piece as 32-bit integers, encoded when first asked for."""
+    """Ids by piece as 32-bit integers, encoded when first asked for. A full table becomes the old one, from which
+    pieces that are asked for again come back, so frequent ones stay."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MAX_KNOWN:
+            self.old = dict(self)
             self.clear()
-        found = self[piece] = array("i", self.vocabulary.encode(piece.encode().decode("latin-1"))).tobytes()
+        found = self.old.get(piece)
+        if found is None:
+            found = array("i", self.vocabulary.encode(piece.encode().decode("latin-1"))).tobytes()
+        self[piece] = found
         return found
 
 
@@ -190,7 +209,10 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    return Vocabulary(path).table()
+    """All token bytes end to end by id, and where each id's begin; the last id stands for unknown ones."""
+    tokens = token_bytes(path)
+    words = [tokens.get(i, b"") for i in range(max(tokens) + 2)]
+    return np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])])
 
 
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

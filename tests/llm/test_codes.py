@@ -203,4 +203,4 @@ def test_known_tables_stay_bounded(monkeypatch):
     small = byte_pairs.Encoder(PATH, public.PATTERN)
     text = " ".join(f"wor{i}thing{i}s" for i in range(200))
     assert small.ids(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
-    assert len(small.known) <= 10 and len(small.vocabulary.pairs) <= 10
+    assert len(small.known) <= 10 and len(small.known.old) <= 10 and len(small.vocabulary.pairs) <= 10
