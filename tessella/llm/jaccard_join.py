@@ -53,7 +53,7 @@ PIVOTS = 8
 #: Copies of members that a Voronoi split may make of one, on average.
 REPLICAS = 1.5
 #: What it costs to look at a region at all, in compared elements.
-REGION_WORK = 50_000
+REGION_WORK = 100_000
 _CODE = 52
 _CODE_MASK = np.uint64((1 << _CODE) - 1)
 
@@ -399,8 +399,8 @@ class Region:
                 if len(regions) == 1 and len(members) <= limit:
                     regions = self.by_rare_elements(members)
                     if len(regions) == 1 and len(regions[0]) == len(members):
-                        limit = len(members) // 2  # not again before half of them are compared
-                todo += [(r, limit if len(regions) == 1 else len(r)) for r in regions]
+                        limit = len(members) // 4  # not again, here or in parts, before most are compared
+                todo += [(r, min(limit, len(r))) for r in regions]
         return self.edges
 
     def by_rare_elements(self, members: np.ndarray) -> list[np.ndarray]:
