@@ -8,6 +8,8 @@ and rating writes, orders are reports. All queries run over whole tables.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tessella.functions import signals as sg
 from tessella.functions import text as tx
 from tessella.functions import vectors as vx
 from tessella.operators import curate, enrich, experiments, ratings, reports, verdicts
-from tessella.session import materialize, table
+from tessella.session import materialize, ship_package, table
 from tessella.streaming import events as stream
 
 QUERIES: dict = {}
@@ -45,11 +47,18 @@ def split_sql(fid: str) -> str:
 
 
 def query(name: str, sql: str | None = None):
+    """Register a query; workers get the package before it runs, as they may not have it on their path."""
+
     def register(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark, sf):
+            ship_package(spark)
+            return f(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return f
+        return run
 
     return register
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.session import remove_path, scratch_path
+from tessella.session import remove_path, scratch_path, ship_package
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 LATEST = "user_id long, event_id long, event_type string, value double, n long"
@@ -73,6 +73,7 @@ def sampled_peaks(samples: DataFrame, width: str = "1 minute", delay: str = "5 m
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "update") -> DataFrame:
     """Drain what is there now, write every update as Parquet in the application's scratch folder and read
     it back. The stream's own checkpoint goes when it has ended, the updates when the driver exits."""
+    ship_package(spark)
     root = scratch_path(spark, "stream")
     out = f"{root}/out"
 

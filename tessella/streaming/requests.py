@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.session import ship_package
+
 MESSAGES = "worker string, id string, at timestamp, seq long, kind string, method string, ok boolean"
 OUTCOMES = "worker string, id string, seq long, outcome string, method string, asked_at timestamp, deadline timestamp, at timestamp"
 _STATE = "phase string, method string, asked long, deadline long, seq long"
@@ -21,6 +24,10 @@ _STATE = "phase string, method string, asked long, deadline long, seq long"
 FINAL = ("answered", "failed", "timed_out", "closed")
 
 
+#: No time, as numpy has it.
+NEVER = np.iinfo(np.int64).min
+
+
 class _Request:
     """One request's state and what happens to it, times in microseconds."""
 
@@ -58,6 +65,7 @@ def track(messages: DataFrame, timeout_s: float, delay: str = "10 minutes", keep
     """Outcomes of a stream of ``MESSAGES`` as they become known; ``kind`` is request or response, others and
     messages without worker, id or time are left out. Within a trigger messages apply by time, then
     ``seq``; an answer that arrives in an earlier trigger than its request is stray."""
+    ship_package(messages.sparkSession)
     timeout, keep = int(timeout_s * 1e6), int(keep_s * 1e3)
     names = [x.split()[0] for x in OUTCOMES.split(", ")]
 
@@ -70,8 +78,12 @@ def track(messages: DataFrame, timeout_s: float, delay: str = "10 minutes", keep
             else:
                 forget = True
         else:
-            for row in pd.concat(list(batches)).sort_values(["at", "seq"], kind="stable").itertuples(index=False):
-                request.take(row.kind, row.method, bool(row.ok), row.at.value // 1000, int(row.seq))
+            rows = []
+            for pdf in batches:  # a group has few rows: plain tuples cost less than frames
+                at = pdf["at"].to_numpy("datetime64[us]").astype("int64").tolist()
+                rows += zip(at, pdf["seq"].tolist(), pdf["kind"], pdf["method"], pdf["ok"])
+            for at, seq, kind, method, ok in sorted(rows, key=lambda r: r[:2]):
+                request.take(kind, method, ok is True or ok == 1, at, int(seq))
         if forget or request.phase is None:  # nobody asked: nothing to remember
             if state.exists:
                 state.remove()
@@ -79,9 +91,10 @@ def track(messages: DataFrame, timeout_s: float, delay: str = "10 minutes", keep
             state.update((request.phase, request.method, request.asked, request.deadline, request.seq))
             due = request.deadline // 1000 if request.phase == "pending" else request.deadline // 1000 + keep
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs()) + 1)
-        when = lambda us: pd.Timestamp(us, unit="us") if us is not None else pd.NaT
-        rows = [(*key, seq, outcome, method, when(asked), when(deadline), when(at)) for seq, outcome, method, asked, deadline, at in request.out]
-        yield pd.DataFrame(rows, columns=names).astype({"asked_at": "datetime64[ns]", "deadline": "datetime64[ns]", "at": "datetime64[ns]"})
+        if request.out:
+            seq, outcome, method, *times = zip(*request.out)
+            when = [np.array([NEVER if us is None else us for us in column], "datetime64[us]") for column in times]
+            yield pd.DataFrame(dict(zip(names, ([key[0]] * len(seq), [key[1]] * len(seq), seq, outcome, method, *when))))
 
     known = messages.where("worker is not null and id is not null and at is not null and kind in ('request', 'response')").withWatermark("at", delay)
     return known.groupBy("worker", "id").applyInPandasWithState(step, OUTCOMES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
