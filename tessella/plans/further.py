@@ -572,8 +572,9 @@ def rated_order(spark, sf):
 
 
 def _placed(rows: DataFrame, key: str) -> DataFrame:
-    """The place of each row in an ordered result: its rank in its partition after those before it."""
-    at = rows.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    """The place of each row in an ordered result: its rank in its partition after those before it. Ranges are
+    sampled anew whenever a plan is run, so rows are dealt once and written with their partition."""
+    at = materialize(rows.sparkSession, rows.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "placed")
     sizes = at.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
     before = sizes.alias("a").join(sizes.select(F.col("p").alias("q"), F.col("n").alias("k")), F.col("q") < F.col("p"), "left").groupBy("p", "first").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("before"))
     return at.join(before, "p").select(key, (F.col("before") + F.col("m") - F.col("first") + 1).alias("place"))

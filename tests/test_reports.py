@@ -93,3 +93,14 @@ def test_gate_and_pairs_reports(spark):
     text = [r.line for r in d.pairs_report(spark, "Paired", [], pairs, runs, var).orderBy("section", "place").collect()]
     assert "| p | t | 3 | new `abcdef0123` 1.5s | failed |" in text and "| q | t | 3 | new `abcdef0123` 1.5s | None |" in text
     assert "| y | P2 | 3 | failed | 2 | - | `` |" in text and "- `abcdef012345`: x, z differ in grit" in text
+
+
+def test_places_of_dealt_rows(spark):
+    """Ranges that are sampled twice differ: places must come from one dealing of the rows."""
+    from tessella.plans.further import _placed
+
+    n = 400_000
+    rows = spark.range(n, numPartitions=4).select("id", ((F.col("id") * 7919) % n).alias("v"), F.repeat(F.lit("x"), 40).alias("w"))
+    placed = _placed(rows.orderBy("v", "w"), "id")
+    assert placed.count() == n
+    assert placed.where(F.col("place") != (F.col("id") * 7919) % n + 1).count() == 0
