@@ -4,7 +4,11 @@ its message handling and its versioned store."""
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +20,8 @@ from tessella.session import remove_path, scratch_path, ship_package
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 LATEST = "user_id long, event_id long, event_type string, value double, n long"
 SNAPSHOT = "name string, revision string, payload string, accepted long, rejected long"
+#: Writes of one name and trigger that a task holds; more are sorted in runs in its temp folder.
+RUN = 500_000
 
 
 def read_events(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
@@ -38,16 +44,46 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_latest, LATEST, "event_id long, event_type string, value double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def _set_aside(rows: list[tuple]) -> Iterator[tuple]:
+    file = tempfile.TemporaryFile()
+    for k in range(0, len(rows), 10_000):
+        pickle.dump(rows[k : k + 10_000], file)
+    file.seek(0)
+
+    def read():
+        with file:
+            while True:
+                try:
+                    yield from pickle.load(file)
+                except EOFError:
+                    return
+
+    return read()
+
+
+def in_order(batches: Iterator[pd.DataFrame], columns: list[str], run: int = RUN) -> Iterator[tuple]:
+    """Rows of a group by their first column. A group comes in batches as they were fetched, each in an
+    order of its own, so all of them are sorted together; at most ``run`` rows and a batch are held."""
+    runs, held = [], []
+    for pdf in batches:
+        held += pdf[columns].itertuples(index=False, name=None)
+        if len(held) >= run:
+            held.sort(key=itemgetter(0))
+            runs.append(_set_aside(held))
+            held = []
+    held.sort(key=itemgetter(0))
+    return heapq.merge(*runs, held, key=itemgetter(0)) if runs else iter(held)
+
+
 def _write(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     import hashlib
 
     revision, payload, accepted, rejected = state.get if state.exists else (None, None, 0, 0)
-    for pdf in batches:
-        for order, expected, body in pdf.sort_values("_ord")[["_ord", "expected_revision", "payload"]].itertuples(index=False):
-            if expected is not None and expected == expected and expected != revision:
-                rejected += 1
-            else:
-                revision, payload, accepted = hashlib.sha256(f"{key[0]}|{order}".encode()).hexdigest()[:16], body, accepted + 1
+    for order, expected, body in in_order(batches, ["_ord", "expected_revision", "payload"]):
+        if expected is not None and expected == expected and expected != revision:
+            rejected += 1
+        else:
+            revision, payload, accepted = hashlib.sha256(f"{key[0]}|{order}".encode()).hexdigest()[:16], body, accepted + 1
     state.update((revision, payload, accepted, rejected))
     yield pd.DataFrame([(key[0], revision, payload, accepted, rejected)], columns=["name", "revision", "payload", "accepted", "rejected"])
 

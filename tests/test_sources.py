@@ -3,6 +3,7 @@ import struct
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,25 @@ def test_streams_equal_batch(spark, tmp_path):
     assert events.run_to_end(spark, events.match_responses(q, a), "append").count() == 17
 
 
+def test_store_applies_shuffled_writes_in_order(spark, tmp_path):
+    """A name's writes come in many batches whose rows are mixed."""
+    from tessella.operators.ratings import fold_snapshots
+
+    w = spark.range(3000).select(F.col("id").alias("_ord"), (F.col("id") % 2).cast("string").alias("name"), F.when(F.col("id") % 3 == 0, "stale").alias("expected_revision"), F.concat(F.lit("p"), "id").alias("payload"))
+    w.repartition(3, F.hash("_ord")).sortWithinPartitions(F.xxhash64("_ord")).write.parquet(str(tmp_path / "in"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        out = events.run_to_end(spark, events.rating_store(spark.readStream.schema(w.schema).parquet(str(tmp_path / "in"))))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    key = lambda r: (r.name, r.revision, r.payload, r.accepted, r.rejected)
+    assert sorted(map(key, events.latest_of(out, "name").collect())) == sorted(map(key, fold_snapshots(w).collect()))
+    frames = [pd.DataFrame({"a": a, "b": [str(v) for v in a]}) for a in ([5, 1, 9], [4, 8], [2, 7, 0], [3, 6])]
+    for run in (1, 4, 100):
+        assert list(events.in_order(iter(frames), ["a", "b"], run)) == [(k, str(k)) for k in range(10)]
+
+
 def test_versions(spark, tmp_path):
     path, rows = str(tmp_path / "v"), spark.range(6)
     assert versions.current(spark, path) is None
