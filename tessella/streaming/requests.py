@@ -1,12 +1,14 @@
 """Requests of workers as keyed state with timers: pending, answered, failed, timed out, closed.
 
-Every (worker, id) is a key of its own, so a busy worker's requests spread over tasks. A request's timer is
-its deadline in event time; afterwards the key is remembered for a while, so that a late answer can be
-told from one that nobody asked for, and then forgotten: state is bounded by what is in flight.
+Requests are dealt to buckets by a hash of (worker, id), so a busy worker's requests spread over tasks and a
+trigger calls Python once a bucket, not once a request. A request's timer is its deadline in event time;
+afterwards it is remembered for a while, so that a late answer can be told from one that nobody asked for,
+and then forgotten: state is bounded by what is in flight. A bucket's timer is the first of its requests'.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,10 @@ from tessella.session import ship_package
 
 MESSAGES = "worker string, id string, at timestamp, seq long, kind string, method string, ok boolean"
 OUTCOMES = "worker string, id string, seq long, outcome string, method string, asked_at timestamp, deadline timestamp, at timestamp"
-_STATE = "phase string, method string, asked long, deadline long, seq long"
+#: A bucket's requests as JSON: [worker, id, phase, method, asked, deadline, seq, due] each.
+_STATE = "requests string"
+#: Groups of the keyed state, each with its part of the requests in flight.
+BUCKETS = 4096
 #: Outcomes that end a request.
 FINAL = ("answered", "failed", "timed_out", "closed")
 
@@ -32,7 +37,7 @@ class _Request:
     """One request's state and what happens to it, times in microseconds."""
 
     def __init__(self, held: tuple | None, timeout: int):
-        self.phase, self.method, self.asked, self.deadline, self.seq = held or (None, None, None, None, None)
+        self.phase, self.method, self.asked, self.deadline, self.seq, self.due = held or (None,) * 6
         self.timeout, self.out = timeout, []
 
     def _tell(self, outcome: str, seq: int | None, at: int) -> None:
@@ -61,43 +66,56 @@ class _Request:
             self._tell("stray", seq, at)
 
 
-def track(messages: DataFrame, timeout_s: float, delay: str = "10 minutes", keep_s: float = 3600.0) -> DataFrame:
+def track(messages: DataFrame, timeout_s: float, delay: str = "10 minutes", keep_s: float = 3600.0, buckets: int = BUCKETS) -> DataFrame:
     """Outcomes of a stream of ``MESSAGES`` as they become known; ``kind`` is request or response, others and
-    messages without worker, id or time are left out. Within a trigger messages apply by time, then
-    ``seq``; an answer that arrives in an earlier trigger than its request is stray."""
+    messages without worker, id or time are left out. Within a trigger messages apply as they were sent, by
+    ``seq``, then time, since a clock may step back; an answer that arrives in an earlier trigger than its
+    request is stray. A task holds one bucket: its requests in flight and its messages of a trigger."""
     ship_package(messages.sparkSession)
     timeout, keep = int(timeout_s * 1e6), int(keep_s * 1e3)
     names = [x.split()[0] for x in OUTCOMES.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        request = _Request(state.get if state.exists else None, timeout)
-        forget = False
-        if state.hasTimedOut:
-            if request.phase == "pending":
-                request.expire()
-            else:
-                forget = True
-        else:
-            rows = []
-            for pdf in batches:  # a group has few rows: plain tuples cost less than frames
+        held = {(worker, id_): _Request(tuple(rest), timeout) for worker, id_, *rest in json.loads(state.get[0])} if state.exists else {}
+        now, touched, rows, told = state.getCurrentWatermarkMs(), set(), [], []
+        if not state.hasTimedOut:
+            for pdf in batches:
                 at = pdf["at"].to_numpy("datetime64[us]").astype("int64").tolist()
-                rows += zip(at, pdf["seq"].tolist(), pdf["kind"], pdf["method"], pdf["ok"])
-            for at, seq, kind, method, ok in sorted(rows, key=lambda r: r[:2]):
-                request.take(kind, method, ok is True or ok == 1, at, int(seq))
-        if forget or request.phase is None:  # nobody asked: nothing to remember
-            if state.exists:
-                state.remove()
-        else:
-            state.update((request.phase, request.method, request.asked, request.deadline, request.seq))
-            due = request.deadline // 1000 if request.phase == "pending" else request.deadline // 1000 + keep
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs()) + 1)
-        if request.out:
-            seq, outcome, method, *times = zip(*request.out)
+                rows += zip(pdf["seq"].tolist(), at, pdf["worker"], pdf["id"], pdf["kind"], pdf["method"], pdf["ok"])
+        for seq, at, worker, id_, kind, method, ok in sorted(rows, key=lambda r: r[:2]):
+            name = (worker, id_)
+            touched.add(name)
+            if name not in held:
+                held[name] = _Request(None, timeout)
+            held[name].take(kind, method, ok is True or ok == 1, at, int(seq))
+        kept = []
+        for name, request in held.items():
+            forget = request.phase is None  # nobody asked: nothing to remember
+            if not forget and name in touched:
+                due = request.deadline // 1000 if request.phase == "pending" else request.deadline // 1000 + keep
+                request.due = max(due, now) + 1
+            elif not forget and request.due < now:
+                if request.phase == "pending":
+                    request.expire()
+                    request.due = max(request.deadline // 1000 + keep, now) + 1
+                else:
+                    forget = True
+            told += ((*name, *x) for x in request.out)
+            if not forget:
+                kept.append((*name, request.phase, request.method, request.asked, request.deadline, request.seq, request.due))
+        if kept:
+            state.update((json.dumps(kept, separators=(",", ":")),))
+            state.setTimeoutTimestamp(min(x[-1] for x in kept))
+        elif state.exists:
+            state.remove()
+        if told:
+            worker, id_, seq, outcome, method, *times = zip(*told)
             when = [np.array([NEVER if us is None else us for us in column], "datetime64[us]") for column in times]
-            yield pd.DataFrame(dict(zip(names, ([key[0]] * len(seq), [key[1]] * len(seq), seq, outcome, method, *when))))
+            yield pd.DataFrame(dict(zip(names, (worker, id_, seq, outcome, method, *when))))
 
     known = messages.where("worker is not null and id is not null and at is not null and kind in ('request', 'response')").withWatermark("at", delay)
-    return known.groupBy("worker", "id").applyInPandasWithState(step, OUTCOMES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = known.withColumn("_bucket", F.pmod(F.xxhash64("worker", "id"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(step, OUTCOMES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settle(outcomes: DataFrame, ends: DataFrame) -> DataFrame:

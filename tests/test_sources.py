@@ -357,6 +357,34 @@ def test_request_state_with_timers(spark, tmp_path):
     assert last == {("w", "a"): ("answered", 5), ("w", "b"): ("timed_out", 31), ("v", "a"): ("timed_out", 32), ("w", "z"): ("timed_out", 230), ("v", "c"): ("failed", 203), ("w", "y"): ("closed", 9002)}
 
 
+def test_requests_share_state_groups(spark, tmp_path):
+    """Many requests of one worker are few groups of state, and each keeps its own outcome."""
+    from tessella.streaming import requests
+
+    n = 20_000
+    row = lambda shift, kind: (F.lit("w").alias("worker"), F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.lit(1_700_000_000 + shift) + F.col("id") % 100).alias("at"), (2 * F.col("id") + int(kind == "response")).alias("seq"), F.lit(kind).alias("kind"), F.lit("m").alias("method"), (F.col("id") % 2 == 0).alias("ok"))
+    asked, answered = spark.range(n).select(*row(0, "request")), spark.range(n).where("id % 4 <> 3").select(*row(20, "response"))
+    asked.unionByName(answered).repartition(3).write.parquet(str(tmp_path / "in"))
+    source = requests.track(spark.readStream.schema(requests.MESSAGES).parquet(str(tmp_path / "in")), 30)
+    query = source.writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4096
+    got = {r.outcome: r["count"] for r in spark.table("told").groupBy("outcome").count().collect()}
+    assert got == {"pending": n, "answered": n // 2, "failed": n // 4}
+
+
+def test_answer_of_an_earlier_clock(spark, tmp_path):
+    """An answer sent after its request ends it, whatever its clock says."""
+    from datetime import datetime
+
+    from tessella.streaming import requests
+
+    rows = [("w", "a", datetime(2024, 1, 2), 0, "request", "m", None), ("w", "a", datetime(2024, 1, 1), 1, "response", None, True)]
+    spark.createDataFrame(rows, requests.MESSAGES).coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = events.run_to_end(spark, requests.track(spark.readStream.schema(requests.MESSAGES).parquet(str(tmp_path / "in")), 30), "append")
+    assert "answered" in {r.outcome for r in told.collect()} and told.where("outcome = 'stray'").count() == 0
+
+
 def test_streams_leave_no_checkpoint(spark, tmp_path):
     import glob
 
