@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyarrow import fs as pafs
@@ -21,12 +24,29 @@ from tessella.session import ship_package
 HEADER = T.StructType([T.StructField("key", T.StringType()), T.StructField("dtype", T.StringType()), T.StructField("shape", T.ArrayType(T.LongType())), T.StructField("numel", T.LongType())])
 #: Files that one task opens, and the longest header that is read.
 FILES, MAX_HEADER = 256, 100_000_000
+#: Tasks among which the files of one folder are dealt at most: each lists the folder, which this keeps below
+#: the cost of opening the files.
+SHARES = 32
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def entries(store: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of the files and folders in ``folder``: on mounted disks one at a time;
+    other stores give the listing of a folder whole."""
+    if isinstance(store, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                if x.is_dir() or x.is_file():
+                    yield f"{folder.rstrip('/')}/{x.name}", x.is_dir()
+    else:
+        for x in store.get_file_info(pafs.FileSelector(folder)):
+            if x.type in (pafs.FileType.Directory, pafs.FileType.File):
+                yield x.path, x.type == pafs.FileType.Directory
+
+
 def parse_header(raw: bytes) -> list[tuple]:
     """(key, dtype, shape, numel) of a tensor file's header; no tensor data is looked at."""
     rows = []
@@ -50,7 +70,9 @@ def header_bytes(file, length: int) -> bytes:
 class TensorHeaderSource(DataSource):
     """``spark.read.format("tensor_header").load(path)``: a row for each tensor of each file below ``path``
     (path, length, key, dtype, shape, numel), read from the header alone; a file that can't be read is a
-    row with its ``error``. Filters on path and key are applied before files are opened and rows are made."""
+    row with its ``error``. Filters on path and key are applied before files are opened and rows are made.
+    The driver walks the folders and counts their files; tasks list their own share of a folder, so what
+    passes the driver grows with the folders, not with the files."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,21 +103,53 @@ class TensorHeaderReader(DataSourceReader):
         checks = {"equal": lambda v, x: v == x, "in": lambda v, x: v in x, "starts": lambda v, x: v.startswith(x), "ends": lambda v, x: v.endswith(x)}
         return all(value is not None and checks[kind](value, x) for kind, x in self.tests[column])
 
+    def _wanted(self, path: str) -> bool:
+        return path.endswith(self.suffix) and self._passes("path", path)
+
     def partitions(self):
+        """Shares of folders, each a list of (folder, share, shares); small folders go together."""
         store, root = open_store(self.root)
-        info = store.get_file_info(root)
-        found = store.get_file_info(pafs.FileSelector(root, recursive=True)) if info.type == pafs.FileType.Directory else [info]
-        files = sorted((x.path, x.size) for x in found if x.type == pafs.FileType.File and x.path.endswith(self.suffix) and self._passes("path", x.path))
-        return [InputPartition(files[k : k + self.files]) for k in range(0, len(files), self.files)]
+        kind = store.get_file_info(root).type
+        if kind != pafs.FileType.Directory:
+            return [InputPartition([(root, 0, 0)])] if kind == pafs.FileType.File and self._wanted(root) else []
+        parts, small, held, waiting = [], [], 0, [root]
+        while waiting:
+            folder, n = waiting.pop(), 0
+            for path, nested in entries(store, folder):
+                if nested:
+                    waiting.append(path)
+                elif self._wanted(path):
+                    n += 1
+            shares = min(-(-n // self.files), SHARES)
+            if shares > 1:
+                parts += [InputPartition([(folder, k, shares)]) for k in range(shares)]
+            elif n:
+                if held + n > self.files:
+                    parts.append(InputPartition(small))
+                    small, held = [], 0
+                small.append((folder, 0, 1))
+                held += n
+        return parts + ([InputPartition(small)] if small else [])
+
+    def _files(self, store: pafs.FileSystem, folder: str, share: int, shares: int) -> Iterator[str]:
+        if not shares:  # a file of its own
+            yield folder
+            return
+        for path, nested in entries(store, folder):
+            if not nested and self._wanted(path) and zlib.crc32(path.encode()) % shares == share:
+                yield path
 
     def read(self, partition):
         store, _ = open_store(self.root)
-        for path, length in partition.value:
+        for path in (p for part in partition.value for p in self._files(store, *part)):
+            length = None
             try:
                 with store.open_input_file(path) as file:
+                    length = file.size()
                     rows, error = parse_header(header_bytes(file, length)), None
             except Exception as e:  # a broken file is a row
                 rows, error = [(None, None, None, None)], f"{type(e).__name__}: {e}"
+                length = store.get_file_info(path).size if length is None else length
             for row in rows:
                 if self._passes("key", row[0]):
                     yield (path, length, *row, error)
